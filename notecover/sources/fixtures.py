@@ -21,11 +21,9 @@ SEEDS = (42, 43, 44)
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> wide notes: experiment=lang, topic=source, id=doc_id, 4 quarter segments."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    q = F.expr("(length(text) + 3) div 4")
     segs = [F.nullif(F.expr(f"substring(text, {s - 1} * ((length(text) + 3) div 4) + 1, "
                             "(length(text) + 3) div 4)"), F.lit("")).alias(SEGMENTS[s - 1])
             for s in (1, 2, 3, 4)]
-    del q
     return d.select(F.col("lang").alias("experiment"), F.col("source").alias("topic"),
                     F.col("doc_id").alias("id"), *segs)
 
@@ -59,21 +57,20 @@ def pairs(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFram
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled pairs with score = lexical overlap(idea, segment text), prediction = score >= 0.2.
+    """Labelled pairs with score = lexical overlap(idea, whole note text), prediction = score >= 0.2.
 
-    Note segments are tokenised once per note (before the pair fan-out) and the token
-    set of the pair's segment is picked after the join.
+    Each note is tokenised once, before the pair fan-out; the join carries the token set.
     """
-    n = notes(spark, sf_dir).select(
-        "experiment", "topic", "id",
-        F.array(*[T.overlap_tokens(s) for s in SEGMENTS]).alias("seg_sets"))
+    d = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("experiment"), F.col("source").alias("topic"), F.col("doc_id").alias("id"),
+        T.overlap_tokens("text").alias("note_set"))
     i = broadcast_if_bounded(ideas(spark, sf_dir).select(
         "topic", "pos", T.overlap_tokens("idea_unit").alias("idea_set")))
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"),
                                                 F.col("quality").alias("y"))
     seg = ((F.col("id") + F.col("pos")) % 4 + 1).cast("int")
-    p = n.join(lab, "id").join(i, "topic")
-    score = T.overlap_of_sets(F.col("idea_set"), F.element_at("seg_sets", seg))
+    p = d.join(lab, "id").join(i, "topic")
+    score = T.overlap_of_sets(F.col("idea_set"), F.col("note_set"))
     return p.select((F.col("id") * 100000 + F.col("pos")).alias("pair_id"), "experiment", "topic",
                     "id", seg.alias("segment"), F.col("y").cast("int").alias("y"),
                     score.alias("score"), (score >= 0.2).cast("int").alias("prediction"))
@@ -179,10 +176,10 @@ SQL = {
     CAST(score >= 0.2 AS INTEGER) AS prediction
   FROM (SELECT *, CASE WHEN len(ia) = 0 THEN 0.0
                        ELSE len(list_intersect(ia, na)) / len(ia) END AS score
-        FROM (SELECT *,
-          list_distinct(list_filter(regexp_split_to_array(translate(lower(coalesce(idea_unit, '')), '.,;', '   '), '{_WS}'), lambda t: t <> '')) AS ia,
-          list_distinct(list_filter(regexp_split_to_array(translate(lower(coalesce(segment_text, '')), '.,;', '   '), '{_WS}'), lambda t: t <> '')) AS na
-          FROM pairs WHERE label IS NOT NULL) a) b)""",
+        FROM (SELECT p.*,
+          list_distinct(list_filter(regexp_split_to_array(translate(lower(coalesce(p.idea_unit, '')), '.,;', '   '), '{_WS}'), lambda t: t <> '')) AS ia,
+          list_distinct(list_filter(regexp_split_to_array(translate(lower(coalesce(d.text, '')), '.,;', '   '), '{_WS}'), lambda t: t <> '')) AS na
+          FROM pairs p JOIN documents d ON d.doc_id = p.id WHERE p.label IS NOT NULL) a) b)""",
     "scored_big": """scored_big AS (
   SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity / 50.0 AS score,
     l_linestatus AS grp1, l_linenumber AS grp2 FROM lineitem)""",
