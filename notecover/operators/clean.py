@@ -1,0 +1,198 @@
+"""Ingest cleaning: header names, required columns, typed coercion, drop reports,
+binary coercion, percent rescaling (PF-1 ... PF-8, PF-12 ... PF-15, PF-18, PF-22)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from notecover.functions import text as TX
+
+# Spellings read as yes / no (PF-14), and the name lists used to find the
+# label, prediction and probability columns of a prediction file (PF-13).
+YES_WORDS = ("yes", "y", "true", "t")
+NO_WORDS = ("no", "n", "false", "f")
+LABEL_NAMES = ("label", "y_true", "true", "ground_truth", "gt")
+PRED_NAMES = ("prediction", "pred", "y_pred", "predicted")
+PROB_NAMES = ("prob_1", "prob_pos", "pred_prob_pos", "probability", "score")
+LOGIT_NAMES = ("logits", "logit", "raw_logits")
+TEXT_NAMES = (("IdeaUnit", "idea_unit", "text_1"), ("NoteText", "note_text", "segment_text", "text_2"))
+
+
+def clean_name(name: str) -> str:
+    """PF-1: drop BOM / replacement characters and strip surrounding whitespace."""
+    return name.replace("﻿", "").replace("�", "").strip()
+
+
+def normalize_columns(df: DataFrame) -> DataFrame:
+    return df.toDF(*[clean_name(c) for c in df.columns])
+
+
+def require_columns(df: DataFrame, required: Iterable[str], what: str = "table") -> None:
+    """PF-2: plan-time check; the error lists every missing column."""
+    missing = sorted(set(required) - set(df.columns))
+    if missing:
+        raise ValueError(f"{what} missing columns: {missing}")
+
+
+def to_number(c) -> Column:
+    """pandas ``to_numeric(errors='coerce')``: DOUBLE or null (NaN becomes null)."""
+    x = TX.py_strip(F.col(c) if isinstance(c, str) else c).try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def segment_domain(c) -> Column:
+    """PF-6: keep segment numbers 1-4 (2.0 is 2, 2.5 is dropped), others null."""
+    x = to_number(c)
+    return F.when(x.isin(1.0, 2.0, 3.0, 4.0), x)
+
+
+def _opt(df: DataFrame, name: str) -> bool:
+    return name in df.columns
+
+
+def coerce_notes(df: DataFrame, topic="topic", id_col="id", experiment="experiment") -> DataFrame:
+    """PF-3: strip experiment/topic, numeric id, drop rows lacking topic/id, id -> BIGINT.
+    A missing experiment becomes 'UNK' (the text 'nan' in the reference)."""
+    out = df
+    if _opt(df, experiment):
+        out = out.withColumn(experiment, F.coalesce(TX.py_strip(F.col(experiment)), F.lit("UNK")))
+    out = out.withColumn(topic, TX.py_strip(F.col(topic))).withColumn(id_col, to_number(id_col))
+    out = out.filter(F.col(topic).isNotNull() & F.col(id_col).isNotNull())
+    return out.withColumn(id_col, F.col(id_col).cast("long"))
+
+
+def coerce_pairs(df: DataFrame, labelled: bool, topic="topic", id_col="id", segment="segment",
+                 idea="idea_unit", label="label") -> DataFrame:
+    """PF-4 (labelled=True) / PF-5: typed pair table; rows failing coercion are dropped.
+    For test tables the label is optional, may be null and never causes a drop."""
+    out = (df.withColumn(topic, TX.py_strip(F.col(topic)))
+             .withColumn(id_col, to_number(id_col))
+             .withColumn(segment, segment_domain(segment)))
+    has_label = _opt(df, label)
+    if has_label:
+        out = out.withColumn(label, to_number(label))
+    need = [topic, id_col, segment, idea] + ([label] if labelled else [])
+    cond = None
+    for c in need:
+        cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
+    out = out.filter(cond)
+    out = out.withColumn(id_col, F.col(id_col).cast("long")).withColumn(segment, F.col(segment).cast("int"))
+    if has_label:
+        out = out.withColumn(label, F.col(label).cast("int"))
+    return out
+
+
+def drop_report(df: DataFrame, labelled: bool, topic="topic", id_col="id", segment="segment",
+                idea="idea_unit", label="label") -> DataFrame:
+    """PF-7: rows in, rows kept, and rows failing each coercion, from one aggregate."""
+    t_bad = TX.py_strip(F.col(topic)).isNull()
+    i_bad = to_number(id_col).isNull()
+    s_bad = segment_domain(segment).isNull()
+    u_bad = F.col(idea).isNull()
+    l_bad = to_number(label).isNull() if (labelled and _opt(df, label)) else F.lit(False)
+    any_bad = t_bad | i_bad | s_bad | u_bad | l_bad
+    return df.agg(F.count(F.lit(1)).alias("n_in"), F.count_if(~any_bad).alias("n_kept"),
+                  F.count_if(any_bad).alias("n_dropped"), F.count_if(t_bad).alias("bad_topic"),
+                  F.count_if(i_bad).alias("bad_id"), F.count_if(s_bad).alias("bad_segment"),
+                  F.count_if(u_bad).alias("bad_idea"), F.count_if(l_bad).alias("bad_label"))
+
+
+def fill_text(df: DataFrame, text_cols: Sequence[str] = ("idea_unit", "note_text")) -> DataFrame:
+    """PF-8: text null -> ''."""
+    out = df
+    for c in text_cols:
+        if _opt(df, c):
+            out = out.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return out
+
+
+def coerce_binary(c) -> Column:
+    """PF-14, per value: a number stays that number; yes/y/true/t -> 1, no/n/false/f -> 0;
+    anything else null. (The reference decides per column; per value loses no rows.)"""
+    x = to_number(c)
+    s = F.lower(TX.py_strip(F.col(c).cast("string") if isinstance(c, str) else c.cast("string")))
+    word = F.when(s.isin(*YES_WORDS), F.lit(1.0)).when(s.isin(*NO_WORDS), F.lit(0.0))
+    return F.coalesce(x, word)
+
+
+def complete_cases(df: DataFrame, label="label", pred="prediction") -> DataFrame:
+    """PF-12: rows with both a label and a prediction."""
+    return df.filter(F.col(label).isNotNull() & F.col(pred).isNotNull())
+
+
+def completeness_report(df: DataFrame, label="label", pred="prediction") -> DataFrame:
+    """PF-12 counts: rows, rows without label, rows with label but without prediction."""
+    return df.agg(F.count(F.lit(1)).alias("n_in"),
+                  F.count_if(F.col(label).isNull()).alias("missing_label"),
+                  F.count_if(F.col(label).isNotNull() & F.col(pred).isNull()).alias("missing_pred"),
+                  F.count_if(F.col(label).isNotNull() & F.col(pred).isNotNull()).alias("n_kept"))
+
+
+def percent_rescale(df: DataFrame, score="score", out: str | None = None) -> DataFrame:
+    """PF-15: divide by 100 when the largest score (NaN ignored) is above 1.5.
+
+    The maximum is one driver-side scalar from one aggregate."""
+    s = F.col(score)
+    mx = df.agg(F.max(F.when(~F.isnan(s), s)).alias("mx")).first()["mx"]
+    scaled = s / 100.0 if (mx is not None and mx > 1.5) else s
+    return df.withColumn(out or score, scaled)
+
+
+def infer_columns(df: DataFrame) -> dict[str, str]:
+    """PF-13: find label / prediction / probability / logits columns.
+
+    Names first (plan time). If label or prediction is still missing, one aggregate over
+    all candidate columns tests 'only 0/1' (numeric) and 'only yes/no words' (text).
+    """
+    cols = {c.lower(): c for c in df.columns}
+    found: dict[str, str] = {}
+    for key, names in (("label", LABEL_NAMES), ("pred", PRED_NAMES), ("prob_pos", PROB_NAMES),
+                       ("logits_col", LOGIT_NAMES)):
+        for n in names:
+            if n.lower() in cols:
+                found[key] = cols[n.lower()]
+                break
+    if "label" in found and "pred" in found:
+        return found
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    words = YES_WORDS[:1] + NO_WORDS[:1] + ("true", "false", "1", "0")
+    aggs = [F.bool_and(F.col(c).isNull() | F.col(c).isin(0, 1)).alias(f"n::{c}") for c in numeric]
+    aggs += [F.bool_and(F.col(c).isNull() | F.lower(F.col(c)).isin(*words)).alias(f"s::{c}") for c in texts]
+    if not aggs:
+        return found
+    r = df.agg(*aggs).first().asDict()
+    for c in numeric:
+        if r[f"n::{c}"] and c not in found.values():
+            if "label" not in found:
+                found["label"] = c
+            elif "pred" not in found:
+                found["pred"] = c
+    for c in texts:
+        if r[f"s::{c}"] and c not in found.values():
+            if "label" not in found:
+                found["label"] = c
+            elif "pred" not in found:
+                found["pred"] = c
+    return found
+
+
+def choose_text_columns(df: DataFrame) -> tuple[str | None, str | None]:
+    """PF-18: text columns for the examples table: known names, else the two string columns
+    with the greatest mean length (one aggregate, k columns compared on the driver)."""
+    cols = set(df.columns)
+    picked = []
+    for names in TEXT_NAMES:
+        picked.append(next((n for n in names if n in cols), None))
+    if all(picked):
+        return picked[0], picked[1]
+    strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not strs:
+        return None, None
+    means = df.agg(*[F.avg(F.length(c)).alias(c) for c in strs]).first().asDict()
+    ranked = sorted(strs, key=lambda c: -(means[c] or 0.0))
+    return (ranked + [None, None])[0], (ranked + [None, None])[1]
