@@ -63,10 +63,13 @@ def span_bounds(alpha: Column, beta: Column, n_tokens: Column, budget: Column) -
 
 
 def aligned_span(df: DataFrame, notes_col: str = "full_notes", idea_col: str = "idea_unit",
-                 margin: float = 0.1, max_length: int = 256) -> DataFrame:
+                 margin: float = 0.1, max_length: int = 256, tokens_col: str | None = None) -> DataFrame:
     """F-13 + F-14: the idea-specific chunk of the full notes as text (tokens joined by one
-    space; no notes or no tokens -> ''). Adds note_text, span_start, span_end, span_len."""
-    toks = T.model_tokens(notes_col)
+    space; no notes or no tokens -> ''). Adds note_text, span_start, span_end, span_len.
+
+    Pass ``tokens_col`` when the notes were tokenised before the pair fan-out (one
+    tokenisation per note instead of one per pair)."""
+    toks = F.coalesce(F.col(tokens_col), F.array().cast("array<string>")) if tokens_col else T.model_tokens(notes_col)
     out = df.withColumn("_toks", toks).withColumn("_L", F.size("_toks"))
     out = out.withColumn("_budget", token_budget(F.size(T.model_tokens(idea_col)), max_length))
     alpha, beta = align_interval(margin=margin)
@@ -74,4 +77,5 @@ def aligned_span(df: DataFrame, notes_col: str = "full_notes", idea_col: str = "
     out = out.withColumn("span_start", start).withColumn("span_end", end).withColumn("span_len", taken)
     text = F.when(F.col("_L") == 0, F.lit("")).otherwise(
         F.array_join(F.slice("_toks", F.col("span_start") + 1, F.col("span_len")), " "))
-    return out.withColumn("note_text", text).drop("_toks", "_L", "_budget")
+    drop = ["_toks", "_L", "_budget"] + ([tokens_col] if tokens_col else [])
+    return out.withColumn("note_text", text).drop(*drop)

@@ -9,10 +9,10 @@ from notecover.operators.split import hash_order
 
 
 def eval_examples(df: DataFrame, y="label", pred="prediction", score="prob_1", text_1="idea_unit",
-                  text_2="note_text", id_col="id", segment="segment") -> DataFrame:
-    """PF-21 + PF-17: the flat examples table of the error report."""
+                  text_2="note_text", id_col="id", segment="segment", keep=()) -> DataFrame:
+    """PF-21 + PF-17: the flat examples table of the error report (``keep``: extra columns first)."""
     sc = F.col(score).cast("double") if score and score in df.columns else F.lit(None).cast("double")
-    return df.select(F.col(y).cast("int").alias("true_label"), F.col(pred).cast("int").alias("pred_label"),
+    return df.select(*keep, F.col(y).cast("int").alias("true_label"), F.col(pred).cast("int").alias("pred_label"),
                      sc.alias("pred_prob_pos"), F.col(text_1).alias("text_1"), F.col(text_2).alias("text_2"),
                      F.col(id_col).alias("ID"), F.col(segment).alias("Segment"),
                      (F.col(y).cast("int") == F.col(pred).cast("int")).alias("correct"))
