@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notecover.plans import q_eval, q_model, q_prep, q_text  # noqa: F401
+from notecover.plans import q_chains, q_eval, q_model, q_prep, q_text  # noqa: F401
 from notecover.plans.registry import ORACLE, QUERIES
 
 
