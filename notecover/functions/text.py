@@ -19,8 +19,11 @@ WORD_CHARS = r"\p{L}\p{N}\p{M}_"
 TOK = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]"     # word or single punctuation mark
 WORD = r"[\p{L}\p{N}\p{M}_]+"                            # word only
 TOK2 = r"[\p{L}\p{N}\p{M}_]{2,}"                         # words of 2+ characters
-WS_CLASS = (r"[\s\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
+WS_CLASS = (r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# The same whitespace set as characters (Python's str.isspace()), for translate / trim.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 WS = WS_CLASS + "+"
 DIGITS = r"\p{Nd}+"
 STRIP = "^" + WS + "|" + WS + "$"
@@ -33,8 +36,14 @@ def col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col(c), STRIP, "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace (a set trim, no regex)."""
+    return F.trim(col(c), F.lit(WS_CHARS))
+
+
+def _spaces(c, extra: str = "") -> Column:
+    """Map every whitespace character (and ``extra`` characters) to a plain space."""
+    src = extra + WS_CHARS
+    return F.translate(c, src, " " * len(src))
 
 
 def strip_lower(c) -> Column:
@@ -42,9 +51,13 @@ def strip_lower(c) -> Column:
     return F.lower(py_strip(F.coalesce(col(c), F.lit(""))))
 
 
-def ws_tokens(c) -> Column:
-    """Python ``str.split()`` on Unicode whitespace, empty tokens removed."""
-    return F.filter(F.split(F.coalesce(col(c), F.lit("")), WS), lambda t: t != "")
+def ws_tokens(c, extra_separators: str = "") -> Column:
+    """Python ``str.split()`` on Unicode whitespace (no empty tokens).
+
+    Whitespace is translated to spaces and trimmed, then split on runs of spaces; an
+    all-space text gives an empty array."""
+    t = F.trim(_spaces(F.coalesce(col(c), F.lit("")), extra_separators))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " +"))
 
 
 def word_tokens(c) -> Column:
@@ -75,8 +88,7 @@ def jaccard_of_sets(ta: Column, tb: Column) -> Column:
 
 def overlap_tokens(c) -> Column:
     """F-9 token set: lowercase, '.,;' to spaces, whitespace split, distinct."""
-    cleaned = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), ".,;", "   ")
-    return F.array_distinct(ws_tokens(cleaned))
+    return F.array_distinct(ws_tokens(F.lower(F.coalesce(col(c), F.lit(""))), ".,;"))
 
 
 def overlap_of_sets(idea_set: Column, note_set: Column) -> Column:

@@ -26,10 +26,17 @@ def valid_scores(df: DataFrame, score="score") -> DataFrame:
 
 
 def histogram(df: DataFrame, y="y", score="score") -> DataFrame:
-    """(score, pos, neg): one row per distinct valid score; y = 1 is positive."""
-    d = valid_scores(df, score)
-    return d.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    """(score, pos, neg): one row per distinct valid score; y = 1 is positive.
+
+    Rows without a valid score are dropped after the aggregate (by an aggregated flag),
+    not by a filter before it: a filter on a computed score would be pushed below the
+    projection and re-evaluate the score expression inside the filter."""
+    s = F.col(score)
+    ok = s.isNotNull() & ~F.isnan(s)
+    h = df.groupBy(s.alias("score")).agg(
+        F.count_if(ok & (F.col(y) == 1)).alias("pos"), F.count_if(ok & (F.col(y) != 1)).alias("neg"),
+        F.max(ok.cast("int")).alias("_ok"))
+    return h.filter(F.col("_ok") == 1).drop("_ok")
 
 
 def _bucket_of(key: Column, bounds: list[float]) -> Column:
@@ -114,6 +121,23 @@ def average_precision(df: DataFrame, y="y", score="score") -> DataFrame:
     return agg.select(F.when(F.col("P") > 0, F.col("s") / F.col("P")).alias("average_precision"))
 
 
+def ranking_summary(df: DataFrame, y="y", score="score") -> DataFrame:
+    """A-7, A-8, A-9 from one histogram and one running total: roc_auc, average_precision,
+    pr_auc (trapezoid), P, N in one row."""
+    c = _with_totals(cumulative_desc(df, y, score))
+    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    pp, pn = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
+    prev_prec = F.when(pp + pn > 0, pp / (pp + pn)).otherwise(F.lit(1.0))
+    agg = c.agg(F.sum(F.col("pos") * (F.col("N") - F.col("cum_neg") + F.col("neg") / 2.0)).alias("s_auc"),
+                F.sum(F.col("pos") * prec).alias("s_ap"),
+                F.sum((F.col("pos") / F.col("P")) * (prec + prev_prec) / 2.0).alias("s_pr"),
+                F.first("P").alias("P"), F.first("N").alias("N"))
+    both = (F.col("P") > 0) & (F.col("N") > 0)
+    return agg.select(F.when(both, F.col("s_auc") / (F.col("P") * F.col("N"))).alias("roc_auc"),
+                      F.when(F.col("P") > 0, F.col("s_ap") / F.col("P")).alias("average_precision"),
+                      F.when(F.col("P") > 0, F.col("s_pr")).alias("pr_auc"), "P", "N")
+
+
 def pr_curve(df: DataFrame, y="y", score="score") -> DataFrame:
     """A-10: (threshold, precision, recall) per distinct score, plus the end point (P=1, R=0)."""
     c = _with_totals(cumulative_desc(df, y, score), df, y, score)
@@ -161,8 +185,9 @@ def score_histogram(df: DataFrame, score="score", bins: int = 20) -> DataFrame:
     min and max are two driver-side scalars from one aggregate. Constant scores use the
     range [v - 0.5, v + 0.5] like numpy.
     """
-    d = valid_scores(df, score)
-    mm = d.agg(F.min(score).alias("mn"), F.max(score).alias("mx")).first()
+    s = F.col(score)
+    ok = s.isNotNull() & ~F.isnan(s)
+    mm = df.agg(F.min(F.when(ok, s)).alias("mn"), F.max(F.when(ok, s)).alias("mx")).first()
     spark = df.sparkSession
     if mm["mn"] is None:
         return spark.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(None).cast("double").alias("lo"),
@@ -170,9 +195,9 @@ def score_histogram(df: DataFrame, score="score", bins: int = 20) -> DataFrame:
     mn, mx = float(mm["mn"]), float(mm["mx"])
     if mn == mx:
         mn, mx = mn - 0.5, mx + 0.5
-    s = F.col(score)
-    b = F.least(F.floor((s - F.lit(mn)) * F.lit(float(bins)) / F.lit(mx - mn)), F.lit(bins - 1)).cast("int")
-    counts = d.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    b = F.when(ok, F.least(F.floor((s - F.lit(mn)) * F.lit(float(bins)) / F.lit(mx - mn)),
+                           F.lit(bins - 1)).cast("int"))
+    counts = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))   # invalid rows: null bin, dropped below
     all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = F.broadcast(all_bins).join(counts, "bin", "left")
     w = F.lit(mx - mn) / F.lit(float(bins))

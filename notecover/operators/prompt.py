@@ -28,38 +28,69 @@ QUERY_NOTE = "\nNOTE:\n"
 TAIL = "\nAnswer:"
 
 
+def _s(c: Column) -> Column:
+    return T.py_strip(F.coalesce(c, F.lit("")))
+
+
+def zero_shot_parts(idea: Column, note: Column) -> list[Column]:
+    return [F.lit(INSTRUCTIONS + QUERY_HEAD.lstrip("\n")), _s(idea), F.lit(QUERY_NOTE), _s(note), F.lit(TAIL)]
+
+
+def one_shot_parts(idea: Column, note: Column, ex_idea: Column, ex_note: Column, ex_label: Column) -> list[Column]:
+    ans = F.when(ex_label == 1, F.lit("YES")).otherwise(F.lit("NO"))
+    return [F.lit(INSTRUCTIONS + EXAMPLE_HEAD.lstrip("\n")), _s(ex_idea), F.lit(EXAMPLE_NOTE), _s(ex_note),
+            F.lit(EXAMPLE_ANSWER), ans, F.lit(QUERY_HEAD), _s(idea), F.lit(QUERY_NOTE), _s(note), F.lit(TAIL)]
+
+
 def zero_shot(idea: Column, note: Column) -> Column:
     """F-19: instructions, idea and note (both stripped), answer cue."""
-    return F.concat(F.lit(INSTRUCTIONS + QUERY_HEAD.lstrip("\n")), T.py_strip(F.coalesce(idea, F.lit(""))),
-                    F.lit(QUERY_NOTE), T.py_strip(F.coalesce(note, F.lit(""))), F.lit(TAIL))
+    return F.concat(*zero_shot_parts(idea, note))
 
 
 def one_shot(idea: Column, note: Column, ex_idea: Column, ex_note: Column, ex_label: Column) -> Column:
     """F-20: as F-19 with one worked example and its YES/NO answer first."""
-    ans = F.when(ex_label == 1, F.lit("YES")).otherwise(F.lit("NO"))
-    return F.concat(F.lit(INSTRUCTIONS + EXAMPLE_HEAD.lstrip("\n")), T.py_strip(F.coalesce(ex_idea, F.lit(""))),
-                    F.lit(EXAMPLE_NOTE), T.py_strip(F.coalesce(ex_note, F.lit(""))), F.lit(EXAMPLE_ANSWER), ans,
-                    F.lit(QUERY_HEAD), T.py_strip(F.coalesce(idea, F.lit(""))),
-                    F.lit(QUERY_NOTE), T.py_strip(F.coalesce(note, F.lit(""))), F.lit(TAIL))
+    return F.concat(*one_shot_parts(idea, note, ex_idea, ex_note, ex_label))
 
 
 def n_tokens(c: Column) -> Column:
     return F.size(T.model_tokens(c))
 
 
-def truncate_note(prompt_fn, idea: Column, note: Column, max_tokens: int = 1024, **example) -> tuple[Column, Column, Column]:
-    """F-21: keep the prompt under ``max_tokens`` by cutting the note, not the instructions
-    or the final cue. Returns (prompt, n_tokens of the prompt, truncated flag)."""
-    full = prompt_fn(idea, note, **example) if example else prompt_fn(idea, note)
-    total = n_tokens(full)
-    note_toks = T.model_tokens(T.py_strip(F.coalesce(note, F.lit(""))))
-    others = total - F.size(note_toks)
-    budget = F.greatest(F.lit(max_tokens) - others, F.lit(0))
+def example_tokens(ex_idea: Column, ex_note: Column, ex_label: Column) -> Column:
+    """Tokens the example adds to a one-shot prompt; compute it once per example row."""
+    ans = F.when(ex_label == 1, F.lit("YES")).otherwise(F.lit("NO"))
+    return n_tokens(_s(ex_idea)) + n_tokens(_s(ex_note)) + n_tokens(ans)
+
+
+def truncate_note(idea: Column, note: Column, max_tokens: int = 1024, example: dict | None = None,
+                  example_tokens_col: Column | None = None) -> tuple[Column, Column, Column]:
+    """F-21: keep the prompt within ``max_tokens`` by cutting the note, never the
+    instructions or the final cue. Returns (prompt, its token count, truncated flag).
+
+    Parts are joined at whitespace, so the prompt's token count is the sum of the parts'
+    counts: the fixed template parts are literals (folded at planning), the example's
+    count comes per example row (``example_tokens_col``), and only the note is tokenised
+    per row. The note keeps its first ``budget`` tokens, joined by one space."""
+    note_s = _s(note)
+    note_toks = T.model_tokens(note_s)
+    if example is None:
+        parts = zero_shot_parts(idea, note)
+        fixed = sum((n_tokens(p) for i, p in enumerate(parts) if i != 3), F.lit(0))
+    else:
+        parts = one_shot_parts(idea, note, **example)
+        fixed_parts = [p for i, p in enumerate(parts) if i in (0, 2, 4, 6, 7, 8, 10)]
+        ex = example_tokens_col if example_tokens_col is not None else example_tokens(**example)
+        fixed = sum((n_tokens(p) for p in fixed_parts), F.lit(0)) + ex
+    total = fixed + F.size(note_toks)
     over = total > max_tokens
-    cut_note = F.array_join(F.slice(note_toks, 1, budget), " ")
-    cut = prompt_fn(idea, cut_note, **example) if example else prompt_fn(idea, cut_note)
-    prompt = F.when(over, cut).otherwise(full)
-    return prompt, F.when(over, n_tokens(cut)).otherwise(total), over
+    budget = F.greatest(F.lit(max_tokens) - fixed, F.lit(0))
+    note_used = F.when(over, F.array_join(F.slice(note_toks, 1, budget), " ")).otherwise(note_s)
+    if example is None:
+        prompt = zero_shot(idea, note_used)
+    else:
+        prompt = one_shot(idea, note_used, **example)
+    n = F.when(over, fixed + F.least(budget, F.size(note_toks))).otherwise(total)
+    return prompt, n, over
 
 
 def head_truncate(prompt: Column, max_tokens: int = 1024) -> Column:

@@ -28,15 +28,19 @@ def argmax(z) -> Column:
 
 
 def parse_logits(c) -> Column:
-    """F-18 parse: text '[a, b]' -> array<double>; anything invalid -> null."""
-    arr = F.from_json(F.col(c) if isinstance(c, str) else c, "array<double>")
-    return F.when(F.size(arr) > 0, arr)
+    """F-18 parse: text '[a, b]' -> array<double>; anything invalid -> null.
+
+    Materialise the result in its own column (``withColumn``) before applying softmax /
+    argmax to it, so the text is parsed once per row."""
+    return F.from_json(F.col(c) if isinstance(c, str) else c, "array<double>")
 
 
 def positive_prob(z) -> Column:
-    """F-18 score: softmax[1], or softmax[0] (= 1.0) when there is one class."""
-    p = softmax(z)
-    return F.when(F.size(p) > 1, F.element_at(p, 2)).otherwise(F.element_at(p, 1))
+    """F-18 score: softmax[1], or softmax[0] (= 1.0) when there is one class; expects a
+    materialised array column."""
+    arr = F.col(z) if isinstance(z, str) else z
+    n = F.size(arr)
+    return F.when(n > 1, F.element_at(softmax(arr), 2)).when(n == 1, F.lit(1.0))
 
 
 def apply_threshold(score, t: float) -> Column:

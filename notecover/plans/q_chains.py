@@ -51,13 +51,15 @@ def record_sql(src: str, px: str) -> str:
 def metric_record(df, y="y", score="score"):
     """A-22 at the best-F1 threshold of ``df``: one row assembled from one-row aggregates."""
     spark = df.sparkSession
+    df = df.persist()            # several one-row aggregates read it; recomputable from lineage
     t = float(C.best_threshold(df, y, score).first()["threshold"])
     d = df.withColumn("_pt", SC.apply_threshold(score, t))
     base = M.binary_metrics(d, y, "_pt").first().asDict()
     ba = M.balanced_accuracy(d, y, "_pt").first()["balanced_accuracy"]
-    auc = C.roc_auc(df, y, score).first()["roc_auc"]
-    ap = C.average_precision(df, y, score).first()["average_precision"]
+    rk = C.ranking_summary(df, y, score).first()
+    auc, ap = rk["roc_auc"], rk["average_precision"]
     row = (base["n"], base["accuracy"], base["precision"], base["recall"], base["f1"], auc, ap, ba, t)
+    df.unpersist()
     schema = ("n_eval long, accuracy double, precision double, recall double, f1 double, roc_auc double, "
               "pr_auc double, balanced_accuracy double, threshold double")
     return spark.createDataFrame([row], schema)
@@ -88,10 +90,9 @@ def q_aligned_chain(spark, sf_dir):
 # ---------------------------------------------------------------- P-4 error analysis of a prediction file
 def _prediction_file(spark, sf_dir):
     """A prediction table with text-typed columns, like a CSV read: label, prediction, logits."""
-    lg = FX.logits(spark, sf_dir)
-    z = SC.parse_logits("z")
+    lg = FX.logits(spark, sf_dir).withColumn("_a", SC.parse_logits("z"))
     return lg.select("id", F.col("y").cast("string").alias("label"),
-                     F.when(z.isNotNull(), SC.argmax(z).cast("string")).alias("prediction"),
+                     F.when(F.col("_a").isNotNull(), SC.argmax("_a").cast("string")).alias("prediction"),
                      F.col("z").alias("logits"))
 
 
@@ -113,12 +114,13 @@ def q_error_analysis(spark, sf_dir):
     found = CL.infer_columns(df)                                        # PF-13
     d = df.select(CL.coerce_binary(found["label"]).alias("y"),           # PF-14
                   CL.coerce_binary(found["pred"]).alias("prediction"),
-                  SC.positive_prob(SC.parse_logits(found["logits_col"])).alias("score"))   # F-18
+                  SC.parse_logits(found["logits_col"]).alias("_a")) \
+        .withColumn("score", SC.positive_prob("_a")).drop("_a")          # F-18
     d = CL.complete_cases(d, "y", "prediction")                          # PF-12
     d = CL.percent_rescale(d, "score")                                   # PF-15
     m = M.binary_metrics(d, "y", "prediction").first().asDict()         # A-1, A-2
-    auc = C.roc_auc(d, "y", "score").first()["roc_auc"]                   # A-7
-    ap = C.average_precision(d, "y", "score").first()["average_precision"]   # A-8
+    rk = C.ranking_summary(d, "y", "score").first()                     # A-7, A-8
+    auc, ap = rk["roc_auc"], rk["average_precision"]
     row = (m["n"], m["accuracy"], m["precision"], m["recall"], m["f1"], auc, ap, m["fp"], m["fn"])
     return r6(spark.createDataFrame([row], "n long, accuracy double, precision double, recall double, f1 double, "
                                            "roc_auc double, average_precision double, n_fp long, n_fn long"))
@@ -144,11 +146,13 @@ SELECT n, n_truncated, n_zero_shot, tp, fp, fn, tn, {S.metric_cols()} FROM (
   FROM pp WHERE label IS NOT NULL) c""", "pairs", extra=PROMPT_CTES))
 def q_prompted_chain(spark, sf_dir):
     p = FX.pairs(spark, sf_dir, with_text=True)                          # J-2, PF-9
-    j = PR.one_shot_join(p, _examples(spark, sf_dir))                   # W-3, J-5
+    ex = _examples(spark, sf_dir)                                        # W-3
+    ex = ex.withColumn("ex_tokens", PM.example_tokens(F.col("ex_idea"), F.col("ex_note"), F.col("ex_label")))
+    j = PR.one_shot_join(p, ex)                                          # J-5
     i, n = F.col("idea_unit"), F.col("segment_text")
-    z_p, z_n, z_over = PM.truncate_note(PM.zero_shot, i, n, 1024)        # F-19, F-21
-    o_p, o_n, o_over = PM.truncate_note(PM.one_shot, i, n, 1024, ex_idea=F.col("ex_idea"),
-                                        ex_note=F.col("ex_note"), ex_label=F.col("ex_label"))   # F-20, F-21
+    z_p, z_n, z_over = PM.truncate_note(i, n, 1024)                      # F-19, F-21
+    example = {"ex_idea": F.col("ex_idea"), "ex_note": F.col("ex_note"), "ex_label": F.col("ex_label")}
+    o_p, o_n, o_over = PM.truncate_note(i, n, 1024, example, F.col("ex_tokens"))   # F-20, F-21
     zero = F.col("ex_pos").isNull()
     j = j.select("pair_id", "label", "idea_unit", F.col("segment_text").alias("note"), zero.alias("zero"),
                  F.when(zero, z_p).otherwise(o_p).alias("prompt"), F.when(zero, z_over).otherwise(o_over).alias("over"))

@@ -157,7 +157,7 @@ SELECT pair_id, prompt, CAST(CASE WHEN over THEN len({toks_sql('prompt')}) ELSE
   CAST(over AS INTEGER) AS truncated FROM tp""", "pairs", extra=TRUNC_CTES))
 def q_prompt_truncate(spark, sf_dir):
     p = FX.pairs(spark, sf_dir, with_text=True)
-    pr, n, over = PM.truncate_note(PM.zero_shot, F.col("idea_unit"), F.col("segment_text"), 1024)
+    pr, n, over = PM.truncate_note(F.col("idea_unit"), F.col("segment_text"), 1024)
     return p.select("pair_id", pr.alias("prompt"), n.cast("int").alias("n_tokens"), over.cast("int").alias("truncated"))
 
 
@@ -318,10 +318,9 @@ def q_metric_record(spark, sf_dir):
     d = s.withColumn("pred_t", SC.apply_threshold("score", t))
     base = M.binary_metrics(d, "y", "pred_t").withColumnRenamed("n", "n_eval")
     ba = M.balanced_accuracy(d, "y", "pred_t").select("balanced_accuracy")
-    auc = C.roc_auc(s, "y", "score")
-    ap = C.average_precision(s, "y", "score").withColumnRenamed("average_precision", "pr_auc")
+    rk = C.ranking_summary(s, "y", "score").select("roc_auc", F.col("average_precision").alias("pr_auc"))
     # Each part is a one-row aggregate; the record is assembled from these driver-side scalars.
-    row = {**base.drop("tp", "fp", "fn", "tn").first().asDict(), **auc.first().asDict(), **ap.first().asDict(),
+    row = {**base.drop("tp", "fp", "fn", "tn").first().asDict(), **rk.first().asDict(),
            **ba.first().asDict(), "threshold": t}
     schema = ("n_eval long, accuracy double, precision double, recall double, f1 double, roc_auc double, "
               "pr_auc double, balanced_accuracy double, threshold double")

@@ -111,10 +111,9 @@ FROM (SELECT CASE WHEN id % 13 = 0 THEN NULL ELSE y END AS y,
              ELSE list_position({LOGIT_ARR}, list_max({LOGIT_ARR})) - 1 END AS pred FROM logits) x""", "logits"))
 def q_complete_cases(spark, sf_dir):
     from notecover.operators import score as SC
-    lg = FX.logits(spark, sf_dir)
-    z = SC.parse_logits("z")
+    lg = FX.logits(spark, sf_dir).withColumn("_a", SC.parse_logits("z"))
     d = lg.select(F.when(F.col("id") % 13 == 0, F.lit(None)).otherwise(F.col("y")).alias("y"),
-                  F.when(z.isNotNull(), SC.argmax(z)).alias("pred"))
+                  F.when(F.col("_a").isNotNull(), SC.argmax("_a")).alias("pred"))
     return CL.completeness_report(d, "y", "pred")
 
 

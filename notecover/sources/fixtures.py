@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from notecover.functions import text as T
 from notecover.operators.joins import broadcast_if_bounded
-from notecover.sources.tables import table
+from notecover.sources.tables import spread, table
 
 SEGMENTS = ("segment1_notes", "segment2_notes", "segment3_notes", "segment4_notes")
 SEEDS = (42, 43, 44)
@@ -20,7 +20,7 @@ SEEDS = (42, 43, 44)
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> wide notes: experiment=lang, topic=source, id=doc_id, 4 quarter segments."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     segs = [F.nullif(F.expr(f"substring(text, {s - 1} * ((length(text) + 3) div 4) + 1, "
                             "(length(text) + 3) div 4)"), F.lit("")).alias(SEGMENTS[s - 1])
             for s in (1, 2, 3, 4)]
@@ -61,7 +61,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each note is tokenised once, before the pair fan-out; the join carries the token set.
     """
-    d = table(spark, sf_dir, "documents").select(
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("lang").alias("experiment"), F.col("source").alias("topic"), F.col("doc_id").alias("id"),
         T.overlap_tokens("text").alias("note_set"))
     i = broadcast_if_bounded(ideas(spark, sf_dir).select(

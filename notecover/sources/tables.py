@@ -12,3 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that yields fewer partitions than the cluster has cores.
+
+    A text table stored as a few large row groups is read by a few tasks only, and the
+    per-row text work after it would run on those few tasks. Below the default
+    parallelism the rows are hash-partitioned by ``key`` (deterministic on retry); a
+    scan that is already wide (the normal case on a cluster) is left alone, no shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
