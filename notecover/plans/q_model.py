@@ -81,7 +81,8 @@ SPAN_CTES = ORDER_CTES + (
     "LEFT JOIN o ON o.topic = p.topic AND o.idea_unit = p.idea_unit)",
     "sp1 AS (SELECT *, CAST(floor(alpha * L) AS INTEGER) AS s0, CAST(floor(beta * L) AS INTEGER) AS e0 FROM sp0)",
     "sp2 AS (SELECT *, CASE WHEN e0 <= s0 THEN least(L, s0 + budget) ELSE e0 END AS e1 FROM sp1)",
-    "sp AS (SELECT pair_id, label, idea_unit, s0 AS span_start, e1 AS span_end, greatest(0, least(e1 - s0, budget)) AS span_len, "
+    "sp AS (SELECT pair_id, label, idea_unit, s0 AS span_start, CAST(e1 AS INTEGER) AS span_end, "
+    "CAST(greatest(0, least(e1 - s0, budget)) AS INTEGER) AS span_len, "
     "CASE WHEN L = 0 THEN '' ELSE array_to_string(toks[s0 + 1 : s0 + greatest(0, least(e1 - s0, budget))], ' ') END "
     "AS note_text FROM sp2)",
 )
@@ -251,7 +252,7 @@ def _batch(spark, sf_dir):
                           keep=("pair_id", "label"))
 
 
-@query("batch_score", W(f"SELECT pair_id, round({OV_SQL}, 6) AS yes_logit, 0.2 AS no_logit FROM pairs", "pairs"))
+@query("batch_score", W(f"SELECT pair_id, round({OV_SQL}, 6) AS yes_logit, CAST(0.2 AS DOUBLE) AS no_logit FROM pairs", "pairs"))
 def q_batch_score(spark, sf_dir):
     return r6(_batch(spark, sf_dir).select("pair_id", "yes_logit", "no_logit"))
 

@@ -51,7 +51,7 @@ def _coerced_sql(labelled: bool) -> str:
 # ---------------------------------------------------------------- PF-3
 @query("clean_notes", W(f"""
 SELECT coalesce({strip_sql('experiment_raw')}, 'UNK') AS experiment, {strip_sql('topic_raw')} AS topic,
-       {int_sql(num_sql('id_raw'))} AS id, length(segment1_notes) AS len1, length(segment4_notes) AS len4
+       {int_sql(num_sql('id_raw'))} AS id, CAST(length(segment1_notes) AS INTEGER) AS len1, CAST(length(segment4_notes) AS INTEGER) AS len4
 FROM raw_notes WHERE {strip_sql('topic_raw')} IS NOT NULL AND {num_sql('id_raw')} IS NOT NULL""", "raw_notes"))
 def q_clean_notes(spark, sf_dir):
     raw = FX.raw_notes(spark, sf_dir).withColumnRenamed("experiment_raw", "experiment") \
@@ -246,7 +246,7 @@ def q_one_shot_join(spark, sf_dir):
 
 # ---------------------------------------------------------------- J-7
 @query("pair_construction", W("""
-SELECT s.topic, s.id, s.segment, i.pos, length(s.segment_text) AS note_len FROM (
+SELECT s.topic, s.id, s.segment, i.pos, CAST(length(s.segment_text) AS INTEGER) AS note_len FROM (
   SELECT topic, id, 1 AS segment, segment1_notes AS segment_text FROM notes UNION ALL
   SELECT topic, id, 2, segment2_notes FROM notes UNION ALL SELECT topic, id, 3, segment3_notes FROM notes UNION ALL
   SELECT topic, id, 4, segment4_notes FROM notes) s JOIN ideas i ON i.topic = s.topic
