@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,38 +47,43 @@ def random_split(df: DataFrame, seed: int = 42, val_frac: float = 0.2, id_col: s
                  bucket_hex: int = 4, max_bucket_rows: int = 1_000_000) -> DataFrame:
     """W-5: exactly floor(val_frac * n) rows, the first in (md5(seed-id), id) order, are 'val'.
 
-    No global sort: rows are counted per hash prefix (16**bucket_hex buckets, a small
-    table), the bucket holding the cut is found from the cumulative counts, and only that
-    bucket is ranked to find the cut key. Rows at or before the cut key are 'val'. The
-    prefix grows while the cut bucket holds more than ``max_bucket_rows`` rows.
+    No global sort. The (id, hash) keys are cached once; rows are counted per hash prefix
+    (16**bucket_hex buckets, a small table whose running count gives n and the bucket
+    holding the cut); only that bucket is ranked to find the cut key. The split is then a
+    pure expression of (hash, id): rows at or before the cut key are 'val', so the input is
+    not joined back. The prefix grows while the cut bucket holds more than
+    ``max_bucket_rows`` rows. ``id_col`` must identify rows uniquely.
     """
     h = hash_order(seed, id_col)
-    d = df.withColumn("_h", h)
-    n = d.count()
-    k = int(val_frac * n // 1) if n else 0
-    if k <= 0:
-        return d.withColumn("split", F.lit("train")).drop("_h")
-    if k >= n:
-        return d.withColumn("split", F.lit("val")).drop("_h")
-    width, lo_prefix, before = bucket_hex, "", 0
-    while True:
-        scope = d.filter(F.col("_h").startswith(lo_prefix)) if lo_prefix else d
-        counts = scope.groupBy(F.substring("_h", 1, width).alias("_b")).agg(F.count(F.lit(1)).alias("c"))
-        w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cut = (counts.withColumn("cum", F.sum("c").over(w) + F.lit(before))
-               .filter(F.col("cum") >= k).orderBy("_b").limit(1).first())
-        bucket, bucket_rows = cut["_b"], cut["c"]
-        before = cut["cum"] - bucket_rows
-        if bucket_rows <= max_bucket_rows or width >= 32:
-            break
-        lo_prefix, width = bucket, min(32, width + 2)
-    need = k - before
-    inside = d.filter(F.col("_h").startswith(bucket)).select("_h", F.col(id_col))
-    rw = Window.orderBy("_h", id_col)
-    key = inside.withColumn("_rn", F.row_number().over(rw)).filter(F.col("_rn") == need).first()
+    keys = df.select(F.col(id_col), h.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
+    width, prefix, before, k = bucket_hex, "", 0, None
+    try:
+        while True:
+            scope = keys.filter(F.col("_h").startswith(prefix)) if prefix else keys
+            counts = scope.groupBy(F.substring("_h", 1, width).alias("_b")).agg(F.count(F.lit(1)).alias("c"))
+            w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            summary = counts.withColumn("cum", F.sum("c").over(w) + F.lit(before))
+            if k is None:                       # first pass: n and k from the same summary
+                n = summary.agg(F.max("cum")).first()[0] or 0
+                k = int(val_frac * n // 1)
+                if k <= 0 or k >= n:
+                    label = "val" if (k >= n and n > 0) else "train"
+                    return df.withColumn("split", F.lit(label))
+            cut = summary.filter(F.col("cum") >= k).orderBy("_b").limit(1).first()
+            bucket, rows_in = cut["_b"], cut["c"]
+            before = cut["cum"] - rows_in
+            if rows_in <= max_bucket_rows or width >= 32:
+                break
+            prefix, width = bucket, min(32, width + 2)
+        need = k - before
+        inside = keys.filter(F.col("_h").startswith(bucket))
+        key = inside.withColumn("_rn", F.row_number().over(Window.orderBy("_h", id_col))) \
+            .filter(F.col("_rn") == need).first()
+    finally:
+        keys.unpersist()
     hk, ik = key["_h"], key[id_col]
-    is_val = (F.col("_h") < F.lit(hk)) | ((F.col("_h") == F.lit(hk)) & (F.col(id_col) <= F.lit(ik)))
-    return d.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("train"))).drop("_h")
+    is_val = (h < F.lit(hk)) | ((h == F.lit(hk)) & (F.col(id_col) <= F.lit(ik)))
+    return df.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("train")))
 
 
 def held_out(df: DataFrame, picked: DataFrame, id_col: str = "pair_id") -> DataFrame:

@@ -16,6 +16,7 @@ from notecover.plans import sqlparts as S
 from notecover.plans.q_model import SPAN_CTES, _spans, one_shot_sql, toks_sql, zero_shot_sql
 from notecover.plans.q_prep import EXAMPLE_CTES, RANDOM_CTE, _examples
 from notecover.plans.registry import query, r6
+from notecover.session import cut_lineage
 from notecover.sources import fixtures as FX
 from notecover.sources.fixtures import with_fixtures as W
 
@@ -193,7 +194,7 @@ def _features(spark, sf_dir):
 
 @query("train_pair_classifier")
 def q_train_pair_classifier(spark, sf_dir):
-    f = _features(spark, sf_dir).persist()
+    f = cut_lineage(_features(spark, sf_dir))        # reliable checkpoint: the fits read it many times
     fitted = SC.train_pair_classifier(f.filter(F.col("split") == "train"), "label", reg_param=0.01)
     pred = SC.predict_pairs(f.filter(F.col("split") == "val"), fitted)
     out = metric_record(pred.select(F.col("label").alias("y"), F.col("prob_1").alias("score")))
@@ -203,6 +204,6 @@ def q_train_pair_classifier(spark, sf_dir):
 # ---------------------------------------------------------------- X-6 parameter search (rows-only check)
 @query("param_search")
 def q_param_search(spark, sf_dir):
-    f = _features(spark, sf_dir).persist()
+    f = cut_lineage(_features(spark, sf_dir))
     return r6(SC.param_search(f.filter(F.col("split") == "train"), f.filter(F.col("split") == "val"),
                               (0.0, 0.01, 0.1), "label"))
