@@ -54,10 +54,10 @@ def strip_lower(c) -> Column:
 def ws_tokens(c, extra_separators: str = "") -> Column:
     """Python ``str.split()`` on Unicode whitespace (no empty tokens).
 
-    Whitespace is translated to spaces and trimmed, then split on runs of spaces; an
-    all-space text gives an empty array."""
+    Whitespace is translated to spaces and trimmed, split on single spaces (a plain
+    character split, no regex engine) and the empty strings left by space runs removed."""
     t = F.trim(_spaces(F.coalesce(col(c), F.lit("")), extra_separators))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " +"))
+    return F.array_remove(F.split(t, " "), "")
 
 
 def word_tokens(c) -> Column:
