@@ -92,8 +92,10 @@ def overlap_tokens(c) -> Column:
 
 
 def overlap_of_sets(idea_set: Column, note_set: Column) -> Column:
+    """|idea ∩ note| / |idea| on distinct token arrays. The hash set is built over the
+    (small) idea set and the note set is streamed through it."""
     n = F.size(idea_set)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(idea_set, note_set)) / n)
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(note_set, idea_set)) / n)
 
 
 def lexical_overlap(idea, note) -> Column:

@@ -21,8 +21,8 @@ SEEDS = (42, 43, 44)
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> wide notes: experiment=lang, topic=source, id=doc_id, 4 quarter segments."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
-    segs = [F.nullif(F.expr(f"substring(text, {s - 1} * ((length(text) + 3) div 4) + 1, "
-                            "(length(text) + 3) div 4)"), F.lit("")).alias(SEGMENTS[s - 1])
+    d = d.withColumn("_q", F.expr("(length(text) + 3) div 4"))          # segment length, once per note
+    segs = [F.nullif(F.expr(f"substring(text, {s - 1} * _q + 1, _q)"), F.lit("")).alias(SEGMENTS[s - 1])
             for s in (1, 2, 3, 4)]
     return d.select(F.col("lang").alias("experiment"), F.col("source").alias("topic"),
                     F.col("doc_id").alias("id"), *segs)
