@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notecover.functions import text as T
-from notecover.operators.joins import broadcast_if_bounded
+from notecover.operators.joins import join_small
 
 
 def idea_order(train: DataFrame, test: DataFrame, order_col: str = "pair_id") -> DataFrame:
@@ -29,7 +29,7 @@ def idea_order(train: DataFrame, test: DataFrame, order_col: str = "pair_id") ->
 
 def idea_position(pairs: DataFrame, order: DataFrame) -> DataFrame:
     """J-4: attach (j, k) of each pair's idea; unknown ideas keep nulls (segment fallback)."""
-    return pairs.join(broadcast_if_bounded(order), ["topic", "idea_unit"], "left")
+    return join_small(pairs, order, ["topic", "idea_unit"], "left")
 
 
 def align_interval(j="j", k="k", segment="segment", margin: float = 0.1) -> tuple[Column, Column]:

@@ -58,3 +58,16 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     b = big.withColumn("_salt", F.pmod(F.hash(src), F.lit(buckets)))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return b.join(s, keys + ["_salt"], how).drop("_salt")
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", buckets: int = 32,
+               salt_from: str | None = None, max_bytes: int = BROADCAST_MAX_BYTES,
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join a large table with a side expected to be small, keyed by few hot keys (topics).
+
+    Broadcast when the side is measured under the bounds; otherwise a salted shuffle join
+    so that no single key lands in one task."""
+    n, b = measured_size(small)
+    if n <= max_rows and b <= max_bytes:
+        return big.join(F.broadcast(small), keys, how)
+    return salted_join(big, small, keys, how, buckets, salt_from)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notecover.functions import text as T
-from notecover.operators.joins import broadcast_if_bounded
+from notecover.operators.joins import join_small
 
 SEGMENTS = ("segment1_notes", "segment2_notes", "segment3_notes", "segment4_notes")
 
@@ -85,7 +85,7 @@ def construct_pairs(notes: DataFrame, ideas: DataFrame, seg_cols: Sequence[str]
     seg = notes.select("topic", "id", F.posexplode(F.array(*[F.col(c) for c in seg_cols])).alias("_p", "segment_text")) \
         .filter(F.col("segment_text").isNotNull()) \
         .select("topic", "id", (F.col("_p") + 1).cast("int").alias("segment"), "segment_text")
-    return seg.join(broadcast_if_bounded(ideas), "topic")
+    return join_small(seg, ideas, ["topic"], salt_from="id")
 
 
 def one_shot_examples(train: DataFrame, order_col: str = "pair_id", text_col: str = "segment_text") -> DataFrame:
@@ -108,4 +108,4 @@ def one_shot_examples(train: DataFrame, order_col: str = "pair_id", text_col: st
 def one_shot_join(pairs: DataFrame, examples: DataFrame) -> DataFrame:
     """J-5: attach the topic's example (broadcast after a size check); a topic without one
     keeps null example columns and falls back to the zero-shot prompt."""
-    return pairs.join(broadcast_if_bounded(examples), "topic", "left")
+    return join_small(pairs, examples, ["topic"], "left")

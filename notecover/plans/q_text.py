@@ -10,7 +10,7 @@ from notecover.functions import text as T
 from notecover.operators import metrics as M
 from notecover.operators import similarity as SIM
 from notecover.operators import sweep as SW
-from notecover.operators.joins import broadcast_if_bounded
+from notecover.operators.joins import join_small
 from notecover.plans import sqlparts as S
 from notecover.plans.registry import query, r6
 from notecover.sources import fixtures as FX
@@ -117,9 +117,9 @@ FROM (SELECT pair_id, {S.overlap_set('idea_unit')} AS ia, {S.overlap_set('segmen
                             "pairs"))
 def q_lexical_overlap(spark, sf_dir):
     n = FX.notes(spark, sf_dir).select("topic", "id", F.array(*[T.overlap_tokens(s) for s in FX.SEGMENTS]).alias("sets"))
-    i = broadcast_if_bounded(FX.ideas(spark, sf_dir).select("topic", "pos", T.overlap_tokens("idea_unit").alias("iset")))
+    i = FX.ideas(spark, sf_dir).select("topic", "pos", T.overlap_tokens("idea_unit").alias("iset"))
     seg = ((F.col("id") + F.col("pos")) % 4 + 1).cast("int")
-    p = n.join(i, "topic")
+    p = join_small(n, i, ["topic"], salt_from="id")
     return r6(p.select((F.col("id") * 100000 + F.col("pos")).alias("pair_id"),
                        T.overlap_of_sets(F.col("iset"), F.element_at("sets", seg)).alias("overlap")))
 

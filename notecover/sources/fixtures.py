@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notecover.functions import text as T
-from notecover.operators.joins import broadcast_if_bounded
+from notecover.operators.joins import join_small
 from notecover.sources.tables import spread, table
 
 SEGMENTS = ("segment1_notes", "segment2_notes", "segment3_notes", "segment4_notes")
@@ -44,10 +44,9 @@ def pairs(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFram
     n = notes(spark, sf_dir)
     if not with_text:
         n = n.select("experiment", "topic", "id")
-    i = broadcast_if_bounded(ideas(spark, sf_dir))
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"),
                                                 F.col("quality").alias("label"))
-    p = n.join(i, "topic").join(lab, "id", "left")
+    p = join_small(n, ideas(spark, sf_dir), ["topic"], salt_from="id").join(lab, "id", "left")
     seg = ((F.col("id") + F.col("pos")) % 4 + 1).cast("int")
     cols = [(F.col("id") * 100000 + F.col("pos")).alias("pair_id"), "experiment", "topic", "id",
             seg.alias("segment"), "idea_unit", "pos", "label"]
@@ -64,12 +63,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("lang").alias("experiment"), F.col("source").alias("topic"), F.col("doc_id").alias("id"),
         T.overlap_tokens("text").alias("note_set"))
-    i = broadcast_if_bounded(ideas(spark, sf_dir).select(
-        "topic", "pos", T.overlap_tokens("idea_unit").alias("idea_set")))
+    i = ideas(spark, sf_dir).select("topic", "pos", T.overlap_tokens("idea_unit").alias("idea_set"))
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"),
                                                 F.col("quality").alias("y"))
     seg = ((F.col("id") + F.col("pos")) % 4 + 1).cast("int")
-    p = d.join(lab, "id").join(i, "topic")
+    p = join_small(d.join(lab, "id"), i, ["topic"], salt_from="id")
     score = T.overlap_of_sets(F.col("idea_set"), F.col("note_set"))
     return p.select((F.col("id") * 100000 + F.col("pos")).alias("pair_id"), "experiment", "topic",
                     "id", seg.alias("segment"), F.col("y").cast("int").alias("y"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from notecover.functions import text as T
-from notecover.operators.joins import broadcast_if_bounded
+from notecover.operators.joins import join_small
 
 
 def note_sets(notes_text: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -25,8 +25,8 @@ def note_sets(notes_text: DataFrame, id_col: str = "id", text_col: str = "text")
 def score_pairs(pairs: DataFrame, notes: DataFrame, ideas: DataFrame, threshold: float = 0.2) -> DataFrame:
     """pairs (pair_id, id, topic, pos) -> (pair_id, score, prediction); works on a batch or a
     streaming ``pairs`` frame. ``ideas`` (topic, pos, idea_unit) is broadcast after a size check."""
-    idea_sets = broadcast_if_bounded(ideas.select("topic", "pos", T.overlap_tokens("idea_unit").alias("idea_set")))
-    j = pairs.join(notes, "id").join(idea_sets, ["topic", "pos"])
+    idea_sets = ideas.select("topic", "pos", T.overlap_tokens("idea_unit").alias("idea_set"))
+    j = join_small(pairs.join(notes, "id"), idea_sets, ["topic", "pos"], salt_from="pair_id")
     score = T.overlap_of_sets(F.col("idea_set"), F.col("note_set"))
     return j.select("pair_id", score.alias("score"), (score >= F.lit(float(threshold))).cast("int").alias("prediction"))
 

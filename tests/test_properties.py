@@ -124,3 +124,14 @@ def test_results_equal_under_shuffle_partitions(spark):
         results.append(sorted(tuple(r) for r in q(spark, SF_SMALL).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
+
+
+def test_salted_join_equals_plain_join(spark):
+    from notecover.operators.joins import join_small, salted_join
+    big = spark.range(2000).selectExpr("id", "concat('t', id % 3) AS topic")
+    small = spark.createDataFrame([("t0", 1), ("t0", 2), ("t1", 3)], "topic string, v int")
+    want = sorted(tuple(r) for r in big.join(small, "topic", "left").collect())
+    got = sorted(tuple(r) for r in salted_join(big, small, ["topic"], "left", buckets=5, salt_from="id").collect())
+    assert got == want
+    forced = join_small(big, small, ["topic"], "left", buckets=7, salt_from="id", max_rows=1)
+    assert sorted(tuple(r) for r in forced.collect()) == want
