@@ -23,12 +23,12 @@ def ratio(num, den) -> Column:
     return F.when(_c(den) > 0, _c(num) / _c(den)).otherwise(F.lit(0.0))
 
 
-def binary_counters(y="y", y_pred="prediction", positive: int = 1) -> list[Column]:
+def binary_counters(y="y", y_pred="prediction", positive: int = 1, prefix: str = "") -> list[Column]:
     """n, TP, FP, FN, TN for class ``positive``: positive = (value == positive), one-vs-rest."""
     t, p = _c(y) == positive, _c(y_pred) == positive
-    return [F.count(F.lit(1)).alias("n"),
-            F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
-            F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn")]
+    return [F.count(F.lit(1)).alias(prefix + "n"),
+            F.count_if(t & p).alias(prefix + "tp"), F.count_if(~t & p).alias(prefix + "fp"),
+            F.count_if(t & ~p).alias(prefix + "fn"), F.count_if(~t & ~p).alias(prefix + "tn")]
 
 
 def metric_columns(correct: Column | None = None) -> list[Column]:

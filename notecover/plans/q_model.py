@@ -302,32 +302,43 @@ def q_seed_summary(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- A-22 (threshold decision)
-@query("metric_record", W(f"""
-SELECT n_eval, {S.metric_cols('n_eval')}, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc,
-  round(balanced_accuracy, 6) AS balanced_accuracy, round(threshold, 6) AS threshold FROM (
-  SELECT count(*) AS n_eval, count(*) FILTER (WHERE y = 1 AND score >= t) AS tp, count(*) FILTER (WHERE y <> 1 AND score >= t) AS fp,
-    count(*) FILTER (WHERE y = 1 AND score < t) AS fn, count(*) FILTER (WHERE y <> 1 AND score < t) AS tn,
+def _record_sql(decision: str, pred: str) -> str:
+    return f"""SELECT '{decision}' AS decision, n_eval, {S.metric_cols('n_eval')}, round(roc_auc, 6) AS roc_auc,
+  round(pr_auc, 6) AS pr_auc, round(CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2 END, 6)
+  AS balanced_accuracy, round(threshold, 6) AS threshold FROM (
+  SELECT count(*) AS n_eval, count(*) FILTER (WHERE y = 1 AND {pred}) AS tp, count(*) FILTER (WHERE y <> 1 AND {pred}) AS fp,
+    count(*) FILTER (WHERE y = 1 AND NOT ({pred})) AS fn, count(*) FILTER (WHERE y <> 1 AND NOT ({pred})) AS tn,
     max(t) AS threshold,
     (SELECT CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (N - cum_neg + neg / 2)) / (max(P) * max(N)) END FROM c2) AS roc_auc,
     (SELECT CASE WHEN max(P) > 0 THEN sum(pos * (cum_pos / (cum_pos + cum_neg))) / max(P) END FROM c2) AS pr_auc
-  FROM scored, (SELECT threshold AS t FROM bt) tt) a,
-LATERAL (SELECT CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2 END AS balanced_accuracy) b""",
+  FROM scored, (SELECT threshold AS t FROM bt) tt) a"""
+
+
+@query("metric_record", W(_record_sql("model", "prediction = 1") + "\nUNION ALL\n" + _record_sql("threshold", "score >= t"),
                           "scored", extra=BEST_SC_CTES + ("c2 AS (" + S.cumulative("h") + ")",)))
 def q_metric_record(spark, sf_dir):
-    s = FX.scored(spark, sf_dir)
+    """A-22 with both decisions (B.6): the model's own labels ('model', the argmax analogue)
+    and the tuned threshold ('threshold'); ranking metrics are shared."""
+    s = FX.scored(spark, sf_dir).persist()
     t = float(C.best_threshold(s, "y", "score").first()["threshold"])
     d = s.withColumn("pred_t", SC.apply_threshold("score", t))
-    base = M.binary_metrics(d, "y", "pred_t").withColumnRenamed("n", "n_eval")
-    ba = M.balanced_accuracy(d, "y", "pred_t").select("balanced_accuracy")
-    rk = C.ranking_summary(s, "y", "score").select("roc_auc", F.col("average_precision").alias("pr_auc"))
-    # Each part is a one-row aggregate; the record is assembled from these driver-side scalars.
-    row = {**base.drop("tp", "fp", "fn", "tn").first().asDict(), **rk.first().asDict(),
-           **ba.first().asDict(), "threshold": t}
-    schema = ("n_eval long, accuracy double, precision double, recall double, f1 double, roc_auc double, "
-              "pr_auc double, balanced_accuracy double, threshold double")
-    names = [f.split()[0] for f in schema.split(", ")]
-    rec = spark.createDataFrame([tuple(row[n] for n in names)], schema)
-    return r6(rec)
+    rk = C.ranking_summary(s, "y", "score").first()
+    decisions = (("model", "prediction"), ("threshold", "pred_t"))
+    aggs = [c for name, pred in decisions for c in M.binary_counters("y", pred, prefix=f"{name}_")]
+    cnt = d.agg(*aggs).first().asDict()          # both decisions' counters in one pass
+    rows = []
+    for name, _ in decisions:
+        n, tp, fp, fn, tn = (cnt[f"{name}_{k}"] for k in ("n", "tp", "fp", "fn", "tn"))
+        acc = (tp + tn) / n if n else 0.0
+        prec = tp / (tp + fp) if tp + fp else 0.0
+        rec = tp / (tp + fn) if tp + fn else 0.0
+        f1 = 2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else 0.0
+        ba = (tp / (tp + fn) + tn / (tn + fp)) / 2 if (tp + fn) and (tn + fp) else None
+        rows.append((name, n, acc, prec, rec, f1, rk["roc_auc"], rk["average_precision"], ba, t))
+    s.unpersist()
+    schema = ("decision string, n_eval long, accuracy double, precision double, recall double, f1 double, "
+              "roc_auc double, pr_auc double, balanced_accuracy double, threshold double")
+    return r6(spark.createDataFrame(rows, schema))
 
 
 # ---------------------------------------------------------------- PF-17, PF-21, S-1 ... S-5
