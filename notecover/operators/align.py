@@ -10,21 +10,30 @@ from notecover.functions import text as T
 from notecover.operators.joins import join_small
 
 
-def idea_order(train: DataFrame, test: DataFrame, order_col: str = "pair_id") -> DataFrame:
+def idea_order(train: DataFrame, test: DataFrame | None = None, order_col: str = "pair_id",
+               source_col: str | None = None) -> DataFrame:
     """W-1, U-1, A-17: per topic, ideas ranked by first appearance in train then test.
 
-    (topic, idea_unit, j, k): j is 0-based, k the number of distinct ideas of the topic.
-    Ideas are first reduced to one row per (topic, idea) by an aggregate, so the window
-    only sees distinct ideas (bounded per topic)."""
+    (topic, idea_unit, j, k, n_idea_tokens): j is 0-based, k the number of distinct ideas of
+    the topic, n_idea_tokens the idea's F-14 token count (computed once per idea). Give
+    either two frames, or one frame and ``source_col`` (0 = train row, 1 = test row).
+    Rows are reduced to one row per (topic, idea) by a hash aggregate (first position in
+    train, first position in test), so the window only sees distinct ideas."""
     cols = ["topic", "idea_unit"]
-    u = (train.select(*cols, F.lit(0).alias("_src"), F.col(order_col).alias("_pos"))
-         .unionByName(test.select(*cols, F.lit(1).alias("_src"), F.col(order_col).alias("_pos"))))
+    if source_col is None:
+        u = train.select(*cols, F.lit(0).alias("_src"), F.col(order_col).alias("_pos"))
+        if test is not None:
+            u = u.unionByName(test.select(*cols, F.lit(1).alias("_src"), F.col(order_col).alias("_pos")))
+    else:
+        u = train.select(*cols, F.col(source_col).alias("_src"), F.col(order_col).alias("_pos"))
     u = u.filter(F.col("topic").isNotNull() & F.col("idea_unit").isNotNull()) \
         .withColumn("topic", T.py_strip(F.col("topic")))
-    first = u.groupBy(*cols).agg(F.min(F.struct("_src", "_pos")).alias("_first"))
-    w = Window.partitionBy("topic").orderBy("_first")
+    first = u.groupBy(*cols).agg(F.min(F.when(F.col("_src") == 0, F.col("_pos"))).alias("_f0"),
+                                 F.min(F.when(F.col("_src") != 0, F.col("_pos"))).alias("_f1"))
+    w = Window.partitionBy("topic").orderBy(F.col("_f0").asc_nulls_last(), F.col("_f1").asc_nulls_last())
     return first.select("topic", "idea_unit", (F.row_number().over(w) - 1).cast("int").alias("j"),
-                        F.count(F.lit(1)).over(Window.partitionBy("topic")).cast("int").alias("k"))
+                        F.count(F.lit(1)).over(Window.partitionBy("topic")).cast("int").alias("k"),
+                        F.size(T.model_tokens("idea_unit")).alias("n_idea_tokens"))
 
 
 def idea_position(pairs: DataFrame, order: DataFrame) -> DataFrame:
@@ -63,15 +72,18 @@ def span_bounds(alpha: Column, beta: Column, n_tokens: Column, budget: Column) -
 
 
 def aligned_span(df: DataFrame, notes_col: str = "full_notes", idea_col: str = "idea_unit",
-                 margin: float = 0.1, max_length: int = 256, tokens_col: str | None = None) -> DataFrame:
+                 margin: float = 0.1, max_length: int = 256, tokens_col: str | None = None,
+                 idea_tokens_col: str | None = None) -> DataFrame:
     """F-13 + F-14: the idea-specific chunk of the full notes as text (tokens joined by one
     space; no notes or no tokens -> ''). Adds note_text, span_start, span_end, span_len.
 
     Pass ``tokens_col`` when the notes were tokenised before the pair fan-out (one
-    tokenisation per note instead of one per pair)."""
+    tokenisation per note instead of one per pair), and ``idea_tokens_col`` when the idea's
+    token count came with the idea order (one count per idea)."""
     toks = F.coalesce(F.col(tokens_col), F.array().cast("array<string>")) if tokens_col else T.model_tokens(notes_col)
     out = df.withColumn("_toks", toks).withColumn("_L", F.size("_toks"))
-    out = out.withColumn("_budget", token_budget(F.size(T.model_tokens(idea_col)), max_length))
+    n_idea = F.col(idea_tokens_col) if idea_tokens_col else F.size(T.model_tokens(idea_col))
+    out = out.withColumn("_budget", token_budget(n_idea, max_length))
     alpha, beta = align_interval(margin=margin)
     start, end, taken = span_bounds(alpha, beta, F.col("_L"), F.col("_budget"))
     out = out.withColumn("span_start", start).withColumn("span_end", end).withColumn("span_len", taken)

@@ -53,7 +53,7 @@ FROM pairs p LEFT JOIN o2 o ON o.topic = p.topic AND o.idea_unit = p.idea_unit""
 def q_align_interval(spark, sf_dir):
     p = FX.pairs(spark, sf_dir)
     picked = SP.oneshot_split(p.filter(F.col("label").isNotNull()), 42, "pair_id").filter(F.col("split") == "train")
-    order = AL.idea_order(picked, picked.filter(F.lit(False)), "pair_id")
+    order = AL.idea_order(picked, None, "pair_id").drop("n_idea_tokens")
     a, b = AL.align_interval(margin=0.1)
     return r6(AL.idea_position(p, order).select("pair_id", a.alias("alpha"), b.alias("beta")))
 
@@ -89,13 +89,15 @@ SPAN_CTES = ORDER_CTES + (
 
 
 def _spans(spark, sf_dir, margin=0.1, max_length=256):
-    p = FX.pairs(spark, sf_dir)
-    notes = FX.notes(spark, sf_dir)
-    keys = ["experiment", "topic", "id"]
-    nt = PR.keep_first(notes, keys, ["id"]).select(*keys, PR.full_text().alias("full_notes"))
-    nt = nt.select(*keys, T.model_tokens("full_notes").alias("_note_toks"))      # tokenise once per note
-    j = AL.idea_position(p.join(nt, keys, "left"), _order(spark, sf_dir))
-    return AL.aligned_span(j, tokens_col="_note_toks", margin=margin, max_length=max_length)
+    # Pairs are notes x ideas here, so each note's token array is computed once and rides
+    # along the broadcast fan-out (no shuffle of token arrays). For an external pair table
+    # the same spans come from full_notes (J-3, a keyed equi-join) + aligned_span.
+    def carry(n):
+        return n.withColumn("_note_toks", T.model_tokens(PR.full_text()))
+    p = FX.pairs(spark, sf_dir, carry=carry)
+    j = AL.idea_position(p, _order(spark, sf_dir))
+    return AL.aligned_span(j, tokens_col="_note_toks", margin=margin, max_length=max_length,
+                           idea_tokens_col="n_idea_tokens")
 
 
 @query("aligned_span", W("SELECT pair_id, span_start, span_end, span_len, note_text FROM sp", "pairs",

@@ -185,13 +185,14 @@ ORDER_CTES = (
 
 
 def _order(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir)
-    return AL.idea_order(p.filter(F.col("label").isNotNull()), p.filter(F.col("label").isNull()), "pair_id")
+    # train rows = labelled pairs, test rows = unlabelled pairs; one pass over the pairs
+    p = FX.pairs(spark, sf_dir).withColumn("_src", F.col("label").isNull().cast("int"))
+    return AL.idea_order(p, order_col="pair_id", source_col="_src")
 
 
 @query("idea_order", W("SELECT topic, idea_unit, j, k FROM o", "pairs", extra=ORDER_CTES))
 def q_idea_order(spark, sf_dir):
-    return _order(spark, sf_dir)
+    return _order(spark, sf_dir).drop("n_idea_tokens")
 
 
 # ---------------------------------------------------------------- J-4
@@ -200,7 +201,7 @@ SELECT p.pair_id, o.j, o.k FROM pairs p LEFT JOIN o ON o.topic = p.topic AND o.i
                           "pairs", extra=ORDER_CTES))
 def q_idea_position(spark, sf_dir):
     p = FX.pairs(spark, sf_dir)
-    return AL.idea_position(p, _order(spark, sf_dir)).select("pair_id", "j", "k")
+    return AL.idea_position(p, _order(spark, sf_dir).drop("n_idea_tokens")).select("pair_id", "j", "k")
 
 
 # ---------------------------------------------------------------- W-2

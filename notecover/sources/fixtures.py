@@ -35,15 +35,21 @@ def ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text").alias("idea_unit"), F.col("item_id").alias("pos"))
 
 
-def pairs(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, with_text: bool = False, carry=None) -> DataFrame:
     """J-7: every idea of a topic x every note of that topic, with the label of the note.
 
     The idea table is the small side (ideas per topic are bounded), so the topic join is a
     broadcast hash join after a size check; the fan-out per note is the topic's idea count.
+    ``carry`` maps the notes frame to extra per-note columns (e.g. token arrays computed
+    once per note) that ride along the fan-out instead of being joined back later.
     """
     n = notes(spark, sf_dir)
+    extra = []
+    if carry is not None:
+        n = carry(n)
+        extra = [c for c in n.columns if c not in ("experiment", "topic", "id") + SEGMENTS]
     if not with_text:
-        n = n.select("experiment", "topic", "id")
+        n = n.select("experiment", "topic", "id", *extra)
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"),
                                                 F.col("quality").alias("label"))
     p = join_small(n, ideas(spark, sf_dir), ["topic"], salt_from="id").join(lab, "id", "left")
@@ -52,7 +58,7 @@ def pairs(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFram
             seg.alias("segment"), "idea_unit", "pos", "label"]
     if with_text:
         cols += [F.coalesce(F.element_at(F.array(*SEGMENTS), seg), F.lit("")).alias("segment_text")]
-    return p.select(*cols)
+    return p.select(*cols, *extra)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

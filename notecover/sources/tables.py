@@ -21,7 +21,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     per-row text work after it would run on those few tasks. Below the default
     parallelism the rows are hash-partitioned by ``key`` (deterministic on retry); a
     scan that is already wide (the normal case on a cluster) is left alone, no shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(want, key)
+    return df.repartition(cores, key)
