@@ -21,7 +21,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     per-row text work after it would run on those few tasks. Below the default
     parallelism the rows are hash-partitioned by ``key`` (deterministic on retry); a
     scan that is already wide (the normal case on a cluster) is left alone, no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < cores
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect): leave the scan as is
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, key) if narrow else df
