@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID = tuple(i / 100.0 for i in range(1, 100))   # 0.01 ... 0.99, built from integers
@@ -39,10 +39,15 @@ def histogram(df: DataFrame, y="y", score="score") -> DataFrame:
     return h.filter(F.col("_ok") == 1).drop("_ok")
 
 
-def _bucket_of(key: Column, bounds: list[float]) -> Column:
+def _with_bucket(df: DataFrame, key: str, bounds: list[float], out: str) -> DataFrame:
+    """Range bucket of ``key`` by sorted ``bounds`` (binary search in the JVM via Bucketizer)."""
     if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= key))
+        return df.withColumn(out, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [float("-inf")] + bounds + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol=key, outputCol=out, handleInvalid="keep")
+    return b.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
 def running_totals(h: DataFrame, key: str, cols: Sequence[str], descending: bool = False,
@@ -56,7 +61,7 @@ def running_totals(h: DataFrame, key: str, cols: Sequence[str], descending: bool
     per bucket. Deterministic on recomputation because the bucket bounds are constants.
     """
     spark = h.sparkSession
-    nb = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nb = buckets or min(4096, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     okey = (-F.col(key)) if descending else F.col(key)
     hk = h.withColumn("_ok", okey.cast("double"))
     if nb > 1:
@@ -65,7 +70,7 @@ def running_totals(h: DataFrame, key: str, cols: Sequence[str], descending: bool
         bounds = sorted(set(x for x in hk.approxQuantile("_ok", probs, 0.001) if x is not None))
     else:
         bounds = []
-    hb = hk.withColumn("_b", _bucket_of(F.col("_ok"), bounds))
+    hb = _with_bucket(hk, "_ok", bounds, "_b")
     totals = hb.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(F.lit(0))
