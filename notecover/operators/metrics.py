@@ -140,13 +140,18 @@ def metrics_by_group(df: DataFrame, y="y", y_pred="prediction",
 
 def metrics_with_overall(df: DataFrame, y="y", y_pred="prediction",
                          group_cols: Sequence[str] = ("experiment", "topic")) -> DataFrame:
-    """Overall and per-group metrics in one pass (GROUPING SETS ((), (groups)))."""
+    """Overall and per-group metrics in one pass: GROUPING SETS ((), (groups)).
+
+    ``is_overall`` marks the overall row (its group columns are null); null group keys
+    are skipped as in :func:`metrics_by_group`."""
     gcols = list(group_cols)
-    agg = df.cube(*gcols).agg(*binary_counters(y, y_pred), F.avg(_c(y).cast("double")).alias("pos_prevalence"),
-                              F.grouping_id().alias("gid"))
-    full = (1 << len(gcols)) - 1
-    agg = agg.filter((F.col("gid") == 0) | (F.col("gid") == full))
-    return agg.select(*gcols, (F.col("gid") == full).alias("is_overall"), "n", *metric_columns(), "pos_prevalence")
+    keep = df
+    for g in gcols:
+        keep = keep.filter(F.col(g).isNotNull())
+    agg = keep.groupingSets([[], gcols], *gcols).agg(
+        *binary_counters(y, y_pred), F.avg(_c(y).cast("double")).alias("pos_prevalence"),
+        F.grouping_id().alias("_gid"))
+    return agg.select(*gcols, (F.col("_gid") != 0).alias("is_overall"), "n", *metric_columns(), "pos_prevalence")
 
 
 def class_balance(df: DataFrame, y="label") -> DataFrame:

@@ -135,3 +135,16 @@ def test_salted_join_equals_plain_join(spark):
     assert got == want
     forced = join_small(big, small, ["topic"], "left", buckets=7, salt_from="id", max_rows=1)
     assert sorted(tuple(r) for r in forced.collect()) == want
+
+
+def test_metrics_with_overall_equals_separate(spark):
+    from notecover.operators import metrics as M
+    from notecover.sources import fixtures as FX
+    s = FX.scored(spark, SF_SMALL)
+    both = M.metrics_with_overall(s)
+    per = sorted(tuple(r) for r in M.metrics_by_group(s).collect())
+    got = sorted(tuple(r[:2]) + tuple(r[3:]) for r in both.filter("NOT is_overall").collect())
+    assert got == per
+    o = both.filter("is_overall").first()
+    m = M.binary_metrics(s).first()
+    assert o["n"] == m["n"] and o["f1"] == m["f1"]
