@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "notecover") -> SparkSession:
     """Session for tests and the bench. On a cluster, use the session you are given."""
-    return (
+    b = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -22,9 +22,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("NOTECOVER_DRIVER_MEM", "16g"))
-        .config("spark.sql.ansi.enabled", "false")
-        .getOrCreate()
     )
+    if "NOTECOVER_ANSI" in os.environ:        # default: Spark's own (ANSI on in Spark 4)
+        b = b.config("spark.sql.ansi.enabled", os.environ["NOTECOVER_ANSI"])
+    return b.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
