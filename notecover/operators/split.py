@@ -44,43 +44,60 @@ def oneshot_split(df: DataFrame, seed: int = 42, id_col: str = "pair_id",
 
 
 def random_split(df: DataFrame, seed: int = 42, val_frac: float = 0.2, id_col: str = "pair_id",
-                 bucket_hex: int = 4, max_bucket_rows: int = 1_000_000) -> DataFrame:
+                 bucket_hex: int = 4, max_bucket_rows: int = 1_000_000, cache_keys: bool = True) -> DataFrame:
     """W-5: exactly floor(val_frac * n) rows, the first in (md5(seed-id), id) order, are 'val'.
 
-    No global sort. The (id, hash) keys are cached once; rows are counted per hash prefix
+    No global sort. Rows are counted per hash prefix
     (16**bucket_hex buckets, a small table whose running count gives n and the bucket
     holding the cut); only that bucket is ranked to find the cut key. The split is then a
     pure expression of (hash, id): rows at or before the cut key are 'val', so the input is
     not joined back. The prefix grows while the cut bucket holds more than
     ``max_bucket_rows`` rows. ``id_col`` must identify rows uniquely.
+
+    The counting passes read only (id, hash): with ``cache_keys`` these ~40-byte keys are
+    cached once (worth it when ``df`` is derived by joins); without it each pass recomputes
+    the column-pruned lineage of the id (cheaper when ``df`` is a plain scan).
     """
     h = hash_order(seed, id_col)
-    keys = df.select(F.col(id_col), h.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
-    width, prefix, before, k = bucket_hex, "", 0, None
+    keys = df.select(F.col(id_col), h.alias("_h"))
+    if cache_keys:
+        keys = keys.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        while True:
-            scope = keys.filter(F.col("_h").startswith(prefix)) if prefix else keys
-            counts = scope.groupBy(F.substring("_h", 1, width).alias("_b")).agg(F.count(F.lit(1)).alias("c"))
-            w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            summary = counts.withColumn("cum", F.sum("c").over(w) + F.lit(before))
-            if k is None:                       # first pass: n and k from the same summary
-                n = summary.agg(F.max("cum")).first()[0] or 0
-                k = int(val_frac * n // 1)
-                if k <= 0 or k >= n:
-                    label = "val" if (k >= n and n > 0) else "train"
-                    return df.withColumn("split", F.lit(label))
-            cut = summary.filter(F.col("cum") >= k).orderBy("_b").limit(1).first()
-            bucket, rows_in = cut["_b"], cut["c"]
-            before = cut["cum"] - rows_in
-            if rows_in <= max_bucket_rows or width >= 32:
-                break
-            prefix, width = bucket, min(32, width + 2)
-        need = k - before
-        inside = keys.filter(F.col("_h").startswith(bucket))
-        key = inside.withColumn("_rn", F.row_number().over(Window.orderBy("_h", id_col))) \
-            .filter(F.col("_rn") == need).first()
+        return _cut_split(df, keys, h, val_frac, id_col, bucket_hex, max_bucket_rows)
     finally:
-        keys.unpersist()
+        if cache_keys:
+            keys.unpersist()
+
+
+def _cut_split(df, keys, h, val_frac, id_col, bucket_hex, max_bucket_rows):
+    width, prefix, before, k = bucket_hex, "", 0, None
+    while True:
+        scope = keys.filter(F.col("_h").startswith(prefix)) if prefix else keys
+        counts = scope.groupBy(F.substring("_h", 1, width).alias("_b")).agg(F.count(F.lit(1)).alias("c"))
+        w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summary = counts.withColumn("cum", F.sum("c").over(w) + F.lit(before))
+        if k is None:
+            # first pass: n and k = floor(val_frac * n) come with the cut row (one job)
+            tot = F.sum("c").over(Window.partitionBy(F.lit(0)))
+            kk = F.floor(F.lit(float(val_frac)) * tot).cast("long")
+            cut = (summary.withColumn("_n", tot).withColumn("_k", kk)
+                   .filter(F.col("cum") >= F.greatest(F.col("_k"), F.lit(1))).orderBy("_b").limit(1).first())
+            n = 0 if cut is None else cut["_n"]
+            k = 0 if cut is None else cut["_k"]
+            if k <= 0 or k >= n:
+                label = "val" if (k >= n and n > 0) else "train"
+                return df.withColumn("split", F.lit(label))
+        else:
+            cut = summary.filter(F.col("cum") >= k).orderBy("_b").limit(1).first()
+        bucket, rows_in = cut["_b"], cut["c"]
+        before = cut["cum"] - rows_in
+        if rows_in <= max_bucket_rows or width >= 32:
+            break
+        prefix, width = bucket, min(32, width + 2)
+    need = k - before
+    inside = keys.filter(F.col("_h").startswith(bucket))
+    key = inside.withColumn("_rn", F.row_number().over(Window.orderBy("_h", id_col))) \
+        .filter(F.col("_rn") == need).first()
     hk, ik = key["_h"], key[id_col]
     is_val = (h < F.lit(hk)) | ((h == F.lit(hk)) & (F.col(id_col) <= F.lit(ik)))
     return df.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("train")))

@@ -79,17 +79,13 @@ ALIGNED_CTES = SPAN_CTES + (
 @query("aligned_chain", W(record_sql("aval", "v"), "pairs", extra=ALIGNED_CTES))
 def q_aligned_chain(spark, sf_dir):
     spans = _spans(spark, sf_dir)                                       # J-3, W-1, J-4, F-10 ... F-14
-    # persisted: the split reads the spans twice (keys, then rows); bounded text per pair
-    labelled = spans.filter(F.col("label").isNotNull()) \
-        .select("pair_id", "label", "idea_unit", "note_text").persist()
+    labelled = spans.filter(F.col("label").isNotNull()).select("pair_id", "label", "idea_unit", "note_text")
     val = SP.random_split(labelled, 42, 0.2, "pair_id").filter(F.col("split") == "val")    # W-5
     scored = SC.batch_score(val.select("pair_id", "label", "idea_unit", "note_text"),      # X-3
                             SC.lexical_scorer_factory("idea_unit", "note_text"), "yes_logit double, no_logit double",
                             keep=("pair_id", "label"))
     s = scored.select(F.col("label").alias("y"), F.col("yes_logit").alias("score"))
-    rec = metric_record(s)                                              # A-18, A-22 (built from driver scalars)
-    labelled.unpersist()
-    return r6(rec)
+    return r6(metric_record(s))                                         # A-18, A-22
 
 
 # ---------------------------------------------------------------- P-4 error analysis of a prediction file
