@@ -59,3 +59,25 @@ def test_streaming_matches_batch(spark, scratch):
     want = ST.score_pairs(pairs, notes, ideas)
     assert got.count() == want.count() == pairs.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_streaming_picks_up_new_files_once(spark, scratch):
+    pairs = FX.pairs(spark, SF_SMALL).select("pair_id", "id", "topic", "pos")
+    src, sink, ckpt = (os.path.join(scratch, n) for n in ("in", "out", "ck"))
+    first, second = pairs.filter("pair_id % 2 = 0"), pairs.filter("pair_id % 2 = 1")
+    first.write.parquet(os.path.join(src, "b1"))
+    docs = FX.table(spark, SF_SMALL, "documents").select(F.col("doc_id").alias("id"), "text")
+    notes, ideas = ST.note_sets(docs), FX.ideas(spark, SF_SMALL)
+    ST.start_scoring(spark, src + "/*", notes, ideas, sink, ckpt).awaitTermination(300)
+    n1 = spark.read.parquet(sink).count()
+    second.write.parquet(os.path.join(src, "b2"))
+    ST.start_scoring(spark, src + "/*", notes, ideas, sink, ckpt).awaitTermination(300)
+    out = spark.read.parquet(sink)
+    assert n1 == first.count()
+    assert out.count() == pairs.count() and out.select("pair_id").distinct().count() == pairs.count()
+
+
+def test_checkpoint_dir_from_session(spark, scratch):
+    from notecover.session import checkpoint_dir
+    d = checkpoint_dir(spark)
+    assert d and spark.sparkContext.getCheckpointDir() is not None
