@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notecover.functions import lcs
@@ -17,24 +17,44 @@ SHIPPED_WEIGHTS = {"fuzzy": 1.0}
 ALT_WEIGHTS = {"jaccard": 0.2, "semantic": 0.15, "cosine": 0.15, "number": 0.05}
 
 
-def cosine_tf(df: DataFrame, id_col: str, a: str, b: str, out: str = "cosine") -> DataFrame:
-    """F-3: cosine of the term counts of two texts (vocabulary fitted on the pair).
+def cosine_tf_expr(a, b) -> Column:
+    """F-3 as one column expression: cosine of the term counts of two texts.
 
-    Relational form, linear in the number of tokens: explode both token lists, count per
-    (id, token, side) with a partial aggregate, fold the counts per id. Texts without a
-    2-character token score 0. Returns ``df`` with the ``out`` column added.
-    """
-    ta = df.select(F.col(id_col).alias("_id"), F.explode(T.tf_tokens(a)).alias("tok"), F.lit(1).alias("ia"),
-                   F.lit(0).alias("ib"))
-    tb = df.select(F.col(id_col).alias("_id"), F.explode(T.tf_tokens(b)).alias("tok"), F.lit(0).alias("ia"),
-                   F.lit(1).alias("ib"))
-    counts = ta.unionByName(tb).groupBy("_id", "tok").agg(F.sum("ia").alias("ca"), F.sum("ib").alias("cb"))
-    folded = counts.groupBy("_id").agg(
-        F.sum(F.col("ca") * F.col("cb")).alias("dot"), F.sum(F.col("ca") * F.col("ca")).alias("na"),
-        F.sum(F.col("cb") * F.col("cb")).alias("nb"))
-    cos = F.when(F.col("na") * F.col("nb") > 0, F.col("dot") / F.sqrt(F.col("na") * F.col("nb")))
-    res = folded.select(F.col("_id").alias(id_col), cos.alias(out))
-    return df.join(res, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+    Both token lists are tagged by side, concatenated and sorted, then folded once with a
+    fixed-size accumulator (previous token, counts of the current token on each side,
+    running dot product and squared norms). Linear after the sort, per row, no shuffle.
+    Texts without a 2-character token score 0."""
+    tag_a = F.transform(T.tf_tokens(a), lambda t: F.struct(t.alias("t"), F.lit(1).alias("x"), F.lit(0).alias("y")))
+    tag_b = F.transform(T.tf_tokens(b), lambda t: F.struct(t.alias("t"), F.lit(0).alias("x"), F.lit(1).alias("y")))
+    srt = F.array_sort(F.concat(tag_a, tag_b))
+    zero = F.lit(0).cast("long")
+    init = F.struct(F.lit(None).cast("string").alias("p"), zero.alias("ca"), zero.alias("cb"),
+                    zero.alias("dot"), zero.alias("na"), zero.alias("nb"))
+
+    def step(acc, e):
+        same = F.coalesce(acc["p"] == e["t"], F.lit(False))
+        return F.struct(
+            e["t"].alias("p"),
+            F.when(same, acc["ca"] + e["x"]).otherwise(e["x"].cast("long")).alias("ca"),
+            F.when(same, acc["cb"] + e["y"]).otherwise(e["y"].cast("long")).alias("cb"),
+            F.when(same, acc["dot"]).otherwise(acc["dot"] + acc["ca"] * acc["cb"]).alias("dot"),
+            F.when(same, acc["na"]).otherwise(acc["na"] + acc["ca"] * acc["ca"]).alias("na"),
+            F.when(same, acc["nb"]).otherwise(acc["nb"] + acc["cb"] * acc["cb"]).alias("nb"))
+
+    def finish(acc):
+        dot = acc["dot"] + acc["ca"] * acc["cb"]
+        na = acc["na"] + acc["ca"] * acc["ca"]
+        nb = acc["nb"] + acc["cb"] * acc["cb"]
+        return F.when(na * nb > 0, dot / F.sqrt(na * nb)).otherwise(F.lit(0.0))
+
+    return F.aggregate(srt, init, step, finish)
+
+
+def cosine_tf(df: DataFrame, id_col: str, a: str, b: str, out: str = "cosine") -> DataFrame:
+    """F-3 on a table: adds ``out`` (see :func:`cosine_tf_expr`); ``id_col`` is kept for
+    API stability (the computation is per row and needs no key)."""
+    del id_col
+    return df.withColumn(out, cosine_tf_expr(a, b))
 
 
 def clean_text(c, lemmas: DataFrame | None = None):
