@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notecover.functions import text as T
 from notecover.operators import clean as CL
 from notecover.operators import curves as C
 from notecover.operators import metrics as M
