@@ -105,7 +105,7 @@ def lexical_overlap(idea, note) -> Column:
 
 def token_sort(c) -> Column:
     """Whitespace tokens sorted by code point and joined by one space."""
-    return F.array_join(F.array_sort(ws_tokens(c)), " ")
+    return F.array_join(F.sort_array(ws_tokens(c)), " ")
 
 
 def levenshtein_ratio(a, b) -> Column:

@@ -26,7 +26,7 @@ def cosine_tf_expr(a, b) -> Column:
     Texts without a 2-character token score 0."""
     tag_a = F.transform(T.tf_tokens(a), lambda t: F.struct(t.alias("t"), F.lit(1).alias("x"), F.lit(0).alias("y")))
     tag_b = F.transform(T.tf_tokens(b), lambda t: F.struct(t.alias("t"), F.lit(0).alias("x"), F.lit(1).alias("y")))
-    srt = F.array_sort(F.concat(tag_a, tag_b))
+    srt = F.sort_array(F.concat(tag_a, tag_b))
     zero = F.lit(0).cast("long")
     init = F.struct(F.lit(None).cast("string").alias("p"), zero.alias("ca"), zero.alias("cb"),
                     zero.alias("dot"), zero.alias("na"), zero.alias("nb"))

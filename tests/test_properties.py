@@ -115,14 +115,18 @@ def test_span_never_exceeds_budget(spark):
         assert all(r["note_text"] == "" or r["w"] == r["span_len"] for r in rows)
 
 
-def test_results_equal_under_shuffle_partitions(spark):
+@pytest.mark.parametrize("name", ["metrics_by_topic", "roc_auc", "best_threshold", "pr_curve", "random_split",
+                                  "idea_order", "one_shot_example", "aligned_span"])
+def test_results_equal_under_shuffle_partitions(spark, name):
     import __spark_entry__ as E
-    q = E.queries()["metrics_by_topic"]
+    q = E.queries()[name]
     results = []
-    for n in (1, 4, 64):
-        spark.conf.set("spark.sql.shuffle.partitions", str(n))
-        results.append(sorted(tuple(r) for r in q(spark, SF_SMALL).collect()))
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        for n in (1, 4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            results.append(sorted((tuple(r) for r in q(spark, SF_SMALL).collect()), key=repr))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
 
 
