@@ -9,6 +9,7 @@ from notecover.operators import curves as C
 from notecover.operators import metrics as M
 from notecover.operators import pairs as PR
 from notecover.operators import prompt as PM
+from notecover.operators import record as R
 from notecover.operators import score as SC
 from notecover.operators import split as SP
 from notecover.plans import sqlparts as S
@@ -38,7 +39,7 @@ def best_ctes(src: str, px: str) -> tuple[str, ...]:
 
 def record_sql(src: str, px: str) -> str:
     """A-22 record of table ``src`` (y, score) at the threshold of ``{px}bt``."""
-    return f"""SELECT n_eval, {S.metric_cols('n_eval')}, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc,
+    return f"""SELECT 'threshold' AS decision, n_eval, {S.metric_cols('n_eval')}, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc,
   round(CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2 END, 6) AS balanced_accuracy,
   round(threshold, 6) AS threshold FROM (
   SELECT count(*) AS n_eval, count(*) FILTER (WHERE y = 1 AND score >= t) AS tp, count(*) FILTER (WHERE y <> 1 AND score >= t) AS fp,
@@ -48,21 +49,8 @@ def record_sql(src: str, px: str) -> str:
   FROM {src}, (SELECT threshold AS t FROM {px}bt) tt) a"""
 
 
-def metric_record(df, y="y", score="score"):
-    """A-22 at the best-F1 threshold of ``df``: one row assembled from one-row aggregates."""
-    spark = df.sparkSession
-    df = df.persist()            # several one-row aggregates read it; recomputable from lineage
-    t = float(C.best_threshold(df, y, score).first()["threshold"])
-    d = df.withColumn("_pt", SC.apply_threshold(score, t))
-    base = M.binary_metrics(d, y, "_pt").first().asDict()
-    ba = M.balanced_accuracy(d, y, "_pt").first()["balanced_accuracy"]
-    rk = C.ranking_summary(df, y, score).first()
-    auc, ap = rk["roc_auc"], rk["average_precision"]
-    row = (base["n"], base["accuracy"], base["precision"], base["recall"], base["f1"], auc, ap, ba, t)
-    df.unpersist()
-    schema = ("n_eval long, accuracy double, precision double, recall double, f1 double, roc_auc double, "
-              "pr_auc double, balanced_accuracy double, threshold double")
-    return spark.createDataFrame([row], schema)
+def metric_record(df, y="y", score="score", model_pred=None):
+    return R.metric_record(df, y, score, model_pred)
 
 
 # ---------------------------------------------------------------- P-3 aligned chain with the lexical scorer
@@ -196,7 +184,8 @@ def q_train_pair_classifier(spark, sf_dir):
     f = cut_lineage(_features(spark, sf_dir))        # reliable checkpoint: the fits read it many times
     fitted = SC.train_pair_classifier(f.filter(F.col("split") == "train"), "label", reg_param=0.01)
     pred = SC.predict_pairs(f.filter(F.col("split") == "val"), fitted)
-    out = metric_record(pred.select(F.col("label").alias("y"), F.col("prob_1").alias("score")))
+    out = metric_record(pred.select(F.col("label").alias("y"), F.col("prob_1").alias("score"), "pred_argmax"),
+                        model_pred="pred_argmax")            # both decisions: argmax and tuned threshold
     return r6(out)
 
 

@@ -321,26 +321,8 @@ def _record_sql(decision: str, pred: str) -> str:
 def q_metric_record(spark, sf_dir):
     """A-22 with both decisions (B.6): the model's own labels ('model', the argmax analogue)
     and the tuned threshold ('threshold'); ranking metrics are shared."""
-    s = FX.scored(spark, sf_dir).persist()
-    t = float(C.best_threshold(s, "y", "score").first()["threshold"])
-    d = s.withColumn("pred_t", SC.apply_threshold("score", t))
-    rk = C.ranking_summary(s, "y", "score").first()
-    decisions = (("model", "prediction"), ("threshold", "pred_t"))
-    aggs = [c for name, pred in decisions for c in M.binary_counters("y", pred, prefix=f"{name}_")]
-    cnt = d.agg(*aggs).first().asDict()          # both decisions' counters in one pass
-    rows = []
-    for name, _ in decisions:
-        n, tp, fp, fn, tn = (cnt[f"{name}_{k}"] for k in ("n", "tp", "fp", "fn", "tn"))
-        acc = (tp + tn) / n if n else 0.0
-        prec = tp / (tp + fp) if tp + fp else 0.0
-        rec = tp / (tp + fn) if tp + fn else 0.0
-        f1 = 2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else 0.0
-        ba = (tp / (tp + fn) + tn / (tn + fp)) / 2 if (tp + fn) and (tn + fp) else None
-        rows.append((name, n, acc, prec, rec, f1, rk["roc_auc"], rk["average_precision"], ba, t))
-    s.unpersist()
-    schema = ("decision string, n_eval long, accuracy double, precision double, recall double, f1 double, "
-              "roc_auc double, pr_auc double, balanced_accuracy double, threshold double")
-    return r6(spark.createDataFrame(rows, schema))
+    from notecover.operators import record as R
+    return r6(R.metric_record(FX.scored(spark, sf_dir), "y", "score", model_pred="prediction"))
 
 
 # ---------------------------------------------------------------- PF-17, PF-21, S-1 ... S-5

@@ -8,6 +8,7 @@ from conftest import SF_SMALL
 def test_train_pair_classifier(spark):
     r = E.queries()["train_pair_classifier"](spark, SF_SMALL).first()
     assert r["n_eval"] > 0 and 0.0 <= r["accuracy"] <= 1.0
+    assert sorted(x["decision"] for x in E.queries()["train_pair_classifier"](spark, SF_SMALL).collect()) == ["model", "threshold"]
     assert r["roc_auc"] is None or 0.0 <= r["roc_auc"] <= 1.0
 
 
