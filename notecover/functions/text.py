@@ -81,9 +81,12 @@ def jaccard(a, b) -> Column:
 
 
 def jaccard_of_sets(ta: Column, tb: Column) -> Column:
+    """|A ∩ B| / |A ∪ B| with |A ∪ B| = |A| + |B| - |A ∩ B|; 0 when a set is empty.
+
+    Written without a CASE so that each token array is evaluated once (common
+    subexpressions are shared only outside conditional branches)."""
     inter = F.size(F.array_intersect(ta, tb))
-    union = F.size(F.array_union(ta, tb))
-    return F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0)).otherwise(inter / union)
+    return F.coalesce(F.try_divide(inter, F.size(ta) + F.size(tb) - inter), F.lit(0.0))
 
 
 def overlap_tokens(c) -> Column:
@@ -92,10 +95,9 @@ def overlap_tokens(c) -> Column:
 
 
 def overlap_of_sets(idea_set: Column, note_set: Column) -> Column:
-    """|idea ∩ note| / |idea| on distinct token arrays. The hash set is built over the
-    (small) idea set and the note set is streamed through it."""
-    n = F.size(idea_set)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(note_set, idea_set)) / n)
+    """|idea ∩ note| / |idea| on distinct token arrays; 0 for an empty idea. The hash set is
+    built over the (small) idea set and the note set is streamed through it."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(note_set, idea_set)), F.size(idea_set)), F.lit(0.0))
 
 
 def lexical_overlap(idea, note) -> Column:
@@ -112,7 +114,7 @@ def levenshtein_ratio(a, b) -> Column:
     """F-5: 1 - LD(a', b') / max(len a', len b') on token-sorted texts; both empty -> 1."""
     sa, sb = token_sort(a), token_sort(b)
     mx = F.greatest(F.length(sa), F.length(sb))
-    return F.when(mx == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(sa, sb) / mx)
+    return F.coalesce(1.0 - F.try_divide(F.levenshtein(sa, sb), mx), F.lit(1.0))
 
 
 def digit_runs(c) -> Column:
