@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notecover.operators.joins import broadcast_if_bounded
 
@@ -108,11 +109,63 @@ def held_out(df: DataFrame, picked: DataFrame, id_col: str = "pair_id") -> DataF
     return df.join(picked.select(id_col), id_col, "left_anti")
 
 
-def seed_runs(df: DataFrame, seeds: Sequence[int], val_frac: float = 0.2, id_col: str = "pair_id") -> DataFrame:
-    """X-5: the random split for every seed, stacked with a ``seed`` column. The per-seed
-    cut search is a small driver loop (one job per seed); the data work is distributed."""
+def seed_runs(df: DataFrame, seeds: Sequence[int], val_frac: float = 0.2, id_col: str = "pair_id",
+              bucket_hex: int = 4, max_bucket_rows: int = 1_000_000) -> DataFrame:
+    """X-5: the exact random split (W-5) for every seed at once, stacked with a ``seed`` column.
+
+    Rows are exploded over the seeds, and every step of :func:`random_split` runs for all
+    seeds in the same job: counts per (seed, hash prefix), running counts per seed (a
+    window partitioned by seed over at most 16**bucket_hex rows each), the rank inside
+    each seed's cut bucket, and finally one predicate per row against a broadcast table of
+    cut keys with one row per seed. A seed whose cut bucket is too large falls back to the
+    single-seed path with a longer prefix."""
+    seeds = [int(s) for s in seeds]
+    x = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    h = F.md5(F.concat(F.col("seed").cast("string"), F.lit("-"), F.col(id_col).cast("string")))
+    keys = x.select("seed", F.col(id_col), h.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = keys.groupBy("seed", F.substring("_h", 1, bucket_hex).alias("_b")).agg(F.count(F.lit(1)).alias("c"))
+        ws = Window.partitionBy("seed")
+        summary = (counts.withColumn("cum", F.sum("c").over(ws.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+                   .withColumn("_n", F.sum("c").over(ws))
+                   .withColumn("_k", F.floor(F.lit(float(val_frac)) * F.col("_n")).cast("long")))
+        first = (summary.filter(F.col("cum") >= F.greatest(F.col("_k"), F.lit(1)))
+                 .withColumn("_r", F.row_number().over(ws.orderBy("_b"))).filter(F.col("_r") == 1))
+        cuts = {r["seed"]: r for r in first.collect()}          # one row per seed
+        keyrows, fallback = [], []
+        for s in seeds:
+            r = cuts.get(s)
+            if r is None or r["_k"] <= 0:
+                keyrows.append((s, "", None))                   # nothing in validation
+            elif r["_k"] >= r["_n"]:
+                keyrows.append((s, "~", None))                  # everything in validation
+            elif r["c"] > max_bucket_rows:
+                fallback.append(s)
+            else:
+                keyrows.append((s, r["_b"], int(r["_k"] - (r["cum"] - r["c"]))))
+        ranked = [k for k in keyrows if k[2] is not None]
+        if ranked:
+            cond = None
+            for s, b, _ in ranked:
+                c = (F.col("seed") == s) & F.col("_h").startswith(b)
+                cond = c if cond is None else cond | c
+            need = F.create_map(*[v for s, _, n in ranked for v in (F.lit(s), F.lit(n))])
+            inside = keys.filter(cond).withColumn("_rn", F.row_number().over(ws.orderBy("_h", id_col)))
+            picked = {r["seed"]: r for r in inside.filter(F.col("_rn") == need[F.col("seed")]).collect()}
+            keyrows = [(s, picked[s]["_h"], picked[s][id_col]) if n is not None else (s, b, n)
+                       for s, b, n in keyrows]
+    finally:
+        keys.unpersist()
     out = None
-    for s in seeds:
-        part = random_split(df, s, val_frac, id_col).withColumn("seed", F.lit(int(s)))
+    if keyrows:
+        schema = T.StructType([T.StructField("seed", T.IntegerType()), T.StructField("_hk", T.StringType()),
+                               T.StructField("_ik", df.schema[id_col].dataType)])
+        cut_table = df.sparkSession.createDataFrame(keyrows, schema)      # one row per seed
+        done = x.filter(F.col("seed").isin([k[0] for k in keyrows])).join(F.broadcast(cut_table), "seed")
+        is_val = (h < F.col("_hk")) | ((h == F.col("_hk")) & (F.col(id_col) <= F.col("_ik")))
+        out = done.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("train"))) \
+            .drop("_hk", "_ik").select(*df.columns, "split", "seed")
+    for s in fallback:
+        part = random_split(df, s, val_frac, id_col, bucket_hex + 2, max_bucket_rows).withColumn("seed", F.lit(s))
         out = part if out is None else out.unionByName(part)
     return out

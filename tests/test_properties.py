@@ -152,3 +152,13 @@ def test_metrics_with_overall_equals_separate(spark):
     o = both.filter("is_overall").first()
     m = M.binary_metrics(s).first()
     assert o["n"] == m["n"] and o["f1"] == m["f1"]
+
+
+def test_seed_runs_equal_single_seed_splits(spark):
+    df = spark.range(4000).withColumnRenamed("id", "pair_id")
+    multi = {(r["seed"], r["pair_id"]): r["split"] for r in SP.seed_runs(df, [42, 43, 44], 0.2).collect()}
+    for s in (42, 43, 44):
+        one = {r["pair_id"]: r["split"] for r in SP.random_split(df, s, 0.2).collect()}
+        assert all(multi[(s, i)] == one[i] for i in one)
+    tiny = SP.seed_runs(df, [1, 2], 0.2, max_bucket_rows=2)        # forces the fallback path
+    assert tiny.filter("split = 'val'").groupBy("seed").count().collect()[0]["count"] == 800
