@@ -82,8 +82,17 @@ def read_csv_lenient(spark: SparkSession, paths: Sequence[str] | str, columns: S
     return _csv(spark, paths, encoding, schema, mode="DROPMALFORMED")
 
 
-def load_dataset(spark: SparkSession, folder: str, reader=read_csv_latin1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """IO-4: Notes.csv, train.csv, test.csv of a folder, typed (PF-3 ... PF-5), lower-case names."""
+def with_row_position(df: DataFrame, col: str = "row_pos") -> DataFrame:
+    """File order as a column, taken right after the scan (before any shuffle): ids increase
+    with the position in each file and are stable when a task is recomputed. Operators that
+    need "first row" semantics (W-1, W-2, W-3) order by it."""
+    return df.withColumn(col, F.monotonically_increasing_id())
+
+
+def load_dataset(spark: SparkSession, folder: str, reader=read_csv_latin1,
+                 position_col: str | None = "row_pos") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """IO-4: Notes.csv, train.csv, test.csv of a folder, typed (PF-3 ... PF-5), lower-case names,
+    each with its file position in ``position_col`` (test positions follow train's)."""
     from notecover.operators import clean as CL
 
     def std(df: DataFrame) -> DataFrame:
@@ -100,6 +109,10 @@ def load_dataset(spark: SparkSession, folder: str, reader=read_csv_latin1) -> tu
     notes = std(reader(spark, f"{folder}/Notes.csv"))
     train = std(reader(spark, f"{folder}/train.csv"))
     test = std(reader(spark, f"{folder}/test.csv"))
+    if position_col:
+        notes = with_row_position(notes, position_col)
+        train = with_row_position(train, position_col)
+        test = with_row_position(test, position_col).withColumn(position_col, F.col(position_col) + F.lit(1 << 40))
     CL.require_columns(train, ["topic", "id", "segment", "idea_unit", "label"], "train.csv")
     CL.require_columns(test, ["topic", "id", "segment", "idea_unit"], "test.csv")
     return CL.coerce_notes(notes), CL.coerce_pairs(train, True), CL.coerce_pairs(test, False)
