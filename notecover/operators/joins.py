@@ -11,26 +11,43 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+_SIZES: dict[tuple, tuple[int, int]] = {}
+
+
+def _field_bytes(f: T.StructField):
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, T.StringType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+        return F.coalesce(F.aggregate(c, F.lit(0), lambda acc, x: acc + F.coalesce(F.octet_length(x), F.lit(0)) + 16),
+                          F.lit(0)) + 16
+    if isinstance(f.dataType, T.ArrayType):
+        return F.coalesce(F.size(c), F.lit(0)) * 16 + 16
+    return F.lit(8)
+
+
 def measured_size(df: DataFrame) -> tuple[int, int]:
     """(rows, approximate bytes) of ``df`` from one aggregate job.
 
-    Strings count their UTF-8 bytes, arrays 16 bytes per element plus content, other
-    fields 8 bytes. This is an upper-bound style estimate of the broadcast payload.
-    """
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StringType):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 16)
-        elif isinstance(f.dataType, T.ArrayType):
-            parts.append(F.coalesce(F.size(c), F.lit(0)) * 16 + 16)
-        else:
-            parts.append(F.lit(8))
+    Strings count their UTF-8 bytes plus 16, string arrays their elements' bytes, other
+    arrays 16 bytes per element, other fields 8 bytes: an upper-bound style estimate of
+    the broadcast payload. Results are remembered per (plan, input files), so the same
+    small table measured by several operators of a query costs one job."""
+    try:
+        key = (df.semanticHash(), tuple(sorted(df.inputFiles())))
+    except Exception:  # noqa: BLE001 - no plan hash available: measure every time
+        key = None
+    if key is not None and key in _SIZES:
+        return _SIZES[key]
+    parts = [_field_bytes(f) for f in df.schema.fields]
     row_bytes = parts[0] if parts else F.lit(8)
     for p in parts[1:]:
         row_bytes = row_bytes + p
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes.cast("long")).alias("b")).first()
-    return int(r["n"]), int(r["b"] or 0)
+    out = (int(r["n"]), int(r["b"] or 0))
+    if key is not None:
+        _SIZES[key] = out
+    return out
 
 
 def broadcast_if_bounded(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES,
