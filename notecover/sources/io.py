@@ -92,7 +92,7 @@ def with_row_position(df: DataFrame, col: str = "row_pos") -> DataFrame:
 def load_dataset(spark: SparkSession, folder: str, reader=read_csv_latin1,
                  position_col: str | None = "row_pos") -> tuple[DataFrame, DataFrame, DataFrame]:
     """IO-4: Notes.csv, train.csv, test.csv of a folder, typed (PF-3 ... PF-5), lower-case names,
-    each with its file position in ``position_col`` (test positions follow train's)."""
+    each with its file position in ``position_col`` (positions are per file)."""
     from notecover.operators import clean as CL
 
     def std(df: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def load_dataset(spark: SparkSession, folder: str, reader=read_csv_latin1,
     if position_col:
         notes = with_row_position(notes, position_col)
         train = with_row_position(train, position_col)
-        test = with_row_position(test, position_col).withColumn(position_col, F.col(position_col) + F.lit(1 << 40))
+        test = with_row_position(test, position_col)
     CL.require_columns(train, ["topic", "id", "segment", "idea_unit", "label"], "train.csv")
     CL.require_columns(test, ["topic", "id", "segment", "idea_unit"], "test.csv")
     return CL.coerce_notes(notes), CL.coerce_pairs(train, True), CL.coerce_pairs(test, False)
