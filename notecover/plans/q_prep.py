@@ -293,3 +293,15 @@ RANDOM_CTE = ("rs AS (SELECT pair_id, CASE WHEN row_number() OVER (ORDER BY md5(
 def q_random_split(spark, sf_dir):
     train = FX.pairs(spark, sf_dir).filter(F.col("label").isNotNull())
     return SP.random_split(train, 42, 0.2, "pair_id").select("pair_id", "split")
+
+
+# ---------------------------------------------------------------- PF-10 on conversation notes (pivoted turns)
+@query("conversation_notes", W(f"""
+SELECT id, coalesce({strip_sql("concat_ws(' ', segment1_notes, segment2_notes, segment3_notes, segment4_notes)")}, '')
+  AS full_notes, CAST((segment1_notes IS NOT NULL) AS INTEGER) + CAST((segment2_notes IS NOT NULL) AS INTEGER)
+  + CAST((segment3_notes IS NOT NULL) AS INTEGER) + CAST((segment4_notes IS NOT NULL) AS INTEGER) AS n_segments
+FROM conv_notes""", "conv_notes"))
+def q_conversation_notes(spark, sf_dir):
+    n = FX.conv_notes(spark, sf_dir)
+    cnt = sum((F.col(c).isNotNull().cast("int") for c in FX.SEGMENTS), F.lit(0))
+    return n.select("id", F.coalesce(PR.full_text(), F.lit("")).alias("full_notes"), cnt.alias("n_segments"))

@@ -124,6 +124,18 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("idea_unit").alias("correct_answer"), lab.alias("label"))
 
 
+def conv_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations -> wide notes: id = conv_id, segment = turn % 4 + 1, the turns of a cell
+    joined by one space in turn order. One aggregate per (conversation, segment) cell, then
+    a pivot over the four fixed segment numbers (no per-row Python)."""
+    c = table(spark, sf_dir, "conversations")
+    cells = c.groupBy(F.col("conv_id").alias("id"), ((F.col("turn") % 4) + 1).cast("int").alias("seg")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
+        .alias("cell"))
+    wide = cells.groupBy("id").pivot("seg", [1, 2, 3, 4]).agg(F.first("cell"))
+    return wide.select("id", *[F.col(str(i)).alias(SEGMENTS[i - 1]) for i in (1, 2, 3, 4)])
+
+
 def raw_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty string-typed train table (bad ids, segments outside 1-4, bad labels, padding)."""
     p = pairs(spark, sf_dir)
@@ -214,6 +226,11 @@ SQL = {
     CASE WHEN pair_id % 11 = 0 THEN NULL WHEN pair_id % 11 = 1 THEN 'x'
       ELSE CAST(label AS VARCHAR) END AS label_raw
   FROM pairs)""",
+    "conv_notes": """conv_notes AS (
+  SELECT id, max(cell) FILTER (WHERE seg = 1) AS segment1_notes, max(cell) FILTER (WHERE seg = 2) AS segment2_notes,
+    max(cell) FILTER (WHERE seg = 3) AS segment3_notes, max(cell) FILTER (WHERE seg = 4) AS segment4_notes
+  FROM (SELECT conv_id AS id, CAST(turn % 4 + 1 AS INTEGER) AS seg, string_agg(text, ' ' ORDER BY turn) AS cell
+        FROM conversations GROUP BY conv_id, turn % 4 + 1) c GROUP BY id)""",
     "raw_notes": """raw_notes AS (
   SELECT CASE WHEN id % 3 = 0 THEN experiment || ' ' ELSE experiment END AS experiment_raw,
     CASE WHEN id % 5 = 0 THEN '  ' || topic || chr(9) ELSE topic END AS topic_raw,
@@ -226,7 +243,7 @@ SQL = {
 DEPENDS = {
     "notes": (), "ideas": (), "pairs": ("notes", "ideas"), "scored": ("pairs",),
     "scored_big": (), "scored_fine": (), "logits": ("scored_fine",), "multiclass": (),
-    "answers": ("pairs",), "raw_train": ("pairs",), "raw_notes": ("notes",),
+    "answers": ("pairs",), "raw_train": ("pairs",), "raw_notes": ("notes",), "conv_notes": (),
 }
 
 
