@@ -17,7 +17,7 @@ from notecover.operators.clean import normalize_columns
 
 # Bytes that cp1252 leaves undefined: a file holding one of them is read as ISO-8859-1.
 CP1252_UNDEFINED = "\x81\x8d\x8f\x90\x9d"
-# Preferred prediction file names, in order (IO-5).
+# Preferred prediction file names, in order (IO-5).
 PREFERRED_PREDICTIONS = ("bert_eval_predictions.csv", "bert_test_predictions.csv", "predictions.csv")
 
 
