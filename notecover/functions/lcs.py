@@ -9,6 +9,7 @@ token sorting, stripping and lowercasing stay in Spark expressions.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,15 +19,31 @@ from pyspark.sql.types import DoubleType
 from notecover.functions import text as T
 
 
+def _char_masks(a: str, need: set[str]) -> dict[str, int]:
+    """Bit mask of the positions of each character of ``need`` in ``a`` (bit i = a[i])."""
+    masks: dict[str, int] = {}
+    if len(a) > 512:                        # long text: one vectorised comparison per character
+        arr = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)
+        for ch in need:
+            bits = arr == ord(ch)
+            if bits.any():
+                masks[ch] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    else:
+        for i, ch in enumerate(a):
+            if ch in need:
+                masks[ch] = masks.get(ch, 0) | (1 << i)
+    return masks
+
+
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence of two strings (code points)."""
     if len(a) < len(b):
         a, b = b, a
     if not b:
         return 0
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
+    if a == b:
+        return len(a)
+    masks = _char_masks(a, set(b))
     full = (1 << len(a)) - 1
     v = full
     for ch in b:

@@ -162,3 +162,11 @@ def test_seed_runs_equal_single_seed_splits(spark):
         assert all(multi[(s, i)] == one[i] for i in one)
     tiny = SP.seed_runs(df, [1, 2], 0.2, max_bucket_rows=2)        # forces the fallback path
     assert tiny.filter("split = 'val'").groupBy("seed").count().collect()[0]["count"] == 800
+
+
+def test_bit_parallel_lcs_long_texts_numpy_path():
+    rnd = random.Random(4)
+    for _ in range(5):
+        a = "".join(rnd.choice("ab cdé") for _ in range(rnd.randint(513, 700)))
+        b = "".join(rnd.choice("abc dñ") for _ in range(rnd.randint(50, 600)))
+        assert lcs_length(a, b) == _lcs_dp(a, b)
