@@ -71,7 +71,8 @@ def confusion_long(df: DataFrame, y="y", y_pred="prediction", labels: Sequence[i
             .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("a")))).alias("cs"))
     grid = one.select(F.explode("cs").alias("y_true"), "cs") \
         .select("y_true", F.explode("cs").alias("y_pred"))
-    out = F.broadcast(grid).join(counts, ["y_true", "y_pred"], "left")
+    # both sides hold at most (number of classes)^2 rows; Spark's own size estimate picks the join
+    out = grid.join(counts, ["y_true", "y_pred"], "left")
     return out.select("y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
