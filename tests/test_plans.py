@@ -59,3 +59,23 @@ def test_filters_reach_the_scan(spark):
     df = FX.table(spark, SF_SMALL, "lineitem").filter(F.col("l_returnflag") == "R").select("l_quantity")
     txt = df._jdf.queryExecution().sparkPlan().toString()
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in txt
+
+
+PYTHON_OK = {"fuzzy_indel", "rule_chain", "rule_tuning", "batch_score", "yes_no_label", "prompted_evaluation",
+             "prompted_chain"}
+
+
+def test_no_cross_products_and_python_only_where_needed(spark):
+    """No registered query multiplies rows by a cross product (Cartesian or nested-loop join),
+    and Python runs only in the queries built on the Indel UDF or a batch scorer."""
+    import __spark_entry__ as E
+    cross, python = [], []
+    for name, q in sorted(E.queries().items()):
+        if name in ("train_pair_classifier", "param_search"):
+            continue                                   # results built from driver-side scalars
+        txt = q(spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+        if "CartesianProduct" in txt or "NestedLoopJoin" in txt:
+            cross.append(name)
+        if ("ArrowEvalPython" in txt or "BatchEvalPython" in txt or "MapInPandas" in txt) and name not in PYTHON_OK:
+            python.append(name)
+    assert (cross, python) == ([], [])
