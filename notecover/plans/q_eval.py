@@ -183,3 +183,14 @@ SELECT threshold, f1 FROM (
     "THEN 2 * cum_pos / (2 * cum_pos + cum_neg + (P - cum_pos)) ELSE 0.0 END AS f1 FROM c)")))
 def q_best_threshold(spark, sf_dir):
     return r6(C.best_threshold(FX.scored_big(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- A-13 overall + per group in one pass
+@query("metrics_with_overall", W(f"""
+SELECT experiment, topic, is_overall, n, {S.metric_cols()}, round(pos_prevalence, 6) AS pos_prevalence
+FROM (SELECT experiment, topic, grouping(experiment, topic) <> 0 AS is_overall, {S.counters()},
+             avg(CAST(y AS DOUBLE)) AS pos_prevalence
+      FROM scored WHERE experiment IS NOT NULL AND topic IS NOT NULL
+      GROUP BY GROUPING SETS ((), (experiment, topic))) g""", "scored"))
+def q_metrics_with_overall(spark, sf_dir):
+    return r6(M.metrics_with_overall(FX.scored(spark, sf_dir), "y", "prediction", ("experiment", "topic")))
