@@ -68,7 +68,7 @@ def confusion_long(df: DataFrame, y="y", y_pred="prediction", labels: Sequence[i
         one = df.sparkSession.range(1).select(grid_arr.alias("cs"))
     else:
         one = df.select(F.array_union(F.array(_c(y)), F.array(_c(y_pred))).alias("a")) \
-            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("a")))).alias("cs"))
+            .agg(F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_set("a"))))).alias("cs"))
     grid = one.select(F.explode("cs").alias("y_true"), "cs") \
         .select("y_true", F.explode("cs").alias("y_pred"))
     # both sides hold at most (number of classes)^2 rows; Spark's own size estimate picks the join

@@ -194,3 +194,15 @@ FROM (SELECT experiment, topic, grouping(experiment, topic) <> 0 AS is_overall,
       GROUP BY GROUPING SETS ((), (experiment, topic))) g""", "scored"))
 def q_metrics_with_overall(spark, sf_dir):
     return r6(M.metrics_with_overall(FX.scored(spark, sf_dir), "y", "prediction", ("experiment", "topic")))
+
+
+# ---------------------------------------------------------------- A-4 with the observed label set (multi-class)
+@query("confusion_observed", W("""
+SELECT g.y_true, g.y_pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (SELECT a.v AS y_true, b.v AS y_pred FROM labs a, labs b) g
+LEFT JOIN (SELECT y AS y_true, y_pred, count(*) AS n FROM multiclass GROUP BY ALL) c USING (y_true, y_pred)""",
+                               "multiclass", extra=(
+    "labs AS (SELECT DISTINCT v FROM (SELECT y AS v FROM multiclass UNION ALL SELECT y_pred FROM multiclass) u "
+    "WHERE v IS NOT NULL)",)))
+def q_confusion_observed(spark, sf_dir):
+    return M.confusion_long(FX.multiclass(spark, sf_dir), "y", "y_pred", labels=None)
