@@ -8,10 +8,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The parquet table ``name`` of a test-data folder.
+
+    The DataFrame (a lazy scan) is reused per session and path, so building a query that
+    reads a table several times does not list files and read footers again each time."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        key = (spark.sparkContext.applicationId, id(spark), path)
+    except Exception:  # noqa: BLE001 - no context id available: no reuse
+        return spark.read.parquet(path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
