@@ -18,6 +18,17 @@ from pyspark.sql import functions as F
 
 GRID = tuple(i / 100.0 for i in range(1, 100))   # 0.01 ... 0.99, built from integers
 
+# Histograms cached by running_totals; the oldest are released so a long session does not
+# accumulate them (a released one is recomputed from its lineage if still used).
+_CACHED: list[DataFrame] = []
+_KEEP_CACHED = 8
+
+
+def _remember(df: DataFrame) -> None:
+    _CACHED.append(df)
+    while len(_CACHED) > _KEEP_CACHED:
+        _CACHED.pop(0).unpersist()
+
 
 def valid_scores(df: DataFrame, score="score") -> DataFrame:
     """PF-22: rows that carry a score (not null, not NaN)."""
@@ -66,6 +77,7 @@ def running_totals(h: DataFrame, key: str, cols: Sequence[str], descending: bool
     hk = h.withColumn("_ok", okey.cast("double"))
     if nb > 1:
         hk = hk.persist(StorageLevel.MEMORY_AND_DISK)
+        _remember(hk)
         probs = [i / nb for i in range(1, nb)]
         bounds = sorted(set(x for x in hk.approxQuantile("_ok", probs, 0.001) if x is not None))
     else:
