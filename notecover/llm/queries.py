@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notecover.llm import decontam, embeddings, minhash, packing, secretscan, sharding, toxicity, urlfilter, warc
+from notecover.llm import decontam, embeddings, katz, minhash, packing, secretscan, sharding, toxicity, urlfilter, warc
 from notecover.llm.common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,9 @@ def op6(spark, sf_dir):
     r = warc.derive(table(spark, sf_dir, "pages"))
     return r.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length",
                     "block_digest", "payload_digest", F.sha1(F.col("headers").cast("binary")).alias("headers_sha1"))
+
+
+@query("op3_katz_backoff")
+def op3(spark, sf_dir):
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    return katz.scores(table(spark, sf_dir, "documents"), held_out)
