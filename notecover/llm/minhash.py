@@ -8,7 +8,8 @@ drops those that can't reach the limit, and the rest are confirmed on the full s
 
 Hot groups: copies collapse into their class before anything is banded; a band's members
 are linked to its least member first (a star, not all pairs), and only members that
-remain in different components are compared further.
+remain in different components are compared further, in blocks of bounded size and without
+making a row per pair.
 
 Defined cases: a null or empty text and a text without words have an empty set, link with
 nothing and stand alone; a text with fewer words than a shingle has one shingle, its whole
@@ -43,7 +44,7 @@ class MinHash:
     percent: int = 80
     bands: int = 48
     rows: int = 6
-    full_bucket: int = 64
+    full_bucket: int = 512
 
     @property
     def registers(self) -> int:
@@ -133,22 +134,6 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return np.where(used > 0, (same - chance) / np.maximum(used, 1), 0.0), used
 
 
-def _likely(p: MinHash):
-    """Pairs whose estimate does not exclude the limit: 5 standard errors of room."""
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            def regs(name):
-                return np.frombuffer(b"".join(cols[name].to_pylist()), np.uint16).reshape(batch.num_rows, p.registers)
-            est, used = estimate(regs("regs_u"), regs("regs_v"), cols["n_u"].to_numpy(), cols["n_v"].to_numpy())
-            s = p.percent / 100.0
-            keep = est >= s - 5.0 * np.sqrt(s * (1 - s) / np.maximum(used, 1)) - 0.01
-            yield pa.RecordBatch.from_arrays([cols["u"].filter(pa.array(keep)), cols["v"].filter(pa.array(keep))], names=["u", "v"])
-    return run
-
-
 def _verifier(p: MinHash):
     def run(batches):
         for batch in batches:
@@ -174,33 +159,145 @@ def _verifier(p: MinHash):
     return run
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the classes in wanted(node); only their texts are shuffled."""
+    ids = C.cut_lineage(nodes.select("node", "doc_id").join(wanted.distinct(), "node"))
+    return C.in_bitmap(C.only(docs, doc_id="bigint", text="string"), "doc_id", ids).join(ids, "doc_id").select("node", "text")
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, p: MinHash) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the limit. Only the texts of classes that occur in
-    a pair are shuffled."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    ids = C.cut_lineage(nodes.select("node", "doc_id").join(wanted, "node"))
-    text = C.in_bitmap(C.only(docs, doc_id="bigint", text="string"), "doc_id", ids).join(ids, "doc_id").select("node", "text")
+    """Pairs (u, v) whose full sets reach the limit."""
+    text = _texts(docs, nodes, pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
     full = (pairs.join(text.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
             .join(text.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
             .select("u", "v", "text_u", "text_v"))
     return C.arrow_map(full, _verifier(p), "u bigint, v bigint")
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components so far."""
-    j = (pairs.join(comp.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left")
-         .join(comp.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left"))
-    return j.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).drop("ru", "rv")
+def _comparer(p: MinHash):
+    """Members of a cell that have a likely partner there: one in another component whose
+    size and registers do not exclude the limit. A row per member, not per pair."""
+    s = p.percent / 100.0
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("band")
+        node, root, n = (table[c].to_numpy() for c in ("node", "root", "n_shingles"))
+        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(len(node), p.registers)
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), p.bands)
+        left_of, right_of = table["left_side"].to_numpy(zero_copy_only=False), table["right_side"].to_numpy(zero_copy_only=False)
+        band = table["band"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
+        wanted = np.zeros(len(node), bool)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            left, right = a + np.flatnonzero(left_of[a:b]), a + np.flatnonzero(right_of[a:b])
+            i, j = _across_roots(left, right, root, n, p)
+            for t in range(0, len(i), 4096):
+                x, y = i[t:t + 4096], j[t:t + 4096]
+                est, used = estimate(regs[x], regs[y], n[x], n[y])
+                ok = est >= s - 5.0 * np.sqrt(s * (1 - s) / np.maximum(used, 1)) - 0.01
+                # a pair that shares several bands counts in the first of them
+                first = (keys[x] == keys[y]).argmax(axis=1)
+                ok &= keys[x, first] == band[a]
+                wanted[x[ok]] = wanted[y[ok]] = True
+        return table.filter(pa.array(wanted)).select(["task", "band", "left_side", "right_side", "node", "root"])
+    return run
+
+
+def _across_roots(left: np.ndarray, right: np.ndarray, root: np.ndarray, n: np.ndarray, p: MinHash) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left, right) of different components whose sizes do not exclude the limit."""
+    other = root[left][:, None] != root[right][None]
+    other &= np.minimum(n[left][:, None], n[right][None]) * 100 >= np.maximum(n[left][:, None], n[right][None]) * p.percent
+    i, j = np.nonzero(other)
+    return left[i], right[j]
+
+
+def _exact(p: MinHash):
+    """The pairs of a cell on their full sets; returns links that join what is apart: of all
+    links found in a cell, a spanning forest over the components so far."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("band")
+        node, root, band = (table[c].to_numpy() for c in ("node", "root", "band"))
+        left_of, right_of = table["left_side"].to_numpy(zero_copy_only=False), table["right_side"].to_numpy(zero_copy_only=False)
+        sets: list[np.ndarray] = []
+        for _, _, w in spans.words_of(table["text"]):
+            row, h, n = spans.shingle_sets(w, p.shingle_words)
+            sets += np.split(h, np.cumsum(n)[:-1])
+        size = np.array([len(x) for x in sets], np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            left, right = a + np.flatnonzero(left_of[a:b]), a + np.flatnonzero(right_of[a:b])
+            if not len(left) or not len(right):
+                continue
+            inter = _intersections([sets[i] for i in left], [sets[j] for j in right])
+            union = size[left][:, None] + size[right][None] - inter
+            i, j = np.nonzero((100 * inter >= p.percent * union) & (root[left][:, None] != root[right][None]))
+            if len(i):
+                pairs = np.stack([root[left[i]], root[right[j]]], axis=1)
+                found.append(np.unique(np.sort(pairs, axis=1), axis=0))
+        links = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"u": np.ascontiguousarray(links[:, 1]), "v": np.ascontiguousarray(links[:, 0])})
+    return run
 
 
-def _by_estimate(pairs: DataFrame, nodes: DataFrame, p: MinHash) -> DataFrame:
-    side = nodes.select("node", "regs", "n_shingles")
-    full = (pairs.select("u", "v").distinct()
-            .join(side.select(F.col("node").alias("u"), F.col("regs").alias("regs_u"), F.col("n_shingles").alias("n_u")), "u")
-            .join(side.select(F.col("node").alias("v"), F.col("regs").alias("regs_v"), F.col("n_shingles").alias("n_v")), "v")
-            .filter(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * p.percent)
-            .select("u", "v", "regs_u", "regs_v", "n_u", "n_v"))
-    return C.arrow_map(full, _likely(p), "u bigint, v bigint")
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``; only hashes
+    that occur on both sides take part, ``width`` of them at a time."""
+    ha, hb = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(ha, hb)
+    out = np.zeros((len(a), len(b)), np.int64)
+    if not len(common):
+        return out
+
+    def where(h, sets):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, h).clip(max=len(common) - 1)
+        ok = common[at] == h
+        order = np.argsort(at[ok], kind="stable")
+        return row[ok][order], at[ok][order]
+
+    (ra, ca), (rb, cb) = where(ha, a), where(hb, b)
+    for s in range(0, len(common), width):
+        def dense(r, c, rows):
+            lo, hi = np.searchsorted(c, [s, s + width])
+            m = np.zeros((rows, min(width, len(common) - s)), np.float32)
+            m[r[lo:hi], c[lo:hi] - s] = 1
+            return m
+        out += (dense(ra, ca, len(a)) @ dense(rb, cb, len(b)).T).astype(np.int64)
+    return out
+
+
+def _across(docs: DataFrame, members: DataFrame, nodes: DataFrame, p: MinHash) -> DataFrame:
+    """Links (u, v) between components of ``members(band, node, m, root)``, by their roots.
+
+    The members outside a band's largest component (its few) meet all members; those inside
+    it, usually a large group of near copies, don't meet each other again. Small bands
+    share a task; of a band of more than ``full_bucket`` members, each block of the few
+    and each block of all are a group of their own, so no task holds a whole large band."""
+    sizes = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("c", "root")).alias("b"), F.sum("c").alias("m")).select(
+        "band", F.col("b.root").alias("main"), (F.col("m") - F.col("b.c")).alias("few"))
+    groups = max(1, members.count() // 4096)
+
+    def blocks(c: str):
+        return F.greatest(F.when(F.col("m") > p.full_bucket, F.ceil(F.col(c) / p.full_bucket)).otherwise(1), F.lit(1)).cast("int")
+
+    marked = (members.join(main, "band").withColumn("is_few", F.col("root") != F.col("main"))
+              .withColumn("nl", blocks("few")).withColumn("nr", blocks("m"))
+              .withColumn("l", F.pmod(F.xxhash64("node"), F.col("nl")).cast("int")).withColumn("r", F.pmod(F.xxhash64("node", F.lit(1)), F.col("nr")).cast("int")))
+    # a cell (i, j): block i of the few against block j of all
+    row = F.when(F.col("is_few"), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda j: F.struct(F.col("l").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    column = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda i: F.struct(i.alias("i"), F.col("r").alias("j")))
+    dealt = (marked.withColumn("cell", F.explode(F.array_distinct(F.concat(row, column))))
+             .withColumn("left_side", F.col("is_few") & (F.col("cell.i") == F.col("l"))).withColumn("right_side", F.col("cell.j") == F.col("r"))
+             .withColumn("task", F.when(F.col("nr") > 1, F.xxhash64("band", "cell")).otherwise(F.pmod(F.xxhash64("band"), F.lit(groups))))
+             .join(nodes.select("node", "n_shingles", "regs", "bands"), "node")
+             .select("task", "band", "left_side", "right_side", "node", "root", "n_shingles", "regs", "bands"))
+    C.ship_package(members.sparkSession)
+    cell = "task bigint, band bigint, left_side boolean, right_side boolean, node bigint, root bigint"
+    likely = C.cut_lineage(dealt.groupBy("task").applyInArrow(_comparer(p), cell))
+    text = _texts(docs, nodes, likely.select("node")).dropDuplicates(["node"])
+    return likely.join(text, "node").groupBy("task").applyInArrow(_exact(p), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
@@ -217,36 +314,19 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     band = nodes.select("node", F.explode("bands").alias("band"))
     groups = band.groupBy("band").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     member = C.cut_lineage(band.join(groups, "band").select("band", "node", "u", "m"))
-    star = C.cut_lineage(member.filter("node != u").groupBy("u", F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("bands")))
+    star = member.filter("node != u").groupBy("u", F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("bands"))
 
     # 1. each class against the anchor it shares most bands with
     best = star.groupBy("v").agg(F.max(F.struct("bands", F.col("u").alias("a"))).alias("b")).select(F.col("b.a").alias("u"), "v")
     links = C.cut_lineage(_verified(docs, nodes, best, p))
     comp = C.cut_lineage(C.components(links))
-    # 2. the other anchors, as far as they are in other components
-    rest = C.cut_lineage(_by_estimate(_apart(star, comp).join(best, ["u", "v"], "left_anti"), nodes, p))
-    tested = best.unionByName(rest)
-    if not rest.isEmpty():
-        links = links.unionByName(C.cut_lineage(_verified(docs, nodes, rest, p)))
-        comp = C.cut_lineage(C.components(links))
-    # 3. members of a band that still lie in different components, with each other
-    state = (member.join(comp, "node", "left").select("band", "node", "m", F.coalesce("root", "node").alias("root")))
+    # 2. members of a band that still lie in different components, with each other
+    state = member.join(comp, "node", "left").select("band", "node", "m", F.coalesce("root", "node").alias("root"))
     mixed = state.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("band")
     open_ = C.cut_lineage(state.join(mixed, "band"))
-    small = open_.filter(F.col("m") <= p.full_bucket).select("band", "node", "root")
-    # overfull bands are cut by a second band: a linked pair shares more than one
-    big = open_.filter(F.col("m") > p.full_bucket).select("band", "node", "root")
-    cut = (big.join(nodes.select("node", "bands"), "node")
-           .select("node", "root", F.col("band").alias("b0"), F.explode("bands").alias("b1")).filter("b0 != b1")
-           .select(F.xxhash64("b0", "b1").alias("band"), "node", "root"))
-    some = small.unionByName(cut)
-    pairs = (some.select("band", F.col("node").alias("u"), F.col("root").alias("ru"))
-             .join(some.select("band", F.col("node").alias("v"), F.col("root").alias("rv")), "band")
-             .filter("u < v and ru != rv").select("u", "v").distinct())
-    last = C.cut_lineage(_by_estimate(pairs.join(tested, ["u", "v"], "left_anti"), nodes, p))
+    last = C.cut_lineage(_across(docs, open_, nodes, p))
     if not last.isEmpty():
-        links = links.unionByName(C.cut_lineage(_verified(docs, nodes, last, p)))
-        comp = C.cut_lineage(C.components(links))
+        comp = C.cut_lineage(C.components(links.unionByName(last)))
 
     # the least id of each component
     where = classes.join(comp, "node", "left").select("node", "n_shingles", "doc_id", F.coalesce("root", "node").alias("root"))
