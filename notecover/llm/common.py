@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notecover.session import checkpoint_dir, cut_lineage, ship_package
 from notecover.sources.tables import table
 
-__all__ = ["arrow_map", "components", "cut_lineage", "in_bitmap", "mark_bitmap", "only", "ship_package", "stored", "table"]
+__all__ = ["arrow_groups", "arrow_map", "components", "cut_lineage", "in_bitmap", "mark_bitmap", "only", "ship_package", "stored", "table"]
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -32,10 +34,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system: workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _mapped(fn):
+    def run(batches):
+        yield from fn(batches)
+        _give_back()
+    return run
+
+
+def _grouped(fn):
+    def run(table):
+        out = fn(table)
+        _give_back()
+        return out
+    return run
+
+
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_mapped(fn), schema)
+
+
+def arrow_groups(df: DataFrame, keys: list[str], fn, schema) -> DataFrame:
+    """``applyInArrow`` of each group with the package shipped to the workers."""
+    ship_package(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(_grouped(fn), schema)
 
 
 BITMAP_BITS = 1 << 24

@@ -155,9 +155,8 @@ def near_duplicate_vectors(vectors: DataFrame, p: RotationCodes = RotationCodes(
              .withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("nb")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
              .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")))
-    C.ship_package(vectors.sparkSession)
-    found = C.cut_lineage(dealt.select("label", "dim", "bi", "bj", "block", "node", "mult", "embedding", "code", "factor")
-                          .groupBy("label", "dim", "bi", "bj").applyInArrow(_compare(p), "node bigint, links bigint, root bigint"))
+    found = C.cut_lineage(C.arrow_groups(dealt.select("label", "dim", "bi", "bj", "block", "node", "mult", "embedding", "code", "factor"),
+                                         ["label", "dim", "bi", "bj"], _compare(p), "node bigint, links bigint, root bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = C.components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = (nodes.select("node", "mult", "least").join(links, "node", "left").join(comp, "node", "left")

@@ -293,11 +293,10 @@ def _across(docs: DataFrame, members: DataFrame, nodes: DataFrame, p: MinHash) -
              .withColumn("task", F.when(F.col("nr") > 1, F.xxhash64("band", "cell")).otherwise(F.pmod(F.xxhash64("band"), F.lit(groups))))
              .join(nodes.select("node", "n_shingles", "regs", "bands"), "node")
              .select("task", "band", "left_side", "right_side", "node", "root", "n_shingles", "regs", "bands"))
-    C.ship_package(members.sparkSession)
     cell = "task bigint, band bigint, left_side boolean, right_side boolean, node bigint, root bigint"
-    likely = C.cut_lineage(dealt.groupBy("task").applyInArrow(_comparer(p), cell))
+    likely = C.cut_lineage(C.arrow_groups(dealt, ["task"], _comparer(p), cell))
     text = _texts(docs, nodes, likely.select("node")).dropDuplicates(["node"])
-    return likely.join(text, "node").groupBy("task").applyInArrow(_exact(p), "u bigint, v bigint").distinct()
+    return C.arrow_groups(likely.join(text, "node"), ["task"], _exact(p), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:

@@ -15,12 +15,15 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +45,12 @@ class Packing:
     max_triples: int = 30_000
     nnls_steps: int = 400
     salts: int = 64
-    cache_words: int = 2_000_000
+    cache_words: int = 1_500_000
 
 
 class WordIds:
     """Token ids of words between white space, which this tokenizer never joins. Words seen
-    before in this task come from sorted arrays; the cache starts anew when it is full."""
+    before by this worker come from sorted arrays; the cache starts anew when it is full."""
 
     def __init__(self, path: str, most: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -58,13 +61,13 @@ class WordIds:
 
     def _reset(self) -> None:
         self.key = np.zeros(0, np.uint64)
-        self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def __call__(self, w: spans.Words) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, w: spans.Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids per word)."""
-        if not len(w.hash):
+        if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        uniq, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        uniq, first, back = np.unique(w.span_hash(start, end), return_index=True, return_inverse=True)
         if len(self.key) > self.most:
             self._reset()
         at = np.searchsorted(self.key, uniq)
@@ -73,10 +76,10 @@ class WordIds:
         new[inside] = self.key[at[inside]] != uniq[inside]
         if new.any():
             raw = w.bytes.tobytes()
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())]
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
             got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-            n = np.array([len(x) for x in got], np.int64)
-            flat = np.array([i for x in got for i in x], np.uint32)
+            n = np.array([len(x) for x in got], np.int32)
+            flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(n.sum()))
             key = np.concatenate([self.key, uniq[new]])
             order = np.argsort(key, kind="stable")
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])[order]
@@ -84,19 +87,45 @@ class WordIds:
             self.key, self.ids = key[order], np.concatenate([self.ids, flat])
             at = np.searchsorted(self.key, uniq)
         at = at[back]
-        n = self.n[at]
+        n = self.n[at].astype(np.int64)
         stop = np.cumsum(n)
         return self.ids[np.repeat(self.at[at] - (stop - n), n) + np.arange(stop[-1])], n
 
 
+@functools.lru_cache(maxsize=2)
+def _word_ids(path: str, most: int) -> WordIds:
+    """One per worker: later tasks of the worker find the words of earlier ones."""
+    return WordIds(path, most)
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+def _split_stops(w: spans.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words per row) with a last ``.`` or ``,`` after an ASCII letter as a word of
+    its own: a letter and such a mark are never one token, and the bare words repeat more."""
+    last = w.bytes[w.end - 1]
+    stop = ((last == 46) | (last == 44)) & (w.end - w.start > 1)
+    stop[stop] = _LETTER[w.bytes[w.end[stop] - 2]]
+    at = np.arange(len(w.start)) + np.cumsum(stop) - stop
+    start, end = np.empty((2, len(w.start) + int(stop.sum())), np.int64)
+    start[at], end[at] = w.start, w.end - stop
+    start[at[stop] + 1], end[at[stop] + 1] = w.end[stop] - 1, w.end[stop]
+    return start, end, w.per_row + np.bincount(w.row[stop], minlength=w.rows)
+
+
 def _cutter(path: str, p: Packing):
     def run(batches):
-        encode = WordIds(path, p.cache_words)
+        encode = _word_ids(path, p.cache_words)
         for batch in batches:
             ids = batch.column(0)
-            for a, b, w in spans.words_of(batch.column(1), limit=4 << 20, lower=False):
-                flat, n = encode(w)
-                upto = np.concatenate([[0], np.cumsum(n)])[w.first_of_row()]
+            # the tokenizer lowers A-Z itself, except in its special strings
+            lower = not pc.any(pc.match_substring(batch.column(1), "<|")).as_py()
+            for a, b, w in spans.words_of(batch.column(1), limit=2 << 20, lower=lower):
+                start, end, per_row = _split_stops(w)
+                flat, n = encode(w, start, end)
+                upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_row)])]
                 out: list[tuple[int, int, int, int, int]] = []
                 for r in range(w.rows):
                     doc = flat[upto[r]:upto[r + 1]].astype("<u4")
