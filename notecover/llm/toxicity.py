@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def _present(bits: int, chosen: np.ndarray, swaps: dict[int, tuple[list[int], li
 
     def run(batches):
         for batch in batches:
-            y = batch.column(1)
+            y, key = batch.column(1), batch.column(2)
             for a, b, w in spans.words_of(batch.column(0), _BREAKS):
                 row, slot = _features(w, bits)
                 f = index[slot]
@@ -125,30 +126,33 @@ def _present(bits: int, chosen: np.ndarray, swaps: dict[int, tuple[list[int], li
                     come = {int(index[s]) for t in terms for s in t[1]}
                     other[r] = sorted((has - gone) | (come - {-1}))
                 yield pa.RecordBatch.from_arrays(
-                    [y.slice(a, b - a), pa.array([x.tolist() for x in own], pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))],
-                    names=["y", "own", "other"])
+                    [y.slice(a, b - a), key.slice(a, b - a), pa.array([x.tolist() for x in own], pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))],
+                    names=["y", "key", "own", "other"])
     return run
 
 
-def _csr(lists) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(x) for x in lists], np.int64)
-    return np.repeat(np.arange(len(lists)), n), np.array([i for x in lists for i in x], np.int64)
+def _csr(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of a list column."""
+    n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), pc.list_flatten(lists).to_numpy().astype(np.int64)
 
 
-def fit(rows: list, n_features: int, p: Toxicity) -> tuple[np.ndarray, float]:
-    """Weights and bias: logistic loss + l2 + swap_weight * mean squared score change."""
-    y = np.array([r[0] for r in rows], float)
-    r, f = _csr([x[1] for x in rows])
-    pairs = [(x[1], x[2]) for x in rows if x[2] is not None]
-    ra, fa = _csr([x[0] for x in pairs])
-    rb, fb = _csr([x[1] for x in pairs])
+def fit(rows: pa.Table, n_features: int, p: Toxicity) -> tuple[np.ndarray, float]:
+    """Weights and bias of rows (y, own, other): logistic loss + l2 + swap_weight * mean
+    squared score change between ``own`` and, where it is there, ``other``."""
+    y = rows["y"].to_numpy().astype(float)
+    r, f = _csr(rows["own"])
+    swapped = rows.filter(pc.is_valid(rows["other"]))
+    pairs = range(len(swapped))
+    ra, fa = _csr(swapped["own"])
+    rb, fb = _csr(swapped["other"])
     w, b = np.zeros(n_features), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, p.steps + 1):
         z = np.bincount(r, w[f], len(y)) + b
         d = (1 / (1 + np.exp(-z)) - y) / len(y)
         g = np.bincount(f, d[r], n_features) + p.l2 * w
-        if pairs:
+        if len(pairs):
             change = np.bincount(ra, w[fa], len(pairs)) - np.bincount(rb, w[fb], len(pairs))
             k = 2 * p.swap_weight * change / len(pairs)
             g += np.bincount(fa, k[ra], n_features) - np.bincount(fb, k[rb], n_features)
@@ -176,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     room = 1 << 20
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(room)) < min(room, room * p.max_labelled // n))
     # at most about max_labelled rows of two numbers: a side of bounded size
-    learn = C.only(docs, doc_id="bigint", text="string").join(F.broadcast(some), "doc_id").select("text", "y")
+    learn = C.only(docs, doc_id="bigint", text="string").join(F.broadcast(some), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("key"))
 
     bits = p.slot_bits
     terms = {t: term_slots(t, bits) for group in p.identity for t in group}
@@ -193,10 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
         for i, t in enumerate(group):
             h = next(int(w.hash[0]) for _, _, w in spans.words_of(pa.array([t]), _BREAKS))
             swaps[h] = (terms[t], terms[group[(i + 1) % len(group)]])
-    rows = C.arrow_map(learn, _present(bits, chosen, swaps), "y int, own array<bigint>, other array<bigint>").collect()
-    if not rows or len({r[0] for r in rows}) < 2:
+    rows = C.arrow_map(learn, _present(bits, chosen, swaps), "y int, key bigint, own array<bigint>, other array<bigint>").toArrow()
+    if len(pc.unique(rows["y"])) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    rows.sort(key=lambda r: (r[0], r[1], r[2] or []))                                 # the same sums whatever the task order
+    rows = rows.sort_by("key")                                                       # the same sums whatever the task order
     w, b = fit(rows, len(chosen), p)
     return Model(chosen, w, b)
 
