@@ -1,7 +1,7 @@
 """Katz backoff scores of whole texts (operator 3).
 
 A bigram model over words and an end token per text. Counts up to five are discounted by
-Good-Turing ratios from the counts of counts, larger ones by a constant, so every context
+Good-Turing ratios of the counts of counts, larger ones by a constant, so every context
 keeps mass for what did not follow it; that mass goes to the remaining words in proportion
 to their unigram probability, with a weight that makes each context sum to one exactly.
 Unigrams are discounted alike, and what they leave is the unknown word's.
@@ -40,21 +40,29 @@ LOW = 5                               # counts up to this are discounted by Good
 @dataclass(frozen=True)
 class Katz:
     constant: float = 0.5             # what larger counts lose
-    tokens_per_bucket: int = 6_000_000
-    buckets: int = 24                 # at least
-    tokens_per_block: int = 4_000_000
+    tokens_per_bucket: int = 2_000_000     # of pairs
+    tokens_per_part: int = 8_000_000       # of the sums that go on
+    buckets: int = 24                 # at least, of either kind
+    tokens_per_block: int = 2_500_000
 
 
 def discounts(n: list[int], constant: float) -> np.ndarray:
-    """d[r] for r = 0..LOW from the counts of counts n[1..LOW+1]; where they give no ratio
-    between 0 and 1, the constant."""
-    d = np.array([1.0] + [(r - constant) / r for r in range(1, LOW + 1)])
-    if all(n[1:LOW + 2]):
-        a = (LOW + 1) * n[LOW + 1] / n[1]
-        got = np.array([((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a) if a != 1 else 0 for r in range(1, LOW + 1)])
+    """d[r] for r = 0..LOW from the counts of counts n[1..LOW+1]: Katz's ratios; where copies
+    in the corpus make one of them no ratio between 0 and 1, Good-Turing ratios of counts of
+    counts smoothed by a line through their logarithms; if that fails too, the constant."""
+    r = np.arange(1, LOW + 1)
+    constant_d = np.concatenate([[1.0], (r - constant) / r])
+    if not all(n[1:LOW + 2]):
+        return constant_d
+    n = np.array(n[:LOW + 2], float)
+    a = (LOW + 1) * n[LOW + 1] / n[1]
+    if a != 1:
+        got = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a)
         if ((got > 0) & (got < 1)).all():
-            d[1:] = got
-    return d
+            return np.concatenate([[1.0], got])
+    k = np.arange(1, LOW + 2)
+    slope = np.polyfit(np.log(k), np.log(n[1:]), 1)[0]
+    return np.concatenate([[1.0], (1 + 1 / r) ** (slope + 1)]) if slope < -1 else constant_d
 
 
 @dataclass(frozen=True)
@@ -83,7 +91,7 @@ def _tokens(w: spans.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     context = np.empty_like(word)
     context[1:] = word[:-1]
     context[np.concatenate([[0], end[:-1] + 1])] = BOS
-    return word, context, np.repeat(np.arange(w.rows), w.per_row + 1)
+    return word, context, np.repeat(np.arange(w.rows, dtype=np.int32), w.per_row + 1)
 
 
 def _unigram_counter(p: Katz):
@@ -150,8 +158,8 @@ def _blocks(p: Katz, n_buckets: int, hot: np.ndarray):
         size = docs = 0
 
         def flush():
-            word, context, doc = (np.concatenate([h[i] for h in held]) for i in range(3))
-            key, train = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+            word, context, doc, key, train = (np.concatenate([h[i] for h in held]) for i in range(5))
+            held.clear()
             where = _bucket(word, n_buckets)
             if len(hot):
                 is_hot = np.isin(word, hot)
@@ -177,7 +185,7 @@ def _blocks(p: Katz, n_buckets: int, hot: np.ndarray):
             keys, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, w in spans.words_of(batch.column(2)):
                 word, context, row = _tokens(w)
-                held.append((word, context, row + docs, keys[a:b], train[a:b]))
+                held.append((word, context, row + np.int32(docs), keys[a:b], train[a:b]))
                 size += len(word)
                 docs += b - a
                 if size >= p.tokens_per_block:
@@ -188,7 +196,7 @@ def _blocks(p: Katz, n_buckets: int, hot: np.ndarray):
     return run
 
 
-def _count(n_buckets: int, uni: Unigrams, p: Katz):
+def _count(n_parts: int, uni: Unigrams, p: Katz):
     """One bucket: counts of its pairs, then sums per text, sums per context, unseen pairs."""
     hot = np.array(sorted(uni.hot), np.uint64)
     hot_count = np.array([uni.hot[int(h)] for h in hot], np.int64)
@@ -197,16 +205,22 @@ def _count(n_buckets: int, uni: Unigrams, p: Katz):
         blocks = [_unpack(x) for x in table["block"].to_pylist()]
         word = np.concatenate([np.repeat(x["word"], x["word_n"]) for x in blocks])
         context = np.concatenate([x["names"][x["context"]] for x in blocks])
-        pair_of = [np.repeat(np.arange(len(x["n"])), x["n"]) for x in blocks]
-        train_n = np.concatenate([np.bincount(at, x["train"][x["doc"]], len(x["n"])) for x, at in zip(blocks, pair_of)]).astype(np.int64)
-        order = np.lexsort((context, word))
-        w, h = word[order], context[order]
-        start = _runs(w, h)
-        group = np.zeros(len(w), np.int64)
+
+        def pair_of(x):
+            return np.repeat(np.arange(len(x["n"]), dtype=np.int32), x["n"])
+
+        train_n = np.concatenate([np.bincount(pair_of(x), x["train"][x["doc"]], len(x["n"])).astype(np.int32) for x in blocks])
+        order = np.lexsort((context, word)).astype(np.int32)
+        word, context = word[order], context[order]
+        start = _runs(word, context)
+        group = np.zeros(len(word), np.int32)
         group[start[1:]] = 1
-        group = np.cumsum(group)
+        group = np.cumsum(group, dtype=np.int32)
         seen = np.bincount(group, train_n[order]).astype(np.int64)            # c(h, w)
-        gw, gh = w[start], h[start]
+        gw, gh = word[start], context[start]
+        back = np.empty(len(word), np.int32)
+        back[order] = group                                                   # pair of a block -> group
+        del word, context, order, group, train_n
         wstart = _runs(gw)
         sums = np.add.reduceat(seen, wstart)
         if len(hot):
@@ -215,9 +229,6 @@ def _count(n_buckets: int, uni: Unigrams, p: Katz):
             sums[is_hot] = hot_count[at[is_hot]]
         cw = np.repeat(sums, np.diff(np.append(wstart, len(gw))))             # c(w)
         prob = uni.prob(cw)
-        back = np.empty(len(w), np.int64)
-        back[order] = group                                                   # pair of a block -> group
-
         low = np.bincount(np.minimum(seen, LOW + 2), minlength=LOW + 3)[:LOW + 2]
         out = {"bucket": [-1], "block": [None], "low": [low.tolist()]}
         value = np.where(seen > LOW, np.log10(np.maximum(seen, 1) - p.constant), 0.0) + np.where(seen == 0, np.log10(prob), 0.0)
@@ -234,18 +245,18 @@ def _count(n_buckets: int, uni: Unigrams, p: Katz):
                     part.setdefault(name, []).append(a[idx])
 
         offset = 0
-        for x, at in zip(blocks, pair_of):
-            g = back[offset:offset + len(x["n"])][at]
+        for x in blocks:
+            g = back[offset:offset + len(x["n"])][pair_of(x)]
             offset += len(x["n"])
             d, n = x["doc"], len(x["key"])
             cols = {"key": x["key"], "tokens": np.bincount(d, minlength=n), "known": np.bincount(d, known[g], n).astype(np.int64),
                     "base": np.bincount(d, base[g], n), "sum": np.bincount(d, value[g] + as_context[g], n)}
             for r in range(1, LOW + 1):
                 cols[f"n{r}"] = np.bincount(d, seen[g] == r, n).astype(np.int64)
-            send(_bucket(x["key"].view(np.uint64), n_buckets), cols)
+            send(_bucket(x["key"].view(np.uint64), n_parts), cols)
             un = np.flatnonzero(seen[g] == 0)
             if len(un):
-                send(_bucket(gh[g[un]], n_buckets), {"un_h": gh[g[un]], "un_key": x["key"][d[un]]})
+                send(_bucket(gh[g[un]], n_parts), {"un_h": gh[g[un]], "un_key": x["key"][d[un]]})
         # contexts of this bucket's seen pairs
         s = np.flatnonzero(seen)
         names, at = np.unique(gh[s], return_inverse=True)
@@ -253,7 +264,7 @@ def _count(n_buckets: int, uni: Unigrams, p: Katz):
                 "h_more": np.bincount(at, seen[s] > LOW, len(names)).astype(np.int64)}
         for r in range(1, LOW + 1):
             cols[f"h{r}"] = np.bincount(at, seen[s] == r, len(names)).astype(np.int64)
-        send(_bucket(names, n_buckets), cols)
+        send(_bucket(names, n_parts), cols)
         for b, part in parts.items():
             packed = {}
             for name, arrays in part.items():
@@ -288,7 +299,7 @@ def _finish(d: np.ndarray, p: Katz):
             score = score + col(f"n{r}", float) * rank[r - 1]
         h, at = np.unique(col("h", np.uint64), return_inverse=True)
         c = np.bincount(at, col("h_c", float), len(h))
-        left = np.bincount(at, col("h_more", float) * p.constant, len(h))
+        left = np.bincount(at, col("h_more", float) * p.constant, len(h)).astype(float)
         for r in range(1, LOW + 1):
             left += np.bincount(at, col(f"h{r}", float), len(h)) * r * (1 - d[r])
         rest = 1 - np.bincount(at, col("h_p", float), len(h))
@@ -300,11 +311,12 @@ def _finish(d: np.ndarray, p: Katz):
             i = np.searchsorted(h, un).clip(max=len(h) - 1)
             hit = h[i] == un
             back[hit] = weight[i[hit]]
-        u, at = np.unique(key, return_inverse=True)
-        zero = np.zeros(len(u), np.int64)
-        return pa.table({"key": np.concatenate([col("key", np.int64), u]), "tokens": np.concatenate([col("tokens", np.int64), zero]),
-                         "known": np.concatenate([col("known", np.int64), zero]), "base": np.concatenate([col("base", float), zero.astype(float)]),
-                         "score": np.concatenate([score, np.bincount(at, back, len(u))])})
+        texts, at = np.unique(np.concatenate([col("key", np.int64), key]), return_inverse=True)
+        own, more = at[:len(score)], at[len(score):]
+        n = len(texts)
+        return pa.table({"key": texts, "tokens": np.bincount(own, col("tokens", float), n).astype(np.int64),
+                         "known": np.bincount(own, col("known", float), n).astype(np.int64), "base": np.bincount(own, col("base", float), n).astype(float),
+                         "score": np.bincount(own, score, n) + np.bincount(more, back, n).astype(float)})
     return run
 
 
@@ -330,11 +342,11 @@ def scores(docs: DataFrame, held_out: Column, p: Katz = Katz()) -> DataFrame:
 
     dealt = C.arrow_map(keyed.select("key", (~F.col("held_out")).alias("train"), "text"),
                         _blocks(p, n_buckets, np.array(sorted(hot), np.uint64)), "bucket int, block binary")
-    counted = C.stored(dealt.groupBy("bucket").applyInArrow(_count(n_buckets, uni, p), "bucket int, block binary, low array<bigint>"), "katz")
+    counted = C.stored(C.arrow_groups(dealt, ["bucket"], _count(max(p.buckets, -(-total // p.tokens_per_part)), uni, p), "bucket int, block binary, low array<bigint>"), "katz")
     pairs = counted.filter("bucket = -1").agg(*[F.sum(F.get("low", F.lit(r))) for r in range(LOW + 2)]).first()
     disc = discounts([int(x or 0) for x in pairs], p.constant)
-    sums = (counted.filter("bucket >= 0").select("bucket", "block").groupBy("bucket")
-            .applyInArrow(_finish(disc, p), "key bigint, tokens bigint, known bigint, base double, score double")
+    sums = (C.arrow_groups(counted.filter("bucket >= 0").select("bucket", "block"), ["bucket"], _finish(disc, p),
+                           "key bigint, tokens bigint, known bigint, base double, score double")
             .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")]))
     rows = keyed.select("key", "doc_id", "held_out")
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
