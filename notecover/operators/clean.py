@@ -15,11 +15,16 @@ from notecover.functions import text as TX
 # label, prediction and probability columns of a prediction file (PF-13).
 YES_WORDS = ("yes", "y", "true", "t")
 NO_WORDS = ("no", "n", "false", "f")
-LABEL_NAMES = ("label", "y_true", "true", "ground_truth", "gt")
-PRED_NAMES = ("prediction", "pred", "y_pred", "predicted")
-PROB_NAMES = ("prob_1", "prob_pos", "pred_prob_pos", "probability", "score")
-LOGIT_NAMES = ("logits", "logit", "raw_logits")
-TEXT_NAMES = (("IdeaUnit", "idea_unit", "text_1"), ("NoteText", "note_text", "segment_text", "text_2"))
+LABEL_NAMES = ("label", "true_label", "y_true", "ground_truth")
+PRED_NAMES = ("prediction", "pred", "pred_label", "y_pred", "yhat")
+PROB_NAMES = ("prob_1", "p1", "score_1", "proba_1", "probability_1")
+PROB0_NAMES = ("prob_0", "p0", "score_0", "proba_0")
+ARRAY_PREFIXES = ("logit", "score", "pred")          # text columns so named may hold "[a, b]"
+MORE_LABEL_NAMES = ("label", "y_true", "true", "ground_truth", "gt")
+MORE_PRED_NAMES = ("prediction", "pred", "y_pred", "predicted")
+# Columns of the examples table (PF-18).
+IDEA_NAMES = ("IdeaUnit", "ideaunit", "idea_unit", "Idea Unit")
+NOTE_NAMES = ("NoteText", "note", "Note", "Segment1_Notes", "Segment2_Notes", "Segment3_Notes", "Segment4_Notes", "note_text")
 
 
 def clean_name(name: str) -> str:
@@ -145,51 +150,57 @@ def percent_rescale(df: DataFrame, score="score", out: str | None = None) -> Dat
 def infer_columns(df: DataFrame) -> dict[str, str]:
     """PF-13: find label / prediction / probability / logits columns.
 
-    Names first (plan time). If label or prediction is still missing, one aggregate over
-    all candidate columns tests 'only 0/1' (numeric) and 'only yes/no words' (text).
-    """
-    cols = {c.lower(): c for c in df.columns}
+    Names first (plan time), in two passes. One aggregate tests contents: text columns with
+    values like "[a, b]" (logits; others may not parse), and, if label or prediction is missing,
+    'only 0/1' numbers and 'only yes/no words'. Raises ValueError if label or prediction
+    is not found."""
+    cols = df.columns
     found: dict[str, str] = {}
     for key, names in (("label", LABEL_NAMES), ("pred", PRED_NAMES), ("prob_pos", PROB_NAMES),
-                       ("logits_col", LOGIT_NAMES)):
-        for n in names:
-            if n.lower() in cols:
-                found[key] = cols[n.lower()]
-                break
-    if "label" in found and "pred" in found:
-        return found
+                       ("label", MORE_LABEL_NAMES), ("pred", MORE_PRED_NAMES)):
+        hit = next((n for n in names if n in cols), None)
+        if hit is not None:
+            found.setdefault(key, hit)
+    prob0 = next((n for n in PROB0_NAMES if n in cols), None)
+    if prob0 is not None and "prob_pos" in found:
+        found["prob_neg"] = prob0
+
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    words = YES_WORDS[:1] + NO_WORDS[:1] + ("true", "false", "1", "0")
-    aggs = [F.bool_and(F.col(c).isNull() | F.col(c).isin(0, 1)).alias(f"n::{c}") for c in numeric]
-    aggs += [F.bool_and(F.col(c).isNull() | F.lower(F.col(c)).isin(*words)).alias(f"s::{c}") for c in texts]
-    if not aggs:
-        return found
-    r = df.agg(*aggs).first().asDict()
-    for c in numeric:
-        if r[f"n::{c}"] and c not in found.values():
-            if "label" not in found:
-                found["label"] = c
-            elif "pred" not in found:
-                found["pred"] = c
-    for c in texts:
-        if r[f"s::{c}"] and c not in found.values():
-            if "label" not in found:
-                found["label"] = c
-            elif "pred" not in found:
-                found["pred"] = c
+    arrays = [c for c in texts if c.lower().startswith(ARRAY_PREFIXES)]
+    open_ = "label" not in found or "pred" not in found
+    words = ("yes", "no", "true", "false", "1", "0")
+
+    def col(c):
+        return F.col(f"`{c}`")
+
+    aggs = [F.bool_or(col(c).startswith("[") & col(c).contains(",")).alias(f"a::{c}") for c in arrays]
+    if open_:
+        aggs += [F.bool_and(col(c).isin(0, 1)).alias(f"n::{c}") for c in numeric]
+        aggs += [F.bool_and(F.lower(col(c)).isin(*words)).alias(f"s::{c}") for c in texts]
+    r = df.agg(*aggs).first().asDict() if aggs else {}
+    logits = next((c for c in cols if r.get(f"a::{c}")), None)
+    if logits is not None:
+        found["logits_col"] = logits
+    for kind, group in (("n", numeric), ("s", texts)) if open_ else ():
+        for c in group:
+            if r[f"{kind}::{c}"] is not False and c not in found.values():          # null: no value contradicts
+                if "label" not in found:
+                    found["label"] = c
+                elif "pred" not in found:
+                    found["pred"] = c
+    if "label" not in found or "pred" not in found:
+        raise ValueError(f"could not find label and prediction columns; there are {cols}")
     return found
 
 
 def choose_text_columns(df: DataFrame) -> tuple[str | None, str | None]:
-    """PF-18: text columns for the examples table: known names, else the two string columns
-    with the greatest mean length (one aggregate, k columns compared on the driver)."""
-    cols = set(df.columns)
-    picked = []
-    for names in TEXT_NAMES:
-        picked.append(next((n for n in names if n in cols), None))
-    if all(picked):
-        return picked[0], picked[1]
+    """PF-18: text columns for the examples table: the first two of the known idea and note
+    names that are there (one alone stays alone); with none, the two string columns with
+    the greatest mean length (one aggregate, k columns compared on the driver)."""
+    named = [n for n in IDEA_NAMES + NOTE_NAMES if n in df.columns]
+    if named:
+        return (named + [None])[0], (named + [None])[1]
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strs:
         return None, None

@@ -11,18 +11,36 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+#: Size of a side with nested columns: above every bound, so it is never broadcast.
+UNMEASURED = (1 << 62, 1 << 62)
+
 _SIZES: dict[tuple, tuple[int, int]] = {}
 
 
+#: Join types whose rows do not depend on how the small side is shipped: a salted join
+#: replicates the small side, so its unmatched rows must never be part of the result.
+SAFE_JOINS = ("inner", "left", "left_semi", "left_anti")
+
+
+def _check_how(how: str) -> None:
+    if how not in SAFE_JOINS:
+        raise ValueError(f"join type {how!r} is not supported here; use one of {SAFE_JOINS}")
+
+
 def _field_bytes(f: T.StructField):
+    """Payload bytes of a column, or None for a type whose content is not measured."""
     c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
     if isinstance(f.dataType, T.StringType):
         return F.coalesce(F.octet_length(c), F.lit(0)) + 16
     if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
         return F.coalesce(F.aggregate(c, F.lit(0), lambda acc, x: acc + F.coalesce(F.octet_length(x), F.lit(0)) + 16),
                           F.lit(0)) + 16
-    if isinstance(f.dataType, T.ArrayType):
+    if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.NumericType, T.BooleanType)):
         return F.coalesce(F.size(c), F.lit(0)) * 16 + 16
+    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return None
     return F.lit(8)
 
 
@@ -40,6 +58,8 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
     if key is not None and key in _SIZES:
         return _SIZES[key]
     parts = [_field_bytes(f) for f in df.schema.fields]
+    if any(p is None for p in parts):
+        return UNMEASURED
     row_bytes = parts[0] if parts else F.lit(8)
     for p in parts[1:]:
         row_bytes = row_bytes + p
@@ -68,9 +88,10 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     """Shuffle join that spreads each key over ``buckets`` tasks.
 
     The big side gets salt = pmod(hash(salt_from or all columns), buckets); the small side
-    is replicated once per salt value. Used when the small side is too big to broadcast
+    is replicated once per salt value; only the join types of ``SAFE_JOINS`` are accepted. Used when the small side is too big to broadcast
     and a few keys hold most rows (e.g. topics).
     """
+    _check_how(how)
     src = F.col(salt_from) if salt_from else F.struct(*[F.col(f"`{c}`") for c in big.columns])
     b = big.withColumn("_salt", F.pmod(F.hash(src), F.lit(buckets)))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
@@ -84,6 +105,7 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
 
     Broadcast when the side is measured under the bounds; otherwise a salted shuffle join
     so that no single key lands in one task."""
+    _check_how(how)
     n, b = measured_size(small)
     if n <= max_rows and b <= max_bytes:
         return big.join(F.broadcast(small), keys, how)

@@ -1,8 +1,8 @@
 """Prompt text (F-19, F-20), prompt truncation (F-21) and pair encoding (F-23).
 
-The wording of the prompts is ours; what is kept from the reference is the structure:
-instructions, the idea, the note, (for one-shot) a worked example with its YES/NO
-answer, and a final 'Answer:' cue. Token counts use the F-14 word/punctuation tokens.
+The instructions are a parameter with a plain default. A prompt is instructions, (for
+one-shot) a worked example with its YES/NO answer, the idea, the note, and a final
+'Answer:' cue. Token counts use the F-14 word/punctuation tokens.
 """
 
 from __future__ import annotations
@@ -12,13 +12,10 @@ from pyspark.sql import functions as F
 
 from notecover.functions import text as T
 
+# Default wording; callers pass their own through ``instructions``.
 INSTRUCTIONS = (
-    "Task: say whether a student's note states one given idea from a lecture.\n"
-    "Count it as stated when the note gives the same meaning, even in other words, shorthand,\n"
-    "with spelling mistakes or with clear abbreviations.\n"
-    "Count it as missing when only a keyword or two appear, when the note only hints at the\n"
-    "topic, when it names related concepts but not this idea, or when the meaning is partial.\n"
-    "If in doubt, the answer is NO. Reply with a single word, YES or NO.\n"
+    "Does the note express the idea?\n"
+    "Reply YES or NO.\n"
 )
 EXAMPLE_HEAD = "\nWorked example\nIDEA:\n"
 EXAMPLE_NOTE = "\nNOTE:\n"
@@ -32,24 +29,26 @@ def _s(c: Column) -> Column:
     return T.py_strip(F.coalesce(c, F.lit("")))
 
 
-def zero_shot_parts(idea: Column, note: Column) -> list[Column]:
-    return [F.lit(INSTRUCTIONS + QUERY_HEAD.lstrip("\n")), _s(idea), F.lit(QUERY_NOTE), _s(note), F.lit(TAIL)]
+def zero_shot_parts(idea: Column, note: Column, instructions: str = INSTRUCTIONS) -> list[Column]:
+    return [F.lit(instructions + QUERY_HEAD.lstrip("\n")), _s(idea), F.lit(QUERY_NOTE), _s(note), F.lit(TAIL)]
 
 
-def one_shot_parts(idea: Column, note: Column, ex_idea: Column, ex_note: Column, ex_label: Column) -> list[Column]:
+def one_shot_parts(idea: Column, note: Column, ex_idea: Column, ex_note: Column, ex_label: Column,
+                   instructions: str = INSTRUCTIONS) -> list[Column]:
     ans = F.when(ex_label == 1, F.lit("YES")).otherwise(F.lit("NO"))
-    return [F.lit(INSTRUCTIONS + EXAMPLE_HEAD.lstrip("\n")), _s(ex_idea), F.lit(EXAMPLE_NOTE), _s(ex_note),
+    return [F.lit(instructions + EXAMPLE_HEAD.lstrip("\n")), _s(ex_idea), F.lit(EXAMPLE_NOTE), _s(ex_note),
             F.lit(EXAMPLE_ANSWER), ans, F.lit(QUERY_HEAD), _s(idea), F.lit(QUERY_NOTE), _s(note), F.lit(TAIL)]
 
 
-def zero_shot(idea: Column, note: Column) -> Column:
+def zero_shot(idea: Column, note: Column, instructions: str = INSTRUCTIONS) -> Column:
     """F-19: instructions, idea and note (both stripped), answer cue."""
-    return F.concat(*zero_shot_parts(idea, note))
+    return F.concat(*zero_shot_parts(idea, note, instructions))
 
 
-def one_shot(idea: Column, note: Column, ex_idea: Column, ex_note: Column, ex_label: Column) -> Column:
+def one_shot(idea: Column, note: Column, ex_idea: Column, ex_note: Column, ex_label: Column,
+             instructions: str = INSTRUCTIONS) -> Column:
     """F-20: as F-19 with one worked example and its YES/NO answer first."""
-    return F.concat(*one_shot_parts(idea, note, ex_idea, ex_note, ex_label))
+    return F.concat(*one_shot_parts(idea, note, ex_idea, ex_note, ex_label, instructions))
 
 
 def n_tokens(c: Column) -> Column:
@@ -63,7 +62,7 @@ def example_tokens(ex_idea: Column, ex_note: Column, ex_label: Column) -> Column
 
 
 def truncate_note(idea: Column, note: Column, max_tokens: int = 1024, example: dict | None = None,
-                  example_tokens_col: Column | None = None) -> tuple[Column, Column, Column]:
+                  example_tokens_col: Column | None = None, instructions: str = INSTRUCTIONS) -> tuple[Column, Column, Column]:
     """F-21: keep the prompt within ``max_tokens`` by cutting the note, never the
     instructions or the final cue. Returns (prompt, its token count, truncated flag).
 
@@ -74,10 +73,10 @@ def truncate_note(idea: Column, note: Column, max_tokens: int = 1024, example: d
     note_s = _s(note)
     note_toks = T.model_tokens(note_s)
     if example is None:
-        parts = zero_shot_parts(idea, note)
+        parts = zero_shot_parts(idea, note, instructions)
         fixed = sum((n_tokens(p) for i, p in enumerate(parts) if i != 3), F.lit(0))
     else:
-        parts = one_shot_parts(idea, note, **example)
+        parts = one_shot_parts(idea, note, **example, instructions=instructions)
         fixed_parts = [p for i, p in enumerate(parts) if i in (0, 2, 4, 6, 7, 8, 10)]
         ex = example_tokens_col if example_tokens_col is not None else example_tokens(**example)
         fixed = sum((n_tokens(p) for p in fixed_parts), F.lit(0)) + ex
@@ -86,9 +85,9 @@ def truncate_note(idea: Column, note: Column, max_tokens: int = 1024, example: d
     budget = F.greatest(F.lit(max_tokens) - fixed, F.lit(0))
     note_used = F.when(over, F.array_join(F.slice(note_toks, 1, budget), " ")).otherwise(note_s)
     if example is None:
-        prompt = zero_shot(idea, note_used)
+        prompt = zero_shot(idea, note_used, instructions)
     else:
-        prompt = one_shot(idea, note_used, **example)
+        prompt = one_shot(idea, note_used, **example, instructions=instructions)
     n = F.when(over, fixed + F.least(budget, F.size(note_toks))).otherwise(total)
     return prompt, n, over
 

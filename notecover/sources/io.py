@@ -17,8 +17,11 @@ from notecover.operators.clean import normalize_columns
 
 # Bytes that cp1252 leaves undefined: a file holding one of them is read as ISO-8859-1.
 CP1252_UNDEFINED = "\x81\x8d\x8f\x90\x9d"
+# Bytes 80-9F as ISO-8859-1 reads them, and the characters they are in cp1252.
+_C1 = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in CP1252_UNDEFINED)
+_CP1252 = _C1.encode("latin-1").decode("cp1252")
 # Preferred prediction file names, in order (IO-5).
-PREFERRED_PREDICTIONS = ("bert_eval_predictions.csv", "bert_test_predictions.csv", "predictions.csv")
+PREFERRED_PREDICTIONS = ("bert_predictions.csv", "predictions.csv", "results.csv", "bert_eval_predictions.csv")
 
 
 def _csv(spark: SparkSession, paths: Sequence[str], encoding: str, schema: T.StructType | None = None,
@@ -31,38 +34,36 @@ def _csv(spark: SparkSession, paths: Sequence[str], encoding: str, schema: T.Str
 
 
 def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """IO-1 decision per file: UTF-8 if the bytes are valid UTF-8, else windows-1252 (when the
-    session allows that charset), else ISO-8859-1 (also for bytes cp1252 leaves undefined).
-
-    One binaryFile job; it loads each file as one row, so keep it to files under 2 GB."""
-    cp1252_ok = str(spark.conf.get("spark.sql.legacy.javaCharsets", "false")).lower() == "true"
-    files = spark.read.format("binaryFile").load(list(paths))
-    latin = F.decode(F.col("content"), "ISO-8859-1")
-    undefined = F.regexp_like(latin, F.lit("[" + CP1252_UNDEFINED + "]"))
-    checked = files.select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("ok"),
-                           undefined.alias("undef")).collect()
-    out = {}
-    for r in checked:
-        if r["ok"]:
-            out[r["path"]] = "UTF-8"
-        elif cp1252_ok and not r["undef"]:
-            out[r["path"]] = "windows-1252"
-        else:
-            out[r["path"]] = "ISO-8859-1"
-    return out
+    """IO-1 decision per file: UTF-8 if all its lines are valid UTF-8, else windows-1252, else
+    (a byte that cp1252 leaves undefined) ISO-8859-1. No session setting takes part.
+
+    Lines are checked as they are read, so a file may be of any size; one row per file
+    that holds a line comes back. A file without lines is not listed."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    undefined = F.regexp_like(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), F.lit("[" + CP1252_UNDEFINED + "]"))
+    checked = (lines.select("path", F.is_valid_utf8("value").alias("ok"), undefined.alias("undef"))
+               .groupBy("path").agg(F.bool_and("ok").alias("ok"), F.bool_or("undef").alias("undef")).collect())
+    return {r["path"]: "UTF-8" if r["ok"] else "ISO-8859-1" if r["undef"] else "windows-1252" for r in checked}
+
+
+def _from_latin1(df: DataFrame) -> DataFrame:
+    """cp1252 text that was read as ISO-8859-1: bytes 80-9F get their characters, in names too."""
+    table = str.maketrans(_C1, _CP1252)
+    return df.select(*[(F.translate(F.col(f"`{f.name}`"), _C1, _CP1252) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`"))
+                       .alias(f.name.translate(table)) for f in df.schema.fields])
 
 
 def read_csv_smart(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """IO-1: read CSV files, each with the encoding that decodes it (see detect_encodings);
     a UTF-8 BOM is dropped by the reader; header names are cleaned."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    enc = detect_encodings(spark, paths)
+    enc = detect_encodings(spark, paths) or {p: "UTF-8" for p in paths}
     groups: dict[str, list[str]] = {}
     for p, e in enc.items():
         groups.setdefault(e, []).append(p)
     out = None
     for e, ps in sorted(groups.items()):
-        part = _csv(spark, ps, e)
+        part = _from_latin1(_csv(spark, ps, "ISO-8859-1")) if e == "windows-1252" else _csv(spark, ps, e)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -139,6 +139,22 @@ def test_salted_join_equals_plain_join(spark):
     assert got == want
     forced = join_small(big, small, ["topic"], "left", buckets=7, salt_from="id", max_rows=1)
     assert sorted(tuple(r) for r in forced.collect()) == want
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain = sorted(tuple(r) for r in big.join(small, "topic", how).collect())
+        for bound in (1, 10_000):                                           # salted, broadcast
+            assert sorted(tuple(r) for r in join_small(big, small, ["topic"], how, salt_from="id", max_rows=bound).collect()) == plain
+    for how in ("right", "full", "outer"):
+        with pytest.raises(ValueError):
+            join_small(big, small, ["topic"], how)
+        with pytest.raises(ValueError):
+            salted_join(big, small, ["topic"], how)
+
+
+def test_nested_columns_are_never_broadcast(spark):
+    from notecover.operators.joins import BROADCAST_MAX_BYTES, measured_size
+    nested = spark.range(2).selectExpr("id", "struct(repeat('x', 1000) AS t) AS s")
+    assert measured_size(nested)[1] > BROADCAST_MAX_BYTES
+    assert measured_size(spark.range(2).selectExpr("cast(repeat('x', 1000) AS binary) AS b"))[1] >= 2000
 
 
 def test_metrics_with_overall_equals_separate(spark):
