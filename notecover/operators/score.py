@@ -91,6 +91,13 @@ def overlap_py(idea: str | None, note: str | None) -> float:
     return len(a & b) / len(a) if a else 0.0
 
 
+def lexical_scores(df: DataFrame, idea_col: str = "idea_unit", note_col: str = "note", no_logit: float = 0.2) -> DataFrame:
+    """The shipped scorer as column expressions: yes logit = lexical overlap (F-9), no logit = a
+    constant. Same values as :func:`lexical_scorer_factory` without leaving the JVM; no text
+    is sent to Python."""
+    return df.withColumn("yes_logit", TX.lexical_overlap(idea_col, note_col)).withColumn("no_logit", F.lit(float(no_logit)))
+
+
 def lexical_scorer_factory(idea_col: str = "idea_unit", note_col: str = "note", no_logit: float = 0.2):
     """Deterministic shipped scorer: yes logit = lexical overlap, no logit = a constant."""
     def factory():

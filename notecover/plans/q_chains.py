@@ -144,8 +144,7 @@ def q_prompted_chain(spark, sf_dir):
     zero = F.col("ex_pos").isNull()
     j = j.select("pair_id", "label", "idea_unit", F.col("segment_text").alias("note"), zero.alias("zero"),
                  F.when(zero, z_p).otherwise(o_p).alias("prompt"), F.when(zero, z_over).otherwise(o_over).alias("over"))
-    scored = SC.batch_score(j.filter(F.col("label").isNotNull()), SC.lexical_scorer_factory("idea_unit", "note"),
-                            "yes_logit double, no_logit double", keep=("pair_id", "label", "zero", "over"))   # X-3
+    scored = SC.lexical_scores(j.filter(F.col("label").isNotNull()), "idea_unit", "note")   # X-3
     s = scored.withColumn("pred_llm", SC.yes_no_label())                 # F-22
     c = s.agg(F.count(F.lit(1)).alias("n"), F.count_if("over").alias("n_truncated"),
               F.count_if("zero").alias("n_zero_shot"), *M.binary_counters("label", "pred_llm")[1:])
@@ -162,15 +161,12 @@ SELECT n_in, n_in - n AS n_dropped, n, tp, fp, fn, tn, {S.metric_cols()} FROM (
   WHERE label IS NOT NULL AND pred_llm IS NOT NULL) c""", "pairs"))
 def q_prompted_evaluation(spark, sf_dir):
     p = FX.pairs(spark, sf_dir, with_text=True).select("pair_id", "label", "idea_unit", F.col("segment_text").alias("note"))
-    pred = SC.batch_score(p, SC.lexical_scorer_factory("idea_unit", "note"), "yes_logit double, no_logit double",
-                          keep=("pair_id", "label")).withColumn("pred_llm", SC.yes_no_label())
+    pred = SC.lexical_scores(p, "idea_unit", "note").withColumn("pred_llm", SC.yes_no_label())
     CL.require_columns(pred, ["pair_id", "label", "pred_llm"], "llm predictions")       # PF-2
-    n_in = pred.count()
-    m = M.binary_metrics(CL.complete_cases(pred, "label", "pred_llm"), "label", "pred_llm").first()   # PF-12, A-1, A-2
-    row = (n_in, n_in - m["n"], m["n"], m["tp"], m["fp"], m["fn"], m["tn"], m["accuracy"], m["precision"],
-           m["recall"], m["f1"])
-    return r6(spark.createDataFrame([row], "n_in long, n_dropped long, n long, tp long, fp long, fn long, tn long, "
-                                           "accuracy double, precision double, recall double, f1 double"))
+    both = F.col("label").isNotNull() & F.col("pred_llm").isNotNull()
+    c = pred.agg(F.count(F.lit(1)).alias("n_in"), F.count_if(both).alias("n"),          # PF-12, A-1, A-2 in one pass
+                 *M.binary_counters("label", "pred_llm")[1:])
+    return r6(c.select("n_in", (F.col("n_in") - F.col("n")).alias("n_dropped"), "n", "tp", "fp", "fn", "tn", *M.metric_columns()))
 
 
 # ---------------------------------------------------------------- X-4 trained pair classifier (rows-only check)

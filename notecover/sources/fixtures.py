@@ -50,9 +50,10 @@ def pairs(spark: SparkSession, sf_dir: str, with_text: bool = False, carry=None)
         extra = [c for c in n.columns if c not in ("experiment", "topic", "id") + SEGMENTS]
     if not with_text:
         n = n.select("experiment", "topic", "id", *extra)
+    # labels belong to notes: joined per note, so no exchange above the fan-out carries text
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"),
                                                 F.col("quality").alias("label"))
-    p = join_small(n, ideas(spark, sf_dir), ["topic"], salt_from="id").join(lab, "id", "left")
+    p = join_small(n.join(lab, "id", "left"), ideas(spark, sf_dir), ["topic"], salt_from="id")
     seg = ((F.col("id") + F.col("pos")) % 4 + 1).cast("int")
     cols = [(F.col("id") * 100000 + F.col("pos")).alias("pair_id"), "experiment", "topic", "id",
             seg.alias("segment"), "idea_unit", "pos", "label"]
