@@ -339,6 +339,19 @@ def _examples_table(spark, sf_dir):
                             "segment", keep=("pair_id",))
 
 
+def _examples_slim(spark, sf_dir):
+    """The examples table without its texts: what ranking needs."""
+    s = FX.scored(spark, sf_dir).withColumn("_t", F.lit(""))
+    return ER.eval_examples(s, "y", "prediction", "score", "_t", "_t", "id", "segment", keep=("pair_id",)).drop("text_1", "text_2")
+
+
+def _fetch_text(spark, sf_dir, top):
+    """Texts for the at most k ranked rows: the few rows are broadcast, the pairs are not shuffled."""
+    p = FX.pairs(spark, sf_dir, with_text=True).select("pair_id", F.col("idea_unit").alias("text_1"), F.col("segment_text").alias("text_2"))
+    return p.join(F.broadcast(top), "pair_id").select("pair_id", "true_label", "pred_label", "pred_prob_pos", "text_1", "text_2",
+                                                      "ID", "Segment", "correct")
+
+
 @query("eval_examples", W(f"SELECT {EX_COLS} FROM exm", "scored", "pairs", extra=(EX_CTE,)))
 def q_eval_examples(spark, sf_dir):
     return r6(_examples_table(spark, sf_dir))
@@ -348,23 +361,23 @@ def q_eval_examples(spark, sf_dir):
 SELECT {EX_COLS} FROM exm WHERE true_label = 0 AND pred_label = 1 ORDER BY pred_prob_pos DESC, pair_id LIMIT 50""",
                    "scored", "pairs", extra=(EX_CTE,)))
 def q_top_fp(spark, sf_dir):
-    return r6(ER.top_false_positives(_examples_table(spark, sf_dir), 50, "pair_id"))
+    return r6(_fetch_text(spark, sf_dir, ER.top_false_positives(_examples_slim(spark, sf_dir), 50, "pair_id")))
 
 
 @query("top_fn", W(f"""
 SELECT {EX_COLS} FROM exm WHERE true_label = 1 AND pred_label = 0 ORDER BY pred_prob_pos ASC, pair_id LIMIT 50""",
                    "scored", "pairs", extra=(EX_CTE,)))
 def q_top_fn(spark, sf_dir):
-    return r6(ER.top_false_negatives(_examples_table(spark, sf_dir), 50, "pair_id"))
+    return r6(_fetch_text(spark, sf_dir, ER.top_false_negatives(_examples_slim(spark, sf_dir), 50, "pair_id")))
 
 
 @query("random_errors", W(f"""
 SELECT {EX_COLS} FROM exm WHERE true_label = 1 AND pred_label = 0
 ORDER BY md5('42-' || CAST(pair_id AS VARCHAR)), pair_id LIMIT 50""", "scored", "pairs", extra=(EX_CTE,)))
 def q_random_errors(spark, sf_dir):
-    return r6(ER.random_errors(_examples_table(spark, sf_dir), "fn", 50, 42, "pair_id"))
+    return r6(_fetch_text(spark, sf_dir, ER.random_errors(_examples_slim(spark, sf_dir), "fn", 50, 42, "pair_id")))
 
 
 @query("first_examples", W(f"SELECT {EX_COLS} FROM exm ORDER BY pair_id LIMIT 20", "scored", "pairs", extra=(EX_CTE,)))
 def q_first_examples(spark, sf_dir):
-    return r6(ER.first_examples(_examples_table(spark, sf_dir), 20, "pair_id"))
+    return r6(_fetch_text(spark, sf_dir, ER.first_examples(_examples_slim(spark, sf_dir), 20, "pair_id")))
