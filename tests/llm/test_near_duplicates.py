@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from llm_fixtures import docs_of  # noqa: F401  (a fixture)
 
 from notecover.llm import embeddings, minhash
 from notecover.llm import common as C

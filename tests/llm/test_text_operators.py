@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from llm_fixtures import docs_of  # noqa: F401  (a fixture)
 from pyspark.sql import functions as F
 
 from notecover.llm import common as C
