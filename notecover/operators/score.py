@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notecover.functions import text as TX
+from notecover.operators.similarity import cosine_tf_expr
 
 
 def softmax(z) -> Column:
@@ -109,18 +110,19 @@ def lexical_scorer_factory(idea_col: str = "idea_unit", note_col: str = "note",
 
 
 # ------------------------------------------------------------------------------ X-4, X-6
-FEATURES = ("f_jaccard", "f_levenshtein", "f_overlap", "f_number", "f_cover")
+FEATURES = ("f_jaccard", "f_levenshtein", "f_overlap", "f_number", "f_cover", "f_cosine")
 
 
 def pair_features(df: DataFrame, idea: str = "idea_unit", note: str = "note_text") -> DataFrame:
     """Features of a pair for the trained classifier: Jaccard, Levenshtein ratio, lexical
-    overlap, number match and share of idea words present (all JVM expressions)."""
+    overlap, number match, share of idea words present and term-count cosine (all JVM
+    expressions)."""
     a, b = TX.strip_lower(idea), TX.strip_lower(note)
     return df.select("*", TX.jaccard(a, b).alias("f_jaccard"), TX.levenshtein_ratio(a, b).alias("f_levenshtein"),
                      TX.lexical_overlap(idea, note).alias("f_overlap"),
                      TX.number_match(a, b).cast("double").alias("f_number"),
                      TX.overlap_of_sets(F.array_distinct(TX.word_tokens(a)), F.array_distinct(TX.word_tokens(b)))
-                     .alias("f_cover"))
+                     .alias("f_cover"), cosine_tf_expr(a, b).alias("f_cosine"))
 
 
 def train_pair_classifier(train: DataFrame, label: str = "label", reg_param: float = 0.01,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from notecover.functions import text as T
 from notecover.operators import clean as CL
 from notecover.operators import curves as C
 from notecover.operators import metrics as M
@@ -169,10 +170,40 @@ def q_prompted_evaluation(spark, sf_dir):
     return r6(c.select("n_in", (F.col("n_in") - F.col("n")).alias("n_dropped"), "n", "tp", "fp", "fn", "tn", *M.metric_columns()))
 
 
-# ---------------------------------------------------------------- X-4 trained pair classifier (rows-only check)
+# ---------------------------------------------------------------- X-4 features, and the trained classifier (rows-only check)
 def _features(spark, sf_dir):
     spans = _spans(spark, sf_dir).filter(F.col("label").isNotNull())
-    return SC.pair_features(SP.random_split(spans, 42, 0.2, "pair_id"), "idea_unit", "note_text")
+    f = SC.pair_features(SP.random_split(spans, 42, 0.2, "pair_id"), "idea_unit", "note_text")
+    return f.select("pair_id", "experiment", "topic", "label", "split", *SC.FEATURES)      # no texts beyond this point
+
+
+def _ratio_sql(num: str, den: str) -> str:
+    return f"CASE WHEN {den} > 0 THEN {num} / {den} ELSE 0.0 END"
+
+
+FEATURE_CTES = ALIGNED_CTES[:len(SPAN_CTES) + 1] + (
+    f"pf0 AS (SELECT pair_id, label, split, idea_unit, note_text, {S.strip_lower('idea_unit')} AS a, "
+    f"{S.strip_lower('note_text')} AS b FROM sp JOIN rs USING (pair_id))",
+    f"pf1 AS (SELECT *, list_distinct({S.ws_tokens('a')}) AS ja, list_distinct({S.ws_tokens('b')}) AS jb, "
+    f"{S.token_sort('a')} AS sa, {S.token_sort('b')} AS sb, {S.overlap_set('idea_unit')} AS oa, {S.overlap_set('note_text')} AS ob, "
+    f"regexp_extract_all(a, '\\p{{Nd}}+') AS na, regexp_extract_all(b, '\\p{{Nd}}+') AS nb, "
+    f"list_distinct(regexp_extract_all(a, '{T.WORD}')) AS wa, list_distinct(regexp_extract_all(b, '{T.WORD}')) AS wb, "
+    f"list_histogram(regexp_extract_all(lower(a), '{T.TOK2}')) AS ha, list_histogram(regexp_extract_all(lower(b), '{T.TOK2}')) AS hb FROM pf0)",
+    "pf2 AS (SELECT *, list_sum(list_transform(map_keys(ha), lambda k: ha[k] * coalesce(hb[k], 0))) AS dot, "
+    "list_sum(list_transform(map_values(ha), lambda x: x * x)) * list_sum(list_transform(map_values(hb), lambda x: x * x)) AS nn FROM pf1)",
+)
+
+
+@query("pair_features", W(f"""
+SELECT pair_id, label, split,
+  round(CASE WHEN len(ja) = 0 OR len(jb) = 0 THEN 0.0 ELSE len(list_intersect(ja, jb)) / len(list_distinct(list_concat(ja, jb))) END, 6) AS f_jaccard,
+  round({S.levenshtein_ratio('sa', 'sb')}, 6) AS f_levenshtein,
+  round({_ratio_sql('len(list_intersect(oa, ob))', 'len(oa)')}, 6) AS f_overlap,
+  CAST(len(na) > 0 AND na = nb AS DOUBLE) AS f_number,
+  round({_ratio_sql('len(list_intersect(wa, wb))', 'len(wa)')}, 6) AS f_cover,
+  round(CASE WHEN nn > 0 THEN dot / sqrt(nn) ELSE 0.0 END, 6) AS f_cosine FROM pf2""", "pairs", extra=FEATURE_CTES))
+def q_pair_features(spark, sf_dir):
+    return r6(_features(spark, sf_dir).drop("experiment", "topic"))
 
 
 @query("train_pair_classifier")

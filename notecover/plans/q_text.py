@@ -54,16 +54,21 @@ def q_cosine_tf(spark, sf_dir):
     return r6(SIM.cosine_tf(a, "pair_id", "response", "correct_answer").select("pair_id", "cosine"))
 
 
-# ---------------------------------------------------------------- F-4 (no SQL: LCS on whole texts)
-@query("fuzzy_indel")
+# ---------------------------------------------------------------- F-4 (whole texts)
+SORTED_CTE = f"st AS (SELECT pair_id, {S.token_sort(RESP)} AS a, {S.token_sort(ANS)} AS b FROM answers)"
+
+
+@query("fuzzy_indel", W(f"SELECT pair_id, round({S.indel_ratio('x')}, 6) AS fuzzy FROM xq", "answers",
+                        extra=(SORTED_CTE,) + S.lcs_ctes("st", "x")))
 def q_fuzzy_indel(spark, sf_dir):
     a = FX.answers(spark, sf_dir)
     f = lcs.token_sort_ratio(T.strip_lower("response"), T.strip_lower("correct_answer"))
     return r6(a.select("pair_id", f.alias("fuzzy")))
 
 
-# ---------------------------------------------------------------- F-5 (no SQL: the oracle's edit distance counts bytes)
-@query("fuzzy_levenshtein")
+# ---------------------------------------------------------------- F-5 (whole texts)
+@query("fuzzy_levenshtein", W(f"SELECT pair_id, round({S.levenshtein_ratio('a', 'b')}, 6) AS levenshtein_ratio FROM st",
+                              "answers", extra=(SORTED_CTE,)))
 def q_fuzzy_levenshtein(spark, sf_dir):
     a = FX.answers(spark, sf_dir)
     f = T.levenshtein_ratio(T.strip_lower("response"), T.strip_lower("correct_answer"))
@@ -194,8 +199,21 @@ def q_best_sweep(spark, sf_dir):
     return r6(SW.best_sweep(SW.threshold_sweep(_sweep_input(spark, sf_dir), "score", "label", "guard", SWEEP_GRID)))
 
 
-# ---------------------------------------------------------------- P-1 rule chain (fuzzy score; no SQL)
-@query("rule_chain")
+# ---------------------------------------------------------------- P-1 rule chain (fuzzy score)
+CR, CA = S.strip_lower("response"), S.strip_lower("correct_answer")
+RULE_CTES = (
+    f"cl AS (SELECT pair_id, label, {_clean_sql('response')} AS response, {_clean_sql('correct_answer')} AS correct_answer FROM answers)",
+    f"cs AS (SELECT pair_id, label, {GUARD_SQL} AS guard, {S.token_sort(CR)} AS a, {S.token_sort(CA)} AS b FROM cl)",
+) + S.lcs_ctes("cs", "r") + (
+    f"rf AS (SELECT c.label, c.guard, {S.indel_ratio('r')} AS score FROM cs c JOIN rq USING (pair_id))",)
+
+
+@query("rule_chain", W(f"""
+SELECT n, correct, tp, fp, fn, {S.metric_cols(correct='correct')} FROM (
+  SELECT count(*) AS n, count(*) FILTER (WHERE label = pl) AS correct, count(*) FILTER (WHERE label = 1 AND pl = 1) AS tp,
+    count(*) FILTER (WHERE label <> 1 AND pl = 1) AS fp, count(*) FILTER (WHERE label = 1 AND pl <> 1) AS fn, 0 AS tn
+  FROM (SELECT label, CASE WHEN guard THEN -1 WHEN score > 0.6 THEN 1 WHEN score > 0.59 THEN 0 ELSE -1 END AS pl
+        FROM rf) x) c""", "answers", extra=RULE_CTES))
 def q_rule_chain(spark, sf_dir):
     a = FX.answers(spark, sf_dir)
     cleaned = a.select("pair_id", "label", *[SIM.clean_text(c).alias(c) for c in ("response", "correct_answer")])
@@ -203,8 +221,13 @@ def q_rule_chain(spark, sf_dir):
     return r6(M.ovr_metrics(scored, "label", "predicted_label"))
 
 
-# ---------------------------------------------------------------- P-2 rule tuning (fuzzy score once, sweep; no SQL)
-@query("rule_tuning")
+# ---------------------------------------------------------------- P-2 rule tuning (fuzzy score once, sweep)
+@query("rule_tuning", W("""
+SELECT result_1_limit, result_0_limit, round(n_correct / n, 6) AS accuracy, n_correct, n FROM (
+  SELECT g.result_1_limit, g.result_0_limit, count(*) AS n, count(*) FILTER (WHERE label = CASE WHEN guard THEN -1
+    WHEN score > g.result_1_limit THEN 1 WHEN score > g.result_0_limit THEN 0 ELSE -1 END) AS n_correct
+  FROM grid g, rf GROUP BY ALL) x
+ORDER BY n_correct / n DESC, result_1_limit, result_0_limit LIMIT 1""", "answers", extra=RULE_CTES + (GRID_SQL,)))
 def q_rule_tuning(spark, sf_dir):
     a = FX.answers(spark, sf_dir)
     cleaned = a.select("pair_id", "label", *[SIM.clean_text(c).alias(c) for c in ("response", "correct_answer")])

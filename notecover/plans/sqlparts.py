@@ -45,3 +45,62 @@ def cumulative(hist_cte: str) -> str:
     return (f"SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg, "
             f"sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM {hist_cte} "
             f"WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")
+
+
+def token_sort(expr: str) -> str:
+    """Whitespace tokens in code point order, joined by one space."""
+    return f"array_to_string(list_sort({ws_tokens(expr)}), ' ')"
+
+
+_BLOCK = 60
+_FULL = (1 << _BLOCK) - 1
+
+
+def lcs_ctes(src: str, px: str) -> tuple[str, ...]:
+    """LCS length of two texts of any length: table ``{px}q`` (pair_id, total, lcs) of ``src`` (pair_id, a, b).
+
+    The bit-parallel recurrence of Hyyrö (2004) over blocks of 60 bits: the positions of each
+    character of the shorter text are masks, the longer text is folded character by character,
+    and the carry travels through the blocks."""
+    add = "(e[1] + (e[1] & e[2]) + acc.c)"
+    step = (f"list_reduce(list_zip(v, m), lambda acc, e: {{'o': list_append(acc.o, ({add} & {_FULL}) | (e[1] - (e[1] & e[2]))), "
+            f"'c': {add} >> {_BLOCK}}}, {{'o': CAST([] AS BIGINT[]), 'c': CAST(0 AS BIGINT)}}).o")
+    ones = (f"list_transform(range((length(s) + {_BLOCK - 1}) // {_BLOCK}), lambda k: CASE WHEN (k + 1) * {_BLOCK} <= length(s) "
+            f"THEN CAST({_FULL} AS BIGINT) ELSE (CAST(1 AS BIGINT) << CAST(length(s) - k * {_BLOCK} AS INTEGER)) - 1 END)")
+    return (
+        f"{px}p AS (SELECT pair_id, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS l, "
+        f"CASE WHEN length(a) >= length(b) THEN b ELSE a END AS s FROM {src})",
+        f"{px}ch AS (SELECT s, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) - 1 AS i "
+        f"FROM (SELECT DISTINCT s FROM {px}p WHERE s <> '') d)",
+        f"{px}bl AS (SELECT s, c, i // {_BLOCK} AS k, CAST(sum(CAST(1 AS BIGINT) << CAST(i % {_BLOCK} AS INTEGER)) AS BIGINT) AS m "
+        f"FROM {px}ch GROUP BY ALL)",
+        f"{px}mk AS (SELECT s, c, map(list(k), list(m)) AS mk FROM {px}bl GROUP BY ALL)",
+        f"{px}mp AS (SELECT s, map(list(c), list(list_transform(range((length(s) + {_BLOCK - 1}) // {_BLOCK}), "
+        f"lambda k: coalesce(mk[k], 0)))) AS masks, {ones} AS ones FROM {px}mk GROUP BY s)",
+        f"{px}v AS (SELECT pair_id, ones, list_reduce(list_filter(list_transform(string_split(l, ''), lambda x: masks[x]), "
+        f"lambda x: x IS NOT NULL), lambda v, m: {step}, ones) AS v FROM {px}p JOIN {px}mp USING (s))",
+        f"{px}q AS (SELECT p.pair_id, length(l) + length(s) AS total, coalesce(length(s) - "
+        f"list_sum(list_transform(list_zip(v.v, v.ones), lambda e: bit_count(e[1] & e[2]))), 0) AS lcs "
+        f"FROM {px}p p LEFT JOIN {px}v v USING (pair_id))",
+    )
+
+
+def indel_ratio(px: str) -> str:
+    """F-4 from a row of ``{px}q``."""
+    return f"CASE WHEN {px}q.total = 0 THEN 1.0 ELSE 2 * {px}q.lcs / {px}q.total END"
+
+
+def edit_distance(a: str, b: str) -> str:
+    """Edit distance in characters: DuckDB's function counts bytes, so each distinct character
+    of the two texts is first replaced by a one-byte character (more than 127: an error)."""
+    chars = f"list_distinct(string_split({a} || {b}, ''))"
+    frm = f"array_to_string({chars}, '')"
+    to = (f"CASE WHEN len({chars}) > 127 THEN error('more than 127 distinct characters') "
+          f"ELSE array_to_string(list_transform(range(len({chars})), lambda i: chr(CAST(i + 1 AS INTEGER))), '') END")
+    return f"CASE WHEN {a} = {b} THEN 0 ELSE levenshtein(translate({a}, {frm}, {to}), translate({b}, {frm}, {to})) END"
+
+
+def levenshtein_ratio(a: str, b: str) -> str:
+    """F-5 on two token-sorted texts."""
+    return (f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 "
+            f"ELSE 1 - ({edit_distance(a, b)}) / greatest(length({a}), length({b})) END")
