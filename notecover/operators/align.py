@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notecover.functions import text as T
-from notecover.operators.joins import join_small
+from notecover.operators.joins import join_derived
 
 
 def idea_order(train: DataFrame, test: DataFrame | None = None, order_col: str = "pair_id",
@@ -38,7 +38,8 @@ def idea_order(train: DataFrame, test: DataFrame | None = None, order_col: str =
 
 def idea_position(pairs: DataFrame, order: DataFrame) -> DataFrame:
     """J-4: attach (j, k) of each pair's idea; unknown ideas keep nulls (segment fallback)."""
-    return join_small(pairs, order, ["topic", "idea_unit"], "left")
+    salt = "pair_id" if "pair_id" in pairs.columns else None
+    return join_derived(pairs, order, ["topic", "idea_unit"], "left", salt_from=salt)
 
 
 def align_interval(j="j", k="k", segment="segment", margin: float = 0.1) -> tuple[Column, Column]:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notecover.session import cut_lineage
+
 # Broadcast only below this many bytes (measured, not estimated) and rows.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 BROADCAST_MAX_ROWS = 2_000_000
@@ -14,9 +16,6 @@ BROADCAST_MAX_ROWS = 2_000_000
 #: Size of a side with nested columns: above every bound, so it is never broadcast.
 UNMEASURED = (1 << 62, 1 << 62)
 
-_SIZES: dict[tuple, tuple[int, int]] = {}
-
-
 #: Join types whose rows do not depend on how the small side is shipped: a salted join
 #: replicates the small side, so its unmatched rows must never be part of the result.
 SAFE_JOINS = ("inner", "left", "left_semi", "left_anti")
@@ -49,14 +48,9 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
 
     Strings count their UTF-8 bytes plus 16, string arrays their elements' bytes, other
     arrays 16 bytes per element, other fields 8 bytes: an upper-bound style estimate of
-    the broadcast payload. Results are remembered per (plan, input files), so the same
-    small table measured by several operators of a query costs one job."""
-    try:
-        key = (df.semanticHash(), tuple(sorted(df.inputFiles())))
-    except Exception:  # noqa: BLE001 - no plan hash available: measure every time
-        key = None
-    if key is not None and key in _SIZES:
-        return _SIZES[key]
+    the broadcast payload. Nothing is remembered: a table replaced in place is measured
+    again. Measure tables or materialised results, not a pipeline that would then run
+    twice (see :func:`join_derived`)."""
     parts = [_field_bytes(f) for f in df.schema.fields]
     if any(p is None for p in parts):
         return UNMEASURED
@@ -64,10 +58,7 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
     for p in parts[1:]:
         row_bytes = row_bytes + p
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes.cast("long")).alias("b")).first()
-    out = (int(r["n"]), int(r["b"] or 0))
-    if key is not None:
-        _SIZES[key] = out
-    return out
+    return int(r["n"]), int(r["b"] or 0)
 
 
 def broadcast_if_bounded(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES,
@@ -84,21 +75,25 @@ def broadcast_if_bounded(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES,
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                buckets: int = 32, salt_from: str | None = None) -> DataFrame:
-    """Shuffle join that spreads each key over ``buckets`` tasks.
+                buckets: int | None = None, salt_from: str | None = None) -> DataFrame:
+    """Shuffle join that spreads each key over ``buckets`` tasks (by default half of the
+    session's shuffle partitions, at least 32, so that one hot key can use the cluster).
 
     The big side gets salt = pmod(hash(salt_from or all columns), buckets); the small side
-    is replicated once per salt value; only the join types of ``SAFE_JOINS`` are accepted. Used when the small side is too big to broadcast
-    and a few keys hold most rows (e.g. topics).
+    is replicated once per salt value; only the join types of ``SAFE_JOINS`` are accepted.
+    Used when the small side is too big to broadcast and a few keys hold most rows
+    (e.g. topics).
     """
     _check_how(how)
+    if buckets is None:
+        buckets = max(32, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     src = F.col(salt_from) if salt_from else F.struct(*[F.col(f"`{c}`") for c in big.columns])
     b = big.withColumn("_salt", F.pmod(F.hash(src), F.lit(buckets)))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return b.join(s, keys + ["_salt"], how).drop("_salt")
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", buckets: int = 32,
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", buckets: int | None = None,
                salt_from: str | None = None, max_bytes: int = BROADCAST_MAX_BYTES,
                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Join a large table with a side expected to be small, keyed by few hot keys (topics).
@@ -110,3 +105,10 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     if n <= max_rows and b <= max_bytes:
         return big.join(F.broadcast(small), keys, how)
     return salted_join(big, small, keys, how, buckets, salt_from)
+
+
+def join_derived(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
+                 salt_from: str | None = None) -> DataFrame:
+    """:func:`join_small` for a side that is itself the result of a pipeline: it is written
+    once to the checkpoint folder, and both the measurement and the join read that."""
+    return join_small(big, cut_lineage(small), keys, how, salt_from=salt_from)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notecover.functions import text as T
-from notecover.operators.joins import join_small
+from notecover.operators.joins import join_derived, join_small
 
 SEGMENTS = ("segment1_notes", "segment2_notes", "segment3_notes", "segment4_notes")
 
@@ -105,7 +105,12 @@ def one_shot_examples(train: DataFrame, order_col: str = "pair_id", text_col: st
     return agg.select("topic", "_e.*")
 
 
-def one_shot_join(pairs: DataFrame, examples: DataFrame) -> DataFrame:
+def one_shot_join(pairs: DataFrame, examples: DataFrame, order_col: str = "pair_id") -> DataFrame:
     """J-5: attach the topic's example (broadcast after a size check); a topic without one
-    keeps null example columns and falls back to the zero-shot prompt."""
-    return join_small(pairs, examples, ["topic"], "left")
+    keeps null example columns and falls back to the zero-shot prompt. ``is_self`` marks the
+    pair that is its own example (it is kept)."""
+    salt = order_col if order_col in pairs.columns else None
+    j = join_derived(pairs, examples, ["topic"], "left", salt_from=salt)
+    if salt is None:
+        return j
+    return j.withColumn("is_self", F.coalesce(F.col("ex_pos") == F.col(order_col), F.lit(False)))

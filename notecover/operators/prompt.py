@@ -61,10 +61,11 @@ def example_tokens(ex_idea: Column, ex_note: Column, ex_label: Column) -> Column
     return n_tokens(_s(ex_idea)) + n_tokens(_s(ex_note)) + n_tokens(ans)
 
 
-def truncate_note(idea: Column, note: Column, max_tokens: int = 1024, example: dict | None = None,
-                  example_tokens_col: Column | None = None, instructions: str = INSTRUCTIONS) -> tuple[Column, Column, Column]:
-    """F-21: keep the prompt within ``max_tokens`` by cutting the note, never the
-    instructions or the final cue. Returns (prompt, its token count, truncated flag).
+def cut_note(idea: Column, note: Column, max_tokens: int = 1024, example: dict | None = None,
+             example_tokens_col: Column | None = None, instructions: str = INSTRUCTIONS) -> tuple[Column, Column, Column]:
+    """F-21: (note as it fits into a prompt of ``max_tokens``, the prompt's token count,
+    truncated flag). The note is cut, never the instructions or the final cue; this is the
+    note that a scorer of the prompt gets to see.
 
     Parts are joined at whitespace, so the prompt's token count is the sum of the parts'
     counts: the fixed template parts are literals (folded at planning), the example's
@@ -84,12 +85,17 @@ def truncate_note(idea: Column, note: Column, max_tokens: int = 1024, example: d
     over = total > max_tokens
     budget = F.greatest(F.lit(max_tokens) - fixed, F.lit(0))
     note_used = F.when(over, F.array_join(F.slice(note_toks, 1, budget), " ")).otherwise(note_s)
-    if example is None:
-        prompt = zero_shot(idea, note_used, instructions)
-    else:
-        prompt = one_shot(idea, note_used, **example, instructions=instructions)
     n = F.when(over, fixed + F.least(budget, F.size(note_toks))).otherwise(total)
-    return prompt, n, over
+    return note_used, n, over
+
+
+def truncate_note(idea: Column, note: Column, max_tokens: int = 1024, example: dict | None = None,
+                  example_tokens_col: Column | None = None, instructions: str = INSTRUCTIONS) -> tuple[Column, Column, Column]:
+    """F-21: (prompt with the note cut to fit, its token count, truncated flag); see :func:`cut_note`."""
+    note_used, n, over = cut_note(idea, note, max_tokens, example, example_tokens_col, instructions)
+    if example is None:
+        return zero_shot(idea, note_used, instructions), n, over
+    return one_shot(idea, note_used, **example, instructions=instructions), n, over
 
 
 def head_truncate(prompt: Column, max_tokens: int = 1024) -> Column:
