@@ -82,7 +82,11 @@ def classification_report(df: DataFrame, y="y", y_pred="prediction") -> DataFram
     Long form: (class, precision, recall, f1, support). The accuracy row carries the
     accuracy in ``f1`` (as in the text report) and null precision / recall.
     """
-    cells = df.groupBy(_c(y).alias("t"), _c(y_pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return report_of_cells(df.groupBy(_c(y).alias("t"), _c(y_pred).alias("p")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def report_of_cells(cells: DataFrame) -> DataFrame:
+    """A-5 from a table of counts (t, p, n); several rows per (t, p) add up."""
     true_side = cells.groupBy(F.col("t").alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"))
     pred_side = cells.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("pred_n"))

@@ -66,13 +66,17 @@ def segment_text(pairs: DataFrame, notes: DataFrame, seg_cols: Sequence[str] = S
 
 
 def full_notes(pairs: DataFrame, notes: DataFrame, seg_cols: Sequence[str] = SEGMENTS,
-               order_cols: Sequence[str] = ("id",)) -> DataFrame:
+               order_cols: Sequence[str] = ("id",), tokens_col: str | None = None) -> DataFrame:
     """J-3 + PF-10: full note text of (topic, id[, experiment]), first match, '' if none.
 
-    A keep-first aggregate and one equi-join replace the per-pair scan of the notes."""
+    A keep-first aggregate and one equi-join replace the per-pair scan of the notes.
+    ``tokens_col`` gives the note's tokens (F-14) instead of its text, tokenised once per
+    note, before the pairs fan out."""
     keys = ["topic", "id"] + (["experiment"] if "experiment" in pairs.columns and "experiment" in notes.columns else [])
     n = keep_first(notes.select(*keys, *seg_cols, *[c for c in order_cols if c not in keys and c not in seg_cols]),
                    keys, order_cols)
+    if tokens_col:
+        return pairs.join(n.select(*keys, T.model_tokens(full_text(seg_cols)).alias(tokens_col)), keys, "left")
     n = n.select(*keys, full_text(seg_cols).alias("full_notes"))
     return pairs.join(n, keys, "left").withColumn("full_notes", F.coalesce("full_notes", F.lit("")))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notecover.functions import text as T
+from notecover.operators import align as AL
 from notecover.operators import clean as CL
 from notecover.operators import curves as C
+from notecover.operators import errors as ER
 from notecover.operators import metrics as M
 from notecover.operators import pairs as PR
 from notecover.operators import prompt as PM
@@ -15,7 +17,7 @@ from notecover.operators import score as SC
 from notecover.operators import split as SP
 from notecover.plans import sqlparts as S
 from notecover.plans.q_model import SPAN_CTES, _spans, one_shot_sql, toks_sql, zero_shot_sql
-from notecover.plans.q_prep import EXAMPLE_CTES, RANDOM_CTE, _examples
+from notecover.plans.q_prep import EXAMPLE_CTES, RANDOM_CTE, _coerced_sql, _examples, _raw_train, int_sql, num_sql, strip_sql
 from notecover.plans.registry import query, r6
 from notecover.session import cut_lineage
 from notecover.sources import fixtures as FX
@@ -38,13 +40,13 @@ def best_ctes(src: str, px: str) -> tuple[str, ...]:
     )
 
 
-def record_sql(src: str, px: str) -> str:
-    """A-22 record of table ``src`` (y, score) at the threshold of ``{px}bt``."""
-    return f"""SELECT 'threshold' AS decision, n_eval, {S.metric_cols('n_eval')}, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc,
+def record_sql(src: str, px: str, decision: str = "threshold", pred: str = "score >= t") -> str:
+    """A-22 record of table ``src`` (y, score) at the threshold of ``{px}bt``; ``pred`` is the decision."""
+    return f"""SELECT '{decision}' AS decision, n_eval, {S.metric_cols('n_eval')}, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc,
   round(CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2 END, 6) AS balanced_accuracy,
   round(threshold, 6) AS threshold FROM (
-  SELECT count(*) AS n_eval, count(*) FILTER (WHERE y = 1 AND score >= t) AS tp, count(*) FILTER (WHERE y <> 1 AND score >= t) AS fp,
-    count(*) FILTER (WHERE y = 1 AND score < t) AS fn, count(*) FILTER (WHERE y <> 1 AND score < t) AS tn, max(t) AS threshold,
+  SELECT count(*) AS n_eval, count(*) FILTER (WHERE y = 1 AND {pred}) AS tp, count(*) FILTER (WHERE y <> 1 AND {pred}) AS fp,
+    count(*) FILTER (WHERE y = 1 AND NOT ({pred})) AS fn, count(*) FILTER (WHERE y <> 1 AND NOT ({pred})) AS tn, max(t) AS threshold,
     (SELECT CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (N - cum_neg + neg / 2)) / (max(P) * max(N)) END FROM {px}hc) AS roc_auc,
     (SELECT CASE WHEN max(P) > 0 THEN sum(pos * (cum_pos / (cum_pos + cum_neg))) / max(P) END FROM {px}hc) AS pr_auc
   FROM {src}, (SELECT threshold AS t FROM {px}bt) tt) a"""
@@ -54,26 +56,80 @@ def metric_record(df, y="y", score="score", model_pred=None):
     return R.metric_record(df, y, score, model_pred)
 
 
-# ---------------------------------------------------------------- P-3 aligned chain with the lexical scorer
+# ---------------------------------------------------------------- P-3 aligned chain, from dirty tables to test predictions
 OV_SPAN = (f"CASE WHEN len({S.overlap_set('idea_unit')}) = 0 THEN 0.0 ELSE len(list_intersect({S.overlap_set('idea_unit')}, "
            f"{S.overlap_set('note_text')})) / len({S.overlap_set('idea_unit')}) END")
-ALIGNED_CTES = SPAN_CTES + (
-    RANDOM_CTE,
-    f"asc0 AS (SELECT pair_id, label AS y, {OV_SPAN} AS score FROM sp)",
+RECORD = ("n_eval", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "balanced_accuracy", "threshold")
+
+
+def _on_clean(cte: str) -> str:
+    """A CTE over the fixture tables, moved to the cleaned tables of the chain."""
+    return cte.replace("FROM pairs", "FROM apairs").replace("FROM notes", "FROM anotes")
+
+
+ALIGNED_CTES = (
+    f"anotes AS (SELECT coalesce({strip_sql('experiment_raw')}, 'UNK') AS experiment, {strip_sql('topic_raw')} AS topic, "
+    f"{int_sql(num_sql('id_raw'))} AS id, segment1_notes, segment2_notes, segment3_notes, segment4_notes FROM raw_notes "
+    f"WHERE {strip_sql('topic_raw')} IS NOT NULL AND {num_sql('id_raw')} IS NOT NULL)",
+    f"atr AS ({_coerced_sql(True)})",
+    f"ats AS (SELECT * FROM ({_coerced_sql(False)}) c WHERE label IS NULL)",
+    "apairs AS (SELECT t.pair_id, coalesce(m.experiment, 'UNK') AS experiment, t.topic, t.id, t.segment, t.idea_unit, t.label "
+    "FROM atr t LEFT JOIN (SELECT topic, id, arg_min(experiment, id) AS experiment FROM anotes GROUP BY topic, id) m "
+    "ON m.topic = t.topic AND m.id = t.id UNION ALL SELECT pair_id, experiment, topic, id, segment, idea_unit, label FROM ats)",
+) + tuple(_on_clean(c) for c in SPAN_CTES + (RANDOM_CTE,)) + (
+    f"asc0 AS (SELECT sp.pair_id, a.experiment, a.topic, sp.label AS y, {OV_SPAN} AS score FROM "
+    "(SELECT pair_id, label, idea_unit, note_text FROM sp) sp JOIN (SELECT pair_id, experiment, topic FROM apairs) a USING (pair_id))",
     "aval AS (SELECT a.* FROM asc0 a JOIN rs USING (pair_id) WHERE rs.split = 'val')",
-) + best_ctes("aval", "v")
-
-
-@query("aligned_chain", W(record_sql("aval", "v"), "pairs", extra=ALIGNED_CTES))
+) + best_ctes("aval", "v") + (
+    "ath AS (SELECT a.*, CAST(score >= threshold AS INTEGER) AS pred FROM aval a, vbt)",
+) + S.report_ctes("ath", "y", "pred", "a")
+ALIGNED_SQL = S.long_union(
+    [S.long_rows("record", f"({record_sql('aval', 'v', d, c)}) r", {k: k for k in RECORD}, "decision")
+     for d, c in (("model", "score > 0.2"), ("threshold", "score >= t"))]
+    + S.evaluation_rows("ath", "y", "pred", "a", "ath", ("experiment", "topic"))
+    + [S.long_rows("test", "(SELECT count(*) AS n, count(*) FILTER (WHERE score >= threshold) AS n_positive "
+                   "FROM asc0, vbt WHERE y IS NULL) t", {"n": "n", "n_positive": "n_positive"})])
+
+
+def _clean_pairs(spark, sf_dir):
+    """Cleaned train (with the experiment of its note) and test pairs, and cleaned notes."""
+    raw = _raw_train(spark, sf_dir)
+    notes = FX.raw_notes(spark, sf_dir).withColumnsRenamed(
+        {"experiment_raw": "experiment", "topic_raw": "topic", "id_raw": "id"})
+    notes = CL.coerce_notes(notes)                                       # PF-3
+    cols = ("pair_id", "experiment", "topic", "id", "segment", "idea_unit", "label")
+    train = CL.coerce_pairs(raw, labelled=True)                          # PF-4, PF-6
+    train = PR.attach_experiment(train, notes, ("id",)).select(*cols)    # J-1
+    test = CL.coerce_pairs(raw, labelled=False).filter(F.col("label").isNull()).select(*cols)     # PF-5
+    return train.unionByName(test), notes
+
+
+def _scored_spans(spark, sf_dir):
+    """Every pair's aligned span scored; texts end here: (pair_id, experiment, topic, y, score)."""
+    pairs, notes = _clean_pairs(spark, sf_dir)
+    order = AL.idea_order(pairs.withColumn("_src", F.col("label").isNull().cast("int")),
+                          order_col="pair_id", source_col="_src")        # W-1
+    j = AL.idea_position(pairs, order)                                   # J-4, before any text is attached
+    j = PR.full_notes(j, notes, tokens_col="_toks_note")                 # J-3
+    spans = AL.aligned_span(j, tokens_col="_toks_note", idea_tokens_col="n_idea_tokens")     # F-10 ... F-14
+    scored = SC.lexical_scores(spans, "idea_unit", "note_text")          # X-3
+    return scored.select("pair_id", "experiment", "topic", F.col("label").alias("y"), F.col("yes_logit").alias("score"),
+                         SC.yes_no_label().alias("pred_llm"))
+
+
+@query("aligned_chain", W(ALIGNED_SQL, "raw_train", "raw_notes", extra=ALIGNED_CTES))
 def q_aligned_chain(spark, sf_dir):
-    spans = _spans(spark, sf_dir)                                       # J-3, W-1, J-4, F-10 ... F-14
-    labelled = spans.filter(F.col("label").isNotNull()).select("pair_id", "label", "idea_unit", "note_text")
-    val = SP.random_split(labelled, 42, 0.2, "pair_id").filter(F.col("split") == "val")    # W-5
-    scored = SC.batch_score(val.select("pair_id", "label", "idea_unit", "note_text"),      # X-3
-                            SC.lexical_scorer_factory("idea_unit", "note_text"), "yes_logit double, no_logit double",
-                            keep=("pair_id", "label"))
-    s = scored.select(F.col("label").alias("y"), F.col("yes_logit").alias("score"))
-    return r6(metric_record(s))                                         # A-18, A-22
+    s = cut_lineage(_scored_spans(spark, sf_dir))        # read by the tuning, the evaluation and the test predictions
+    val = SP.random_split(s.filter(F.col("y").isNotNull()), 42, 0.2, "pair_id", cache_keys=False) \
+        .filter(F.col("split") == "val")                                 # W-5
+    record = metric_record(val, model_pred="pred_llm")                   # A-18, A-22
+    t = record.filter("decision = 'threshold'").first()["threshold"]
+    at_t = val.withColumn("pred", SC.apply_threshold("score", t))        # F-17
+    test = s.filter(F.col("y").isNull()).select(SC.apply_threshold("score", t).alias("pred"))          # X-7
+    test = test.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") == 1).alias("n_positive"))
+    return r6(R.long_rows(record, "record", RECORD, F.col("decision"))
+              .unionByName(R.evaluation(at_t, "y", "pred", ("experiment", "topic")))        # A-1 ... A-6, A-13, A-14
+              .unionByName(R.long_rows(test, "test", ["n", "n_positive"])))
 
 
 # ---------------------------------------------------------------- P-4 error analysis of a prediction file
@@ -85,51 +141,89 @@ def _prediction_file(spark, sf_dir):
                      F.col("z").alias("logits"))
 
 
-@query("error_analysis", W(f"""
-SELECT n, {S.metric_cols()}, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision, fp AS n_fp, fn AS n_fn
-FROM (SELECT {S.counters('y', 'prediction')} FROM ea) c,
-  (SELECT CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (N - cum_neg + neg / 2)) / (max(P) * max(N)) END AS roc_auc,
-          CASE WHEN max(P) > 0 THEN sum(pos * (cum_pos / (cum_pos + cum_neg))) / max(P) END AS average_precision FROM eac) r""",
-                           "logits", extra=(
+EA_CTES = (
     "ea0 AS (SELECT id, y, CASE WHEN TRY_CAST(z AS DOUBLE[]) IS NULL THEN NULL ELSE "
     "list_position(TRY_CAST(z AS DOUBLE[]), list_max(TRY_CAST(z AS DOUBLE[]))) - 1 END AS prediction, "
     "TRY_CAST(z AS DOUBLE[]) AS a FROM logits)",
     "ea AS (SELECT id, y, prediction, exp(a[2] - list_max(a)) / (exp(a[1] - list_max(a)) + exp(a[2] - list_max(a))) AS score "
     "FROM ea0 WHERE y IS NOT NULL AND prediction IS NOT NULL)",
     "eah AS (" + S.histogram("ea") + ")",
-    "eac AS (" + S.cumulative("eah") + ")")))
+    "eac AS (" + S.cumulative("eah") + ")",
+    "eam AS (SELECT min(score) AS mn, max(score) AS mx FROM ea)",
+    "eab AS (SELECT CAST(least(floor((score - mn) * 20 / (mx - mn)), 19) AS INTEGER) AS bin, count(*) AS n FROM ea, eam GROUP BY 1)",
+) + S.report_ctes("ea", "y", "prediction", "e")
+AT = "CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR)"        # a score as a key
+
+
+def _top_sql(section: str, cond: str, order: str) -> str:
+    return S.long_rows(section, f"(SELECT id, score FROM ea WHERE {cond} ORDER BY score {order}, id LIMIT 50) t",
+                       {"score": "score"}, "CAST(id AS VARCHAR)")
+
+
+ERROR_SQL = S.long_union(
+    S.evaluation_rows("ea", "y", "prediction", "e", "ea0")
+    + [S.long_rows("ranking", """(SELECT
+         CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (N - cum_neg + neg / 2)) / (max(P) * max(N)) END AS roc_auc,
+         CASE WHEN max(P) > 0 THEN sum(pos * (cum_pos / (cum_pos + cum_neg))) / max(P) END AS average_precision,
+         CASE WHEN max(P) > 0 THEN sum((cum_pos / P - (cum_pos - pos) / P) * (cum_pos / (cum_pos + cum_neg)
+           + CASE WHEN cum_pos - pos + cum_neg - neg > 0 THEN (cum_pos - pos) / (cum_pos - pos + cum_neg - neg)
+                  ELSE 1.0 END) / 2) END AS pr_auc FROM eac) r""", {k: k for k in ("roc_auc", "average_precision", "pr_auc")}),
+       S.long_rows("pr_curve", "eac", {"precision": "cum_pos / (cum_pos + cum_neg)",
+                                       "recall": "CASE WHEN P > 0 THEN cum_pos / P ELSE 1.0 END"}, AT),
+       S.long_rows("roc_curve", "eac", {"fpr": "CASE WHEN N > 0 THEN cum_neg / N END", "tpr": "CASE WHEN P > 0 THEN cum_pos / P END"}, AT),
+       S.long_rows("histogram", "(SELECT range AS bin, mn + range * ((mx - mn) / 20) AS lo, mn + (range + 1) * ((mx - mn) / 20) AS hi, "
+                   "coalesce(n, 0) AS n FROM range(20) CROSS JOIN eam LEFT JOIN eab ON bin = range) h",
+                   {k: k for k in ("lo", "hi", "n")}, "CAST(bin AS VARCHAR)"),
+       _top_sql("top_fp", "y = 0 AND prediction = 1", "DESC"), _top_sql("top_fn", "y = 1 AND prediction = 0", "ASC")])
+
+
+@query("error_analysis", W(ERROR_SQL, "logits", extra=EA_CTES))
 def q_error_analysis(spark, sf_dir):
     df = _prediction_file(spark, sf_dir)
     found = CL.infer_columns(df)                                        # PF-13
-    d = df.select(CL.coerce_binary(found["label"]).alias("y"),           # PF-14
-                  CL.coerce_binary(found["pred"]).alias("prediction"),
+    d = df.select("id", CL.coerce_binary(found["label"]).cast("int").alias("y"),             # PF-14
+                  CL.coerce_binary(found["pred"]).cast("int").alias("prediction"),
                   SC.parse_logits(found["logits_col"]).alias("_a")) \
         .withColumn("score", SC.positive_prob("_a")).drop("_a")          # F-18
-    d = CL.complete_cases(d, "y", "prediction")                          # PF-12
-    d = CL.percent_rescale(d, "score")                                   # PF-15
-    m = M.binary_metrics(d, "y", "prediction").first().asDict()         # A-1, A-2
-    rk = C.ranking_summary(d, "y", "score").first()                     # A-7, A-8
-    auc, ap = rk["roc_auc"], rk["average_precision"]
-    row = (m["n"], m["accuracy"], m["precision"], m["recall"], m["f1"], auc, ap, m["fp"], m["fn"])
-    return r6(spark.createDataFrame([row], "n long, accuracy double, precision double, recall double, f1 double, "
-                                           "roc_auc double, average_precision double, n_fp long, n_fn long"))
+    every = cut_lineage(CL.percent_rescale(d, "score"))                  # PF-15; parsed once, read by each section
+    d = CL.complete_cases(every, "y", "prediction")                      # PF-12
+    at = F.round(F.col("threshold") * 1000000).cast("long").cast("string")
+    curve = F.col("threshold").isNotNull()                               # without the fixed end points
+    ex = d.select(F.col("y").alias("true_label"), F.col("prediction").alias("pred_label"),
+                  F.col("score").alias("pred_prob_pos"), F.col("id").alias("ID"), "score")
+    parts = [
+        R.long_rows(C.ranking_summary(d, "y", "score"), "ranking", ["roc_auc", "average_precision"]),     # A-7, A-8
+        R.long_rows(C.pr_auc_trapezoid(d, "y", "score"), "ranking", ["pr_auc"]),                          # A-9
+        R.long_rows(C.pr_curve(d, "y", "score").filter(curve), "pr_curve", ["precision", "recall"], at),  # A-10
+        R.long_rows(C.roc_curve(d, "y", "score").filter(curve), "roc_curve", ["fpr", "tpr"], at),         # A-11
+        R.long_rows(C.score_histogram(d, "score", 20), "histogram", ["lo", "hi", "n"], F.col("bin").cast("string")),     # A-12
+        R.long_rows(ER.top_false_positives(ex, 50), "top_fp", ["score"], F.col("ID").cast("string")),     # S-2
+        R.long_rows(ER.top_false_negatives(ex, 50), "top_fn", ["score"], F.col("ID").cast("string")),     # S-3
+    ]
+    out = R.evaluation(every, "y", "prediction")                         # A-1 ... A-6
+    for p in parts:
+        out = out.unionByName(p)
+    return r6(out)
 
 
 # ---------------------------------------------------------------- P-5 prompted chain (one-shot, truncation, scorer)
 PROMPT_CTES = EXAMPLE_CTES + (
-    f"pp0 AS (SELECT p.pair_id, p.label, p.idea_unit, p.segment_text, ex.ex_pos IS NULL AS zero, "
+    f"pp0 AS (SELECT p.pair_id, p.label, p.idea_unit, p.segment_text, ex.ex_pos IS NULL AS zero, ex.ex_pos = p.pair_id AS is_self, "
     f"CASE WHEN ex.ex_pos IS NULL THEN {zero_shot_sql('p.idea_unit', 'p.segment_text')} "
     f"ELSE {one_shot_sql('p.idea_unit', 'p.segment_text', 'ex.ex_idea', 'ex.ex_note', 'ex.ex_label')} END AS prompt "
     "FROM pairs p LEFT JOIN ex ON ex.topic = p.topic)",
-    f"pp AS (SELECT *, len({toks_sql('prompt')}) > 1024 AS over, "
-    f"CASE WHEN len({S.overlap_set('idea_unit')}) = 0 THEN 0.0 ELSE len(list_intersect({S.overlap_set('idea_unit')}, "
-    f"{S.overlap_set('segment_text')})) / len({S.overlap_set('idea_unit')}) END > 0.2 AS yes FROM pp0)",
+    f"pp1 AS (SELECT *, len({toks_sql('prompt')}) AS total, {toks_sql(strip_sql('segment_text'))} AS nt FROM pp0)",
+    "pp2 AS (SELECT *, total > 1024 AS over, CASE WHEN total > 1024 THEN "
+    "array_to_string(nt[1 : greatest(1024 - (total - len(nt)), 0)], ' ') ELSE segment_text END AS note FROM pp1)",
+    f"pp AS (SELECT *, CASE WHEN len({S.overlap_set('idea_unit')}) = 0 THEN 0.0 ELSE len(list_intersect({S.overlap_set('idea_unit')}, "
+    f"{S.overlap_set('note')})) / len({S.overlap_set('idea_unit')}) END > 0.2 AS yes FROM pp2)",
 )
 
 
 @query("prompted_chain", W(f"""
-SELECT n, n_truncated, n_zero_shot, tp, fp, fn, tn, {S.metric_cols()} FROM (
+SELECT n, n_truncated, n_zero_shot, n_self, tp, fp, fn, tn, {S.metric_cols()} FROM (
   SELECT count(*) AS n, count(*) FILTER (WHERE over) AS n_truncated, count(*) FILTER (WHERE zero) AS n_zero_shot,
+    count(*) FILTER (WHERE is_self) AS n_self,
     count(*) FILTER (WHERE label = 1 AND yes) AS tp, count(*) FILTER (WHERE label <> 1 AND yes) AS fp,
     count(*) FILTER (WHERE label = 1 AND NOT yes) AS fn, count(*) FILTER (WHERE label <> 1 AND NOT yes) AS tn
   FROM pp WHERE label IS NOT NULL) c""", "pairs", extra=PROMPT_CTES))
@@ -137,37 +231,42 @@ def q_prompted_chain(spark, sf_dir):
     p = FX.pairs(spark, sf_dir, with_text=True)                          # J-2, PF-9
     ex = _examples(spark, sf_dir)                                        # W-3
     ex = ex.withColumn("ex_tokens", PM.example_tokens(F.col("ex_idea"), F.col("ex_note"), F.col("ex_label")))
-    j = PR.one_shot_join(p, ex)                                          # J-5
+    return r6(prompted_counts(PR.one_shot_join(p, ex)))                  # J-5
+
+
+def prompted_counts(j, max_tokens: int = 1024):
+    """P-5 from pairs with their examples: the note is cut to the prompt's room (F-19 ... F-21),
+    and the scorer sees the cut note, as a model would."""
     i, n = F.col("idea_unit"), F.col("segment_text")
-    z_p, z_n, z_over = PM.truncate_note(i, n, 1024)                      # F-19, F-21
+    z_n, _, z_over = PM.cut_note(i, n, max_tokens)                       # F-19, F-21
     example = {"ex_idea": F.col("ex_idea"), "ex_note": F.col("ex_note"), "ex_label": F.col("ex_label")}
-    o_p, o_n, o_over = PM.truncate_note(i, n, 1024, example, F.col("ex_tokens"))   # F-20, F-21
+    o_n, _, o_over = PM.cut_note(i, n, max_tokens, example, F.col("ex_tokens"))   # F-20, F-21
     zero = F.col("ex_pos").isNull()
-    j = j.select("pair_id", "label", "idea_unit", F.col("segment_text").alias("note"), zero.alias("zero"),
-                 F.when(zero, z_p).otherwise(o_p).alias("prompt"), F.when(zero, z_over).otherwise(o_over).alias("over"))
+    j = j.select("pair_id", "label", "idea_unit", zero.alias("zero"), "is_self", F.when(zero, z_n).otherwise(o_n).alias("note"),
+                 F.when(zero, z_over).otherwise(o_over).alias("over"))
     scored = SC.lexical_scores(j.filter(F.col("label").isNotNull()), "idea_unit", "note")   # X-3
     s = scored.withColumn("pred_llm", SC.yes_no_label())                 # F-22
     c = s.agg(F.count(F.lit(1)).alias("n"), F.count_if("over").alias("n_truncated"),
-              F.count_if("zero").alias("n_zero_shot"), *M.binary_counters("label", "pred_llm")[1:])
-    return r6(c.select("n", "n_truncated", "n_zero_shot", "tp", "fp", "fn", "tn", *M.metric_columns()))
+              F.count_if("zero").alias("n_zero_shot"), F.count_if("is_self").alias("n_self"),
+              *M.binary_counters("label", "pred_llm")[1:])               # A-1, A-2
+    return c.select("n", "n_truncated", "n_zero_shot", "n_self", "tp", "fp", "fn", "tn", *M.metric_columns())
 
 
 # ---------------------------------------------------------------- P-6 prompted evaluation
-@query("prompted_evaluation", W(f"""
-SELECT n_in, n_in - n AS n_dropped, n, tp, fp, fn, tn, {S.metric_cols()} FROM (
-  SELECT (SELECT count(*) FROM pairs) AS n_in, {S.counters('label', 'pred_llm')} FROM (
-    SELECT label, CAST(CASE WHEN len({S.overlap_set('idea_unit')}) = 0 THEN 0.0
+PE_CTES = (
+    f"""pe0 AS (SELECT label, CAST(CASE WHEN len({S.overlap_set('idea_unit')}) = 0 THEN 0.0
       ELSE len(list_intersect({S.overlap_set('idea_unit')}, {S.overlap_set('segment_text')})) / len({S.overlap_set('idea_unit')})
-      END > 0.2 AS INTEGER) AS pred_llm FROM pairs) x
-  WHERE label IS NOT NULL AND pred_llm IS NOT NULL) c""", "pairs"))
+      END > 0.2 AS INTEGER) AS pred_llm FROM pairs)""",
+    "pe AS (SELECT * FROM pe0 WHERE label IS NOT NULL AND pred_llm IS NOT NULL)",
+) + S.report_ctes("pe", "label", "pred_llm", "q")
+
+
+@query("prompted_evaluation", W(S.long_union(S.evaluation_rows("pe", "label", "pred_llm", "q", "pe0")), "pairs", extra=PE_CTES))
 def q_prompted_evaluation(spark, sf_dir):
     p = FX.pairs(spark, sf_dir, with_text=True).select("pair_id", "label", "idea_unit", F.col("segment_text").alias("note"))
     pred = SC.lexical_scores(p, "idea_unit", "note").withColumn("pred_llm", SC.yes_no_label())
     CL.require_columns(pred, ["pair_id", "label", "pred_llm"], "llm predictions")       # PF-2
-    both = F.col("label").isNotNull() & F.col("pred_llm").isNotNull()
-    c = pred.agg(F.count(F.lit(1)).alias("n_in"), F.count_if(both).alias("n"),          # PF-12, A-1, A-2 in one pass
-                 *M.binary_counters("label", "pred_llm")[1:])
-    return r6(c.select("n_in", (F.col("n_in") - F.col("n")).alias("n_dropped"), "n", "tp", "fp", "fn", "tn", *M.metric_columns()))
+    return r6(R.evaluation(pred, "label", "pred_llm"))                                  # PF-12, A-1, A-2, A-4 ... A-6
 
 
 # ---------------------------------------------------------------- X-4 features, and the trained classifier (rows-only check)
@@ -181,7 +280,7 @@ def _ratio_sql(num: str, den: str) -> str:
     return f"CASE WHEN {den} > 0 THEN {num} / {den} ELSE 0.0 END"
 
 
-FEATURE_CTES = ALIGNED_CTES[:len(SPAN_CTES) + 1] + (
+FEATURE_CTES = SPAN_CTES + (RANDOM_CTE,) + (
     f"pf0 AS (SELECT pair_id, label, split, idea_unit, note_text, {S.strip_lower('idea_unit')} AS a, "
     f"{S.strip_lower('note_text')} AS b FROM sp JOIN rs USING (pair_id))",
     f"pf1 AS (SELECT *, list_distinct({S.ws_tokens('a')}) AS ja, list_distinct({S.ws_tokens('b')}) AS jb, "

@@ -104,3 +104,52 @@ def levenshtein_ratio(a: str, b: str) -> str:
     """F-5 on two token-sorted texts."""
     return (f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 "
             f"ELSE 1 - ({edit_distance(a, b)}) / greatest(length({a}), length({b})) END")
+
+
+def long_rows(section: str, src: str, cols: dict[str, str], key: str | None = None) -> str:
+    """(section, key, value) rows of the named value expressions ``cols`` over ``src``."""
+    names = ", ".join(f"{key} || ':{n}'" if key else f"'{n}'" for n in cols)
+    values = ", ".join(f"CAST({e} AS DOUBLE)" for e in cols.values())
+    return f"SELECT '{section}' AS section, unnest([{names}]) AS key, unnest([{values}]) AS value FROM {src}"
+
+
+def long_union(parts) -> str:
+    return ("SELECT section, key, round(value, 6) AS value FROM (" + "\nUNION ALL ".join(parts)
+            + ") long_rows WHERE value IS NOT NULL")
+
+
+def report_ctes(src: str, y: str, p: str, px: str) -> tuple[str, ...]:
+    """A-5 of table ``src`` as ``{px}rep`` (class, precision, recall, f1, support)."""
+    return (
+        f"{px}cells AS (SELECT {y} AS t, {p} AS p, count(*) AS n FROM {src} GROUP BY ALL)",
+        f"{px}per AS (SELECT cls, sum(s) AS support, sum(tp) AS tp, sum(pn) AS pred_n FROM ("
+        f"SELECT t AS cls, n AS s, CASE WHEN t = p THEN n ELSE 0 END AS tp, 0 AS pn FROM {px}cells "
+        f"UNION ALL SELECT p, 0, 0, n FROM {px}cells) x GROUP BY cls)",
+        f"{px}pc AS (SELECT CAST(CAST(cls AS BIGINT) AS VARCHAR) AS class, CASE WHEN pred_n > 0 THEN tp / pred_n ELSE 0.0 END AS precision, "
+        f"CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, "
+        f"CASE WHEN support + pred_n > 0 THEN 2 * tp / (support + pred_n) ELSE 0.0 END AS f1, support, tp FROM {px}per)",
+        f"{px}rep AS (SELECT class, precision, recall, f1, support FROM {px}pc "
+        f"UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), sum(support) FROM {px}pc "
+        f"UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM {px}pc "
+        f"UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), "
+        f"sum(f1 * support) / sum(support), sum(support) FROM {px}pc)",
+    )
+
+
+def evaluation_rows(src: str, y: str, p: str, px: str, all_rows: str, groups: tuple[str, ...] = ()) -> list[str]:
+    """The sections of an evaluation of complete rows ``src`` (CTEs of :func:`report_ctes` needed)."""
+    names = {k: k for k in ("accuracy", "precision", "recall", "f1")}
+    body = f"(SELECT *, {metric_cols()}, CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2 END " \
+           f"AS balanced_accuracy FROM (SELECT {counters(y, p)} FROM {src}) c) m"
+    out = [long_rows("input", f"(SELECT count(*) AS n_in, count(*) - (SELECT count(*) FROM {src}) AS n_dropped FROM {all_rows}) i",
+                     {"n_in": "n_in", "n_dropped": "n_dropped"}),
+           long_rows("metrics", body, {"n": "n", **names, "balanced_accuracy": "balanced_accuracy"}),
+           long_rows("confusion", body, {"0->0": "tn", "0->1": "fp", "1->0": "fn", "1->1": "tp"}),
+           long_rows("report", f"{px}rep", {k: k for k in ("precision", "recall", "f1", "support")}, "class")]
+    if groups:
+        g = ", ".join(groups)
+        cond = " AND ".join(f"{c} IS NOT NULL" for c in groups)
+        out.append(long_rows("group", f"(SELECT *, {metric_cols()}, (tp + fn) / n AS pos_prevalence FROM (SELECT {g}, {counters(y, p)} "
+                             f"FROM {src} WHERE {cond} GROUP BY {g}) c) m", {"n": "n", **names, "pos_prevalence": "pos_prevalence"},
+                             "concat_ws('|', " + g + ")"))
+    return out
