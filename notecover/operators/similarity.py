@@ -66,14 +66,14 @@ def clean_text(c, lemmas: DataFrame | None = None):
 def lemmatise(df: DataFrame, id_col: str, text_col: str, lemmas: DataFrame,
               word_col: str = "word", lemma_col: str = "lemma") -> DataFrame:
     """PF-16 with a lemma table (word -> lemma): explode tokens with their position, look the
-    words up with a join (broadcast if the table is measured small), re-assemble per row in
+    words up with a join (broadcast if the materialised table is measured small), re-assemble per row in
     position order. Words without an entry stay as they are."""
-    from notecover.operators.joins import join_small
+    from notecover.operators.joins import join_derived
 
     tok = df.select(F.col(id_col).alias("_id"),
                     F.posexplode(T.word_tokens(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("_pos", "_w"))
     lt = lemmas.select(F.col(word_col).alias("_w"), F.col(lemma_col).alias("_l")).dropDuplicates(["_w"])
-    joined = join_small(tok, lt, ["_w"], "left", salt_from="_id").select("_id", "_pos", F.coalesce("_l", "_w").alias("_t"))
+    joined = join_derived(tok, lt, ["_w"], "left", salt_from="_id").select("_id", "_pos", F.coalesce("_l", "_w").alias("_t"))
     regrouped = joined.groupBy("_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_t"))), lambda s: s["_t"]), " ")
         .alias(text_col + "_clean"))

@@ -176,14 +176,18 @@ ENC_CTES = (
 
 @query("pair_encoding", W("""
 SELECT pair_id, CAST(ka AS INTEGER) AS n_idea_kept, CAST(kb AS INTEGER) AS n_note_kept, CAST(ka + kb + 3 AS INTEGER) AS n_real,
-  array_to_string(['[CLS]'] || ta[1 : ka] || ['[SEP]'] || tb[1 : kb] || ['[SEP]'], ' ') AS tokens_text FROM e3""",
+  array_to_string(['[CLS]'] || ta[1 : ka] || ['[SEP]'] || tb[1 : kb] || ['[SEP]'], ' ') AS tokens_text,
+  rpad(repeat('1', CAST(ka + kb + 3 AS INTEGER)), 256, '0') AS mask,
+  rpad(repeat('0', CAST(ka + 2 AS INTEGER)) || repeat('1', CAST(kb + 1 AS INTEGER)), 256, '0') AS types, 256 AS n_ids FROM e3""",
                           "pairs", extra=ENC_CTES))
 def q_pair_encoding(spark, sf_dir):
     p = FX.pairs(spark, sf_dir, with_text=True)
     e = PM.pair_encoding(p, "idea_unit", "segment_text", 256)
     return e.select("pair_id", F.col("n_idea_kept").cast("int").alias("n_idea_kept"),
                     F.col("n_note_kept").cast("int").alias("n_note_kept"), F.col("n_real").cast("int").alias("n_real"),
-                    "tokens_text")
+                    "tokens_text", F.array_join(F.col("attention_mask").cast("array<string>"), "").alias("mask"),
+                    F.array_join(F.col("token_type_ids").cast("array<string>"), "").alias("types"),
+                    F.size("input_ids").alias("n_ids"))
 
 
 # ---------------------------------------------------------------- F-15, F-16
@@ -261,7 +265,8 @@ def q_batch_score(spark, sf_dir):
 
 @query("yes_no_label", W(f"SELECT pair_id, CAST({OV_SQL} > 0.2 AS INTEGER) AS pred_llm FROM pairs", "pairs"))
 def q_yes_no_label(spark, sf_dir):
-    return _batch(spark, sf_dir).select("pair_id", SC.yes_no_label().alias("pred_llm"))
+    p = FX.pairs(spark, sf_dir, with_text=True).select("pair_id", "idea_unit", F.col("segment_text").alias("note"))
+    return SC.lexical_scores(p, "idea_unit", "note").select("pair_id", SC.yes_no_label().alias("pred_llm"))
 
 
 # ---------------------------------------------------------------- A-3 (three-way labels, positive = 1)

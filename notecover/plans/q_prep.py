@@ -51,14 +51,13 @@ def _coerced_sql(labelled: bool) -> str:
 # ---------------------------------------------------------------- PF-3
 @query("clean_notes", W(f"""
 SELECT coalesce({strip_sql('experiment_raw')}, 'UNK') AS experiment, {strip_sql('topic_raw')} AS topic,
-       {int_sql(num_sql('id_raw'))} AS id, CAST(length(segment1_notes) AS INTEGER) AS len1, CAST(length(segment4_notes) AS INTEGER) AS len4
+       {int_sql(num_sql('id_raw'))} AS id, segment1_notes, segment2_notes, segment3_notes, segment4_notes
 FROM raw_notes WHERE {strip_sql('topic_raw')} IS NOT NULL AND {num_sql('id_raw')} IS NOT NULL""", "raw_notes"))
 def q_clean_notes(spark, sf_dir):
     raw = FX.raw_notes(spark, sf_dir).withColumnRenamed("experiment_raw", "experiment") \
         .withColumnRenamed("topic_raw", "topic").withColumnRenamed("id_raw", "id")
     c = CL.coerce_notes(raw)
-    return c.select("experiment", "topic", "id", F.length("segment1_notes").alias("len1"),
-                    F.length("segment4_notes").alias("len4"))
+    return c.select("experiment", "topic", "id", *FX.SEGMENTS)
 
 
 # ---------------------------------------------------------------- PF-4, PF-6
@@ -247,14 +246,14 @@ def q_one_shot_join(spark, sf_dir):
 
 # ---------------------------------------------------------------- J-7
 @query("pair_construction", W("""
-SELECT s.topic, s.id, s.segment, i.pos, CAST(length(s.segment_text) AS INTEGER) AS note_len FROM (
+SELECT s.topic, s.id, s.segment, i.pos, i.idea_unit, s.segment_text FROM (
   SELECT topic, id, 1 AS segment, segment1_notes AS segment_text FROM notes UNION ALL
   SELECT topic, id, 2, segment2_notes FROM notes UNION ALL SELECT topic, id, 3, segment3_notes FROM notes UNION ALL
   SELECT topic, id, 4, segment4_notes FROM notes) s JOIN ideas i ON i.topic = s.topic
 WHERE s.segment_text IS NOT NULL""", "notes", "ideas"))
 def q_pair_construction(spark, sf_dir):
     p = PR.construct_pairs(FX.notes(spark, sf_dir), FX.ideas(spark, sf_dir))
-    return p.select("topic", "id", "segment", "pos", F.length("segment_text").alias("note_len"))
+    return p.select("topic", "id", "segment", "pos", "idea_unit", "segment_text")
 
 
 # ---------------------------------------------------------------- W-4

@@ -155,6 +155,26 @@ def q_clean_text(spark, sf_dir):
     return a.select("pair_id", *[SIM.clean_text(c).alias(c) for c in ("question", "response", "correct_answer")])
 
 
+# ---------------------------------------------------------------- PF-16 with a lemma table (words of the ideas, plural s cut)
+LEMMA_CTES = (
+    f"lemma AS (SELECT DISTINCT w AS word, substring(w, 1, length(w) - 1) AS lemma FROM (SELECT unnest(regexp_extract_all("
+    f"lower(coalesce(idea_unit, '')), '{T.WORD}')) AS w FROM ideas) x WHERE length(w) > 3 AND ends_with(w, 's'))",
+    f"lw AS (SELECT pair_id, generate_subscripts(t, 1) AS i, unnest(t) AS w FROM (SELECT pair_id, "
+    f"regexp_extract_all(lower(coalesce(response, '')), '{T.WORD}') AS t FROM answers) x)",
+    "lj AS (SELECT pair_id, string_agg(coalesce(lemma, w), ' ' ORDER BY i) AS c FROM lw LEFT JOIN lemma ON word = w GROUP BY pair_id)",
+)
+
+
+@query("lemmatise", W("SELECT pair_id, coalesce(c, '') AS response_clean FROM answers LEFT JOIN lj USING (pair_id)",
+                      "answers", extra=LEMMA_CTES))
+def q_lemmatise(spark, sf_dir):
+    words = FX.ideas(spark, sf_dir).select(F.explode(T.word_tokens(F.lower(F.coalesce("idea_unit", F.lit(""))))).alias("word"))
+    lemmas = words.filter((F.length("word") > 3) & F.endswith("word", F.lit("s"))).distinct() \
+        .withColumn("lemma", F.expr("substring(word, 1, length(word) - 1)"))
+    a = FX.answers(spark, sf_dir).select("pair_id", "response")
+    return SIM.lemmatise(a, "pair_id", "response", lemmas).select("pair_id", "response_clean")
+
+
 # ---------------------------------------------------------------- PF-19
 @query("non_answer_guard", W(f"""
 SELECT pair_id, CAST({RESP} IN ('', 'idk', 'i don''t know', 'i dunno') AS INTEGER) AS non_answer FROM answers""",
