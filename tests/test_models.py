@@ -32,3 +32,35 @@ def test_overlap_python_equals_spark(spark):
     df = spark.createDataFrame(texts, "a string, b string")
     got = [r[0] for r in df.select(T.lexical_overlap("a", "b")).collect()]
     assert got == [SC.overlap_py(a, b) for a, b in texts]
+
+
+def test_a_cut_note_flips_the_prediction(spark):
+    """P-5: the scorer sees the note as it fits into the prompt; words beyond the cut do not count."""
+    from notecover.operators import pairs as PR
+    from notecover.operators import prompt as PM
+    from notecover.plans.q_chains import prompted_counts
+    from pyspark.sql import functions as F
+    filler = " ".join(["word"] * 300)
+    p = spark.createDataFrame([(1, "t", 1, "blue whale", filler + " blue whale"), (2, "t", 1, "blue whale", "blue whale " + filler)],
+                              "pair_id long, topic string, label int, idea_unit string, segment_text string")
+    ex = spark.createDataFrame([("t", "red fox", "a red fox", 1, 2)],
+                               "topic string, ex_idea string, ex_note string, ex_label int, ex_pos long")
+    ex = ex.withColumn("ex_tokens", PM.example_tokens(F.col("ex_idea"), F.col("ex_note"), F.col("ex_label")))
+    j = PR.one_shot_join(p, ex)
+    assert {r["pair_id"]: r["is_self"] for r in j.collect()} == {1: False, 2: True}
+    cut, whole = prompted_counts(j, 100).first(), prompted_counts(j, 1024).first()
+    assert (cut["n_truncated"], cut["tp"], cut["fn"], cut["n_self"]) == (2, 1, 1, 1)
+    assert (whole["n_truncated"], whole["tp"], whole["fn"]) == (0, 2, 0)
+
+
+def test_evaluation_counts_dropped_rows_and_groups(spark):
+    from notecover.operators import record as R
+    rows = [(1, 1, "a"), (0, 1, "a"), (1, 0, "b"), (0, 0, None), (None, 1, "a"), (1, None, "b")]
+    df = spark.createDataFrame(rows, "y int, p int, g string")
+    got = {(r["section"], r["key"]): r["value"] for r in R.evaluation(df, "y", "p", ["g"]).collect()}
+    assert (got["input", "n_in"], got["input", "n_dropped"], got["metrics", "n"]) == (6, 2, 4)
+    assert [got["confusion", k] for k in ("0->0", "0->1", "1->0", "1->1")] == [1, 1, 1, 1]
+    assert (got["group", "a:n"], got["group", "b:recall"], got["group", "a:pos_prevalence"]) == (2, 0.0, 0.5)
+    assert got["report", "accuracy:f1"] == 0.5 and ("report", "accuracy:precision") not in got
+    empty = {(r["section"], r["key"]): r["value"] for r in R.evaluation(df.limit(0), "y", "p", ["g"]).collect()}
+    assert empty["input", "n_in"] == 0 and empty["metrics", "accuracy"] == 0.0

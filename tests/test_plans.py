@@ -61,8 +61,7 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in txt
 
 
-PYTHON_OK = {"fuzzy_indel", "rule_chain", "rule_tuning", "batch_score", "yes_no_label", "prompted_evaluation",
-             "prompted_chain"}
+PYTHON_OK = {"fuzzy_indel", "rule_chain", "rule_tuning", "batch_score"}
 
 
 def test_no_cross_products_and_python_only_where_needed(spark):
@@ -79,3 +78,12 @@ def test_no_cross_products_and_python_only_where_needed(spark):
         if ("ArrowEvalPython" in txt or "BatchEvalPython" in txt or "MapInPandas" in txt) and name not in PYTHON_OK:
             python.append(name)
     assert (cross, python) == ([], [])
+
+
+def test_chains_score_without_python(spark):
+    """The frames inside the chains, before they are materialised: no Python, no cross product."""
+    from notecover.plans import q_chains as Q
+    for df in (Q._scored_spans(spark, SF_SMALL), Q._prediction_file(spark, SF_SMALL), Q._features(spark, SF_SMALL)):
+        txt = df._jdf.queryExecution().sparkPlan().toString()
+        for word in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "NestedLoopJoin"):
+            assert word not in txt
