@@ -8,7 +8,9 @@ allowed otherwise, also if neither reaches it.
 
 Links are counted per pair of hosts before anything is joined, so a page or host with very
 many links is a few rows. Relative links stay on their host; a host without links keeps
-its mass. Defined cases: a null url, or one without ``://``, has an empty host and path; an
+its mass. The ranks are iterated until no host's rank changes by more than ``tolerance``
+of itself, so every host that links lead to has its rank, however far from a seed; if
+``max_rounds`` do not settle them, the run fails. Defined cases: a null url, or one without ``://``, has an empty host and path; an
 empty host takes no part in the graph and is allowed if no rule fits; null html has no
 links; repeated rows are pages of their own; an empty table gives no rows; further columns
 are ignored.
@@ -29,7 +31,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class UrlFilter:
     damping: float = 0.85
-    rounds: int = 10
+    tolerance: float = 1e-9
+    max_rounds: int = 1000       # a guard only: ranks that have not settled by then raise
     cut_every: int = 5
     threshold: float = 1.0
 
@@ -68,7 +71,9 @@ def links(pages: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, edges: DataFrame, p: UrlFilter = UrlFilter()) -> DataFrame:
     """(host, trust, distrust) from seeds(host, allowed, blocked) over edges(src, dst, n).
 
-    Both ranks run in one pass: kind 0 along the links, kind 1 against them."""
+    Both ranks run in one pass: kind 0 along the links, kind 1 against them. What a host
+    keeps for itself, r = (1 - d) seed + d (got + keep r), is solved for r and not iterated.
+    From there ranks only grow, so a block of rounds that changes none reaches no new host."""
     both = (edges.select(F.lit(0).alias("kind"), "src", "dst", "n")
             .unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")))
     hosts = seeds.select("host").unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
@@ -78,18 +83,24 @@ def propagate(seeds: DataFrame, edges: DataFrame, p: UrlFilter = UrlFilter()) ->
                 F.struct(F.lit(0).alias("kind"), (F.coalesce("allowed", F.lit(0)) / F.col("a")).alias("seed")),
                 F.struct(F.lit(1).alias("kind"), (F.coalesce("blocked", F.lit(0)) / F.col("b")).alias("seed")))).alias("s"))
             .select("s.kind", "host", "s.seed"))
-    out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    still = seed.join(out.select("kind", F.col("src").alias("host")), ["kind", "host"], "left_anti").select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("w"))
-    weight = C.cut_lineage(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("w")).unionByName(still))
-    seed = C.cut_lineage(seed)
-    rank = seed.select("kind", "host", F.col("seed").alias("r"))
-    for i in range(1, p.rounds + 1):
+    out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("n")).otherwise(0)).alias("own"))
+    weight = C.cut_lineage(both.filter("src != dst").join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("w")))
+    rest = 1 - p.damping * F.coalesce(F.col("own") / F.col("total"), F.lit(1.0))
+    seed = C.cut_lineage(seed.join(out.withColumnRenamed("src", "host"), ["kind", "host"], "left").select(
+        "kind", "host", ((1 - p.damping) * F.col("seed") / rest).alias("base"), (p.damping / rest).alias("share")))
+    rank = before = seed.select("kind", "host", F.col("base").alias("r"))
+    for i in range(1, p.max_rounds + 1):
         sent = (rank.withColumnRenamed("host", "src").join(weight, ["kind", "src"])
                 .groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("r") * F.col("w")).alias("got")))
         rank = seed.join(sent, ["kind", "host"], "left").select(
-            "kind", "host", ((1 - p.damping) * F.col("seed") + p.damping * F.coalesce("got", F.lit(0.0))).alias("r"))
+            "kind", "host", (F.col("base") + F.col("share") * F.coalesce("got", F.lit(0.0))).alias("r"))
         if i % p.cut_every == 0:
-            rank = C.cut_lineage(rank)
+            rank = C.cut_lineage(rank.join(before.withColumnRenamed("r", "was"), ["kind", "host"]))
+            if rank.filter(F.abs(F.col("r") - F.col("was")) > p.tolerance * F.col("r")).isEmpty():
+                break
+            rank = before = rank.select("kind", "host", "r")
+    else:
+        raise RuntimeError(f"ranks did not settle in {p.max_rounds} rounds")
     return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("r"))).alias("trust"),
                                     F.sum(F.when(F.col("kind") == 1, F.col("r"))).alias("distrust"))
 

@@ -101,6 +101,37 @@ def test_distrust_runs_against_links_and_trust_along(spark):
     assert links[("farm.org", "bad.net")] == 2 and links[("good.com", "good.com")] == 1
 
 
+def test_ranks_settle_however_far_the_seed(spark):
+    def page(i, url, to):
+        return i, url, f'<a href="{to}">x</a>'
+
+    far = [page(i, f"http://h{i}.org/", f"http://h{i + 1}.org/" if i < 13 else "http://bad.net/") for i in range(14)]
+    df = spark.createDataFrame(far + [(99, "http://bad.net/", "")], "page_id bigint, url string, html string")
+    assert {r.verdict for r in urlfilter.judge(df, [("block", "bad.net", "/")]).collect()} == {"block"}
+
+
+def test_ranks_as_by_linear_equations(spark):
+    rng = np.random.default_rng(3)
+    n = 12
+    links = {(int(a), int(b)): int(c) for a, b, c in zip(rng.integers(0, n - 1, 40), rng.integers(0, n, 40), rng.integers(1, 9, 40))}
+    allowed, blocked = np.arange(n) % 4, np.arange(n) % 3
+    seeds = spark.createDataFrame([(str(i), int(allowed[i]), int(blocked[i])) for i in range(n)], "host string, allowed bigint, blocked bigint")
+    edges = spark.createDataFrame([(str(a), str(b), c) for (a, b), c in links.items()], "src string, dst string, n bigint")
+    m = np.zeros((n, n))
+    for (a, b), c in links.items():
+        m[a, b] = c
+
+    def solved(m, seed):
+        w = np.array([x / x.sum() if x.sum() else np.eye(n)[i] for i, x in enumerate(m)])
+        return np.linalg.solve(np.eye(n) - 0.85 * w.T, 0.15 * seed / seed.sum())
+
+    trust, distrust = solved(m, allowed), solved(m.T, blocked)
+    for r in urlfilter.propagate(seeds, edges, urlfilter.UrlFilter(tolerance=1e-4)).collect():
+        assert r.trust == pytest.approx(trust[int(r.host)], rel=1e-3) and r.distrust == pytest.approx(distrust[int(r.host)], rel=1e-3)
+    with pytest.raises(RuntimeError):
+        urlfilter.propagate(seeds, edges, urlfilter.UrlFilter(max_rounds=5))
+
+
 # --- Katz
 
 def katz_by_force(rows, held, constant=0.5):
