@@ -1,14 +1,17 @@
 """Secret scan with a random forest against false positives (operator 4), in DataFrame and
 ``pyspark.ml`` functions only.
 
-Candidates are unbroken runs of at least twelve key characters with a digit among them. The
-forest judges each by its length, its changes between kinds of characters, how much of its
+Candidates are the values assigned to a word that names a secret, of any length and any
+characters up to the closing quote on the line or, without quotes, up to white space or a
+quote; and besides them all unbroken runs of at least twelve key characters. The forest judges each by its length, its changes between kinds of characters, how much of its
 letters dictionary words cover (the dictionary: words the corpus itself uses often), the
 path it was found under and the words next to it. It is trained from labelled findings; at
-most ``max_labelled`` of them, picked by a hash, so that the fit does not grow with the
-corpus. Words are counted and candidates found over all whole texts.
+most ``max_labelled`` of them, picked by a hash, evenly from those with and without a digit
+of either label, so that the fit does not grow with the corpus and plain words do not crowd
+out the rest. Words are counted and candidates found over all whole texts.
 
-Findings keep their value, place and score; ``redact`` replaces the values found to be
+A labelled finding is what its label says, whatever the forest's score; the forest decides on
+the rest. Findings keep their value, place and score; ``redact`` replaces the values found to be
 secrets. Defined cases: null and empty texts have no candidates; of labels that are all
 alike, or without any, every finding takes that share of positives (none: 0.5, so it stays
 a finding); repeated rows have findings of their own; null ids and paths count as empty;
@@ -26,11 +29,17 @@ from pyspark.sql import functions as F
 
 from notecover.llm import common as C
 
-CANDIDATE = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
 MASK = "[SECRET]"
 #: Words that name a secret, and prefixes that only issued keys have. Used to label findings, never as features.
 KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth")
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "sk_live_")
+#: A name that ends in a key word, and what assigns (=, ==, :=, =>, :) up to the value's opening quote.
+_ASSIGNS = "[\"']?+\\s*+(?::?+=++>?+|:(?!:))\\s*+"
+_FIRST = "".join(sorted({c for w in KEY_WORDS for c in w[0] + w[0].upper()}))
+_NAMED = "[A-Za-z0-9+/_-]*?(?=[" + _FIRST + "])(?i:" + "|".join(KEY_WORDS) + ")" + _ASSIGNS
+HEAD = "^" + _NAMED + "[\"']?(?=[\\s\\S])"
+CANDIDATE = ("(?<![A-Za-z0-9+/_-])(?:" + _NAMED + "(?:\"[^\"\\r\\n]+(?=\")|'[^'\\r\\n]+(?=')|[\"']?[^\\s\"']+)"
+             "|[A-Za-z0-9+/_-]{12,}={0,2})")
 
 
 @dataclass(frozen=True)
@@ -51,15 +60,18 @@ def candidates(docs: DataFrame, p: SecretScan) -> DataFrame:
     start in characters from 0, and the text next to it. ``doc`` identifies id and text."""
     d = C.only(docs, doc_id="bigint", text="string", source="string").withColumn("text", F.coalesce("text", F.lit("")))
     found = d.select("doc_id", F.coalesce("source", F.lit("")).alias("path"), F.xxhash64("doc_id", "text").alias("doc"), "text",
-                     F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"))
-    found = found.filter(F.size("values") > 0).withColumn("between", F.split("text", CANDIDATE, -1)).drop("text")
+                     F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hits"))
+    found = found.filter(F.size("hits") > 0).withColumn("between", F.split("text", CANDIDATE, -1)).drop("text")
+    found = found.withColumn("heads", F.transform("hits", lambda v: F.regexp_extract(v, HEAD, 0)))
     # the pieces between the candidates give the places: sums of lengths, without another search
-    starts = F.expr("aggregate(zip_with(slice(between, 1, size(values)), values, (b, v) -> struct(length(b) as b, length(v) as v)),"
+    starts = F.expr("aggregate(zip_with(slice(between, 1, size(hits)), hits, (b, v) -> struct(length(b) as b, length(v) as v)),"
                     " cast(struct(0 as at, cast(array() as array<int>) as starts) as struct<at:int, starts:array<int>>),"
                     " (a, x) -> struct(a.at + x.b + x.v as at, array_append(a.starts, a.at + x.b) as starts), a -> a.starts)")
-    one = found.withColumn("starts", starts).select("doc", "doc_id", "path", "between", "starts", F.posexplode("values").alias("k", "value"))
-    return one.select("doc", "doc_id", "path", "k", F.col("starts")[F.col("k")].alias("start"), "value",
-                      F.expr(f"right(between[k], {p.context})").alias("before"), F.expr(f"left(between[k + 1], {p.context})").alias("after"))
+    # only what a candidate needs is exploded, not the whole text with each of them
+    each = F.expr("transform(hits, (v, k) -> struct(k as k, starts[k] + length(heads[k]) as start, substring(v, length(heads[k]) + 1) as value,"
+                  f" right(concat(if(k > 0, hits[k - 1], ''), between[k], regexp_replace(heads[k], '[ \\\\t\\\\r\\\\n]+', ' ')), {p.context}) as before,"
+                  f" left(concat(between[k + 1], if(k + 1 < size(hits), hits[k + 1], '')), {p.context}) as after))")
+    return found.withColumn("starts", starts).select("doc", "doc_id", "path", F.explode(each).alias("c")).select("doc", "doc_id", "path", "c.*")
 
 
 def dictionary(docs: DataFrame, p: SecretScan) -> DataFrame:
@@ -78,15 +90,20 @@ def _word(c: Column, last: bool) -> Column:
 
 
 def _slots(c: Column, p: SecretScan, salt: int) -> Column:
-    at = F.pmod(F.xxhash64(F.lit(salt), c), F.lit(p.slots))
-    return F.transform(F.sequence(F.lit(0), F.lit(p.slots - 1)), lambda i: F.when(i == at, 1.0).otherwise(0.0))
+    at = F.pmod(F.xxhash64(F.lit(salt), c), F.lit(p.slots)).cast("int")
+    return F.concat(F.array_repeat(F.lit(0.0), at), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.lit(p.slots - 1) - at))
 
 
-def features(found: DataFrame, words: DataFrame, p: SecretScan) -> DataFrame:
-    """``found`` with a feature vector for each finding."""
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with ``covered``: how many letters of each value dictionary words cover."""
     runs = (found.select("doc", "k", F.explode(F.regexp_extract_all("value", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("run"))
             .select("doc", "k", F.lower("run").alias("word")))
-    covered = runs.join(words, "word").groupBy("doc", "k").agg(F.sum(F.length("word")).alias("covered"))
+    letters = runs.join(words, "word").groupBy("doc", "k").agg(F.sum(F.length("word")).alias("covered"))
+    return found.join(letters, ["doc", "k"], "left")
+
+
+def features(found: DataFrame, p: SecretScan) -> DataFrame:
+    """``found``, with ``covered``, with a feature vector for each finding."""
     n = F.length("value").cast("double")
 
     def share(pattern: str) -> Column:
@@ -99,21 +116,27 @@ def features(found: DataFrame, words: DataFrame, p: SecretScan) -> DataFrame:
         share("[0-9](?=[0-9])"), share("[a-f0-9]"), F.size(F.array_distinct(F.split("value", ""))) / n,
         F.coalesce("covered", F.lit(0)) / letters,
         F.length("path").cast("double"), F.size(F.split("path", "/")).cast("double"), F.col("path").rlike("(?i)test|example|sample|doc").cast("double"),
-        F.col("before").rlike("[=:]\\s*[\"']?$").cast("double"), F.col("after").rlike("^[\"']").cast("double"))
+        F.col("before").rlike(ASSIGNED).cast("double"), F.col("after").rlike("^[\"']").cast("double"))
     vector = F.concat(numbers, _slots(_word(F.col("before"), True), p, 1), _slots(_word(F.col("after"), False), p, 2), _slots(F.col("path"), p, 3))
-    return found.join(covered, ["doc", "k"], "left").withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    return found.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+
+
+ASSIGNED = "[=:]>?\\s*[\"']?$"
+#: Words in one case, or with a capital first letter, one or several joined.
+PLAIN = "^[+/_-]*[A-Za-z]?([a-z]*|[A-Z]*)([+/_-]+([A-Za-z]?([a-z]*|[A-Z]*)))*=*$"
 
 
 def format_labels(found: DataFrame) -> DataFrame:
     """Labelled findings from formats that speak for themselves: (doc, k, label). An issued
-    key's prefix, or a value that a key word is assigned, is a secret; digits only, or a
-    value that nothing is assigned to, is none; the rest stays without a label."""
-    name = "(?i)(" + "|".join(KEY_WORDS) + ")[\"']?\\s*[=:]\\s*[\"']?$"
+    key's prefix, or a value assigned to a key word, is a secret; digits only, or plain words
+    that nothing is assigned, are none; the rest, also keys that nothing is assigned, stays
+    without a label."""
+    name = "(?i)(" + "|".join(KEY_WORDS) + ")" + _ASSIGNS + "[\"']?$"
     issued = F.lit(False)
     for prefix in KEY_PREFIXES:
         issued = issued | F.col("value").startswith(prefix)
-    assigned = F.col("before").rlike("[=:]\\s*[\"']?$")
-    label = (F.when(issued | F.col("before").rlike(name), 1.0).when(F.col("value").rlike("^[0-9+/_=-]+$") | ~assigned, 0.0))
+    plain = F.col("value").rlike(PLAIN) & ~F.col("before").rlike(ASSIGNED)
+    label = (F.when(issued | F.col("before").rlike(name), 1.0).when(F.col("value").rlike("^[0-9+/_=-]+$") | plain, 0.0))
     return found.select("doc", "k", label.alias("label")).filter("label is not null")
 
 
@@ -126,19 +149,29 @@ def scan(docs: DataFrame, labels=format_labels, p: SecretScan = SecretScan()) ->
     """Every candidate in docs(doc_id, text, source): doc, doc_id, k, start, value, label, score,
     is_secret. ``labels`` gives (doc, k, label) for candidates."""
     found = C.cut_lineage(candidates(docs, p))
-    ready = C.cut_lineage(features(found, dictionary(docs, p), p).drop("path"))
+    ready = C.cut_lineage(covered(found, dictionary(docs, p)))
     known = C.cut_lineage(labels(found).groupBy("doc", "k").agg(F.max("label").alias("label")))
     marked = ready.join(known, ["doc", "k"], "left")
-    train = marked.filter(F.col("label").isNotNull() & learnt_from())
-    n, ones = train.agg(F.count(F.lit(1)), F.sum("label")).first()
+    train = marked.filter(F.col("label").isNotNull() & learnt_from()).withColumn("digit", F.col("value").rlike("[0-9]"))
+    kinds = {(r.label, r.digit): r.n for r in train.groupBy("label", "digit").agg(F.count(F.lit(1)).alias("n")).collect()}     # four rows at most
+    n, ones = sum(kinds.values()), sum(label * k for (label, _), k in kinds.items())
     if not n or not ones or ones == n:
         scored = marked.withColumn("score", F.lit(0.5 if not n else float(ones or 0) / n))
     else:
-        room = 1 << 20
-        some = C.cut_lineage(train.filter(F.pmod(F.xxhash64("doc", "k"), F.lit(room)) < min(room, room * p.max_labelled // n)).select("features", "label"))
-        forest = RandomForestClassifier(numTrees=p.trees, maxDepth=p.depth, seed=p.seed, featureSubsetStrategy="onethird").fit(some)
-        scored = forest.transform(marked).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc", "doc_id", "k", "start", "value", "label", "score", (F.col("score") >= p.threshold).alias("is_secret"))
+        room, share = 1 << 20, p.max_labelled // len(kinds)
+        taken = {k: min(1.0, share / m) for k, m in kinds.items()}
+        of = {x: sum(taken[k] * m for k, m in kinds.items() if k[0] == x) for x in (0.0, 1.0)}
+        bound, weight = F.lit(0), F.lit(1.0)
+        for (label, digit), t in taken.items():
+            here = (F.col("label") == label) & (F.col("digit") == digit)
+            bound = F.when(here, F.lit(int(room * t))).otherwise(bound)
+            weight = F.when(here, F.lit((of[0.0] + of[1.0]) / (2 * of[label]))).otherwise(weight)    # both labels weigh the same
+        some = train.filter(F.pmod(F.xxhash64("doc", "k"), F.lit(room)) < bound).withColumn("weight", weight)
+        some = C.cut_lineage(features(some, p).select("features", "label", "weight"))
+        forest = RandomForestClassifier(numTrees=p.trees, maxDepth=p.depth, seed=p.seed, featureSubsetStrategy="onethird", weightCol="weight").fit(some)
+        scored = forest.transform(features(marked, p)).withColumn("score", vector_to_array("probability")[1])
+    return scored.select("doc", "doc_id", "k", "start", "value", "label", "score",
+                         F.coalesce(F.col("label") == 1.0, F.col("score") >= p.threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, labels=format_labels, p: SecretScan = SecretScan()) -> DataFrame:
@@ -149,7 +182,7 @@ def redact(docs: DataFrame, labels=format_labels, p: SecretScan = SecretScan())
     marked = C.mark_bitmap(docs.withColumn("_doc", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))), "_doc", bad)
     open_ = marked.filter("_maybe").join(bad, "_doc", "left")
     values, between = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
-    filled = F.transform(values, lambda v, k: F.when(F.array_contains("_ks", k), F.lit(MASK)).otherwise(v))
+    filled = F.transform(values, lambda v, k: F.when(F.array_contains("_ks", k), F.concat(F.regexp_extract(v, HEAD, 0), F.lit(MASK))).otherwise(v))
     new = F.array_join(F.flatten(F.zip_with(between, F.concat(filled, F.array(F.lit(""))), lambda b, v: F.array(b, v))), "")
     text = F.when(F.col("_ks").isNotNull(), new).otherwise(F.col("text"))
     changed = open_.withColumn("text", text)

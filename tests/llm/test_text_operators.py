@@ -225,6 +225,28 @@ def test_secrets_edge_cases(docs_of):
     assert [r.score for r in alike] in ([1.0], [0.5])
 
 
+def test_every_value_of_a_key_word_is_found(spark, docs_of):
+    values = ["hunter2", "correct-horse-battery", "P@ssw0rd!Long", "a1.b2/c3", "x", "one two three", "abc$%def", "s3cret"]
+    texts = ["run with pwd=hunter2 please", "password = \"correct-horse-battery\" done", "passwd: P@ssw0rd!Long", "my_long_access_token=a1.b2/c3 z", "AUTH => 'x'",
+             "\"secret\": \"one two three\", \"n\": 1", "db_password :=   abc$%def\n", "é api_key" + " " * 60 + "= s3cret"]
+    docs = docs_of(list(enumerate(texts, 10**9)))
+    got = {r.doc_id - 10**9: r for r in secretscan.scan(docs).filter("label = 1").collect()}
+    assert [got[i].value for i in range(len(values))] == values
+    assert all(texts[i][r.start:r.start + len(r.value)] == r.value for i, r in got.items())
+    both = C.table(spark, "/root/testdata/sf0.01", "documents").select(docs.columns).unionByName(docs)
+    clean = {r.doc_id: r.text for r in secretscan.redact(both).filter("doc_id >= 1000000000").collect()}
+    assert [clean[10**9 + i] for i in range(len(texts))] == [t[:got[i].start] + secretscan.MASK + t[got[i].start + len(values[i]):] for i, t in enumerate(texts)]
+
+
+def test_unassigned_keys_are_not_taught_and_plain_words_stay(spark, docs_of):
+    key = "eyJhbGciOiJIUzI1NiIsInR5cCI6"
+    found = secretscan.candidates(docs_of([(1, f"Bearer {key} extraordinarily AbstractFactory 4000038985693383 password=k9")]), secretscan.SecretScan())
+    labels = {r.value: r.label for r in found.join(secretscan.format_labels(found), ["doc", "k"], "left").collect()}
+    assert labels == {key: None, "extraordinarily": 0.0, "AbstractFactory": None, "4000038985693383": 0.0, "k9": 1.0}
+    out = secretscan.scan(C.table(spark, "/root/testdata/sf0.01", "documents")).filter("value rlike '^[A-Za-z]+$'")
+    assert out.count() > 1000 and out.filter("is_secret").count() == 0
+
+
 # --- decontamination
 
 def test_substituted_passages_are_found(spark, docs_of):
