@@ -45,41 +45,50 @@ class Packing:
     max_triples: int = 30_000
     nnls_steps: int = 400
     salts: int = 64
-    cache_words: int = 1_500_000
+    cache_bytes: int = 24 << 20           # ids of words that a worker remembers
+    words_at_once: int = 4096             # new words given to the tokenizer in one call
 
 
 class WordIds:
     """Token ids of words between white space, which this tokenizer never joins. Words seen
     before by this worker come from sorted arrays; the cache starts anew when it is full."""
 
-    def __init__(self, path: str, most: int) -> None:
+    def __init__(self, path: str, most: int, at_once: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.most = Tokenizer.from_file(path), most
+        self.tok, self.most, self.at_once = Tokenizer.from_file(path), most, at_once
         self._reset()
 
     def _reset(self) -> None:
         self.key = np.zeros(0, np.uint64)
         self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
+    def _encode(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per word, all ids) of the words at [start, end), some at a time: an encoding holds far
+        more than its ids."""
+        sizes, flat = [], []
+        for k in range(0, len(start), self.at_once):
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in
+                     zip(start[k:k + self.at_once].tolist(), end[k:k + self.at_once].tolist())]
+            got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            sizes.append(np.array([len(x) for x in got], np.int32))
+            flat.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(flat)
+
     def __call__(self, w: spans.Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids per word)."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         uniq, first, back = np.unique(w.span_hash(start, end), return_index=True, return_inverse=True)
-        if len(self.key) > self.most:
+        if self.key.nbytes + self.at.nbytes + self.n.nbytes + self.ids.nbytes > self.most:
             self._reset()
         at = np.searchsorted(self.key, uniq)
         new = np.ones(len(uniq), bool)
         inside = at < len(self.key)
         new[inside] = self.key[at[inside]] != uniq[inside]
         if new.any():
-            raw = w.bytes.tobytes()
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
-            got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-            n = np.array([len(x) for x in got], np.int32)
-            flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(n.sum()))
+            n, flat = self._encode(w.bytes.tobytes(), start[first[new]], end[first[new]])
             key = np.concatenate([self.key, uniq[new]])
             order = np.argsort(key, kind="stable")
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])[order]
@@ -92,10 +101,10 @@ class WordIds:
         return self.ids[np.repeat(self.at[at] - (stop - n), n) + np.arange(stop[-1])], n
 
 
-@functools.lru_cache(maxsize=2)
-def _word_ids(path: str, most: int) -> WordIds:
+@functools.lru_cache(maxsize=1)
+def _word_ids(path: str, most: int, at_once: int) -> WordIds:
     """One per worker: later tasks of the worker find the words of earlier ones."""
-    return WordIds(path, most)
+    return WordIds(path, most, at_once)
 
 
 _LETTER = np.zeros(256, bool)
@@ -117,12 +126,12 @@ def _split_stops(w: spans.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _cutter(path: str, p: Packing):
     def run(batches):
-        encode = _word_ids(path, p.cache_words)
+        encode = _word_ids(path, p.cache_bytes, p.words_at_once)
         for batch in batches:
             ids = batch.column(0)
             # the tokenizer lowers A-Z itself, except in its special strings
             lower = not pc.any(pc.match_substring(batch.column(1), "<|")).as_py()
-            for a, b, w in spans.words_of(batch.column(1), limit=2 << 20, lower=lower):
+            for a, b, w in spans.words_of(batch.column(1), lower=lower):
                 start, end, per_row = _split_stops(w)
                 flat, n = encode(w, start, end)
                 upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_row)])]
