@@ -95,8 +95,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, p: Decontamination = Deconta
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; the columns stay."""
-    bad = C.cut_lineage(contaminated(docs, bench, p).select(F.col("doc_id").alias("_bad")).distinct())
-    marked = C.mark_bitmap(docs.withColumn("_bad", F.col("doc_id")), "_bad", bad)
-    clean = marked.filter(~F.col("_maybe")).select(*docs.columns)
-    open_ = marked.filter("_maybe").select(*docs.columns)
-    return clean.unionByName(open_.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti"))
+    bad = C.cut_lineage(contaminated(docs, bench, p).select(F.col("doc_id").alias("bad")).distinct())
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("bad"))       # whatever the columns' names
+    marked = C.mark_bitmap(packed, "bad", bad)
+    open_ = marked.filter("_maybe").select("row", F.col("bad").alias("id"))
+    return (marked.filter(~F.col("_maybe")).select("row.*")
+            .unionByName(open_.join(bad, F.col("id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")))

@@ -111,15 +111,20 @@ def _sketcher(p: MinHash):
                 bands = band_keys(regs, p.bands, p.rows, prio)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(w.rows + 1, dtype=np.int32) * p.bands), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(key.view(np.int64)), _binary(regs), keys],
-                    names=["doc_id", "n_shingles", "node", "regs", "bands"])
+                    [ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(key.view(np.int64)), _binary(regs), keys,
+                     *(c.slice(a, b - a) for c in batch.columns[2:])],
+                    names=["doc_id", "n_shingles", "node", "regs", "bands", *batch.schema.names[2:]])
     return run
 
 
-def sketches(docs: DataFrame, p: MinHash) -> DataFrame:
-    """(doc_id, n_shingles, node, regs, bands): node is a 64-bit hash of the set."""
-    return C.arrow_map(C.only(docs, doc_id="bigint", text="string"), _sketcher(p),
-                       "doc_id bigint, n_shingles bigint, node bigint, regs binary, bands array<bigint>")
+def sketches(docs: DataFrame, p: MinHash, hashed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, node, regs, bands): node is a 64-bit hash of the set. With ``hashed``
+    also text_hash, which tells rows of one id apart."""
+    d = C.only(docs, doc_id="bigint", text="string")
+    if hashed:
+        d = d.withColumn("text_hash", F.xxhash64("text"))
+    return C.arrow_map(d, _sketcher(p), "doc_id bigint, n_shingles bigint, node bigint, regs binary, bands array<bigint>"
+                       + (", text_hash bigint" if hashed else ""))
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,12 +304,9 @@ def _across(docs: DataFrame, members: DataFrame, nodes: DataFrame, p: MinHash) -
     return C.arrow_groups(likely.join(text, "node"), ["task"], _exact(p), "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
-
-    ``component_id`` is the least doc_id that can be reached over links of at least
-    ``p.percent`` percent similarity; ``kept`` marks the row whose id it is."""
-    sk = C.cut_lineage(sketches(docs, p))
+def _classes(docs: DataFrame, sk: DataFrame, p: MinHash) -> DataFrame:
+    """(node, n_shingles, doc_id, root) of the sets in the sketches ``sk``: a set's least doc_id, and
+    the node that stands for its component."""
     # a class per distinct set; its text is taken from its least id
     classes = (sk.filter("n_shingles > 0").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id")))
     first = sk.filter("n_shingles > 0").select("doc_id", "node", "regs", "bands")
@@ -327,8 +329,17 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     if not last.isEmpty():
         comp = C.cut_lineage(C.components(links.unionByName(last)))
 
+    return classes.join(comp, "node", "left").select("node", "n_shingles", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
+
+    ``component_id`` is the least doc_id that can be reached over links of at least
+    ``p.percent`` percent similarity; ``kept`` marks the row whose id it is."""
+    sk = C.cut_lineage(sketches(docs, p))
+    where = _classes(docs, sk, p)
     # the least id of each component
-    where = classes.join(comp, "node", "left").select("node", "n_shingles", "doc_id", F.coalesce("root", "node").alias("root"))
     least = where.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = where.join(least, "root").select("node", "n_shingles", "component_id")
     out = sk.select("doc_id", "n_shingles", "node").join(named, ["node", "n_shingles"], "left")
@@ -338,18 +349,27 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates (that with the least id); the
-    columns stay. Documents without words are kept. Rows with a null id are kept unless an
-    equal row is there. Where several rows carry the surviving id, one stays."""
-    found = near_duplicates(docs, p)
-    dropped = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
-    many = C.cut_lineage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 or doc_id is null").select("doc_id"))
+    """``docs`` with one row of each group of near-duplicates, that with the least id (a null id
+    comes last, equal ids go by a hash of the text); the columns stay. Documents without
+    words are no duplicates of others. A row is told by its id and text, so another text under the id of a
+    dropped row stays; of equal rows one stays."""
+    key = [F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash")]
+    sk = C.cut_lineage(sketches(docs, p, hashed=True))
+    where = _classes(docs, sk, p)
+    rows = sk.filter("n_shingles > 0").select("doc_id", "text_hash", "node", "n_shingles") \
+        .join(where.select("node", "n_shingles", "root"), ["node", "n_shingles"]).select("doc_id", "text_hash", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    groups = rows.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")).join(groups, "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    bare = sk.filter("n_shingles = 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    verdict = C.cut_lineage(held.withColumn("stays", stays).unionByName(bare.withColumn("stays", F.lit(True)), allowMissingColumns=True)
+                            .select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "stays", "copies"))
+    packed = docs.select(F.struct("*").alias("row"), *key)                  # a row keeps its columns, whatever their names
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))
+    left = packed.join(verdict.filter("not stays"), same, "left_anti")
+    many = verdict.filter("stays and copies > 1")
     if many.isEmpty():
-        return left
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    again = many.withColumnRenamed("doc_id", "_id")
-    once = left.join(again, same, "left_semi")
-    with_id = once.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    without = once.filter("doc_id is null").dropDuplicates()
-    return left.join(again, same, "left_anti").unionByName(with_id).unionByName(without)
+        return left.select("row.*")
+    once = left.join(many, same, "left_semi").dropDuplicates(["id", "hash"])
+    return left.join(many, same, "left_anti").unionByName(once).select("row.*")

@@ -177,15 +177,20 @@ def scan(docs: DataFrame, labels=format_labels, p: SecretScan = SecretScan()) ->
 def redact(docs: DataFrame, labels=format_labels, p: SecretScan = SecretScan()) -> DataFrame:
     """``docs`` with the values found to be secrets replaced in ``text`` (and ``n_chars``, if it
     is there, set to the new length); all rows and columns stay."""
-    bad = scan(docs, labels, p).filter("is_secret").groupBy("doc").agg(F.collect_set("k").alias("_ks"))   # by text
-    bad = C.cut_lineage(bad.withColumnRenamed("doc", "_doc"))
-    marked = C.mark_bitmap(docs.withColumn("_doc", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))), "_doc", bad)
-    open_ = marked.filter("_maybe").join(bad, "_doc", "left")
-    values, between = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
-    filled = F.transform(values, lambda v, k: F.when(F.array_contains("_ks", k), F.concat(F.regexp_extract(v, HEAD, 0), F.lit(MASK))).otherwise(v))
+    bad = scan(docs, labels, p).filter("is_secret").groupBy("doc").agg(F.collect_set("k").alias("ks"))   # by text
+    bad = C.cut_lineage(bad)
+    text = F.col("text").cast("string")
+    packed = docs.select(F.struct("*").alias("row"), text.alias("was"),                      # whatever the columns' names
+                         F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(text, F.lit(""))).alias("doc"))
+    marked = C.mark_bitmap(packed, "doc", bad)
+    open_ = marked.filter("_maybe").drop("_maybe").join(bad, "doc", "left")
+    values, between = F.regexp_extract_all("was", F.lit(CANDIDATE), F.lit(0)), F.split("was", CANDIDATE, -1)
+    filled = F.transform(values, lambda v, k: F.when(F.array_contains("ks", k), F.concat(F.regexp_extract(v, HEAD, 0), F.lit(MASK))).otherwise(v))
     new = F.array_join(F.flatten(F.zip_with(between, F.concat(filled, F.array(F.lit(""))), lambda b, v: F.array(b, v))), "")
-    text = F.when(F.col("_ks").isNotNull(), new).otherwise(F.col("text"))
-    changed = open_.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_ks").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return marked.filter(~F.col("_maybe")).select(*docs.columns).unionByName(changed.select(*docs.columns))
+    changed = open_.select("row", F.col("ks").isNotNull().alias("hit"), F.when(F.col("ks").isNotNull(), new).otherwise(F.col("was")).alias("now"))
+    fields = {f.name: F.col("row").getField(f.name) for f in docs.schema.fields}
+    kinds = dict(docs.dtypes)
+    fields["text"] = F.col("now").cast(kinds["text"])
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col("hit"), F.length("now").cast(kinds["n_chars"])).otherwise(fields["n_chars"])
+    return marked.filter(~F.col("_maybe")).select("row.*").unionByName(changed.select(*(c.alias(n) for n, c in fields.items())))

@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from llm_fixtures import docs_of  # noqa: F401  (a fixture)
+from pyspark.sql import functions as F
 
 from notecover.llm import embeddings, minhash
 from notecover.llm import common as C
@@ -136,3 +137,33 @@ def test_rotation_codes_are_unbiased_and_bounded():
     flat = embeddings.upper_bounds(code, factor, rotated, embeddings.RotationCodes(spread=0.0)) - exact
     off = flat[~np.eye(300, dtype=bool)]
     assert abs(off.mean()) < 0.005 and off.std() < 0.08
+
+
+LONG_TEXT = " ".join(f"word{i}" for i in range(200))
+
+
+def test_drop_near_duplicates_by_id_and_text(docs_of):
+    near = LONG_TEXT + " more"
+    rows = [(3, LONG_TEXT), (5, near), (5, "a clean text under the same id"), (7, LONG_TEXT), (7, LONG_TEXT), (None, LONG_TEXT), (None, ""),
+            (8, "one two"), (8, "one two"), (9, None), (9, None)]
+    kept = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs_of(rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(3, LONG_TEXT), (5, "a clean text under the same id"), (None, ""), (8, "one two"), (9, None)], key=repr)
+
+
+def test_stages_keep_columns_of_any_name(spark, docs_of):
+    """Extra columns that carry the stages' own names, in any case, pass through unchanged."""
+    import corpus_pipeline as P
+
+    names = ["_bad", "_id", "_n", "_bucket", "_map", "_maybe", "_doc", "_ks", "row", "id", "hash", "of", "doc", "was", "now", "hit", "node", "Bad"]
+    rows = [(1, LONG_TEXT + " password: hunter2hunter2"), (2, LONG_TEXT), (2, LONG_TEXT), (3, "quite another short text"), (None, None), (4, "")]
+    docs = docs_of(rows)
+    for n in names[:-1]:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    empty = docs.limit(0)
+    for name, stage in P.STAGES[1:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        for r in out.collect():
+            assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for n in names[:-1]), name
+        assert stage(spark, empty, "/root/testdata/sf0.001").collect() == []
+    assert P.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() >= len(rows)
