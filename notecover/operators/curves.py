@@ -1,33 +1,30 @@
 """Score-ranking metrics on a score histogram (A-7 ... A-12, A-18, U-2, W-7).
 
 All curve metrics first reduce the scored rows to one row per distinct score
-(score, pos, neg) with a partial aggregate, then need running totals over the scores
-in order. A plain ``Window.orderBy`` without partitioning would put every distinct score
-in one task, so running totals are two-level (:func:`running_totals`): the histogram is
-cut into score ranges by approximate quantiles, each range is summed in its own task,
-range offsets come from a tiny window over the ranges, and the offsets are broadcast back.
+(score, pos, neg) with a partial aggregate, and then need running totals over the scores
+in order (:func:`running_totals`). A histogram counted small is one window. A larger one is
+cut into score ranges at the quantiles of a mergeable sketch: each range is summed in its
+own task and offset by the totals of the ranges before it, so no task sees all scores.
+
+Every function takes ``by``, columns that name a group (a seed, an epoch, a run): the
+histogram, the totals and the result are then per group, for all groups in the same jobs.
+The number of ranges follows from the number of distinct scores alone, and counts are
+integers, so results do not depend on the session's partition settings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID = tuple(i / 100.0 for i in range(1, 100))   # 0.01 ... 0.99, built from integers
-
-# Histograms cached by running_totals; the oldest are released so a long session does not
-# accumulate them (a released one is recomputed from its lineage if still used).
-_CACHED: list[DataFrame] = []
-_KEEP_CACHED = 8
+from notecover.session import cut_lineage
 
+GRID = tuple(i / 100.0 for i in range(1, 100))   # 0.01 ... 0.99, built from integers
 
-def _remember(df: DataFrame) -> None:
-    _CACHED.append(df)
-    while len(_CACHED) > _KEEP_CACHED:
-        _CACHED.pop(0).unpersist()
+RANGE_ROWS = 200_000          # distinct scores summed by one window
+MAX_RANGES = 4096             # bounds held by the driver
 
 
 def valid_scores(df: DataFrame, score="score") -> DataFrame:
@@ -36,15 +33,15 @@ def valid_scores(df: DataFrame, score="score") -> DataFrame:
     return df.filter(s.isNotNull() & ~F.isnan(s))
 
 
-def histogram(df: DataFrame, y="y", score="score") -> DataFrame:
-    """(score, pos, neg): one row per distinct valid score; y = 1 is positive.
+def histogram(df: DataFrame, y="y", score="score", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., score, pos, neg): one row per distinct valid score; y = 1 is positive.
 
     Rows without a valid score are dropped after the aggregate (by an aggregated flag),
     not by a filter before it: a filter on a computed score would be pushed below the
     projection and re-evaluate the score expression inside the filter."""
     s = F.col(score)
     ok = s.isNotNull() & ~F.isnan(s)
-    h = df.groupBy(s.alias("score")).agg(
+    h = df.groupBy(*by, s.alias("score")).agg(
         F.count_if(ok & (F.col(y) == 1)).alias("pos"), F.count_if(ok & (F.col(y) != 1)).alias("neg"),
         F.max(ok.cast("int")).alias("_ok"))
     return h.filter(F.col("_ok") == 1).drop("_ok")
@@ -61,103 +58,114 @@ def _with_bucket(df: DataFrame, key: str, bounds: list[float], out: str) -> Data
     return b.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
+def _bounds(h: DataFrame, buckets: int | None) -> list[float]:
+    """Quantiles of the ordering key that cut ``h`` into ranges: at most MAX_RANGES - 1 numbers."""
+    if buckets == 1:
+        return []
+    n, sketch = h.agg(F.count("_ok"), F.kll_sketch_agg_double("_ok")).first()
+    buckets = buckets or min(MAX_RANGES, -(-n // RANGE_ROWS))
+    if buckets <= 1 or not n:
+        return []
+    ranks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    at = h.sparkSession.range(1).select(F.kll_sketch_get_quantile_double(F.lit(bytearray(sketch)), ranks)).first()[0]
+    return sorted(set(at))
+
+
 def running_totals(h: DataFrame, key: str, cols: Sequence[str], descending: bool = False,
-                   buckets: int | None = None, inclusive: bool = True) -> DataFrame:
-    """Add ``cum_<c>`` = sum of ``c`` over all rows ordered before (and, if inclusive, at) ``key``,
-    and ``tot_<c>`` = the grand total of ``c``.
-
-    ``key`` must be unique per row (a histogram). Two-level prefix sum: bucket by
-    approximate quantiles of ``key`` (a driver-side list of ``buckets - 1`` numbers),
-    window inside each bucket, add per-bucket offsets from a broadcast table with one row
-    per bucket. Deterministic on recomputation because the bucket bounds are constants.
-    """
-    spark = h.sparkSession
-    nb = buckets or min(4096, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+                   buckets: int | None = None, inclusive: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``cum_<c>`` = sum of ``c`` over all rows of the group ordered before (and, if inclusive,
+    at) ``key``, and ``tot_<c>`` = the group's total of ``c``.
+
+    ``key`` must be unique per group (a histogram). The histogram is written to the
+    checkpoint folder once: its size and sketch, the offsets and the totals read it there,
+    so the bounds of the ranges are constants of the plan and a recomputed task sums the
+    same ranges. Groups share the bounds; a group's rows in a range are one window."""
     okey = (-F.col(key)) if descending else F.col(key)
-    hk = h.withColumn("_ok", okey.cast("double"))
-    if nb > 1:
-        hk = hk.persist(StorageLevel.MEMORY_AND_DISK)
-        _remember(hk)
-        probs = [i / nb for i in range(1, nb)]
-        bounds = sorted(set(x for x in hk.approxQuantile("_ok", probs, 0.001) if x is not None))
-    else:
-        bounds = []
-    hb = _with_bucket(hk, "_ok", bounds, "_b")
-    totals = hb.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(F.lit(0))
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                    for c in cols],
-                            *[F.sum(f"_t_{c}").over(wall.rowsBetween(Window.unboundedPreceding,
-                                                                     Window.unboundedFollowing)).alias(f"tot_{c}")
-                              for c in cols])
+    h = cut_lineage(h.withColumn("_ok", okey.cast("double")))
     end = Window.currentRow if inclusive else -1
-    win = Window.partitionBy("_b").orderBy("_ok").rowsBetween(Window.unboundedPreceding, end)
-    out = hb.join(F.broadcast(offsets), "_b")
+    bounds = _bounds(h, buckets)
+    if not bounds:                                       # counted small
+        ordered = Window.partitionBy(*by).orderBy("_ok").rowsBetween(Window.unboundedPreceding, end)
+        whole = Window.partitionBy(*by)
+        return h.select("*", *[F.coalesce(F.sum(c).over(ordered), F.lit(0)).alias(f"cum_{c}") for c in cols],
+                        *[F.sum(c).over(whole).alias(f"tot_{c}") for c in cols]).drop("_ok")
+    hb = _with_bucket(h, "_ok", bounds, "_b")
+    totals = hb.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols],
+                            *[F.sum(f"_t_{c}").over(Window.partitionBy(*by)).alias(f"tot_{c}") for c in cols])
+    if by:                                               # null-safe: a group may be null
+        offsets = offsets.withColumnsRenamed({c: f"_g_{c}" for c in (*by, "_b")})
+        same = F.col("_b") == F.col("_g__b")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        out = hb.join(offsets, same).drop(*[f"_g_{c}" for c in (*by, "_b")])
+    else:
+        out = hb.join(F.broadcast(offsets), "_b")        # a row per range
+    win = Window.partitionBy(*by, "_b").orderBy("_ok").rowsBetween(Window.unboundedPreceding, end)
     for c in cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(win), F.lit(0)))
     return out.drop("_b", "_ok", *[f"_o_{c}" for c in cols])
 
 
-def _totals(h: DataFrame) -> DataFrame:
-    return h.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-
+def cumulative_desc(df: DataFrame, y="y", score="score", extra_thresholds: Sequence[float] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Histogram with cum_pos / cum_neg = counts with score >= this score (threshold view), and the
+    totals P and N.
 
-def cumulative_desc(df: DataFrame, y="y", score="score", extra_thresholds: Sequence[float] = ()) -> DataFrame:
-    """Histogram with cum_pos / cum_neg = counts with score >= this score (threshold view).
-
-    ``extra_thresholds`` adds zero-count candidate rows (U-2: grid ∪ distinct scores).
-    """
-    h = histogram(df, y, score)
+    ``extra_thresholds`` adds zero-count candidate rows (U-2: grid and distinct scores)."""
+    h = histogram(df, y, score, by)
     if extra_thresholds:
-        grid = h.sparkSession.createDataFrame([(float(t),) for t in extra_thresholds], "score double") \
-            .select("score", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
-        h = h.unionByName(grid).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return running_totals(h, "score", ["pos", "neg"], descending=True)
+        h = cut_lineage(h) if by else h                  # read for its groups and its rows
+        groups = h.select(*by).distinct() if by else h.sparkSession.range(1).select()
+        grid = groups.select(*by, F.explode(F.array(*[F.lit(float(t)) for t in extra_thresholds])).alias("score"),
+                             F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
+        h = h.unionByName(grid).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return running_totals(h, "score", ["pos", "neg"], descending=True, by=by) \
+        .withColumnRenamed("tot_pos", "P").withColumnRenamed("tot_neg", "N")
+
+
+def _ranking(cum: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A-7, A-8 and A-9 of each group from its running totals, with P and N."""
+    cp, cn, pos, neg = (F.col(c) for c in ("cum_pos", "cum_neg", "pos", "neg"))
+    prec = cp / (cp + cn)
+    pp, pn = cp - pos, cn - neg                          # the point before: the next higher score
+    prev_prec = F.when(pp + pn > 0, pp / (pp + pn)).otherwise(F.lit(1.0))
+    agg = cum.groupBy(*by).agg(F.sum(pos * (F.col("N") - cn + neg / 2.0)).alias("s_auc"), F.sum(pos * prec).alias("s_ap"),
+                               F.sum(pos * (prec + prev_prec) / 2.0).alias("s_pr"),
+                               F.first("P").alias("P"), F.first("N").alias("N"))
+    both = (F.col("P") > 0) & (F.col("N") > 0)
+    return agg.select(*by, F.when(both, F.col("s_auc") / (F.col("P") * F.col("N"))).alias("roc_auc"),
+                      F.when(F.col("P") > 0, F.col("s_ap") / F.col("P")).alias("average_precision"),
+                      F.when(F.col("P") > 0, F.col("s_pr") / F.col("P")).alias("pr_auc"), "P", "N")
 
 
-def _with_totals(cum: DataFrame, df: DataFrame = None, y="y", score="score") -> DataFrame:
-    """P and N are the grand totals that :func:`running_totals` carries on every row."""
-    return cum.withColumnRenamed("tot_pos", "P").withColumnRenamed("tot_neg", "N")
+def ranking_summary(df: DataFrame, y="y", score="score", by: Sequence[str] = (), cum: DataFrame | None = None) -> DataFrame:
+    """A-7, A-8, A-9 from one histogram and one running total: roc_auc, average_precision,
+    pr_auc (trapezoid), P, N in one row (a row per group). Like the curves below it takes
+    ``cum``, totals of :func:`cumulative_desc` that several results share."""
+    return _ranking(cum if cum is not None else cumulative_desc(df, y, score, by=by), by)
 
 
-def roc_auc(df: DataFrame, y="y", score="score") -> DataFrame:
+def roc_auc(df: DataFrame, y="y", score="score", by: Sequence[str] = (), cum: DataFrame | None = None) -> DataFrame:
     """A-7: Σ pos·(neg strictly below + neg/2) / (P·N); null if a class is missing."""
-    c = _with_totals(cumulative_desc(df, y, score), df, y, score)
-    contrib = F.col("pos") * (F.col("N") - F.col("cum_neg") + F.col("neg") / 2.0)
-    agg = c.agg(F.sum(contrib).alias("s"), F.first("P").alias("P"), F.first("N").alias("N"))
-    auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("s") / (F.col("P") * F.col("N")))
-    return agg.select(auc.alias("roc_auc"))
+    return ranking_summary(df, y, score, by, cum).select(*by, "roc_auc")
 
 
-def average_precision(df: DataFrame, y="y", score="score") -> DataFrame:
+def average_precision(df: DataFrame, y="y", score="score", by: Sequence[str] = (), cum: DataFrame | None = None) -> DataFrame:
     """A-8: Σ (R_n - R_{n-1}) P_n over distinct scores in decreasing order."""
-    c = _with_totals(cumulative_desc(df, y, score), df, y, score)
-    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    agg = c.agg(F.sum(F.col("pos") * prec).alias("s"), F.first("P").alias("P"))
-    return agg.select(F.when(F.col("P") > 0, F.col("s") / F.col("P")).alias("average_precision"))
+    return ranking_summary(df, y, score, by, cum).select(*by, "average_precision")
 
 
-def ranking_summary(df: DataFrame, y="y", score="score") -> DataFrame:
-    """A-7, A-8, A-9 from one histogram and one running total: roc_auc, average_precision,
-    pr_auc (trapezoid), P, N in one row."""
-    c = _with_totals(cumulative_desc(df, y, score))
-    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    pp, pn = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
-    prev_prec = F.when(pp + pn > 0, pp / (pp + pn)).otherwise(F.lit(1.0))
-    agg = c.agg(F.sum(F.col("pos") * (F.col("N") - F.col("cum_neg") + F.col("neg") / 2.0)).alias("s_auc"),
-                F.sum(F.col("pos") * prec).alias("s_ap"),
-                F.sum((F.col("pos") / F.col("P")) * (prec + prev_prec) / 2.0).alias("s_pr"),
-                F.first("P").alias("P"), F.first("N").alias("N"))
-    both = (F.col("P") > 0) & (F.col("N") > 0)
-    return agg.select(F.when(both, F.col("s_auc") / (F.col("P") * F.col("N"))).alias("roc_auc"),
-                      F.when(F.col("P") > 0, F.col("s_ap") / F.col("P")).alias("average_precision"),
-                      F.when(F.col("P") > 0, F.col("s_pr")).alias("pr_auc"), "P", "N")
+def pr_auc_trapezoid(df: DataFrame, y="y", score="score", by: Sequence[str] = (), cum: DataFrame | None = None) -> DataFrame:
+    """A-9: trapezoid area under the PR points, starting at (R=0, P=1). Each point's left
+    neighbour (the next higher score) is its own running total without its counts, so no
+    global ``lag`` over all scores is needed."""
+    return ranking_summary(df, y, score, by, cum).select(*by, "pr_auc")
 
 
-def pr_curve(df: DataFrame, y="y", score="score") -> DataFrame:
+def pr_curve(df: DataFrame, y="y", score="score", cum: DataFrame | None = None) -> DataFrame:
     """A-10: (threshold, precision, recall) per distinct score, plus the end point (P=1, R=0)."""
-    c = _with_totals(cumulative_desc(df, y, score), df, y, score)
+    c = cum if cum is not None else cumulative_desc(df, y, score)
     pts = c.select(F.col("score").alias("threshold"),
                    (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
                    F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")).otherwise(F.lit(1.0)).alias("recall"))
@@ -166,28 +174,9 @@ def pr_curve(df: DataFrame, y="y", score="score") -> DataFrame:
     return pts.unionByName(end)
 
 
-def pr_auc_trapezoid(df: DataFrame, y="y", score="score") -> DataFrame:
-    """A-9: trapezoid area under the PR points, starting at (R=0, P=1).
-
-    Each point's left neighbour (the next higher score) is found with a second running
-    total that excludes the current row, so no global ``lag`` over all scores is needed.
-    """
-    h = histogram(df, y, score)
-    c = running_totals(h, "score", ["pos", "neg"], descending=True)
-    c = c.withColumn("prev_pos", F.col("cum_pos") - F.col("pos")).withColumn("prev_neg", F.col("cum_neg") - F.col("neg"))
-    c = _with_totals(c, df, y, score)
-    r = F.col("cum_pos") / F.col("P")
-    p = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    r0 = F.col("prev_pos") / F.col("P")
-    p0 = F.when(F.col("prev_pos") + F.col("prev_neg") > 0,
-                F.col("prev_pos") / (F.col("prev_pos") + F.col("prev_neg"))).otherwise(F.lit(1.0))
-    agg = c.agg(F.sum((r - r0) * (p + p0) / 2.0).alias("s"), F.first("P").alias("P"))
-    return agg.select(F.when(F.col("P") > 0, F.col("s")).alias("pr_auc"))
-
-
-def roc_curve(df: DataFrame, y="y", score="score") -> DataFrame:
+def roc_curve(df: DataFrame, y="y", score="score", cum: DataFrame | None = None) -> DataFrame:
     """A-11: (threshold, fpr, tpr) per distinct score, plus the origin (threshold null)."""
-    c = _with_totals(cumulative_desc(df, y, score), df, y, score)
+    c = cum if cum is not None else cumulative_desc(df, y, score)
     pts = c.select(F.col("score").alias("threshold"),
                    F.when(F.col("N") > 0, F.col("cum_neg") / F.col("N")).alias("fpr"),
                    F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")).alias("tpr"))
@@ -223,20 +212,21 @@ def score_histogram(df: DataFrame, score="score", bins: int = 20) -> DataFrame:
                       F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def threshold_table(df: DataFrame, y="y", score="score", grid: Sequence[float] = GRID) -> DataFrame:
+def threshold_table(df: DataFrame, y="y", score="score", grid: Sequence[float] = GRID, by: Sequence[str] = ()) -> DataFrame:
     """U-2 + A-18 inputs: every candidate threshold with TP, FP, FN and F1 of (score >= t)."""
-    c = _with_totals(cumulative_desc(df, y, score, extra_thresholds=grid), df, y, score)
+    c = cumulative_desc(df, y, score, extra_thresholds=grid, by=by)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     fn = F.col("P") - tp
     den = 2 * tp + fp + fn
     f1 = F.when(den > 0, 2 * tp / den).otherwise(F.lit(0.0))
-    return c.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), f1.alias("f1"))
+    return c.select(*by, F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), f1.alias("f1"))
 
 
-def best_threshold(df: DataFrame, y="y", score="score", grid: Sequence[float] = GRID) -> DataFrame:
-    """A-18: the lowest candidate t with the highest F1 of (score >= t); (0.5, 0.0) if no F1 > 0."""
-    t = threshold_table(df, y, score, grid)
-    best = t.filter(F.col("f1") > 0).orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1)
-    fallback = df.sparkSession.range(1).select(F.lit(0.5).alias("threshold"), F.lit(0.0).alias("f1"))
-    both = best.select("threshold", "f1", F.lit(0).alias("_o")).unionByName(fallback.withColumn("_o", F.lit(1)))
-    return both.orderBy("_o").limit(1).drop("_o")
+def best_threshold(df: DataFrame, y="y", score="score", grid: Sequence[float] = GRID, by: Sequence[str] = ()) -> DataFrame:
+    """A-18: the lowest candidate t with the highest F1 of (score >= t); (0.5, 0.0) if no F1 > 0.
+    One aggregate, no sort; with ``by`` a row per group."""
+    t = threshold_table(df, y, score, grid, by)
+    best = t.groupBy(*by).agg(F.max(F.struct("f1", (-F.col("threshold")).alias("t"))).alias("b"))
+    some = F.col("b.f1") > 0
+    return best.select(*by, F.when(some, -F.col("b.t")).otherwise(F.lit(0.5)).alias("threshold"),
+                       F.when(some, F.col("b.f1")).otherwise(F.lit(0.0)).alias("f1"))

@@ -46,6 +46,30 @@ def metric_record(df: DataFrame, y: str = "y", score: str = "score", model_pred:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
+
+
+def run_records(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "score", y_pred: str | None = None) -> DataFrame:
+    """The record of every run (``by`` names a seed, an epoch, a setting) in the same jobs:
+    (by..., threshold, n, tp, fp, fn, tn, accuracy, precision, recall, f1, roc_auc, pr_auc).
+
+    ``y_pred`` is the runs' own decision (threshold null); without it each run's best-F1
+    threshold decides (A-18). pr_auc is the average precision (A-8), as in A-22. The scored
+    rows are read from the checkpoint folder; thresholds and ranking metrics are one row a
+    run and are joined by broadcast."""
+    df = cut_lineage(df.select(*by, F.col(y).alias("y"), F.col(score).alias("score"),
+                               *([F.col(y_pred).alias("pred")] if y_pred else [])))
+    rank = C.ranking_summary(df, by=by).select(*by, "roc_auc", F.col("average_precision").alias("pr_auc"))
+    if y_pred:
+        best = df.select(*by).distinct().withColumn("threshold", F.lit(None).cast("double"))
+        decided = df
+    else:
+        best = cut_lineage(C.best_threshold(df, by=by).drop("f1"))
+        decided = df.join(F.broadcast(best), list(by)).withColumn("pred", (F.col("score") >= F.col("threshold")).cast("int"))
+    counts = decided.groupBy(*by).agg(*M.binary_counters("y", "pred")).select(*by, *M.COUNTER_COLS, *M.metric_columns())
+    return best.join(counts, list(by)).join(rank, list(by))
+
+
 def long_rows(df: DataFrame, section: str, cols: Sequence[str], key: Column | None = None) -> DataFrame:
     """(section, key, value): one row per non-null value of ``cols``; the key is the column's
     name, after ``key`` and a colon where a key is given."""

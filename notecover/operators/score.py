@@ -6,11 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notecover.functions import text as TX
+from notecover.operators import curves as C
+from notecover.operators import logistic as LG
 from notecover.operators.similarity import cosine_tf_expr
 
 
@@ -125,41 +127,50 @@ def pair_features(df: DataFrame, idea: str = "idea_unit", note: str = "note_text
                      .alias("f_cover"), cosine_tf_expr(a, b).alias("f_cosine"))
 
 
-def train_pair_classifier(train: DataFrame, label: str = "label", reg_param: float = 0.01,
-                          max_iter: int = 50, features: Sequence[str] = FEATURES):
-    """X-4 (re-aimed): logistic regression on pair features (pyspark.ml, distributed fit)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    lr = LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg_param, maxIter=max_iter)
-    model = lr.fit(va.transform(train.withColumn("_y", F.col(label).cast("double"))))
-    return va, model
-
-
-def predict_pairs(df: DataFrame, fitted) -> DataFrame:
-    """Probability of class 1 (prob_1) and argmax prediction from a fitted classifier."""
-    from pyspark.ml.functions import vector_to_array
-
-    va, model = fitted
-    out = model.transform(va.transform(df))
-    p = vector_to_array("probability")
-    return out.withColumn("prob_1", p[1]).withColumn("pred_argmax", F.col("prediction").cast("int")) \
-        .drop("features", "rawPrediction", "probability", "prediction")
-
-
-def param_search(train: DataFrame, val: DataFrame, reg_params: Sequence[float] = (0.0, 0.01, 0.1),
-                 label: str = "label") -> DataFrame:
-    """X-6: fit one model per regularisation value, keep the one with the best validation
-    F1 at its own best threshold (A-18). Returns one row per candidate, best first."""
-    from notecover.operators.curves import best_threshold
-
-    spark = train.sparkSession
-    rows = []
-    for rp in reg_params:
-        fitted = train_pair_classifier(train, label, reg_param=rp)
-        pred = predict_pairs(val, fitted)
-        bt = best_threshold(pred.withColumn("_y", F.col(label)), "_y", "prob_1").first()
-        rows.append((float(rp), float(bt["threshold"]), float(bt["f1"])))
-    res = spark.createDataFrame(rows, "reg_param double, threshold double, f1 double")
-    return res.orderBy(F.col("f1").desc(), F.col("reg_param").asc())
+def train_pair_classifier(train: DataFrame, label: str = "label", reg_param: float = LG.REG, rounds: int = LG.ROUNDS,
+                          features: Sequence[str] = FEATURES) -> LG.Path:
+    """X-4 (re-aimed): logistic regression on pair features, one aggregate a round."""
+    return LG.fit(train.withColumn("_run", F.lit(0)), features, {0: reg_param}, label, "_run", rounds)[0]
+
+
+def predict_pairs(df: DataFrame, path: LG.Path) -> DataFrame:
+    """Probability of class 1 (prob_1) and argmax prediction (ties: class 0) of a fitted classifier."""
+    scored = LG.score(df.withColumn("_run", F.lit(0)), {0: path}, "_run").drop("_run")
+    return scored.withColumn("pred_argmax", (F.col("prob_1") > 0.5).cast("int"))
+
+
+def seed_fits(runs: DataFrame, seeds: Sequence[int], label: str = "label", reg_param: float = LG.REG,
+              features: Sequence[str] = FEATURES) -> DataFrame:
+    """X-5 with fits: rows of :func:`split.seed_runs` (seed, split, label, features); a classifier per
+    seed from its 'train' rows, all seeds in the same jobs, and the 'val' rows with ``prob_1``."""
+    train = runs.filter(F.col("split") == "train").withColumn("seed", F.col("seed").cast("int"))
+    paths = LG.fit(train, features, {int(s): reg_param for s in seeds}, label, "seed")
+    return LG.score(runs.filter(F.col("split") == "val"), paths, "seed")
+
+
+def param_search(train: DataFrame, val: DataFrame, reg_params: Sequence[float] = (0.001, 0.01, 0.1),
+                 label: str = "label", features: Sequence[str] = FEATURES) -> DataFrame:
+    """X-6: one model per regularisation value, all in the same jobs, with the validation F1 at its
+    own best threshold (A-18). One row per candidate: reg_param, threshold, f1, best."""
+    regs = [float(r) for r in reg_params]
+    each = F.explode(F.array(*[F.lit(r) for r in regs]))
+    paths = LG.fit(train.withColumn("reg_param", each), features, {r: r for r in regs}, label, "reg_param")
+    scored = LG.score(val.withColumn("reg_param", each), paths, "reg_param").select("reg_param", F.col(label).alias("y"), "prob_1")
+    return _with_best(C.best_threshold(scored, "y", "prob_1", by=["reg_param"]), "reg_param")
+
+
+def epoch_search(train: DataFrame, val: DataFrame, label: str = "label", reg_param: float = LG.REG, rounds: int = LG.ROUNDS,
+                 features: Sequence[str] = FEATURES) -> DataFrame:
+    """X-6: the best epoch by validation F1. The coefficients after every round of one fit score the
+    validation rows in one pass; one row per epoch: epoch, threshold, f1, best (the first
+    epoch with the highest F1)."""
+    path = train_pair_classifier(train, label, reg_param, rounds, features)
+    scored = LG.score_paths(val, path).select("epoch", F.col(label).alias("y"), "prob_1")
+    return _with_best(C.best_threshold(scored, "y", "prob_1", by=["epoch"]), "epoch")
+
+
+def _with_best(rows: DataFrame, key: str) -> DataFrame:
+    """Best first: the highest F1, the lowest key on ties. A row per candidate, so one small window."""
+    order = (F.round("f1", 6).desc(), F.col(key))
+    first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    return rows.select(key, "threshold", "f1", (first == 1).cast("int").alias("best")).orderBy(*order)

@@ -9,6 +9,7 @@ from notecover.operators import align as AL
 from notecover.operators import clean as CL
 from notecover.operators import curves as C
 from notecover.operators import errors as ER
+from notecover.operators import logistic as LG
 from notecover.operators import metrics as M
 from notecover.operators import pairs as PR
 from notecover.operators import prompt as PM
@@ -16,7 +17,7 @@ from notecover.operators import record as R
 from notecover.operators import score as SC
 from notecover.operators import split as SP
 from notecover.plans import sqlparts as S
-from notecover.plans.q_model import SPAN_CTES, _spans, one_shot_sql, toks_sql, zero_shot_sql
+from notecover.plans.q_model import SPAN_CTES, SUMMARY_SQL, _spans, one_shot_sql, run_ctes, run_summary, toks_sql, zero_shot_sql
 from notecover.plans.q_prep import EXAMPLE_CTES, RANDOM_CTE, _coerced_sql, _examples, _raw_train, int_sql, num_sql, strip_sql
 from notecover.plans.registry import query, r6
 from notecover.session import cut_lineage
@@ -56,9 +57,81 @@ def metric_record(df, y="y", score="score", model_pred=None):
     return R.metric_record(df, y, score, model_pred)
 
 
+# ---------------------------------------------------------------- X-4: features and Newton's method in SQL
+def _ratio_sql(num: str, den: str) -> str:
+    return f"CASE WHEN {den} > 0 THEN {num} / {den} ELSE 0.0 END"
+
+
+PF_CTES = (
+    f"pf0 AS (SELECT pair_id, label, split, idea_unit, note_text, {S.strip_lower('idea_unit')} AS a, "
+    f"{S.strip_lower('note_text')} AS b FROM sp LEFT JOIN rs USING (pair_id))",
+    f"pf1 AS (SELECT *, list_distinct({S.ws_tokens('a')}) AS ja, list_distinct({S.ws_tokens('b')}) AS jb, "
+    f"{S.token_sort('a')} AS sa, {S.token_sort('b')} AS sb, {S.overlap_set('idea_unit')} AS oa, {S.overlap_set('note_text')} AS ob, "
+    f"regexp_extract_all(a, '\\p{{Nd}}+') AS na, regexp_extract_all(b, '\\p{{Nd}}+') AS nb, "
+    f"list_distinct(regexp_extract_all(a, '{T.WORD}')) AS wa, list_distinct(regexp_extract_all(b, '{T.WORD}')) AS wb, "
+    f"list_histogram(regexp_extract_all(lower(a), '{T.TOK2}')) AS ha, list_histogram(regexp_extract_all(lower(b), '{T.TOK2}')) AS hb FROM pf0)",
+    "pf2 AS (SELECT *, list_sum(list_transform(map_keys(ha), lambda k: ha[k] * coalesce(hb[k], 0))) AS dot, "
+    "list_sum(list_transform(map_values(ha), lambda x: x * x)) * list_sum(list_transform(map_values(hb), lambda x: x * x)) AS nn FROM pf1)",
+    "pf AS (SELECT pair_id, label, split, "
+    "CASE WHEN len(ja) = 0 OR len(jb) = 0 THEN 0.0 ELSE len(list_intersect(ja, jb)) / len(list_distinct(list_concat(ja, jb))) END AS f_jaccard, "
+    f"{S.levenshtein_ratio('sa', 'sb')} AS f_levenshtein, {_ratio_sql('len(list_intersect(oa, ob))', 'len(oa)')} AS f_overlap, "
+    f"CAST(len(na) > 0 AND na = nb AS DOUBLE) AS f_number, {_ratio_sql('len(list_intersect(wa, wb))', 'len(wa)')} AS f_cover, "
+    "CASE WHEN nn > 0 THEN dot / sqrt(nn) ELSE 0.0 END AS f_cosine FROM pf2)",
+)
+FEATURE_CTES = SPAN_CTES + (RANDOM_CTE,) + PF_CTES
+
+
+def fit_ctes(src: str, run: str, regs: dict, rounds: int = LG.ROUNDS) -> tuple[str, ...]:
+    """Table ``lg`` ({run}, reg, k, w): coefficients of each run after k Newton rounds over ``src``
+    ({run}, label, features). A round is an aggregate over the rows; its linear system is
+    solved by elimination over the lists of its sums."""
+    d = len(SC.FEATURES) + 1
+    x = ["CAST(1 AS DOUBLE)", *SC.FEATURES]
+    hess = ", ".join("[" + ", ".join([f"h{min(i, j)}_{max(i, j)} / n" + (" + reg" if i == j and i else "") for j in range(d)]
+                                     + [f"g{i} / n" + (f" + reg * w[{i + 1}]" if i else "")]) + "]" for i in range(d))
+    sums = ", ".join([f"sum((p - label) * {x[i]}) AS g{i}" for i in range(d)]
+                     + [f"sum(p * (1 - p) * {x[i]} * {x[j]}) AS h{i}_{j}" for i in range(d) for j in range(i, d)])
+    solved = (f"list_reduce({list(range(1, d + 1))}, lambda m, k: list_transform(m, lambda r, i: CASE WHEN i = k "
+              f"THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END), [{hess}])")
+    start = ", ".join(f"({k}, CAST({r} AS DOUBLE), 0, CAST({[0.0] * d} AS DOUBLE[]))" for k, r in regs.items())
+    return (
+        f"lgt AS MATERIALIZED (SELECT {run}, label, {', '.join(SC.FEATURES)} FROM {src})",
+        f"lg({run}, reg, k, w) AS (SELECT * FROM (VALUES {start}) v UNION ALL "
+        f"SELECT {run}, reg, k + 1, list_transform(w, lambda c, i: c - {solved}[i][{d + 1}]) FROM ("
+        f"SELECT {run}, reg, k, w, count(*) AS n, {sums} FROM (SELECT lg.{run}, reg, k, w, lgt.* EXCLUDE ({run}), {prob_sql()} AS p "
+        f"FROM lg JOIN lgt ON lgt.{run} = lg.{run} WHERE k < {rounds}) a GROUP BY {run}, reg, k, w) s)",
+    )
+
+
+def prob_sql(w: str = "w") -> str:
+    return f"1 / (1 + exp(-({w}[1]" + "".join(f" + {w}[{i + 2}] * {f}" for i, f in enumerate(SC.FEATURES)) + ")))"
+
+
+def run_best_ctes(src: str, run: str) -> tuple[str, ...]:
+    """``rb``: the best-F1 threshold (A-18) of each run of ``src`` ({run}, y, score)."""
+    return (
+        f"rbh AS (SELECT {run}, score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg FROM {src} GROUP BY ALL)",
+        f"rbu AS (SELECT {run}, score, sum(pos) AS pos, sum(neg) AS neg FROM (SELECT * FROM rbh UNION ALL SELECT r.{run}, "
+        f"CAST(i AS DOUBLE) / CAST(100 AS DOUBLE), 0, 0 FROM (SELECT DISTINCT {run} FROM rbh) r, range(1, 100) t(i)) x GROUP BY ALL)",
+        f"rbc AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY {run}) - sum(pos) OVER w AS fn FROM rbu "
+        f"WINDOW w AS (PARTITION BY {run} ORDER BY score DESC ROWS UNBOUNDED PRECEDING))",
+        "rbf AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM rbc)",
+        f"rb AS (SELECT {run}, CASE WHEN f1 > 0 THEN score ELSE 0.5 END AS threshold, f1 FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY {run} ORDER BY f1 DESC, score) AS i FROM rbf) x WHERE i = 1)",
+    )
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def best_of(key: str) -> str:
+    """Rows of ``rb`` with the best one marked."""
+    return (f"SELECT {key}, round(threshold, 6) AS threshold, round(f1, 6) AS f1, "
+            f"CAST(row_number() OVER (ORDER BY round(f1, 6) DESC, {key}) = 1 AS INTEGER) AS best FROM rb")
+
+
 # ---------------------------------------------------------------- P-3 aligned chain, from dirty tables to test predictions
-OV_SPAN = (f"CASE WHEN len({S.overlap_set('idea_unit')}) = 0 THEN 0.0 ELSE len(list_intersect({S.overlap_set('idea_unit')}, "
-           f"{S.overlap_set('note_text')})) / len({S.overlap_set('idea_unit')}) END")
 RECORD = ("n_eval", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "balanced_accuracy", "threshold")
 
 
@@ -76,16 +149,18 @@ ALIGNED_CTES = (
     "apairs AS (SELECT t.pair_id, coalesce(m.experiment, 'UNK') AS experiment, t.topic, t.id, t.segment, t.idea_unit, t.label "
     "FROM atr t LEFT JOIN (SELECT topic, id, arg_min(experiment, id) AS experiment FROM anotes GROUP BY topic, id) m "
     "ON m.topic = t.topic AND m.id = t.id UNION ALL SELECT pair_id, experiment, topic, id, segment, idea_unit, label FROM ats)",
-) + tuple(_on_clean(c) for c in SPAN_CTES + (RANDOM_CTE,)) + (
-    f"asc0 AS (SELECT sp.pair_id, a.experiment, a.topic, sp.label AS y, {OV_SPAN} AS score FROM "
-    "(SELECT pair_id, label, idea_unit, note_text FROM sp) sp JOIN (SELECT pair_id, experiment, topic FROM apairs) a USING (pair_id))",
-    "aval AS (SELECT a.* FROM asc0 a JOIN rs USING (pair_id) WHERE rs.split = 'val')",
+) + tuple(_on_clean(c) for c in SPAN_CTES + (RANDOM_CTE,)) + PF_CTES + (
+    "lf AS (SELECT 0 AS run, * FROM pf WHERE label IS NOT NULL AND split = 'train')",
+) + fit_ctes("lf", "run", {0: LG.REG}) + (
+    f"asc0 AS (SELECT pf.pair_id, a.experiment, a.topic, pf.label AS y, pf.split, round({prob_sql()}, 6) AS score FROM pf "
+    f"JOIN (SELECT pair_id, experiment, topic FROM apairs) a USING (pair_id), (SELECT w FROM lg WHERE k = {LG.ROUNDS}) l)",
+    "aval AS (SELECT * FROM asc0 WHERE y IS NOT NULL AND split = 'val')",
 ) + best_ctes("aval", "v") + (
     "ath AS (SELECT a.*, CAST(score >= threshold AS INTEGER) AS pred FROM aval a, vbt)",
 ) + S.report_ctes("ath", "y", "pred", "a")
 ALIGNED_SQL = S.long_union(
     [S.long_rows("record", f"({record_sql('aval', 'v', d, c)}) r", {k: k for k in RECORD}, "decision")
-     for d, c in (("model", "score > 0.2"), ("threshold", "score >= t"))]
+     for d, c in (("model", "score > 0.5"), ("threshold", "score >= t"))]
     + S.evaluation_rows("ath", "y", "pred", "a", "ath", ("experiment", "topic"))
     + [S.long_rows("test", "(SELECT count(*) AS n, count(*) FILTER (WHERE score >= threshold) AS n_positive "
                    "FROM asc0, vbt WHERE y IS NULL) t", {"n": "n", "n_positive": "n_positive"})])
@@ -104,28 +179,29 @@ def _clean_pairs(spark, sf_dir):
     return train.unionByName(test), notes
 
 
-def _scored_spans(spark, sf_dir):
-    """Every pair's aligned span scored; texts end here: (pair_id, experiment, topic, y, score)."""
+def _span_features(spark, sf_dir):
+    """Every pair's aligned span as features; texts end here."""
     pairs, notes = _clean_pairs(spark, sf_dir)
     order = AL.idea_order(pairs.withColumn("_src", F.col("label").isNull().cast("int")),
                           order_col="pair_id", source_col="_src")        # W-1
     j = AL.idea_position(pairs, order)                                   # J-4, before any text is attached
     j = PR.full_notes(j, notes, tokens_col="_toks_note")                 # J-3
     spans = AL.aligned_span(j, tokens_col="_toks_note", idea_tokens_col="n_idea_tokens")     # F-10 ... F-14
-    scored = SC.lexical_scores(spans, "idea_unit", "note_text")          # X-3
-    return scored.select("pair_id", "experiment", "topic", F.col("label").alias("y"), F.col("yes_logit").alias("score"),
-                         SC.yes_no_label().alias("pred_llm"))
+    return SC.pair_features(spans, "idea_unit", "note_text").select("pair_id", "experiment", "topic", F.col("label").alias("y"),
+                                                                    *SC.FEATURES)
 
 
-@query("aligned_chain", W(ALIGNED_SQL, "raw_train", "raw_notes", extra=ALIGNED_CTES))
+@query("aligned_chain", recursive(W(ALIGNED_SQL, "raw_train", "raw_notes", extra=ALIGNED_CTES)))
 def q_aligned_chain(spark, sf_dir):
-    s = cut_lineage(_scored_spans(spark, sf_dir))        # read by the tuning, the evaluation and the test predictions
-    val = SP.random_split(s.filter(F.col("y").isNotNull()), 42, 0.2, "pair_id", cache_keys=False) \
-        .filter(F.col("split") == "val")                                 # W-5
-    record = metric_record(val, model_pred="pred_llm")                   # A-18, A-22
+    f = cut_lineage(_span_features(spark, sf_dir))       # read by the fit, the tuning, the evaluation and the test predictions
+    known = SP.random_split(f.filter(F.col("y").isNotNull()), 42, 0.2, "pair_id", cache_keys=False)       # W-5
+    path = SC.train_pair_classifier(known.filter(F.col("split") == "train"), "y")                         # X-4
+    val = SC.predict_pairs(known.filter(F.col("split") == "val"), path).withColumnRenamed("prob_1", "score")     # X-3
+    record = metric_record(val, model_pred="pred_argmax")                # F-16, A-18, A-22
     t = record.filter("decision = 'threshold'").first()["threshold"]
     at_t = val.withColumn("pred", SC.apply_threshold("score", t))        # F-17
-    test = s.filter(F.col("y").isNull()).select(SC.apply_threshold("score", t).alias("pred"))          # X-7
+    test = SC.predict_pairs(f.filter(F.col("y").isNull()), path)
+    test = test.select(SC.apply_threshold("prob_1", t).alias("pred"))    # X-7
     test = test.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") == 1).alias("n_positive"))
     return r6(R.long_rows(record, "record", RECORD, F.col("decision"))
               .unionByName(R.evaluation(at_t, "y", "pred", ("experiment", "topic")))        # A-1 ... A-6, A-13, A-14
@@ -191,11 +267,11 @@ def q_error_analysis(spark, sf_dir):
     curve = F.col("threshold").isNotNull()                               # without the fixed end points
     ex = d.select(F.col("y").alias("true_label"), F.col("prediction").alias("pred_label"),
                   F.col("score").alias("pred_prob_pos"), F.col("id").alias("ID"), "score")
+    cum = cut_lineage(C.cumulative_desc(d, "y", "score"))               # one histogram for all curves
     parts = [
-        R.long_rows(C.ranking_summary(d, "y", "score"), "ranking", ["roc_auc", "average_precision"]),     # A-7, A-8
-        R.long_rows(C.pr_auc_trapezoid(d, "y", "score"), "ranking", ["pr_auc"]),                          # A-9
-        R.long_rows(C.pr_curve(d, "y", "score").filter(curve), "pr_curve", ["precision", "recall"], at),  # A-10
-        R.long_rows(C.roc_curve(d, "y", "score").filter(curve), "roc_curve", ["fpr", "tpr"], at),         # A-11
+        R.long_rows(C.ranking_summary(d, cum=cum), "ranking", ["roc_auc", "average_precision", "pr_auc"]),   # A-7 ... A-9
+        R.long_rows(C.pr_curve(d, cum=cum).filter(curve), "pr_curve", ["precision", "recall"], at),       # A-10
+        R.long_rows(C.roc_curve(d, cum=cum).filter(curve), "roc_curve", ["fpr", "tpr"], at),              # A-11
         R.long_rows(C.score_histogram(d, "score", 20), "histogram", ["lo", "hi", "n"], F.col("bin").cast("string")),     # A-12
         R.long_rows(ER.top_false_positives(ex, 50), "top_fp", ["score"], F.col("ID").cast("string")),     # S-2
         R.long_rows(ER.top_false_negatives(ex, 50), "top_fn", ["score"], F.col("ID").cast("string")),     # S-3
@@ -276,48 +352,69 @@ def _features(spark, sf_dir):
     return f.select("pair_id", "experiment", "topic", "label", "split", *SC.FEATURES)      # no texts beyond this point
 
 
-def _ratio_sql(num: str, den: str) -> str:
-    return f"CASE WHEN {den} > 0 THEN {num} / {den} ELSE 0.0 END"
+@query("pair_features", W("SELECT pair_id, label, split, " + ", ".join(f"round({f}, 6) AS {f}" for f in SC.FEATURES)
+                          + " FROM pf WHERE label IS NOT NULL", "pairs", extra=FEATURE_CTES))
+def q_pair_features(spark, sf_dir):
+    return r6(_features(spark, sf_dir).drop("experiment", "topic"))
 
 
-FEATURE_CTES = SPAN_CTES + (RANDOM_CTE,) + (
-    f"pf0 AS (SELECT pair_id, label, split, idea_unit, note_text, {S.strip_lower('idea_unit')} AS a, "
-    f"{S.strip_lower('note_text')} AS b FROM sp JOIN rs USING (pair_id))",
-    f"pf1 AS (SELECT *, list_distinct({S.ws_tokens('a')}) AS ja, list_distinct({S.ws_tokens('b')}) AS jb, "
-    f"{S.token_sort('a')} AS sa, {S.token_sort('b')} AS sb, {S.overlap_set('idea_unit')} AS oa, {S.overlap_set('note_text')} AS ob, "
-    f"regexp_extract_all(a, '\\p{{Nd}}+') AS na, regexp_extract_all(b, '\\p{{Nd}}+') AS nb, "
-    f"list_distinct(regexp_extract_all(a, '{T.WORD}')) AS wa, list_distinct(regexp_extract_all(b, '{T.WORD}')) AS wb, "
-    f"list_histogram(regexp_extract_all(lower(a), '{T.TOK2}')) AS ha, list_histogram(regexp_extract_all(lower(b), '{T.TOK2}')) AS hb FROM pf0)",
-    "pf2 AS (SELECT *, list_sum(list_transform(map_keys(ha), lambda k: ha[k] * coalesce(hb[k], 0))) AS dot, "
-    "list_sum(list_transform(map_values(ha), lambda x: x * x)) * list_sum(list_transform(map_values(hb), lambda x: x * x)) AS nn FROM pf1)",
-)
+ONE_RUN = ("lf AS (SELECT 0 AS run, * FROM pf WHERE label IS NOT NULL AND split = 'train')",) + fit_ctes("lf", "run", {0: LG.REG})
+CLASSIFIER_CTES = FEATURE_CTES + ONE_RUN + (
+    f"cval AS (SELECT label AS y, round({prob_sql()}, 6) AS score FROM pf, (SELECT w FROM lg WHERE k = {LG.ROUNDS}) l "
+    "WHERE label IS NOT NULL AND split = 'val')",) + best_ctes("cval", "k")
 
 
-@query("pair_features", W(f"""
-SELECT pair_id, label, split,
-  round(CASE WHEN len(ja) = 0 OR len(jb) = 0 THEN 0.0 ELSE len(list_intersect(ja, jb)) / len(list_distinct(list_concat(ja, jb))) END, 6) AS f_jaccard,
-  round({S.levenshtein_ratio('sa', 'sb')}, 6) AS f_levenshtein,
-  round({_ratio_sql('len(list_intersect(oa, ob))', 'len(oa)')}, 6) AS f_overlap,
-  CAST(len(na) > 0 AND na = nb AS DOUBLE) AS f_number,
-  round({_ratio_sql('len(list_intersect(wa, wb))', 'len(wa)')}, 6) AS f_cover,
-  round(CASE WHEN nn > 0 THEN dot / sqrt(nn) ELSE 0.0 END, 6) AS f_cosine FROM pf2""", "pairs", extra=FEATURE_CTES))
-def q_pair_features(spark, sf_dir):
-    return r6(_features(spark, sf_dir).drop("experiment", "topic"))
+@query("train_pair_classifier", recursive(W(record_sql("cval", "k", "model", "score > 0.5") + "\nUNION ALL\n"
+                                            + record_sql("cval", "k"), "pairs", extra=CLASSIFIER_CTES)))
+def q_train_pair_classifier(spark, sf_dir):
+    f = cut_lineage(_features(spark, sf_dir))        # reliable checkpoint: the rounds read it again and again
+    path = SC.train_pair_classifier(f.filter(F.col("split") == "train"))
+    pred = SC.predict_pairs(f.filter(F.col("split") == "val"), path)
+    return r6(metric_record(pred.select(F.col("label").alias("y"), F.col("prob_1").alias("score"), "pred_argmax"),
+                            model_pred="pred_argmax"))       # both decisions: argmax and tuned threshold
 
 
-@query("train_pair_classifier")
-def q_train_pair_classifier(spark, sf_dir):
-    f = cut_lineage(_features(spark, sf_dir))        # reliable checkpoint: the fits read it many times
-    fitted = SC.train_pair_classifier(f.filter(F.col("split") == "train"), "label", reg_param=0.01)
-    pred = SC.predict_pairs(f.filter(F.col("split") == "val"), fitted)
-    out = metric_record(pred.select(F.col("label").alias("y"), F.col("prob_1").alias("score"), "pred_argmax"),
-                        model_pred="pred_argmax")            # both decisions: argmax and tuned threshold
-    return r6(out)
+# ---------------------------------------------------------------- X-6 parameter search and best epoch
+SEARCH = (0.001, 0.01, 0.1)
+SEARCH_CTES = FEATURE_CTES + (
+    f"lf AS (SELECT r.reg_param, pf.* FROM pf, (SELECT unnest({list(SEARCH)}) AS reg_param) r WHERE label IS NOT NULL AND split = 'train')",
+) + fit_ctes("lf", "reg_param", {f"CAST({r} AS DOUBLE)": r for r in SEARCH}) + (
+    f"sval AS (SELECT reg_param, label AS y, round({prob_sql()}, 6) AS score FROM pf, lg WHERE k = {LG.ROUNDS} AND label IS NOT NULL "
+    "AND split = 'val')",) + run_best_ctes("sval", "reg_param")
 
 
-# ---------------------------------------------------------------- X-6 parameter search (rows-only check)
-@query("param_search")
+@query("param_search", recursive(W(best_of("reg_param"), "pairs", extra=SEARCH_CTES)))
 def q_param_search(spark, sf_dir):
     f = cut_lineage(_features(spark, sf_dir))
-    return r6(SC.param_search(f.filter(F.col("split") == "train"), f.filter(F.col("split") == "val"),
-                              (0.0, 0.01, 0.1), "label"))
+    return r6(SC.param_search(f.filter(F.col("split") == "train"), f.filter(F.col("split") == "val"), SEARCH, "label"))
+
+
+EPOCH_CTES = FEATURE_CTES + ONE_RUN + (
+    f"eval_rows AS (SELECT k AS epoch, label AS y, round({prob_sql()}, 6) AS score FROM pf, lg WHERE k > 0 AND label IS NOT NULL AND split = 'val')",
+) + run_best_ctes("eval_rows", "epoch")
+
+
+@query("best_epoch", recursive(W(best_of("epoch"), "pairs", extra=EPOCH_CTES)))
+def q_best_epoch(spark, sf_dir):
+    f = cut_lineage(_features(spark, sf_dir))
+    return r6(SC.epoch_search(f.filter(F.col("split") == "train"), f.filter(F.col("split") == "val")))
+
+
+# ---------------------------------------------------------------- X-5 with a fit per seed, A-20
+SEED_FIT_CTES = FEATURE_CTES + (
+    "sf0 AS (" + " UNION ALL ".join(
+        f"SELECT {s} AS seed, *, row_number() OVER (ORDER BY md5('{s}-' || CAST(pair_id AS VARCHAR)), pair_id) "
+        f"<= floor(0.2 * count(*) OVER ()) AS is_val FROM pf WHERE label IS NOT NULL" for s in FX.SEEDS) + ")",
+    "lf AS (SELECT * FROM sf0 WHERE NOT is_val)",
+) + fit_ctes("lf", "seed", {s: LG.REG for s in FX.SEEDS}) + (
+    f"sfv AS (SELECT seed, label AS y, round({prob_sql()}, 6) AS score FROM sf0 JOIN lg USING (seed) WHERE k = {LG.ROUNDS} AND is_val)",
+) + run_best_ctes("sfv", "seed") + ("sft AS (SELECT sfv.*, CAST(score >= threshold AS INTEGER) AS prediction FROM sfv JOIN rb USING (seed))",
+                                    ) + run_ctes("sft", "seed")
+
+
+@query("seed_fits", recursive(W(SUMMARY_SQL, "pairs", extra=SEED_FIT_CTES)))
+def q_seed_fits(spark, sf_dir):
+    f = _features(spark, sf_dir).select("pair_id", "label", *SC.FEATURES)
+    runs = SP.seed_runs(cut_lineage(f), FX.SEEDS, 0.2, "pair_id")
+    val = SC.seed_fits(runs, FX.SEEDS)
+    return run_summary(R.run_records(val, ["seed"], "label", "prob_1"))

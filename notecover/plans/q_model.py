@@ -284,28 +284,46 @@ def q_metrics_ovr(spark, sf_dir):
 
 # ---------------------------------------------------------------- X-5, A-20 (three seeds)
 def _seed_cte(seed):
-    return (f"SELECT {seed} AS seed, pair_id, y, prediction, row_number() OVER (ORDER BY md5('{seed}-' || "
+    return (f"SELECT {seed} AS seed, pair_id, y, score, prediction, row_number() OVER (ORDER BY md5('{seed}-' || "
             f"CAST(pair_id AS VARCHAR)), pair_id) <= floor(0.2 * count(*) OVER ()) AS is_val FROM scored")
 
 
-SEED_CTES = (
-    "sd AS (" + " UNION ALL ".join(_seed_cte(s) for s in FX.SEEDS) + ")",
-    f"pm AS (SELECT seed, {S.metric_cols()} FROM (SELECT seed, {S.counters()} FROM sd WHERE is_val GROUP BY seed) c)",
-    "lm AS (SELECT seed, 'accuracy' AS metric, accuracy AS value FROM pm UNION ALL SELECT seed, 'precision', precision FROM pm "
-    "UNION ALL SELECT seed, 'recall', recall FROM pm UNION ALL SELECT seed, 'f1', f1 FROM pm)",
-)
+RUN_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
+
+
+def run_ctes(src: str, run: str, pred: str = "prediction") -> tuple[str, ...]:
+    """The six metrics of every run of table ``src`` (run, y, score, decision): ``pm`` in wide and
+    ``lm`` in long form."""
+    return (
+        f"rh AS (SELECT {run}, score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg FROM {src} "
+        f"WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL)",
+        f"rc AS (SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg, sum(pos) OVER (PARTITION BY {run}) AS P, "
+        f"sum(neg) OVER (PARTITION BY {run}) AS N FROM rh WINDOW w AS (PARTITION BY {run} ORDER BY score DESC ROWS UNBOUNDED PRECEDING))",
+        f"rk AS (SELECT {run}, CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (N - cum_neg + neg / 2)) / (max(P) * max(N)) END AS roc_auc, "
+        f"CASE WHEN max(P) > 0 THEN sum(pos * (cum_pos / (cum_pos + cum_neg))) / max(P) END AS pr_auc FROM rc GROUP BY {run})",
+        f"pm AS (SELECT c.{run}, {S.metric_cols()}, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc "
+        f"FROM (SELECT {run}, {S.counters(p=pred)} FROM {src} GROUP BY {run}) c JOIN rk USING ({run}))",
+        "lm AS (" + " UNION ALL ".join(f"SELECT {run}, '{m}' AS metric, {m} AS value FROM pm" for m in RUN_METRICS) + ")",
+    )
+
+
+SUMMARY_SQL = """SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min,
+  round(max(value), 6) AS max, count(value) AS n FROM lm GROUP BY metric"""
+SEED_CTES = ("sd0 AS (" + " UNION ALL ".join(_seed_cte(s) for s in FX.SEEDS) + ")",
+             "sd AS (SELECT * FROM sd0 WHERE is_val)") + run_ctes("sd", "seed")
 
 
-@query("seed_summary", W("""
-SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min,
-  round(max(value), 6) AS max, count(value) AS n FROM lm GROUP BY metric""", "scored", extra=SEED_CTES))
+def run_summary(records, run: str = "seed"):
+    """A-20 of the runs' six metrics; a run's metrics are reported at 6 digits before they are summarised."""
+    return r6(M.seed_summary(M.unpivot_metrics(r6(records), [run], RUN_METRICS)))
+
+
+@query("seed_summary", W(SUMMARY_SQL, "scored", extra=SEED_CTES))
 def q_seed_summary(spark, sf_dir):
-    s = FX.scored(spark, sf_dir)
+    s = FX.scored(spark, sf_dir).select("pair_id", "y", "score", "prediction")
     runs = SP.seed_runs(s, FX.SEEDS, 0.2, "pair_id").filter(F.col("split") == "val")
-    per = M.binary_metrics(runs, "y", "prediction", ["seed"])
-    per = r6(per)   # the metrics of a run are reported at 6 digits before they are summarised
-    long = M.unpivot_metrics(per, ["seed"], ["accuracy", "precision", "recall", "f1"])
-    return r6(M.seed_summary(long))
+    from notecover.operators import record as R
+    return run_summary(R.run_records(runs, ["seed"], "y", "score", "prediction"))
 
 
 # ---------------------------------------------------------------- A-22 (threshold decision)

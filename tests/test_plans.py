@@ -83,7 +83,7 @@ def test_no_cross_products_and_python_only_where_needed(spark):
 def test_chains_score_without_python(spark):
     """The frames inside the chains, before they are materialised: no Python, no cross product."""
     from notecover.plans import q_chains as Q
-    for df in (Q._scored_spans(spark, SF_SMALL), Q._prediction_file(spark, SF_SMALL), Q._features(spark, SF_SMALL)):
+    for df in (Q._span_features(spark, SF_SMALL), Q._prediction_file(spark, SF_SMALL), Q._features(spark, SF_SMALL)):
         txt = df._jdf.queryExecution().sparkPlan().toString()
         for word in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "NestedLoopJoin"):
             assert word not in txt

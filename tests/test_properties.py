@@ -186,3 +186,56 @@ def test_bit_parallel_lcs_long_texts_numpy_path():
         a = "".join(rnd.choice("ab cdé") for _ in range(rnd.randint(513, 700)))
         b = "".join(rnd.choice("abc dñ") for _ in range(rnd.randint(50, 600)))
         assert lcs_length(a, b) == _lcs_dp(a, b)
+
+
+def _runs(spark, n=900, seed=5):
+    import random
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None, "c"]), rng.randint(0, 1), round(rng.random(), 2)) for _ in range(n)]
+    rows += [("only_pos", 1, 0.4), ("only_neg", 0, 0.2), ("a", 1, float("nan")), ("a", 0, None)]
+    return rows, spark.createDataFrame(rows, "run string, y int, score double")
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 40])
+def test_grouped_totals_equal_each_group_alone(spark, buckets):
+    rows, df = _runs(spark)
+    h = C.histogram(df, by=["run"])
+    got = {(r.run, r.score): (r.cum_pos, r.cum_neg, r.tot_pos, r.tot_neg)
+           for r in C.running_totals(h, "score", ["pos", "neg"], True, buckets=buckets, by=["run"]).collect()}
+    ok = [(g, y, s) for g, y, s in rows if s is not None and s == s]
+    want = {(g, s): (sum(y for h, y, x in ok if h == g and x >= s), sum(1 - y for h, y, x in ok if h == g and x >= s),
+                     sum(y for h, y, _ in ok if h == g), sum(1 - y for h, y, _ in ok if h == g)) for g, _, s in ok}
+    assert got == want
+
+
+def test_grouped_metrics_equal_each_run_alone(spark):
+    from notecover.operators import record as R
+    _, df = _runs(spark)
+    df = df.filter("run IS NOT NULL")
+    rank = {r.run: r for r in C.ranking_summary(df, by=["run"]).collect()}
+    best = {r.run: (r.threshold, r.f1) for r in C.best_threshold(df, by=["run"]).collect()}
+    recs = {r.run: r for r in R.run_records(df, ["run"]).collect()}
+    assert set(rank) == set(best) == set(recs) == {"a", "b", "c", "only_pos", "only_neg"}
+    for run in rank:
+        alone = df.filter(F.col("run") == run)
+        one = C.ranking_summary(alone).first()
+        assert (rank[run].roc_auc, rank[run].average_precision, rank[run].pr_auc) == (one.roc_auc, one.average_precision, one.pr_auc)
+        t = C.best_threshold(alone).first()
+        assert best[run] == (t.threshold, t.f1)
+        rec = next(r for r in R.metric_record(alone).collect())
+        assert (recs[run].threshold, recs[run].f1, recs[run].accuracy, recs[run].pr_auc) == (rec.threshold, rec.f1, rec.accuracy, rec.pr_auc)
+    assert best["only_neg"] == (0.5, 0.0) and rank["only_pos"].roc_auc is None
+
+
+def test_totals_do_not_depend_on_partition_settings(spark, monkeypatch):
+    _, df = _runs(spark, 3000)
+    monkeypatch.setattr(C, "RANGE_ROWS", 10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for n in ("1", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out.append(sorted(tuple(r) for r in C.pr_curve(df).collect() if r.threshold is not None) + [tuple(C.ranking_summary(df).first())])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1]
