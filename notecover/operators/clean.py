@@ -49,6 +49,19 @@ def to_number(c) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def to_id(df: DataFrame, name: str) -> Column:
+    """An id as BIGINT, exactly: integer columns pass unchanged, text is read as an integer first, and
+    only what is none ("7.0", 7.0) goes by way of a number. Out of range: null."""
+    c, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return c.cast("long")
+    if isinstance(kind, T.DecimalType):
+        return c.try_cast("long")
+    if isinstance(kind, T.StringType):
+        return F.coalesce(TX.py_strip(c).try_cast("long"), to_number(c).try_cast("long"))
+    return to_number(c).try_cast("long")
+
+
 def segment_domain(c) -> Column:
     """PF-6: keep segment numbers 1-4 (2.0 is 2, 2.5 is dropped), others null."""
     x = to_number(c)
@@ -65,9 +78,8 @@ def coerce_notes(df: DataFrame, topic="topic", id_col="id", experiment="experime
     out = df
     if _opt(df, experiment):
         out = out.withColumn(experiment, F.coalesce(TX.py_strip(F.col(experiment)), F.lit("UNK")))
-    out = out.withColumn(topic, TX.py_strip(F.col(topic))).withColumn(id_col, to_number(id_col))
-    out = out.filter(F.col(topic).isNotNull() & F.col(id_col).isNotNull())
-    return out.withColumn(id_col, F.col(id_col).cast("long"))
+    out = out.withColumn(topic, TX.py_strip(F.col(topic))).withColumn(id_col, to_id(out, id_col))
+    return out.filter(F.col(topic).isNotNull() & F.col(id_col).isNotNull())
 
 
 def coerce_pairs(df: DataFrame, labelled: bool, topic="topic", id_col="id", segment="segment",
@@ -75,7 +87,7 @@ def coerce_pairs(df: DataFrame, labelled: bool, topic="topic", id_col="id", segm
     """PF-4 (labelled=True) / PF-5: typed pair table; rows failing coercion are dropped.
     For test tables the label is optional, may be null and never causes a drop."""
     out = (df.withColumn(topic, TX.py_strip(F.col(topic)))
-             .withColumn(id_col, to_number(id_col))
+             .withColumn(id_col, to_id(df, id_col))
              .withColumn(segment, segment_domain(segment)))
     has_label = _opt(df, label)
     if has_label:
@@ -85,7 +97,7 @@ def coerce_pairs(df: DataFrame, labelled: bool, topic="topic", id_col="id", segm
     for c in need:
         cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
     out = out.filter(cond)
-    out = out.withColumn(id_col, F.col(id_col).cast("long")).withColumn(segment, F.col(segment).cast("int"))
+    out = out.withColumn(segment, F.col(segment).cast("int"))
     if has_label:
         out = out.withColumn(label, F.col(label).cast("int"))
     return out
@@ -95,7 +107,7 @@ def drop_report(df: DataFrame, labelled: bool, topic="topic", id_col="id", segme
                 idea="idea_unit", label="label") -> DataFrame:
     """PF-7: rows in, rows kept, and rows failing each coercion, from one aggregate."""
     t_bad = TX.py_strip(F.col(topic)).isNull()
-    i_bad = to_number(id_col).isNull()
+    i_bad = to_id(df, id_col).isNull()
     s_bad = segment_domain(segment).isNull()
     u_bad = F.col(idea).isNull()
     l_bad = to_number(label).isNull() if (labelled and _opt(df, label)) else F.lit(False)

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,25 +64,49 @@ ScorerFactory = Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
 
 
 def batch_score(df: DataFrame, factory: ScorerFactory, out_schema: str,
-                keep: Sequence[str] = ("pair_id",)) -> DataFrame:
+                keep: Sequence[str] = ("pair_id",), length: str | None = None, token_budget: int | None = None) -> DataFrame:
     """X-3: score rows in Arrow batches with a model built once per Python worker.
 
     ``factory()`` returns ``score(batch: pandas.DataFrame) -> pandas.DataFrame`` whose
-    columns are the output fields (besides ``keep``). Rows keep their id, so results join
-    back without relying on order."""
+    columns are the output fields (besides ``keep``). Kept columns stay in Arrow, so ids
+    come back exactly, also next to nulls; results join back without relying on order.
+
+    With ``token_budget``, each Arrow batch is sorted by the column ``length`` and cut into
+    calls whose padded size (rows times the longest) stays within the budget, as a model
+    that pads its batches needs; a row longer than the budget is a call of its own."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     from notecover.session import ship_package
     ship_package(df.sparkSession)
     keep = list(keep)
+    if (length is None) != (token_budget is None):
+        raise ValueError("length and token_budget go together")
     out_fields = T.StructType.fromDDL(out_schema) if isinstance(out_schema, str) else out_schema
     schema = T.StructType([df.schema[c] for c in keep] + list(out_fields.fields))
+    types = to_arrow_schema(out_fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = factory()
         for b in batches:
-            res = score(b)
-            yield pd.concat([b[keep].reset_index(drop=True), res.reset_index(drop=True)], axis=1)
-
-    return df.mapInPandas(run, schema)
+            calls = [b] if length is None else (b.take(pa.array(at)) for at in padded_calls(b.column(length).to_numpy(zero_copy_only=False), token_budget))
+            for part in calls:
+                res = score(part.to_pandas())
+                out = [part.column(c) for c in keep] + [pa.Array.from_pandas(res[f.name], type=f.type) for f in types]
+                yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema.fields])
+
+    return df.mapInArrow(run, schema)
+
+
+def padded_calls(lengths: np.ndarray, budget: int) -> Iterator[np.ndarray]:
+    """Row numbers of each call: in order of length, as many as fit ``budget`` when padded to the
+    longest of them."""
+    size = np.maximum(np.nan_to_num(lengths.astype(float)), 1.0)
+    order = np.argsort(size, kind="stable")
+    a = 0
+    for i in range(1, len(order) + 1):
+        if i == len(order) or size[order[i]] * (i - a + 1) > budget:
+            yield order[a:i]
+            a = i
 
 
 def overlap_py(idea: str | None, note: str | None) -> float:

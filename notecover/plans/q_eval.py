@@ -100,7 +100,7 @@ def q_value_counts(spark, sf_dir):
 SELECT 'idea_unit' AS "column", round(avg(length(idea_unit)), 6) AS mean_length FROM pairs
 UNION ALL SELECT 'segment_text', round(avg(length(segment_text)), 6) FROM pairs""", "pairs"))
 def q_text_lengths(spark, sf_dir):
-    return r6(M.text_lengths(FX.pairs(spark, sf_dir, with_text=True), ["idea_unit", "segment_text"]))
+    return r6(M.text_lengths(FX.pairs(spark, sf_dir, with_text=True, labels=False), ["idea_unit", "segment_text"]))
 
 
 # ---------------------------------------------------------------- A-7

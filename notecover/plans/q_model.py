@@ -64,7 +64,7 @@ SELECT pair_id, n, CASE WHEN 256 - n - 3 <= 32 THEN 128 ELSE 256 - n - 3 END AS
   CASE WHEN 64 - n - 3 <= 32 THEN 32 ELSE 64 - n - 3 END AS budget_64
 FROM (SELECT pair_id, CAST(len({toks_sql('idea_unit')}) AS INTEGER) AS n FROM pairs) x""", "pairs"))
 def q_token_budget(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir)
+    p = FX.pairs(spark, sf_dir, labels=False)
     n = F.size(T.model_tokens("idea_unit"))
     return p.select("pair_id", n.alias("n"), AL.token_budget(n, 256).alias("budget_256"),
                     AL.token_budget(n, 64).alias("budget_64"))
@@ -88,13 +88,13 @@ SPAN_CTES = ORDER_CTES + (
 )
 
 
-def _spans(spark, sf_dir, margin=0.1, max_length=256):
+def _spans(spark, sf_dir, margin=0.1, max_length=256, labels=True):
     # Pairs are notes x ideas here, so each note's token array is computed once and rides
     # along the broadcast fan-out (no shuffle of token arrays). For an external pair table
     # the same spans come from full_notes (J-3, a keyed equi-join) + aligned_span.
     def carry(n):
         return n.withColumn("_note_toks", T.model_tokens(PR.full_text()))
-    p = FX.pairs(spark, sf_dir, carry=carry)
+    p = FX.pairs(spark, sf_dir, carry=carry, labels=labels)
     j = AL.idea_position(p, _order(spark, sf_dir))
     return AL.aligned_span(j, tokens_col="_note_toks", margin=margin, max_length=max_length,
                            idea_tokens_col="n_idea_tokens")
@@ -103,7 +103,7 @@ def _spans(spark, sf_dir, margin=0.1, max_length=256):
 @query("aligned_span", W("SELECT pair_id, span_start, span_end, span_len, note_text FROM sp", "pairs",
                          extra=SPAN_CTES))
 def q_aligned_span(spark, sf_dir):
-    return _spans(spark, sf_dir).select("pair_id", "span_start", "span_end", "span_len", "note_text")
+    return _spans(spark, sf_dir, labels=False).select("pair_id", "span_start", "span_end", "span_len", "note_text")
 
 
 # ---------------------------------------------------------------- F-19
@@ -126,7 +126,7 @@ def one_shot_sql(idea, note, ex_idea, ex_note, ex_label) -> str:
 @query("prompt_zero_shot", W(f"SELECT pair_id, {zero_shot_sql('idea_unit', 'segment_text')} AS prompt FROM pairs",
                              "pairs"))
 def q_prompt_zero_shot(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir, with_text=True)
+    p = FX.pairs(spark, sf_dir, with_text=True, labels=False)
     return p.select("pair_id", PM.zero_shot(F.col("idea_unit"), F.col("segment_text")).alias("prompt"))
 
 
@@ -159,7 +159,7 @@ TRUNC_CTES = (
 SELECT pair_id, prompt, CAST(CASE WHEN over THEN len({toks_sql('prompt')}) ELSE total END AS INTEGER) AS n_tokens,
   CAST(over AS INTEGER) AS truncated FROM tp""", "pairs", extra=TRUNC_CTES))
 def q_prompt_truncate(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir, with_text=True)
+    p = FX.pairs(spark, sf_dir, with_text=True, labels=False)
     pr, n, over = PM.truncate_note(F.col("idea_unit"), F.col("segment_text"), 1024)
     return p.select("pair_id", pr.alias("prompt"), n.cast("int").alias("n_tokens"), over.cast("int").alias("truncated"))
 
@@ -181,7 +181,7 @@ SELECT pair_id, CAST(ka AS INTEGER) AS n_idea_kept, CAST(kb AS INTEGER) AS n_not
   rpad(repeat('0', CAST(ka + 2 AS INTEGER)) || repeat('1', CAST(kb + 1 AS INTEGER)), 256, '0') AS types, 256 AS n_ids FROM e3""",
                           "pairs", extra=ENC_CTES))
 def q_pair_encoding(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir, with_text=True)
+    p = FX.pairs(spark, sf_dir, with_text=True, labels=False)
     e = PM.pair_encoding(p, "idea_unit", "segment_text", 256)
     return e.select("pair_id", F.col("n_idea_kept").cast("int").alias("n_idea_kept"),
                     F.col("n_note_kept").cast("int").alias("n_note_kept"), F.col("n_real").cast("int").alias("n_real"),
@@ -253,9 +253,8 @@ OV_SQL = (f"CASE WHEN len({S.overlap_set('idea_unit')}) = 0 THEN 0.0 ELSE len(li
 
 
 def _batch(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir, with_text=True).select("pair_id", "label", "idea_unit", F.col("segment_text").alias("note"))
-    return SC.batch_score(p, SC.lexical_scorer_factory("idea_unit", "note", 0.2), "yes_logit double, no_logit double",
-                          keep=("pair_id", "label"))
+    p = FX.pairs(spark, sf_dir, with_text=True, labels=False).select("pair_id", "idea_unit", F.col("segment_text").alias("note"))
+    return SC.batch_score(p, SC.lexical_scorer_factory("idea_unit", "note", 0.2), "yes_logit double, no_logit double")
 
 
 @query("batch_score", W(f"SELECT pair_id, round({OV_SQL}, 6) AS yes_logit, CAST(0.2 AS DOUBLE) AS no_logit FROM pairs", "pairs"))
@@ -263,9 +262,27 @@ def q_batch_score(spark, sf_dir):
     return r6(_batch(spark, sf_dir).select("pair_id", "yes_logit", "no_logit"))
 
 
+# whole notes, in calls whose padded tokens stay within a budget
+BUDGET = 4096
+WHOLE_SQL = OV_SQL.replace("segment_text", "note")
+
+
+@query("batch_budget", W(f"""
+SELECT pair_id, n_tokens, round({WHOLE_SQL}, 6) AS yes_logit FROM (
+  SELECT p.pair_id, p.idea_unit, nt.note, CAST(len({toks_sql('nt.note')}) AS INTEGER) AS n_tokens
+  FROM pairs p JOIN (SELECT experiment, topic, id, {FULL_SQL} AS note FROM notes) nt USING (experiment, topic, id)) x""", "pairs"))
+def q_batch_budget(spark, sf_dir):
+    def carry(n):
+        whole = n.withColumn("note", PR.full_text())
+        return whole.withColumn("n_tokens", F.size(T.model_tokens("note")).cast("int"))
+    p = FX.pairs(spark, sf_dir, carry=carry, labels=False).select("pair_id", "idea_unit", "note", "n_tokens")
+    return r6(SC.batch_score(p, SC.lexical_scorer_factory("idea_unit", "note"), "yes_logit double, no_logit double",
+                             keep=("pair_id", "n_tokens"), length="n_tokens", token_budget=BUDGET).drop("no_logit"))
+
+
 @query("yes_no_label", W(f"SELECT pair_id, CAST({OV_SQL} > 0.2 AS INTEGER) AS pred_llm FROM pairs", "pairs"))
 def q_yes_no_label(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir, with_text=True).select("pair_id", "idea_unit", F.col("segment_text").alias("note"))
+    p = FX.pairs(spark, sf_dir, with_text=True, labels=False).select("pair_id", "idea_unit", F.col("segment_text").alias("note"))
     return SC.lexical_scores(p, "idea_unit", "note").select("pair_id", SC.yes_no_label().alias("pred_llm"))
 
 
@@ -357,7 +374,7 @@ EX_COLS = "pair_id, true_label, pred_label, round(pred_prob_pos, 6) AS pred_prob
 
 def _examples_table(spark, sf_dir):
     s = FX.scored(spark, sf_dir)
-    p = FX.pairs(spark, sf_dir, with_text=True).select("pair_id", "idea_unit", "segment_text")
+    p = FX.pairs(spark, sf_dir, with_text=True, labels=False).select("pair_id", "idea_unit", "segment_text")
     return ER.eval_examples(s.join(p, "pair_id"), "y", "prediction", "score", "idea_unit", "segment_text", "id",
                             "segment", keep=("pair_id",))
 
@@ -370,7 +387,7 @@ def _examples_slim(spark, sf_dir):
 
 def _fetch_text(spark, sf_dir, top):
     """Texts for the at most k ranked rows: the few rows are broadcast, the pairs are not shuffled."""
-    p = FX.pairs(spark, sf_dir, with_text=True).select("pair_id", F.col("idea_unit").alias("text_1"), F.col("segment_text").alias("text_2"))
+    p = FX.pairs(spark, sf_dir, with_text=True, labels=False).select("pair_id", F.col("idea_unit").alias("text_1"), F.col("segment_text").alias("text_2"))
     return p.join(F.broadcast(top), "pair_id").select("pair_id", "true_label", "pred_label", "pred_prob_pos", "text_1", "text_2",
                                                       "ID", "Segment", "correct")
 

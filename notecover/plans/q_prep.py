@@ -92,7 +92,7 @@ def q_drop_report(spark, sf_dir):
 SELECT pair_id, segment_text AS note_text,
   CAST(length({strip_sql('segment_text')}) > 0 AS INTEGER) AS has_text FROM pairs""", "pairs"))
 def q_fill_text(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir, with_text=True).withColumnRenamed("segment_text", "note_text")
+    p = FX.pairs(spark, sf_dir, with_text=True, labels=False).withColumnRenamed("segment_text", "note_text")
     p = CL.fill_text(p, ("note_text",))
     return p.select("pair_id", "note_text", T.non_empty("note_text").cast("int").alias("has_text"))
 
@@ -158,7 +158,7 @@ SELECT p.pair_id, coalesce(CASE WHEN p.segment BETWEEN 1 AND 4 THEN
   [n.segment1_notes, n.segment2_notes, n.segment3_notes, n.segment4_notes][p.segment] END, '') AS segment_text
 FROM pairs p LEFT JOIN notes n ON n.experiment = p.experiment AND n.topic = p.topic AND n.id = p.id""", "pairs"))
 def q_segment_text(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir)
+    p = FX.pairs(spark, sf_dir, labels=False)
     return PR.segment_text(p, FX.notes(spark, sf_dir)).select("pair_id", "segment_text")
 
 
@@ -168,7 +168,7 @@ SELECT p.pair_id, coalesce({strip_sql("concat_ws(' ', n.segment1_notes, n.segmen
   AS full_notes
 FROM pairs p LEFT JOIN notes n ON n.experiment = p.experiment AND n.topic = p.topic AND n.id = p.id""", "pairs"))
 def q_full_notes(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir)
+    p = FX.pairs(spark, sf_dir, labels=False)
     return PR.full_notes(p, FX.notes(spark, sf_dir)).select("pair_id", "full_notes")
 
 
@@ -199,7 +199,7 @@ def q_idea_order(spark, sf_dir):
 SELECT p.pair_id, o.j, o.k FROM pairs p LEFT JOIN o ON o.topic = p.topic AND o.idea_unit = p.idea_unit""",
                           "pairs", extra=ORDER_CTES))
 def q_idea_position(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir)
+    p = FX.pairs(spark, sf_dir, labels=False)
     return AL.idea_position(p, _order(spark, sf_dir).drop("n_idea_tokens")).select("pair_id", "j", "k")
 
 

@@ -81,7 +81,7 @@ SELECT pair_id, CAST(len(ra) > 0 AND ra = rb AS INTEGER) AS num_match FROM (
   SELECT pair_id, regexp_extract_all({S.strip_lower('idea_unit')}, '\\p{{Nd}}+') AS ra,
          regexp_extract_all({S.strip_lower('segment_text')}, '\\p{{Nd}}+') AS rb FROM pairs) x""", "pairs"))
 def q_number_match(spark, sf_dir):
-    p = FX.pairs(spark, sf_dir, with_text=True)
+    p = FX.pairs(spark, sf_dir, with_text=True, labels=False)
     return p.select("pair_id", T.number_match(T.strip_lower("idea_unit"), T.strip_lower("segment_text")).alias("num_match"))
 
 

@@ -35,8 +35,9 @@ def ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text").alias("idea_unit"), F.col("item_id").alias("pos"))
 
 
-def pairs(spark: SparkSession, sf_dir: str, with_text: bool = False, carry=None) -> DataFrame:
-    """J-7: every idea of a topic x every note of that topic, with the label of the note.
+def pairs(spark: SparkSession, sf_dir: str, with_text: bool = False, carry=None, labels: bool = True) -> DataFrame:
+    """J-7: every idea of a topic x every note of that topic, with the label of the note unless
+    ``labels`` is off: a query that does not read labels does not join them.
 
     The idea table is the small side (ideas per topic are bounded), so the topic join is a
     broadcast hash join after a size check; the fan-out per note is the topic's idea count.
@@ -51,12 +52,12 @@ def pairs(spark: SparkSession, sf_dir: str, with_text: bool = False, carry=None)
     if not with_text:
         n = n.select("experiment", "topic", "id", *extra)
     # labels belong to notes: joined per note, so no exchange above the fan-out carries text
-    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"),
-                                                F.col("quality").alias("label"))
-    p = join_small(n.join(lab, "id", "left"), ideas(spark, sf_dir), ["topic"], salt_from="id")
+    if labels:
+        n = n.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "id", "left")
+    p = join_small(n, ideas(spark, sf_dir), ["topic"], salt_from="id")
     seg = ((F.col("id") + F.col("pos")) % 4 + 1).cast("int")
     cols = [(F.col("id") * 100000 + F.col("pos")).alias("pair_id"), "experiment", "topic", "id",
-            seg.alias("segment"), "idea_unit", "pos", "label"]
+            seg.alias("segment"), "idea_unit", "pos", *(["label"] if labels else [])]
     if with_text:
         cols += [F.coalesce(F.element_at(F.array(*SEGMENTS), seg), F.lit("")).alias("segment_text")]
     return p.select(*cols, *extra)
@@ -113,7 +114,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule-scorer input built from whole texts: correct answer = the idea; response by id % 5:
     0 the idea, 1 the idea without letter 'e', 2 the idea followed by the note segment,
     3 the note segment, 4 'idk'. Label 1 for 0 and 1, 0 for 2, -1 for 3 and 4."""
-    p = pairs(spark, sf_dir, with_text=True)
+    p = pairs(spark, sf_dir, with_text=True, labels=False)
     k = F.col("id") % 5
     resp = (F.when(k == 0, F.col("idea_unit"))
             .when(k == 1, F.replace(F.col("idea_unit"), F.lit("e"), F.lit("")))

@@ -81,3 +81,41 @@ def test_checkpoint_dir_from_session(spark, scratch):
     from notecover.session import checkpoint_dir
     d = checkpoint_dir(spark)
     assert d and spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_lenient_read_pads_short_and_skips_long_records(spark, scratch):
+    p = os.path.join(scratch, "lenient.csv")
+    open(p, "w").write('a,b,c\n1,2,3\n4,5\n6,7,8,9\n"x\ny",,\n\n10,"q,r",12,\n,,\n')
+    got = [tuple(r) for r in IO.read_csv_lenient(spark, p, ["a", "b", "c"]).collect()]
+    assert got == [("1", "2", "3"), ("4", "5", None), ("x\ny", None, None), (None, None, None)]
+    assert tuple(IO.lenient_report(spark, p, ["a", "b", "c"]).first()) == (6, 4, 1, 2)
+    bad = IO.skipped_records(spark, p, ["a", "b", "c"]).collect()
+    assert [(r.a, r.record.strip(), r.n_fields) for r in bad] == [("6", "6,7,8,9", 4), ("10", '10,"q,r",12,', 4)]
+    assert IO.read_csv_lenient(spark, p, ["a", "b", "c"]).count() == 4                  # also when no column is read
+
+
+def test_paths_with_odd_characters(spark, scratch):
+    for i, name in enumerate(["a b.csv", "c%20d#e.csv", "f+g.csv", "plain.csv"]):
+        open(os.path.join(scratch, name), "w", encoding="utf-8").write(f"Topic,ID\n\u00e9{i},{i}\n")
+    df = IO.read_csv_smart(spark, scratch)
+    assert sorted(r.Topic for r in df.collect()) == ["\u00e90", "\u00e91", "\u00e92", "\u00e93"]
+    assert [r.Topic for r in IO.read_csv_smart(spark, os.path.join(scratch, "a b.csv")).collect()] == ["\u00e90"]
+
+
+def test_file_positions_run_over_all_files(spark, scratch):
+    sizes = [("a.csv", 3, "utf-8"), ("b.csv", 5000, "utf-8"), ("c d.csv", 40, "cp1252"), ("e.csv", 700, "utf-8")]
+    want, n = {}, 0
+    for name, rows, enc in sizes:
+        with open(os.path.join(scratch, name), "wb") as f:
+            f.write(b"Topic,ID\n")
+            for k in range(rows):
+                f.write(f'"{name} \u00e9\n{k}",{k}\n'.encode(enc))
+                want[f"{name} \u00e9\n{k}"] = n
+                n += 1
+    df = IO.read_csv_smart(spark, scratch, position_col="row_pos")
+    assert df.columns == ["Topic", "ID", "row_pos"]
+    assert {r.Topic: r.row_pos for r in df.collect()} == want
+    moved = df.limit(0).unionByName(df).repartition(7).filter("ID >= 0")               # positions do not depend on the plan around
+    assert {r.Topic: r.row_pos for r in moved.collect()} == want
+    only = os.path.join(scratch, "b.csv")
+    assert [r.row_pos for r in IO.read_csv_latin1(spark, only, position_col="p").orderBy("p").select("p").withColumnRenamed("p", "row_pos").collect()] == list(range(5000))

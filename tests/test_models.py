@@ -64,3 +64,30 @@ def test_evaluation_counts_dropped_rows_and_groups(spark):
     assert got["report", "accuracy:f1"] == 0.5 and ("report", "accuracy:precision") not in got
     empty = {(r["section"], r["key"]): r["value"] for r in R.evaluation(df.limit(0), "y", "p", ["g"]).collect()}
     assert empty["input", "n_in"] == 0 and empty["metrics", "accuracy"] == 0.0
+
+
+def test_batch_score_carries_ids_exactly_next_to_nulls(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "a b", "a"), (None, "a", "a"), (1, "c", "d")], "pair_id long, idea_unit string, note string").coalesce(1)
+    out = SC.batch_score(df, SC.lexical_scorer_factory("idea_unit", "note"), "yes_logit double, no_logit double")
+    assert [(r.pair_id, r.yes_logit) for r in out.collect()] == [(big, 0.5), (None, 1.0), (1, 0.0)]
+
+
+def test_calls_stay_within_the_token_budget(spark):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+    sizes = [int(x) for x in np.random.default_rng(0).integers(0, 90, 500)] + [700, 0, 0, 400]
+    calls = list(SC.padded_calls(np.array(sizes), 300))
+    assert sorted(i for c in calls for i in c) == list(range(len(sizes)))
+    assert all(max(max(sizes[i] for i in c), 1) * len(c) <= 300 or len(c) == 1 for c in calls)
+
+    def factory():
+        def score(b):
+            padded = max(int(b["n"].max()), 1) * len(b)
+            return pd.DataFrame({"padded": [padded] * len(b), "rows": [len(b)] * len(b)})
+        return score
+    df = spark.createDataFrame(list(enumerate(sizes)), "pair_id long, n int").withColumn("extra", F.lit("x")).repartition(3)
+    out = SC.batch_score(df, factory, "padded long, rows int", keep=("pair_id", "n"), length="n", token_budget=300).collect()
+    assert {r.pair_id: r.n for r in out} == dict(enumerate(sizes))
+    assert all(r.padded <= 300 or r.rows == 1 for r in out) and max(r.rows for r in out) > 3

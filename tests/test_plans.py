@@ -61,7 +61,7 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in txt
 
 
-PYTHON_OK = {"fuzzy_indel", "rule_chain", "rule_tuning", "batch_score"}
+PYTHON_OK = {"fuzzy_indel", "rule_chain", "rule_tuning", "batch_score", "batch_budget"}
 
 
 def test_no_cross_products_and_python_only_where_needed(spark):
@@ -87,3 +87,16 @@ def test_chains_score_without_python(spark):
         txt = df._jdf.queryExecution().sparkPlan().toString()
         for word in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "NestedLoopJoin"):
             assert word not in txt
+
+
+def test_labels_are_joined_only_where_they_are_read(spark):
+    import __spark_entry__ as E
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("fill_text", "aligned_span", "fuzzy_indel", "number_match", "jaccard", "cosine_tf", "prompt_truncate", "pair_encoding",
+                     "text_lengths", "batch_score", "weighted_score", "three_way_label"):
+            txt = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+            assert "labels" not in txt and "quality" not in txt, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
