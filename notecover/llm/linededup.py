@@ -285,7 +285,10 @@ class Index:
     def _shards(self, keys: DataFrame, what: str) -> DataFrame:
         filters = self.filters if self.filters is not None else self.spark.createDataFrame([], _FILTERS)
         C.ship_package(self.spark)
-        return C.stored(keys.select("shard", "key").groupBy("shard").cogroup(filters.groupBy("shard"))
+        # columns of their own on both sides: keys and filters may come from one table
+        keys = keys.select(F.col("shard").alias("shard"), F.col("key").alias("key"))
+        filters = filters.select(*(F.col(c).alias(c) for c in ("shard", "part", "table")))
+        return C.stored(keys.groupBy("shard").cogroup(filters.groupBy("shard"))
                         .applyInArrow(_shard_task(self.p, what), _OUT), "linefilters")
 
 
