@@ -81,9 +81,12 @@ class ByteLevel:
             self.bytes[i] = t
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        return [self.own.encode(t, add_special_tokens=False).ids if self._LONG_BLANK.search(t) else self.quick.encode_ordinary(t)
+        return [self.own.encode(t, add_special_tokens=False).ids if len(t) >= 2000 and self._LONG_BLANK.search(t) else self.quick.encode_ordinary(t)
                 for t in texts]
 
+    def joined(self, ids: list[int]) -> bytes:
+        return self.quick.decode_bytes(ids)
+
 
 class Pieces:
     """A sentence-piece model, which itself puts a space before the text."""
@@ -99,6 +102,9 @@ class Pieces:
     def __call__(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
 
 @functools.lru_cache(maxsize=1)
 def _pair(a: str, b: str) -> tuple[ByteLevel, Pieces]:
@@ -108,32 +114,47 @@ def _pair(a: str, b: str) -> tuple[ByteLevel, Pieces]:
 
 # --- alignment of one text
 
-def cuts(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
+def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Token counts of both sides after each group, from the ends of both sides' tokens."""
     at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))          # the last token that ends there
     at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
     common = sorted(at_a.keys() & at_b.keys())
-    return [(at_a[e], at_b[e]) for e in common]
-
-
-def group_text(a: list[str], b: list[str], groups: list[tuple[int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
-    out, i, j = [], 0, 0
-    for x, y in groups:
-        out.append((a[i] if x == i + 1 else ",".join(a[i:x])) + "|" + (b[j] if y == j + 1 else ",".join(b[j:y])))
-        i, j = x, y
-    return ";".join(out)
-
-
-def slice_links(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray, groups: list[tuple[int, int]], rule: str) -> np.ndarray:
+    return (np.fromiter(map(at_a.__getitem__, common), np.int64, len(common)),
+            np.fromiter(map(at_b.__getitem__, common), np.int64, len(common)))
+
+
+class GroupText:
+    """Writes groups as ``a1,a2|b1;a3|b2,b3``: a row of bytes for every id with each mark that may
+    follow it, zeros behind, so a text is one gather over places computed for all its tokens."""
+
+    def __init__(self, ids_a: int, ids_b: int) -> None:
+        names = [f"{i}{mark}".encode() for n, mark in ((ids_a, ","), (ids_a, "|"), (ids_b, ","), (ids_b, ";")) for i in range(n)]
+        width = max(map(len, names))
+        self.rows = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in names), np.uint8).reshape(-1, width)
+        self.ids_a, self.ids_b = ids_a, ids_b
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> str:
+        if not len(x):
+            return ""
+        size_a, size_b = np.diff(x, prepend=0), np.diff(y, prepend=0)
+        name_a, name_b = a.copy(), b + 2 * self.ids_a
+        name_a[x - 1] += self.ids_a
+        name_b[y - 1] += self.ids_b
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + np.repeat(y - size_b, size_a)] = name_a     # after all of b's tokens of earlier slices
+        out[np.arange(len(b)) + np.repeat(x, size_b)] = name_b
+        written = self.rows[out].ravel()
+        return written[written != 0][:-1].tobytes().decode()
+
+
+def slice_links(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray, x: np.ndarray, y: np.ndarray, rule: str) -> np.ndarray:
     """Linked id pairs, as a << 32 | b, slice by slice."""
-    if not groups:
+    if not len(x):
         return np.zeros(0, np.int64)
-    x, y = np.array(groups, np.int64).T
-    if rule == "end" and (len_a > 0).all() and (len_b > 0).all():            # no two tokens of a side end together
+    if rule == "end" and len_a.all() and len_b.all():                        # no two tokens of a side end together
         return a[x - 1] << 32 | b[y - 1]
     out, i, j = [], 0, 0
-    for p, q in groups:
+    for p, q in zip(x.tolist(), y.tolist()):
         left, right = np.arange(i, p), np.arange(j, q)
         if rule == "end":                                                     # those with nothing but empty tokens behind
             left = left[np.cumsum(len_a[i:p][::-1])[::-1] - len_a[i:p] == 0]
@@ -150,7 +171,7 @@ def _aligner(paths: tuple[str, str], p: Align):
     def run(batches):
         enc_a, enc_b = _pair(*paths)
         size_a, size_b = (np.array([len(x) for x in e.bytes], np.int64) for e in (enc_a, enc_b))
-        name_a, name_b = ([str(i) for i in range(len(e.bytes))] for e in (enc_a, enc_b))
+        written = GroupText(len(size_a), len(size_b))
         for batch in batches:
             ids = batch.column(0)
             raw, offsets = spans.buffers(batch.column(1))
@@ -163,14 +184,13 @@ def _aligner(paths: tuple[str, str], p: Align):
                 found: dict[int, tuple] = {}
                 for r, x, y in zip(full, enc_a([" " + t for t in plain]), enc_b(plain)):
                     want = b" " + texts[r]
-                    if b"".join([enc_a.bytes[i] for i in x]) != want or b"".join([enc_b.bytes[i] for i in y]) != want:
+                    if enc_a.joined(x) != want or enc_b.joined(y) != want:
                         continue
                     a, b = np.array(x, np.int64), np.array(y, np.int64)
                     la, lb = size_a[a], size_b[b]
-                    groups = cuts(np.cumsum(la).tolist(), np.cumsum(lb).tolist())
-                    links = slice_links(a, b, la, lb, groups, p.links)
-                    found[r] = (len(x), len(y), len(groups), len(links),
-                                group_text([name_a[i] for i in x], [name_b[i] for i in y], groups),
+                    upto_a, upto_b = cuts(np.cumsum(la).tolist(), np.cumsum(lb).tolist())
+                    links = slice_links(a, b, la, lb, upto_a, upto_b, p.links)
+                    found[r] = (len(x), len(y), len(upto_a), len(links), written(a, b, upto_a, upto_b),
                                 (links >> 32 << 16 | links & 0xFFFF).astype("<u4").tobytes())
                 rows = [found.get(r, (0, 0, 0, 0, "", b"")) for r in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays(
