@@ -57,6 +57,14 @@ def _weights(df: DataFrame, coef: Mapping, run: str) -> DataFrame:
                                            f"{run} {df.schema[run].dataType.simpleString()}, _w array<double>")
 
 
+def _with_probability(df: DataFrame, coef: Mapping, features: Sequence[str], run: str, out: str) -> DataFrame:
+    """Rows of the runs in ``coef`` with their probability; one run needs no join."""
+    if len(coef) == 1:
+        (k, w), = coef.items()
+        return df.filter(F.col(run) == F.lit(k)).withColumn(out, probability(features, w))
+    return df.join(F.broadcast(_weights(df, coef, run)), run).withColumn(out, probability(features, F.col("_w"))).drop("_w")
+
+
 def fit(df: DataFrame, features: Sequence[str], regs: Mapping, label: str = "label", run: str = "run",
         rounds: int = ROUNDS) -> dict[object, Path]:
     """A path for each run in ``regs`` (run value -> regularisation), from the rows of ``df`` with that
@@ -73,7 +81,7 @@ def fit(df: DataFrame, features: Sequence[str], regs: Mapping, label: str = "lab
     coef = {k: np.zeros(d) for k in regs}
     paths: dict = {k: [] for k in regs}
     for _ in range(rounds):
-        at = rows.join(F.broadcast(_weights(df, coef, run)), run).withColumn("_p", probability(feats, F.col("_w")))
+        at = _with_probability(rows, {k: w.tolist() for k, w in coef.items()}, feats, run, "_p")
         for s in at.groupBy(run).agg(*sums).collect():                       # one row per run
             k = s[run]
             ridge = np.full(d, float(regs[k]))
@@ -92,8 +100,8 @@ def score(df: DataFrame, paths: Mapping[object, Path], run: str = "run", digits:
     """``df`` with ``prob_1`` of its run's last round, to ``digits`` digits (so that ties in the
     features are ties of the score on every engine)."""
     feats = next(iter(paths.values())).features
-    out = df.join(F.broadcast(_weights(df, {k: p.last for k, p in paths.items()}, run)), run)
-    return out.withColumn("prob_1", F.round(probability(feats, F.col("_w")), digits)).drop("_w")
+    out = _with_probability(df, {k: p.last for k, p in paths.items()}, feats, run, "prob_1")
+    return out.withColumn("prob_1", F.round("prob_1", digits))
 
 
 def score_paths(df: DataFrame, path: Path, digits: int = 6) -> DataFrame:
