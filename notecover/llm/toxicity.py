@@ -1,6 +1,7 @@
 """Counterfactual-regularised toxicity classifier (operator 1).
 
-A logistic model over the presence of words and word beginnings (hashed). Identity terms
+A logistic model over the presence of words and word beginnings, known by their 64-bit
+hashes: a word that is not one of the chosen carries no weight, however many a text has. Identity terms
 in labelled sentences are swapped for other terms of their list, and the fit penalises the
 squared change of the score, so that the mere mention of a group carries no weight.
 
@@ -42,12 +43,11 @@ IDENTITY_TERMS = (
 _BREAKS = np.zeros(256, bool)
 _BREAKS[:128] = True
 _BREAKS[65:91] = _BREAKS[97:123] = False
-PREFIXES = (3, 4, 5, 6)
 
 
 @dataclass(frozen=True)
 class Toxicity:
-    slot_bits: int = 20
+    beginnings: tuple = (5, 6)       # letters; shorter ones occur by chance in texts of many words
     max_features: int = 4096
     positives_per_feature: int = 1
     max_labelled: int = 50_000
@@ -58,63 +58,79 @@ class Toxicity:
     identity: tuple = IDENTITY_TERMS
 
 
-def _slots(hashes: np.ndarray, salt: int, bits: int) -> np.ndarray:
-    return (spans.mix(hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(64 - bits)).astype(np.int64)
+def _keys(hashes: np.ndarray, salt: int) -> np.ndarray:
+    return spans.mix(hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def _features(w: spans.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of every word and of its beginnings."""
-    rows, out = [w.row], [_slots(w.hash, 1, bits)]
+def _features(w: spans.Words, beginnings: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every word and of its beginnings."""
+    rows, out = [w.row], [_keys(w.hash, 1)]
     length = w.end - w.start
-    for n in PREFIXES:
+    for n in beginnings:
         long = np.flatnonzero(length > n)
         s = w.start[long]
         rows.append(w.row[long])
-        out.append(_slots(w.span_hash(s, s + n), n, bits))
+        out.append(_keys(w.span_hash(s, s + n), n))
     return np.concatenate(rows), np.concatenate(out)
 
 
-def term_slots(term: str, bits: int) -> list[int]:
-    col = pa.array([term])
-    return sorted({int(s) for _, _, w in spans.words_of(col, _BREAKS) for s in _features(w, bits)[1]})
+def term_keys(term: str, p: Toxicity) -> list[int]:
+    return sorted({int(k) for _, _, w in spans.words_of(pa.array([term]), _BREAKS) for k in _features(w, p.beginnings)[1]})
 
 
-def _distinct(row: np.ndarray, slot: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique((row.astype(np.int64) << bits) | slot)
-    return both >> bits, both & ((1 << bits) - 1)
+def _distinct(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
 
 
-def _count(bits: int):
-    """Documents per feature and label, summed over a task before anything is shuffled."""
+class Chosen:
+    """Places of the chosen keys, which are sorted. A table over the first 20 bits passes by nearly
+    all other keys; what it lets through is compared in full."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys.astype(np.uint64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (row, place) of those features that are chosen."""
+        some = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
+        row, key = row[some], key[some]
+        at = np.searchsorted(self.keys, key)
+        same = self.keys[at.clip(max=len(self.keys) - 1)] == key if len(self.keys) else np.zeros(len(key), bool)
+        return _distinct(row[same], at[same])
+
+
+def _count(p: Toxicity):
+    """Documents per feature and label, summed over a slice before anything is shuffled."""
     def run(batches):
-        n = np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
             y = batch.column(1).to_numpy()
             for a, b, w in spans.words_of(batch.column(0), _BREAKS):
-                row, slot = _distinct(*_features(w, bits), bits)
-                label = y[a:b][row]
-                for k in (0, 1):
-                    n[k] += np.bincount(slot[label == k], minlength=1 << bits)
-        some = np.flatnonzero(n.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[0][some]), pa.array(n[1][some])], names=["slot", "n0", "n1"])
+                row, key = _distinct(*_features(w, p.beginnings))
+                some, at = np.unique(key, return_inverse=True)
+                one = np.bincount(at, y[a:b][row], len(some)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(np.bincount(at, minlength=len(some)) - one), pa.array(one)],
+                                                 names=["slot", "n0", "n1"])
     return run
 
 
-def _present(bits: int, chosen: np.ndarray, swaps: dict[int, tuple[list[int], list[int]]]):
+def _present(p: Toxicity, chosen: np.ndarray, swaps: dict[int, tuple[list[int], list[int]]]):
     """Labelled rows as lists of chosen features, as they are and with identity terms swapped.
 
     swaps: by a term's word hash, the features of the term and those of its stand-in."""
-    index = np.full(1 << bits, -1, np.int64)
-    index[chosen] = np.arange(len(chosen))
+    place = {int(k): i for i, k in enumerate(chosen)}
     known = np.array(sorted(swaps), np.uint64)
 
     def run(batches):
+        find = Chosen(chosen)
         for batch in batches:
             y, key = batch.column(1), batch.column(2)
             for a, b, w in spans.words_of(batch.column(0), _BREAKS):
-                row, slot = _features(w, bits)
-                f = index[slot]
-                row, f = _distinct(row[f >= 0], f[f >= 0], bits)
+                row, f = find(*_features(w, p.beginnings))
                 own = np.split(f, np.searchsorted(row, np.arange(1, w.rows)))
                 where = np.searchsorted(known, w.hash).clip(max=max(len(known) - 1, 0))
                 hit = known[where] == w.hash if len(known) else np.zeros(len(w.hash), bool)
@@ -122,8 +138,8 @@ def _present(bits: int, chosen: np.ndarray, swaps: dict[int, tuple[list[int], li
                 for r in np.unique(w.row[hit]):
                     has = set(own[r].tolist())
                     terms = [swaps[int(h)] for h in np.unique(w.hash[hit & (w.row == r)])]
-                    gone = {int(index[s]) for t in terms for s in t[0]}
-                    come = {int(index[s]) for t in terms for s in t[1]}
+                    gone = {place.get(s, -1) for t in terms for s in t[0]}
+                    come = {place.get(s, -1) for t in terms for s in t[1]}
                     other[r] = sorted((has - gone) | (come - {-1}))
                 yield pa.RecordBatch.from_arrays(
                     [y.slice(a, b - a), key.slice(a, b - a), pa.array([x.tolist() for x in own], pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))],
@@ -165,7 +181,7 @@ def fit(rows: pa.Table, n_features: int, p: Toxicity) -> tuple[np.ndarray, float
 
 @dataclass(frozen=True)
 class Model:
-    slots: np.ndarray
+    keys: np.ndarray
     weights: np.ndarray
     bias: float
 
@@ -176,71 +192,62 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
              .groupBy("doc_id").agg(F.max("toxic").alias("y")))
     n, ones = known.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not n or not ones or ones == n:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     room = 1 << 20
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(room)) < min(room, room * p.max_labelled // n))
     # at most about max_labelled rows of two numbers: a side of bounded size
     learn = C.only(docs, doc_id="bigint", text="string").join(F.broadcast(some), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("key"))
 
-    bits = p.slot_bits
-    terms = {t: term_slots(t, bits) for group in p.identity for t in group}
-    counts = (C.arrow_map(learn, _count(bits), "slot bigint, n0 bigint, n1 bigint")
+    terms = {t: term_keys(t, p) for group in p.identity for t in group}
+    counts = (C.arrow_map(learn, _count(p), "slot bigint, n0 bigint, n1 bigint")
               .groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     share = ones / n
     seen = F.col("n0") + F.col("n1")
     lift = (F.col("n1") - seen * share) ** 2 / (seen * share * (1 - share))          # chi-squared of the feature
     room_for = min(p.max_features, max(16, ones // p.positives_per_feature))          # few examples carry few weights
     best = [r.slot for r in counts.filter(seen >= 3).orderBy(lift.desc(), "slot").limit(room_for).select("slot").collect()]
-    chosen = np.array(sorted(set(best) | {s for t in terms.values() for s in t}), np.int64)
+    chosen = np.array(sorted({k % (1 << 64) for k in best} | {k for t in terms.values() for k in t}), np.uint64)
     swaps = {}
     for group in p.identity:
         for i, t in enumerate(group):
             h = next(int(w.hash[0]) for _, _, w in spans.words_of(pa.array([t]), _BREAKS))
             swaps[h] = (terms[t], terms[group[(i + 1) % len(group)]])
-    rows = C.arrow_map(learn, _present(bits, chosen, swaps), "y int, key bigint, own array<bigint>, other array<bigint>").toArrow()
+    rows = C.arrow_map(learn, _present(p, chosen, swaps), "y int, key bigint, own array<bigint>, other array<bigint>").toArrow()
     if len(pc.unique(rows["y"])) < 2:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     rows = rows.sort_by("key")                                                       # the same sums whatever the task order
     w, b = fit(rows, len(chosen), p)
     return Model(chosen, w, b)
 
 
-def _scores(text: pa.Array, table: np.ndarray, model: Model, bits: int) -> np.ndarray:
+def _scores(text: pa.Array, find: Chosen, model: Model, p: Toxicity) -> np.ndarray:
     out = [np.zeros(0)]
     for _, _, w in spans.words_of(text, _BREAKS):
-        row, slot = _features(w, bits)
-        some = table[slot] != 0
-        row, slot = _distinct(row[some], slot[some], bits)
-        z = np.bincount(row, table[slot], w.rows) + model.bias
+        row, f = find(*_features(w, p.beginnings))
+        z = np.bincount(row, model.weights[f], w.rows) + model.bias
         out.append(1 / (1 + np.exp(-np.clip(z, -700, 700))))
     return np.concatenate(out)
 
 
-def _weights(model: Model, bits: int) -> np.ndarray:
-    table = np.zeros(1 << bits, np.float32)
-    table[model.slots] = model.weights
-    return table
-
-
-def _scorer(model: Model, bits: int):
+def _scorer(model: Model, p: Toxicity):
     def run(batches):
-        table = _weights(model, bits)
+        find = Chosen(model.keys)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), table, model, bits))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), find, model, p))], names=["doc_id", "score"])
     return run
 
 
 def _keeper(model: Model, p: Toxicity, at: int):
     def run(batches):
-        table = _weights(model, p.slot_bits)
+        find = Chosen(model.keys)
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at), table, model, p.slot_bits) < p.threshold))
+            yield batch.filter(pa.array(_scores(batch.column(at), find, model, p) < p.threshold))
     return run
 
 
 def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity()) -> DataFrame:
     """(doc_id, score) of every row of docs(doc_id, text)."""
-    return C.arrow_map(C.only(docs, doc_id="bigint", text="string"), _scorer(model, p.slot_bits), "doc_id bigint, score double")
+    return C.arrow_map(C.only(docs, doc_id="bigint", text="string"), _scorer(model, p), "doc_id bigint, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, p: Toxicity = Toxicity()) -> DataFrame:

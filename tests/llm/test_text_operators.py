@@ -55,6 +55,16 @@ def test_swaps_take_the_weight_from_identity_terms(spark, docs_of):
     assert abs(fair[1] - fair[2]) < 0.02 and fair[3] > 0.7 and fair[1] < 0.3
 
 
+def test_words_never_learnt_carry_no_weight(spark, docs_of):
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(3, 10))) for _ in range(n)) for n in (1_000, 10_000, 10_000, 100_000)]
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.train(C.table(spark, sf, "documents"), C.table(spark, sf, "labels").filter(~toxicity.held_out()))
+    assert len(model.keys) > 50 and (np.diff(model.keys.astype(object)) > 0).all()
+    assert all(r.score < 0.1 for r in toxicity.score(docs_of(list(enumerate(texts))), model).collect())
+
+
 def test_toxicity_held_out_and_edge_cases(spark):
     out = queries.QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.01")
     j = out.join(C.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").filter("held_out").collect()
