@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing (operator 5), in DataFrame functions only.
 
 Fixed masks choose four word positions out of a short span and ignore the others, so a
-substituted word breaks only the seeds that choose it. Seeds of the benchmark items are
+substituted word breaks only the seeds that choose it. Items too short to leave one of them
+whole whatever word is substituted have masks of their own: three neighbouring words for items of
+three to five words, two and one for items of two and one. Seeds of the benchmark items are
 joined with the seeds at every position of every document; hits on one diagonal (document
 position less item position) are one, and each is verified word by word along it: a
 document holds an item if at least ``percent`` percent of the item's words agree, or of a
@@ -9,9 +11,10 @@ window of ``window`` of its words.
 
 Document seeds are made in one narrow pass and only hits leave it. The side of the
 benchmark is broadcast when its count of seeds is below ``most_seeds`` and shuffled
-otherwise, with the same rows. Defined cases: null or empty texts match nothing; items of
-fewer words than the shortest mask spans (5) are no evidence and are not searched;
-repeated items each match; rows with a null doc_id are searched and reported under null;
+otherwise, with the same rows. Defined cases: null or empty texts match nothing, nor does an
+item without words; items of up to four words match where all their words do, as
+``percent`` of 80 asks, and of five where four do; repeated items each match; rows with a
+null doc_id are searched and reported under null;
 rows that share an id are reported together; empty tables give no rows; further columns
 are ignored. Words are runs of letters and digits in lower case.
 """
@@ -26,11 +29,14 @@ from pyspark.sql import functions as F
 from notecover.llm import common as C
 
 MASKS = ((0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 4, 6))
+#: (mask, least and most words of the items it is for)
+SHORT_MASKS = (((0, 1, 2), 3, 5), ((0, 1), 2, 2), ((0,), 1, 1))
 
 
 @dataclass(frozen=True)
 class Decontamination:
     masks: tuple = MASKS
+    short_masks: tuple = SHORT_MASKS
     percent: int = 80
     window: int = 16
     most_seeds: int = 1_000_000
@@ -41,26 +47,36 @@ def words(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+")
 
 
-def _seed(array: str, at: str, p: Decontamination) -> Column:
-    return F.array(*[F.expr(f"xxhash64({k}, " + ", ".join(f"get({array}, {at} + {o})" for o in mask) + ")") for k, mask in enumerate(p.masks)])
+def _masks(p: Decontamination) -> list[tuple[tuple[int, ...], int, int]]:
+    """(mask, least and most words of the items it is for) of all masks."""
+    return [(m, max(m) + 1, 1 << 30) for m in p.masks] + list(p.short_masks)
+
+
+def _seed(array: str, at: str, k: int, mask: tuple[int, ...]) -> Column:
+    """The seed of mask ``k`` at a position; null where the mask leaves the array."""
+    whole = F.expr(f"{at} + {max(mask)} < size({array})")
+    return F.when(whole, F.expr(f"xxhash64({k}, " + ", ".join(f"get({array}, {at} + {o})" for o in mask) + ")"))
 
 
 def item_seeds(bench: DataFrame, p: Decontamination) -> tuple[DataFrame, DataFrame]:
-    """(items, seeds): the items' words, and (seed, item, j)."""
+    """(items, seeds): the items' words, and (seed, item, j, k) for mask ``k`` at word ``j``."""
     items = (C.only(bench, item_id="bigint", text="string")
              .select("item_id", F.filter(words(F.col("text")), lambda x: x != "").alias("iw"))
              .withColumn("item", F.xxhash64("item_id", "iw")))
-    at = (items.filter(F.size("iw") > 0).select("item", "iw", F.posexplode(F.sequence(F.lit(0), F.size("iw") - 1)).alias("_", "j"))
-          .select("item", "j", F.size("iw").alias("n"), F.posexplode(_seed("iw", "j", p)).alias("k", "seed")))
-    span = F.element_at(F.array(*[F.lit(max(m)) for m in p.masks]), F.col("k") + 1)
-    return items.dropDuplicates(["item", "item_id"]), at.filter(F.col("j") + span < F.col("n")).select("seed", "item", "j").distinct()
+    n = F.size("iw")
+    seeds = F.array(*[F.struct(F.when(n.between(least, most), _seed("iw", "j", k, mask)).alias("seed"), F.lit(k).alias("k"))
+                      for k, (mask, least, most) in enumerate(_masks(p))])
+    at = (items.filter(n > 0).select("item", "iw", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("_", "j"))
+          .select("item", "j", F.inline(seeds)))
+    return items.dropDuplicates(["item", "item_id"]), at.filter("seed is not null").select("seed", "item", "j", "k").distinct()
 
 
-def hits(docs: DataFrame, seeds: DataFrame, p: Decontamination) -> DataFrame:
-    """(doc_id, item, diagonal), distinct."""
+def hits(docs: DataFrame, seeds: DataFrame, p: Decontamination, used: set[int]) -> DataFrame:
+    """(doc_id, item, diagonal), distinct; ``used``: the masks of which there are item seeds."""
+    made = F.array(*[_seed("dw", "i", k, mask) for k, (mask, _, _) in enumerate(_masks(p)) if k in used])
     at = (docs.select("doc_id", words(F.col("text")).alias("dw"))
           .select("doc_id", "dw", F.explode(F.sequence(F.lit(0), F.size("dw") - 1)).alias("i"))
-          .select("doc_id", "i", F.explode(_seed("dw", "i", p)).alias("seed")))
+          .select("doc_id", "i", F.explode(made.cast("array<bigint>")).alias("seed")))
     return at.join(seeds, "seed").select("doc_id", "item", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
 
 
@@ -70,8 +86,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, p: Decontamination = Deconta
     d = C.only(docs, doc_id="bigint", text="string")
     items, seeds = item_seeds(bench, p)
     items, seeds = C.cut_lineage(items), C.cut_lineage(seeds)
-    bounded = seeds.count() <= p.most_seeds
-    found = C.cut_lineage(hits(d, F.broadcast(seeds) if bounded else seeds, p))
+    by_mask = {r["k"]: r["count"] for r in seeds.groupBy("k").count().collect()}          # at most a row a mask
+    bounded = sum(by_mask.values()) <= p.most_seeds
+    seeds = seeds.select("seed", "item", "j")
+    found = C.cut_lineage(hits(d, F.broadcast(seeds) if bounded else seeds, p, set(by_mask)))
     ids = found.select("doc_id").distinct()
     side = items.select("item", "iw").dropDuplicates(["item"])
     some = C.in_bitmap(d, "doc_id", ids).select(F.col("doc_id").alias("id"), "text")

@@ -7,13 +7,18 @@ digests) and a ``conversion`` record (the plain text). Both name the response in
 (SHA-1 over UTF-8 bytes, base 16) and lengths in bytes. Record ids are hashes of what the
 record is made from, so a run that is repeated names the same records.
 
-One narrow pass of SQL functions, no shuffle. Defined cases: null html has an empty payload
+Character references in the text, all names of HTML and decimal and hexadecimal numbers, become
+characters if they end in a semicolon; others stay as they are.
+
+One narrow pass of SQL functions, no shuffle. The given pages hold no headers of their own, so
+those of ``Warc`` stand for them. Defined cases: null html has an empty payload
 and text; a null url an empty target; a null page_id takes part in the ids as ``null``;
 equal rows make equal records; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import html.entities
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,20 +34,51 @@ class Warc:
     server: str = "unknown"
 
 
-#: Tags that end a line of text, and entities with their characters (fixed values).
+#: Tags that end a line of text (fixed values).
 BLOCK_TAGS = "p|br|div|li|ul|ol|tr|td|th|h[1-6]|article|section|nav|header|footer|table|title|body|head|html"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+#: The names met most often are looked up first.
+COMMON = ("nbsp", "amp", "quot", "lt", "gt", "apos", "copy", "middot", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo", "hellip")
+
+
+def _names() -> dict[str, str]:
+    """Characters of all named references that end in a semicolon."""
+    table = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")} | {"nbsp": " "}
+    return {k: table[k] for k in COMMON} | table
+
+
+def characters(text: Column) -> Column:
+    """``text`` with its character references resolved, once and from the left. Numbers without a
+    character become U+FFFD, 128 to 159 what Windows-1252 has there, no-break spaces spaces."""
+    names = _names()
+    table = F.map_from_arrays(F.lit(list(names)), F.lit(list(names.values())))
+    latin = F.lit([ord(bytes([b]).decode("cp1252")) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else b for b in range(128, 160)])
+
+    def number(name: Column) -> Column:
+        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+        digits = F.ltrim(F.substr(name, F.when(hexadecimal, 3).otherwise(2)), F.lit("0"))
+        value = F.when(F.length(digits).between(1, 7), F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)))
+        return F.when(F.substring(name, 1, 1) == "#", F.coalesce(value.cast("bigint"), F.lit(0)))
+
+    def char(n: Column) -> Column:
+        n = (F.when(n == 160, 32).when(n.between(128, 159), F.get(latin, (n - 128).cast("int")))
+             .when((n < 1) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), 0xFFFD).otherwise(n).cast("bigint"))
+        high = F.hex(F.lit(0xD800) + F.floor((n - 0x10000) / 1024))
+        return F.decode(F.unhex(F.when(n < 0x10000, F.lpad(F.hex(n), 4, "0")).otherwise(F.concat(high, F.hex(F.lit(0xDC00) + n % 1024)))), "UTF-16BE")
+
+    parts = F.transform(F.split(text, "&"), lambda x: F.struct(x.alias("x"), F.regexp_extract(
+        x, "^(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", 1).alias("name")))
+    parts = F.transform(parts, lambda s: F.struct(s["x"].alias("x"), s["name"].alias("name"), F.coalesce(char(number(s["name"])), table[s["name"]]).alias("c")))
+    return F.array_join(F.transform(parts, lambda s, i: F.when(i == 0, s["x"]).when(s["c"].isNull(), F.concat(F.lit("&"), s["x"]))
+                                    .otherwise(F.concat(s["c"], F.substr(s["x"], F.length(s["name"]) + 2)))), "")
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: scripts, styles and comments go, block tags end lines, white space is
-    joined, entities become characters."""
+    joined, character references become characters."""
     t = F.regexp_replace(html, "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->|<!doctype[^>]*>", " ")
     t = F.regexp_replace(t, f"(?i)</?({BLOCK_TAGS})(\\s[^>]*)?/?>", "\n")
     t = F.regexp_replace(t, "<[^>]*>", "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(t, "[ \\t\\r\\f]+", " ")
+    t = F.regexp_replace(characters(t), "[ \\t\\r\\f]+", " ")
     t = F.regexp_replace(t, " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$", "")
 
@@ -98,6 +134,6 @@ def derive(pages: DataFrame, p: Warc = Warc()) -> DataFrame:
 
 
 def write(records: DataFrame, path: str) -> None:
-    """Records in WARC form, as compressed text parts (headers, block, two empty lines)."""
+    """Records in WARC form, as compressed text parts (headers, block, two empty lines), one gzip stream a part."""
     (records.select(F.concat("headers", "block", F.lit("\r\n\r\n")).alias("value"))
      .write.option("compression", "gzip").option("lineSep", "").text(path))

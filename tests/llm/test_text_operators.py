@@ -349,8 +349,47 @@ def test_leaks_as_by_force(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} >= expect
 
 
+def test_items_of_all_lengths_as_by_force(spark, docs_of):
+    """Items of one to forty words, substituted, cut and repeated in documents: the found pairs, and the
+    agreeing words of the best alignment, are those of trying every alignment."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = {i: list(rng.choice(vocabulary, n)) for i, n in enumerate([0, *range(1, 13), 15, 16, 17, 24, 40, 1, 4, 5])}
+    texts = []
+    for i in range(160):
+        w = list(rng.choice([f"v{k}" for k in range(200)], rng.integers(0, 30)))
+        for j in rng.choice(list(items), 2):
+            x = [f"z{rng.integers(99)}" if rng.random() < rng.choice([0, 0.1, 0.25]) else t for t in items[j]]
+            w += x[rng.integers(0, 2):]
+        texts.append((i, " ".join(w) + rng.choice(["", "."])))
+    expect = {}
+    for d, t in texts:
+        w = re.findall(r"\w+", t)
+        for i, x in items.items():
+            for s in range(1 - len(x), len(w)):
+                same = [0 <= s + k < len(w) and w[s + k] == x[k] for k in range(len(x))]
+                size = min(len(x), 16)
+                if x and (sum(same) * 100 >= 80 * len(x) or any(sum(same[k:k + size]) * 100 >= 80 * size for k in range(len(x) - size + 1))):
+                    expect[d, i] = max(expect.get((d, i), 0), sum(same))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id bigint, text string")
+    got = decontam.contaminated(docs_of(texts), bench).collect()
+    assert {(r.doc_id, r.item_id): r.agreeing for r in got} == expect and len(got) == len(expect)
+    assert {len(items[i]) for _, i in expect} >= {1, 2, 3, 4, 5, 6, 16, 40}
+
+
 # --- WARC
 
+def test_character_references(spark):
+    import html
+
+    plain = ["&eacute;&mdash;&euro;", "&#8217;&#xE9;&#XE9;&#128512;&#x1F600;", "a & b &amp;lt; &amp;amp;", "&nosuch; &; &#; &#x; &#xg;", "&", "", "&&amp;&",
+             "&#0;&#55296;&#1114112;&#99999999999999999999;&#xFFFFFFFFFFFFFFFFF;", "&#150;&#x80;", "&notin;&NotEqualTilde;&fjlig;", "x&#65279;y", "&frac12;tail&copy;"]
+    got = spark.createDataFrame(list(enumerate(plain)), "k int, t string").select("k", warc.characters(F.col("t")).alias("t")).collect()
+    for r in got:
+        assert r.t == re.sub(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", lambda m: html.unescape(m.group()), plain[r.k]), plain[r.k]
+    odd = spark.createDataFrame([(None,), ("&nbsp;a&#160;b&#xa0;",)], "t string").select(warc.characters(F.col("t")).alias("t")).collect()
+    assert [r.t for r in odd] == [None, " a b "]
+
 def test_warc_records_are_linked(spark):
     html = '<html lang="fr"><head><title>A &amp; B</title><script>x<p></script></head><body><p>Un<br>deux &lt;3</p><!-- no --></body></html>'
     rows = [(1, "http://a.org/", html), (2, None, None), (1, "http://a.org/", html), (None, "u", "plain")]
