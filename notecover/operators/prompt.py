@@ -113,13 +113,28 @@ def keep_lengths(la: Column, lb: Column, room: Column) -> tuple[Column, Column]:
     return F.when(fits, la).otherwise(keep_a), F.when(fits, lb).otherwise(keep_b)
 
 
-def pair_encoding(df: DataFrame, idea: str = "idea_unit", note: str = "note_text", max_length: int = 256,
-                  vocab_size: int = 30522) -> DataFrame:
+def encoding_tokens(c, max_length: int = 256) -> tuple[Column, Column]:
+    """What :func:`pair_encoding` needs of a text: its token count, and the tokens that can fit.
+    Compute them once per text, before pairs fan out."""
+    t = T.model_tokens(c)
+    return F.size(t), F.slice(t, 1, max_length - 3)
+
+
+def pair_encoding(df: DataFrame, idea: str = "idea_unit", note: str = "note_text", max_length: int = 256, vocab_size: int = 30522,
+                  idea_tokens: tuple[Column, Column] | None = None, note_tokens: tuple[Column, Column] | None = None) -> DataFrame:
     """F-23 (re-aimed): [CLS] idea [SEP] note [SEP], longest-first truncation, padding,
-    attention mask, token types and hashed ids (pmod(xxhash64(token), vocab_size))."""
-    ta, tb = T.model_tokens(idea), T.model_tokens(note)
-    room = F.lit(max_length - 3)
-    ka, kb = keep_lengths(F.size(ta), F.size(tb), room)
+    attention mask, token types and hashed ids (pmod(xxhash64(token), vocab_size)).
+
+    ``idea_tokens`` and ``note_tokens`` are columns with :func:`encoding_tokens` (of the same
+    ``max_length``) of ideas and notes that were tokenised before the pair fan-out."""
+    cols = df.columns
+    none = F.array().cast("array<string>")
+    (na, ta), (nb, tb) = idea_tokens or encoding_tokens(idea, max_length), note_tokens or encoding_tokens(note, max_length)
+    df = df.withColumns({"_na": F.coalesce(na, F.lit(0)), "_ta": F.coalesce(ta, none), "_nb": F.coalesce(nb, F.lit(0)), "_tb": F.coalesce(tb, none)})
+    ta, tb = F.col("_ta"), F.col("_tb")
+    ka, kb = keep_lengths(F.col("_na"), F.col("_nb"), F.lit(max_length - 3))
+    df = df.withColumns({"_ka": ka, "_kb": kb})
+    ka, kb = F.col("_ka"), F.col("_kb")
     toks = F.concat(F.array(F.lit("[CLS]")), F.slice(ta, 1, ka), F.array(F.lit("[SEP]")),
                     F.slice(tb, 1, kb), F.array(F.lit("[SEP]")))
     n_real = ka + kb + 3
@@ -129,6 +144,6 @@ def pair_encoding(df: DataFrame, idea: str = "idea_unit", note: str = "note_text
     mask = F.concat(F.array_repeat(F.lit(1), n_real), F.array_repeat(F.lit(0), F.lit(max_length) - n_real))
     full = F.concat(toks, pad)
     ids = F.transform(full, lambda t: F.pmod(F.xxhash64(t), F.lit(vocab_size)))
-    return df.select("*", ka.alias("n_idea_kept"), kb.alias("n_note_kept"), n_real.alias("n_real"),
+    return df.select(*cols, ka.alias("n_idea_kept"), kb.alias("n_note_kept"), n_real.alias("n_real"),
                      F.array_join(toks, " ").alias("tokens_text"), ids.alias("input_ids"),
                      mask.alias("attention_mask"), types.alias("token_type_ids"))
