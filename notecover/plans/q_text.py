@@ -71,8 +71,9 @@ def q_fuzzy_indel(spark, sf_dir):
                               "answers", extra=(SORTED_CTE,)))
 def q_fuzzy_levenshtein(spark, sf_dir):
     a = FX.answers(spark, sf_dir)
-    f = T.levenshtein_ratio(T.strip_lower("response"), T.strip_lower("correct_answer"))
-    return r6(a.select("pair_id", f.alias("levenshtein_ratio")))
+    a = a.select("pair_id", "response", "correct_answer")
+    f = lcs.with_levenshtein_ratio(a, T.strip_lower("response"), T.strip_lower("correct_answer"), "levenshtein_ratio")
+    return r6(f.select("pair_id", "levenshtein_ratio"))
 
 
 # ---------------------------------------------------------------- F-6

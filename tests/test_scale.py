@@ -1,9 +1,13 @@
 """Work that must not grow faster than the input: rows dealt over the cluster, texts handled once,
 and the fast forms of costly steps against plain ones."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from notecover.functions import lcs
+from notecover.functions import text as T
 from notecover.operators import prompt as PM
 from notecover.sources.tables import spread
 from conftest import SF_SMALL
@@ -45,3 +49,32 @@ def test_pair_encoding_with_and_without_tokens(spark):
     plain = PM.pair_encoding(df).select(*cols).collect()
     assert plain == PM.pair_encoding(ready, idea_tokens=(F.col("n"), F.col("t")), note_tokens=(F.col("m"), F.col("u"))).select(*cols).collect()
     assert [(r["n_idea_kept"], r["n_note_kept"], len(r["input_ids"])) for r in plain] == [(4, 2, 256), (127, 126, 256), (0, 0, 256), (1, 252, 256)]
+
+
+def edit_dp(a, b):
+    prev = list(range(len(b) + 1))
+    for i, ca in enumerate(a, 1):
+        cur = [i]
+        for j, cb in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+        prev = cur
+    return prev[-1]
+
+
+def test_edit_distance_against_the_table():
+    r = random.Random(7)
+    for _ in range(600):
+        chars = r.choice(("ab", "abcdé ", "abcdefgh\U0001d11e "))
+        a, b = ("".join(r.choice(chars) for _ in range(r.randint(0, 60))) for _ in range(2))
+        assert lcs.edit_distance(a, b) == edit_dp(a, b)
+    a, b = "the quick brown fox " * 40, "quick the fax brown jumps " * 9
+    assert lcs.edit_distance(a, b) == edit_dp(a, b)
+
+
+def test_levenshtein_on_a_table_is_the_expression(spark):
+    rows = [(1, "b a", "a b"), (2, "", ""), (3, None, "x"), (4, "café noir", "cafe noir"), (5, "kitten " * 90, "sitting on"), (None, "a", "b"), (5, "q", "q")]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    got = lcs.with_levenshtein_ratio(df, T.strip_lower("a"), T.strip_lower("b"), "r")
+    want = df.withColumn("r", T.levenshtein_ratio(T.strip_lower("a"), T.strip_lower("b")))
+    assert got.columns == want.columns and sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+    assert "levenshtein(" not in E.queries()["fuzzy_levenshtein"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
