@@ -122,7 +122,7 @@ SELECT pair_id, round(CASE WHEN len(ia) = 0 THEN 0.0 ELSE len(list_intersect(ia,
 FROM (SELECT pair_id, {S.overlap_set('idea_unit')} AS ia, {S.overlap_set('segment_text')} AS na FROM pairs) x""",
                             "pairs"))
 def q_lexical_overlap(spark, sf_dir):
-    n = FX.notes(spark, sf_dir).select("topic", "id", F.array(*[T.overlap_tokens(s) for s in FX.SEGMENTS]).alias("sets"))
+    n = FX.notes(spark, sf_dir).select("topic", "id", T.once(F.array(*[T.overlap_tokens(s) for s in FX.SEGMENTS])).alias("sets"))
     i = FX.ideas(spark, sf_dir).select("topic", "pos", T.overlap_tokens("idea_unit").alias("iset"))
     seg = ((F.col("id") + F.col("pos")) % 4 + 1).cast("int")
     p = join_small(n, i, ["topic"], salt_from="id")
