@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from notecover.session import checkpoint_dir, cut_lineage, ship_package
 from notecover.sources.tables import table
 
-__all__ = ["arrow_groups", "arrow_map", "components", "cut_lineage", "in_bitmap", "mark_bitmap", "only", "ship_package", "stored", "table"]
+__all__ = ["arrow_groups", "arrow_map", "components", "cut_lineage", "give_back", "in_bitmap", "mark_bitmap", "only", "ship_package", "stored", "table"]
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -34,8 +34,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _give_back() -> None:
-    """Hand freed memory back to the system: workers stay alive between tasks."""
+def give_back() -> None:
+    """Hand freed memory back to the system: workers stay alive between tasks, the driver between stages."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -45,14 +45,14 @@ def _give_back() -> None:
 def _mapped(fn):
     def run(batches):
         yield from fn(batches)
-        _give_back()
+        give_back()
     return run
 
 
 def _grouped(fn):
     def run(table):
         out = fn(table)
-        _give_back()
+        give_back()
         return out
     return run
 

@@ -327,7 +327,7 @@ def _classes(docs: DataFrame, sk: DataFrame, p: MinHash) -> DataFrame:
     open_ = C.cut_lineage(state.join(mixed, "band"))
     last = C.cut_lineage(_across(docs, open_, nodes, p))
     if not last.isEmpty():
-        comp = C.cut_lineage(C.components(links.unionByName(last)))
+        comp = C.cut_lineage(C.components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(last)))   # from the components so far: fewer rounds
 
     return classes.join(comp, "node", "left").select("node", "n_shingles", "doc_id", F.coalesce("root", "node").alias("root"))
 

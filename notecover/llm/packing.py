@@ -164,14 +164,16 @@ def patterns(count: np.ndarray, p: Packing) -> list[tuple[int, ...]]:
     have = np.flatnonzero(count)
     out = [(cap,)] if count[cap] else []
     out += [(int(a), int(cap - a)) for a in have if cap - a <= a < cap and count[cap - a] and (2 * a != cap or count[a] > 1)]
-    a, b = np.meshgrid(have, have, indexing="ij")
-    c = cap - a - b
-    ok = (a >= b) & (b >= c) & (c > 0)
-    a, b, c = a[ok], b[ok], c[ok]
-    rare = np.minimum(np.minimum(count[a], count[b]), count[c])
-    some = np.flatnonzero(rare)
-    some = some[np.lexsort((b[some], a[some], -rare[some]))][:p.max_triples]
-    return out + [(int(a[i]), int(b[i]), int(c[i])) for i in some]
+    best = np.zeros((0, 4), np.int64)                                     # (rare, a, b, c), in order
+    for s in range(0, len(have), 64):                                     # some first lengths at a time: never the square of the lengths
+        a, b = np.meshgrid(have[s:s + 64], have, indexing="ij")
+        c = cap - a - b
+        ok = (a >= b) & (b >= c) & (c > 0)
+        a, b, c = a[ok], b[ok], c[ok]
+        rare = np.minimum(np.minimum(count[a], count[b]), count[c])
+        best = np.concatenate([best, np.stack([rare, a, b, c], axis=1)[rare > 0]])
+        best = best[np.lexsort((best[:, 2], best[:, 1], -best[:, 0]))][:p.max_triples]
+    return out + [(a, b, c) for _, a, b, c in best.tolist()]
 
 
 def repeats(count: np.ndarray, pats: list[tuple[int, ...]], p: Packing) -> np.ndarray:
@@ -290,4 +292,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, p: Packing = Packing())
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (salted.withColumn("i", F.row_number().over(inside)).join(offsets, ["length", "salt"])
               .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("i") - 1).alias("rank")))
-    return C.arrow_map(ranked, _placer(plan(histogram, p)), schema)
+    steps = plan(histogram, p)
+    C.give_back()
+    return C.arrow_map(ranked, _placer(steps), schema)

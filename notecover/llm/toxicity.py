@@ -217,6 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     rows = rows.sort_by("key")                                                       # the same sums whatever the task order
     w, b = fit(rows, len(chosen), p)
+    del rows
+    C.give_back()
     return Model(chosen, w, b)
 
 
