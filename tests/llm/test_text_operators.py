@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -210,6 +211,66 @@ def test_katz_edge_cases(docs_of):
     assert [r.score for r in katz.scores(docs_of([(1, "a b")]), F.lit(True)).collect()] == [0.0]
 
 
+@pytest.mark.parametrize("p", [katz.Katz(pairs_at_once=40), katz.Katz(tokens_per_block=300, buckets=2, tokens_per_bucket=900, tokens_per_part=700, pairs_at_once=100, words_per_table=20)])
+def test_katz_of_few_texts_to_learn_from(spark, docs_of, monkeypatch, p):
+    """Buckets and parts are set by all tokens, and words frequent in the other texts only are dealt by pair too."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["z"] * (30 if i % 10 else 1) + [f"w{x}" for x in rng.zipf(1.5, 40) % 300])) for i in range(120)]
+    asked = []
+    deal, count = katz._blocks, katz._count
+    monkeypatch.setattr(katz, "_blocks", lambda p, n, hot: asked.append((n, hot)) or deal(p, n, hot))
+    monkeypatch.setattr(katz, "_count", lambda n, *a: asked.append(n) or count(n, *a))
+    got = {r.doc_id: r for r in katz.scores(docs_of(rows), F.col("doc_id") % 10 != 0, p).collect()}
+    for i, *e in katz_by_force(rows, lambda i: i % 10 != 0):
+        r = got[i]
+        assert [r.n_tokens, r.n_known, r.train_tokens] == e[:3]
+        assert r.base_score == pytest.approx(e[3], rel=1e-9) and r.score == pytest.approx(e[4], rel=1e-9)
+    n_tokens = sum(len(t.split()) + 1 for _, t in rows)
+    (n_buckets, hot), n_parts = asked
+    assert n_buckets == max(p.buckets, -(-n_tokens // p.tokens_per_bucket)) and n_parts == max(p.buckets, -(-n_tokens // p.tokens_per_part))
+    z = next(spans.words_of(pa.array(["z"])))[2].hash[0]
+    assert z in hot                                     # 12 times in the texts learnt from
+
+
+def test_katz_packed_columns():
+    rng = np.random.default_rng(5)
+    columns = {"word": np.sort(rng.integers(0, 1 << 64, 99, np.uint64)), "key": rng.integers(-9, 9, 5), "sum": rng.normal(size=7),
+               "n": np.arange(3, dtype=np.uint16), "train": np.zeros(0, np.uint8), "h": np.zeros(0, np.uint64), "doc": np.arange(2, dtype=np.uint32)}
+    got = katz._unpack(katz._pack(columns))
+    assert list(got) == list(columns)
+    for name, a in columns.items():
+        assert got[name].dtype == a.dtype and (got[name] == a).all()
+
+
+def test_katz_workers_hold_little():
+    """2.6 million tokens as one task deals them and one bucket counts them; before, it took 143 and 127 MB."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(50_000)], object)
+    n = 2600
+    texts = pa.array([" ".join(words[(rng.zipf(1.2, 1000) - 1) % 50_000]) for _ in range(n)])
+    train = np.arange(n) % 7 != 2
+    p = katz.Katz()
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            out = f()
+            return out, tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    none = np.zeros(0, np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(train), texts], names=["key", "train", "text"])
+    made, dealing = peak(lambda: sum(len(b.column(1)[0].as_buffer()) for b in katz._blocks(p, 24, none)(iter([batch]))))
+    assert made > 1e6
+    blocks = pa.Table.from_batches(list(katz._blocks(p, 1, none)(iter([batch]))))
+    uni = katz.Unigrams(2_000_000, 50_000, (0, 9, 8, 7, 6, 5, 4), {}, p.constant)
+    out, counting = peak(lambda: katz._count(24, uni, p)(blocks))
+    tokens = sum(int(katz._unpack(b)["tokens"].sum()) for b in out["block"].to_pylist() if b is not None)
+    assert tokens == n * 1001
+    assert dealing < 100 and counting < 100, (dealing, counting)
+
+
 # --- secrets
 
 def test_secrets_found_and_redacted(spark):
